@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat_format, exact_dedup, license_scan
+from strandline.llm import bpe, chat_format, exact_dedup, jaccard_join, license_scan, packing
 from strandline.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +45,22 @@ g AS (SELECT t, count(*) AS c, max(doc_id) AS k FROM n GROUP BY t)
 SELECT doc_id, k AS keep_id, c AS group_size, doc_id = k AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -77,7 +93,7 @@ FROM esc GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op6_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op2_license_scan, op6_exact_dedup, op7_byte_bpe, op8_packing, op9_jaccard_join, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
