@@ -25,12 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["own"]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by release()."""
+    path = f"{shared_dir(spark).rstrip('/')}/strandline-scratch/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandline-scratch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
+    df.write.parquet(path := scratch_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

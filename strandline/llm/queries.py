@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat_format, exact_dedup, jaccard_join, license_scan, packing
+from strandline.llm import bpe, chat_format, exact_dedup, jaccard_join, license_scan, packing, topk_search, toxicity, url_filter
 from strandline.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk_search.quantised(F.col("embedding")).alias("v"))
+    return topk_search.exact_topk(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -35,6 +48,20 @@ firsts AS (SELECT *, list_filter(l, lambda x, j: list_position(l, x) = j) AS fou
 SELECT doc_id, n AS n_sentences, ids AS sentence_ids, coalesce(array_to_string(found, ';'), '') AS licenses, CAST(len(found) AS BIGINT) AS n_licenses FROM firsts"""
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -93,8 +120,8 @@ FROM esc GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op6_exact_dedup, op7_byte_bpe, op8_packing, op9_jaccard_join, op10_chat_format)}
+    return {f.__name__: f for f in (op1_pivot_topk, op2_license_scan, op3_url_filter, op5_toxicity, op6_exact_dedup, op7_byte_bpe, op8_packing, op9_jaccard_join, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": op2_sql(), "op6_exact_dedup": OP6_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_pivot_topk": OP1_SQL, "op2_license_scan": op2_sql(), "op6_exact_dedup": OP6_SQL, "op10_chat_format": OP10_SQL}

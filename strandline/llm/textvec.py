@@ -43,8 +43,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, in order; bounds: words of text i are hashes[bounds[i]:bounds[i + 1]])."""
+def word_hashes(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hashes of all words, in order; bounds: words of text i are hashes[bounds[i]:bounds[i + 1]]).
+
+    With prefixes also, for each such number of bytes, the hashes of the words' beginnings; 0 for words not longer than that.
+    """
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", "u1")
     at = np.cumsum([0] + [len(p) + 1 for p in parts])
@@ -55,7 +58,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.cumsum((data.astype("u8") + np.uint64(1)) * up[: len(data)], dtype="u8")
     sums = np.concatenate([np.zeros(1, "u8"), sums])
     hashes = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype("u8") * _STEP[0])
-    return hashes, np.searchsorted(first, at)
+    stems = []
+    for size in prefixes:
+        long = np.flatnonzero(last - first > size)
+        stem = np.zeros(len(first), "u8")
+        stem[long] = mixed((sums[first[long] + size] - sums[first[long]]) * down[first[long]] + np.uint64(size * int(_STEP[1]) % (1 << 64)))
+        stems.append(stem)
+    return hashes, np.searchsorted(first, at), *stems
 
 
 def shingle_hashes(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +74,15 @@ def shingle_hashes(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray
     padded = np.concatenate([words, np.zeros(k, "u8")])
     made = np.zeros(len(words), "u8")
     for j in range(k):
-        made += padded[j : j + len(words)] * _STEP[j % len(_STEP)] if j == 0 else mixed(padded[j : j + len(words)] + np.uint64(j)) * _STEP[j % len(_STEP)]
-    for i in np.flatnonzero((n > 0) & (n < k)):  # the missing words are zeros, not the words of the next text
-        own = np.concatenate([words[bounds[i] : bounds[i + 1]], np.zeros(k, "u8")])[:k]
-        total = own[0] * _STEP[0]
-        for j in range(1, k):
-            total = total + mixed(own[j : j + 1] + np.uint64(j))[0] * _STEP[j % len(_STEP)]
-        made[bounds[i]] = total
+        own = padded[j : j + len(words)]
+        made += (own if j == 0 else mixed(own + np.uint64(j))) * _STEP[j % len(_STEP)]
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):  # the missing words are zeros, not the words of the next text
+        total = np.zeros(len(short), "u8")
+        for j in range(k):
+            own = np.where(j < n[short], padded[bounds[short] + j], np.uint64(0))
+            total += (own if j == 0 else mixed(own + np.uint64(j))) * _STEP[j % len(_STEP)]
+        made[bounds[short]] = total
     counts = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     new = np.concatenate([[0], np.cumsum(counts)])
     pick = np.repeat(bounds[:-1] - new[:-1], counts) + np.arange(new[-1])
