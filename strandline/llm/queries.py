@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat_format, exact_dedup, jaccard_join, license_scan, packing, topk_search, toxicity, url_filter
+from strandline.llm import bpe, chat_format, exact_dedup, jaccard_join, license_scan, packing, pii, topk_search, toxicity, url_filter
 from strandline.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,6 +52,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -120,7 +124,7 @@ FROM esc GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_topk, op2_license_scan, op3_url_filter, op5_toxicity, op6_exact_dedup, op7_byte_bpe, op8_packing, op9_jaccard_join, op10_chat_format)}
+    return {f.__name__: f for f in (op1_pivot_topk, op2_license_scan, op3_url_filter, op4_pii, op5_toxicity, op6_exact_dedup, op7_byte_bpe, op8_packing, op9_jaccard_join, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
