@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["own"]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted by release()."""
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder. release() deletes it, if it is to be kept only when it is named."""
     path = f"{shared_dir(spark).rstrip('/')}/strandline-scratch/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    (_KEPT if keep else _WRITTEN).append((spark, path))
     return path
 
 
@@ -39,19 +40,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every scratch table written so far. Call it only when the results built on them have been written."""
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended; nothing can be deleted through it any more
+        pass
+
+
+def release(path: str | None = None) -> None:
+    """Delete a kept scratch table, or all others written so far. Call it only when what was built on them has been written."""
+    if path is not None:
+        for item in [x for x in _KEPT if x[1] == path]:
+            _KEPT.remove(item)
+            _delete(*item)
+        return
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; nothing can be deleted through it any more
-            pass
+        _delete(*_WRITTEN.pop())
+
+
+def _release_all() -> None:
+    release()
+    for _, path in list(_KEPT):
+        release(path)
 
 
-atexit.register(release)
+atexit.register(_release_all)
 
 
 def workers_import(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, workers_import
+from strandline.llm.common import fresh, materialize, workers_import
 from strandline.llm.components import components
 
 #: Nodes of a block, and bytes of text of a block in verification.
@@ -309,38 +309,19 @@ def _verified(tasks: DataFrame, threshold: float, k: int) -> DataFrame:
     return dealt.mapInArrow(run, "node binary, links long, other binary")
 
 
-def jaccard_join(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = 0.8,
-    words: int = 5,
-    trees: int = 16,
-    depth: int = 5,
-    recall: float = 0.999,
-    block_rows: int = BLOCK_ROWS,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """One row for each row of docs: id, class_id, n_links, class_size.
-
-    Two rows are linked if the Jaccard similarity of their sets of shingles of five words is at least the threshold. A
-    text of 1 to 4 words has one shingle, all its words. Words are as in textvec. n_links counts the other rows linked
-    with a row, copies included; class_id is the least id among the rows that links connect; class_size their number.
-    Rows without words (null and empty texts among them) are linked with nothing and are classes of their own; the
-    class_id of a class is null only if all its ids are. Repeated rows are copies of each other. An empty table gives
-    an empty result; other columns play no part. The forest may miss a link with a chance of 1 - recall at the
-    threshold and far less above it; what it reports is exact.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float, words: int, trees: int, depth: int, recall: float, block_rows: int, block_bytes: int) -> DataFrame:
+    """id, th (hash of the text), class_id, class_th (of the row that stands for the class), n_links, class_size for each row of docs."""
     workers_import(docs.sparkSession)
     prefix = prefix_length(trees, depth, threshold, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     signed = materialize(_sign(rows, trees, depth, words, prefix), "join-signed")
 
-    nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th")).alias("rep"))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "th")
+    nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("rep"))
     nodes = materialize(nodes.select("node", "copies", F.col("rep.id").alias("rep"), F.col("rep.th").alias("rep_th")), "join-nodes")
     of_rep = F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))
-    own = signed.join(nodes.select(F.col("node"), "rep", "rep_th"), "node").filter(of_rep).dropDuplicates(["node"]).select("node", "n", "size", "sig", "keys")
+    own = signed.join(nodes.select("node", "rep", "rep_th"), "node").filter(of_rep).dropDuplicates(["node"]).select("node", "n", "size", "sig", "keys")
     own = materialize(own, "join-own")
 
     groups = own.select("node", "n", F.lit(0).cast("long").alias("size"), F.explode("keys").alias("key"))
@@ -354,13 +335,52 @@ def jaccard_join(
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    per_node = nodes.join(links, "node", "left").join(classes, "node", "left").select(
-        "node", "copies", "rep", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("root", "node").alias("root")
-    )
+    per_node = nodes.join(links, "node", "left").join(classes, "node", "left")
+    per_node = per_node.select("node", "copies", "rep", "rep_th", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("root", "node").alias("root"))
     per_node = materialize(per_node, "join-classes")
-    per_class = per_node.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
+    least = F.struct(F.col("rep").isNull().alias("unnamed"), F.col("rep").alias("id"), F.col("rep_th").alias("th"))
+    per_class = per_node.groupBy("root").agg(F.min(least).alias("least"), F.sum("copies").alias("class_size"))
+    per_class = per_class.select("root", F.col("least.id").alias("class_id"), F.col("least.th").alias("class_th"), "class_size")
     judged = materialize(per_node.join(per_class, "root"), "join-judged")
-    linked = signed.filter("node IS NOT NULL").select("id", "node").join(judged, "node")
-    linked = linked.select(F.col("id").alias(id_col), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
-    alone = signed.filter("node IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
+    linked = signed.filter("node IS NOT NULL").select("id", "th", "node").join(judged, "node")
+    linked = linked.select("id", "th", "class_id", "class_th", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
+    alone = signed.filter("node IS NULL").select("id", "th", F.col("id").alias("class_id"), F.col("th").alias("class_th"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
     return linked.unionByName(alone)
+
+
+def jaccard_join(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.8,
+    words: int = 5,
+    trees: int = 16,
+    depth: int = 5,
+    recall: float = 0.999,
+    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """One row for each row of docs: id, class_id, n_links, class_size.
+
+    Two rows are linked if the Jaccard similarity of their sets of shingles of five words is at least the threshold. A
+    text of 1 to 4 words has one shingle, all its words. Words are as in textvec. n_links counts the other rows linked
+    with a row, copies included; class_id is the least id among the rows that links connect; class_size their number.
+    Rows without words (null and empty texts among them) are linked with nothing and are classes of their own; the
+    class_id of a class is null only if all its ids are. Repeated rows are copies of each other. An empty table gives
+    an empty result; other columns play no part. The forest may miss a link with a chance of 1 - recall at the
+    threshold and far less above it; what it reports is exact.
+    """
+    judged = _judged(docs, id_col, text_col, threshold, words, trees, depth, recall, block_rows, block_bytes)
+    return judged.select(F.col("id").alias(id_col), "class_id", "n_links", "class_size")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """docs with one row of each class, the one of the least id, with all columns; of rows that repeat id and text one stays."""
+    judged = materialize(_judged(docs, id_col, text_col, threshold, 5, 16, 5, 0.999, BLOCK_ROWS, BLOCK_BYTES), "join-rows")
+    th, kept_id, kept_th = fresh(docs, "th", "kept_id", "kept_th")
+    stays = judged.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).select(F.col("id").alias(kept_id), F.col("th").alias(kept_th))
+    out = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(th) == F.col(kept_th)), "left_semi")
+    if not stays.groupBy(kept_id, kept_th).count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, th])
+    return out.drop(th)
