@@ -16,6 +16,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -26,8 +28,8 @@ from strandline.llm.common import workers_import
 
 #: A space with white space before it and white space or the end after it: then chunks are not independent.
 _ENTANGLED = re.compile(r"\s (?:\s|\Z)")
-#: Chunks whose ids a worker keeps; beyond it the table starts anew.
-MEMO_ENTRIES = 300_000
+#: Chunks whose ids a worker keeps, twice; beyond it the older half is forgotten.
+MEMO_ENTRIES = 150_000
 #: White space as Unicode defines it; what regex calls \s also has four control characters.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -80,20 +82,22 @@ class Backtracker:
                 self.matcher.add_word(token.decode("latin-1"), (len(token), rank))
         self.matcher.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self._shorter: dict[int, int | None] = {}
-
-    def shorter(self, token: int) -> int | None:
-        """The longest entry that is a proper prefix of the token."""
-        if token not in self._shorter:
-            text = self.bytes_of[token]
-            found = None
-            for n in range(len(text) - 1, 0, -1):
-                rank = self.ranks.get(text[:n])
-                if rank is not None and rank not in self.whole_only:
-                    found = rank
-                    break
-            self._shorter[token] = found
-        return self._shorter[token]
+        self.shorter_of: dict[int, int] = {}
+        self.size_of = [0] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.size_of[rank] = len(token)
+
+    def shorter(self, token: int) -> int:
+        """The longest entry that is a proper prefix of the token, or -1."""
+        text = self.bytes_of[token]
+        found = -1
+        for n in range(len(text) - 1, 0, -1):
+            rank = self.ranks.get(text[:n])
+            if rank is not None and rank not in self.whole_only:
+                found = rank
+                break
+        self.shorter_of[token] = found
+        return found
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging by rank can leave left and right side by side."""
@@ -125,41 +129,54 @@ class Backtracker:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        longest: list[int] = [0] * n
-        reach = [0] * n
+        n, size_of, compatible = len(piece), self.size_of, self.compatible
+        longest = [0] * n
         for end, (size, rank) in self.matcher.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if size > reach[start]:
-                reach[start], longest[start] = size, rank
-        open_at = bytearray(b"\x01") * (n + 1)
+            longest[end - size + 1] = rank  # matches come by their ends, so what starts here and ends later is longer
+        closed: set[int] = set()
         out: list[int] = []
-        at, token = 0, longest[0] if n else None
+        last, at = -1, 0
+        token = longest[0] if n else 0
         while at < n:
-            size = len(self.bytes_of[token])
-            if open_at[at + size] and (not out or self.may_follow(out[-1], token)):
-                out.append(token)
-                at += size
-                token = longest[at] if at < n else None
-            elif (less := self.shorter(token)) is not None:
+            after = at + size_of[token]
+            if after not in closed:
+                fits = last < 0 or compatible.get((last, token))
+                if fits is None:
+                    fits = self.may_follow(last, token)
+                if fits:
+                    out.append(token)
+                    last, at = token, after
+                    token = longest[at] if at < n else 0
+                    continue
+            less = self.shorter_of.get(token, -2)
+            if less == -2:
+                less = self.shorter(token)
+            if less >= 0:
                 token = less
             else:
-                open_at[at] = 0
+                closed.add(at)
                 token = out.pop()
-                at -= len(self.bytes_of[token])
+                at -= size_of[token]
+                last = out[-1] if out else -1
                 # the token taken back is tried again: its end is closed now, so a shorter one follows
         return out
 
 
 class _Memo(dict):
+    """A bounded table: when it is full it becomes the older half, from which what is used again comes back."""
+
     def __init__(self, make, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.older = make, entries, {}
 
     def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        found = self[key] = self.make(key)
+        self[key] = found
         return found
 
 
@@ -172,9 +189,11 @@ class Codec:
 
         self.piece = Backtracker(ranks)
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")).findall
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian 32-bit integers")
         self.inner = _Memo(lambda chunk: self._split(" " + chunk))
         self.first = _Memo(self._split, 10_000)
-        self.pieces = _Memo(lambda x: np.array(self.piece.encode(x.encode("utf-8")), "<u4").tobytes())
+        self.pieces = _Memo(lambda x: array("I", self.piece.encode(x.encode("utf-8"))).tobytes(), 400_000)
         size = max(ranks.values(), default=-1) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
