@@ -113,27 +113,29 @@ def run_plans(plans: DataFrame, steps: DataFrame, registry) -> DataFrame:
     """Run each plan's steps in order, a step's input being the output of the one before; plans run in parallel.
 
     plans: plan_id, input (a string); steps: plan_id, step, tool_name, parameters (map). Returns plan_id, step, tool_name,
-    success, output, error for the executed steps. Tools come from a registry (see registry.py). A plan's steps are one
-    group in a Python task; nothing grows with the number of plans.
+    success, output, error for the executed steps. Tools come from a registry (see registry.py). Rows arrive by plan and
+    step and are run as they come, so neither a plan nor a partition is held in memory, and a plan costs no call of its own.
     """
-    both = plans.join(steps, "plan_id").select("plan_id", "input", "step", "tool_name", "parameters")
+    both = plans.join(steps, "plan_id").select("plan_id", "step", "tool_name", "parameters", "input")
     schema = "plan_id string, step long, tool_name string, success boolean, output string, error string"
 
-    def run(group):
+    def run(frames):
         import pandas as pd
 
-        rows = []
-        group = group.sort_values("step")
-        value = group["input"].iloc[0]
-        for r in group.itertuples(index=False):
-            ok, out, error = registry.call(r.tool_name, value, dict(r.parameters or {}))
-            rows.append((r.plan_id, r.step, r.tool_name, ok, out if ok else None, error))
-            if not ok:
-                break
-            value = out
-        return pd.DataFrame(rows, columns=["plan_id", "step", "tool_name", "success", "output", "error"])
-
-    return both.groupBy("plan_id").applyInPandas(run, schema)
+        plan, value, alive = None, None, False
+        for f in frames:
+            rows = []
+            for plan_id, step, tool_name, parameters, given in f.itertuples(index=False, name=None):
+                if plan_id != plan:
+                    plan, value, alive = plan_id, given, True
+                if not alive:
+                    continue
+                alive, out, error = registry.call(tool_name, value, dict(parameters or {}))
+                rows.append((plan_id, step, tool_name, alive, out if alive else None, error))
+                value = out
+            yield pd.DataFrame(rows, columns=["plan_id", "step", "tool_name", "success", "output", "error"])
+
+    return both.repartition("plan_id").sortWithinPartitions("plan_id", "step").mapInPandas(run, schema)
 
 
 def final_outputs(plans: DataFrame, results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,13 +86,18 @@ def converted(output: Column) -> Column:
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parsed(text: Column) -> Column:
     """A planner's JSON as a struct, null if it is not one or lacks a required field."""
-    got = F.from_json(text, PLAN_OUTPUT, {"mode": "PERMISSIVE"})
-    full = got["steps"].isNotNull()
-    for f in ("reasoning", "confidence", "input_types", "output_types", "estimated_time"):
-        full = full & got[f].isNotNull()
-    return F.when(full, got)
+    def full(got: Column) -> Column:
+        fields = ("steps", "reasoning", "confidence", "input_types", "output_types", "estimated_time")
+        return F.when(reduce(lambda a, b: a & b, [got[f].isNotNull() for f in fields]), got)
+
+    return once(F.from_json(text, PLAN_OUTPUT, {"mode": "PERMISSIVE"}), full)
 
 
 def plan_requests(requests: DataFrame, planner: Callable[[DataFrame], DataFrame] | None = None, rules: Sequence[IntentRule] = RULES) -> DataFrame:
@@ -105,16 +111,14 @@ def plan_requests(requests: DataFrame, planner: Callable[[DataFrame], DataFrame]
     out = planner(requests)
     if "error" not in out.columns:
         out = out.withColumn("error", F.lit(None).cast("string"))
-    both = requests.join(out.select("request_id", "output", "error"), "request_id", "left").withColumn("parsed", parsed(F.col("output")))
-    plan = (
-        F.when(F.col("error").isNotNull(), failure_plan(F.col("query"), F.col("error")))
-        .when(F.col("parsed").isNotNull(), converted(F.col("parsed")))
-        .otherwise(rule_plan(F.col("query"), rules))
-    )
+    both = requests.join(out.select("request_id", "output", "error"), "request_id", "left")
+    ruled = rule_plan(F.col("query"), rules)
+    given = once(parsed(F.col("output")), lambda p: F.when(p.isNotNull(), converted(p)).otherwise(ruled))
+    plan = F.when(F.col("error").isNotNull(), failure_plan(F.col("query"), F.col("error"))).otherwise(given)
     return both.select("request_id", "query", plan.alias("plan"))
 
 
-def plan_steps(plans: DataFrame, key: str = "request_id") -> DataFrame:
-    """One row for each step: key, step (from 1), and the step's fields."""
-    rows = plans.select(key, F.posexplode("plan.steps").alias("_i", "_s"))
-    return rows.select(key, (F.col("_i") + 1).cast("long").alias("step"), *[F.col(f"_s.{f.name}").alias(f.name) for f in STEP])
+def plan_steps(plans: DataFrame, key: str = "request_id", keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each step: key, step (from 1), the step's fields, and the plan's fields named in ``keep``."""
+    rows = plans.select(key, F.posexplode("plan.steps").alias("_i", "_s"), *[F.col(f"plan.{k}").alias(k) for k in keep])
+    return rows.select(key, (F.col("_i") + 1).cast("long").alias("step"), *[F.col(f"_s.{f.name}").alias(f.name) for f in STEP], *keep)

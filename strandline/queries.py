@@ -301,9 +301,8 @@ def plan_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
         return props.select("request_id", output.alias("output"), F.when(F.col("request_id") % 3 == 2, "down").alias("error"))
 
     plans = planner.plan_requests(props.select("request_id", "query"), given)
-    steps = planner.plan_steps(plans)
-    heads = plans.select("request_id", F.col("plan.confidence").alias("confidence"), F.col("plan.estimated_total_time").cast("long").alias("total"))
-    return steps.join(heads, "request_id").select("request_id", "step", "tool_name", "reasoning", F.col("estimated_time").cast("long").alias("estimated_time"), F.size("parameters").cast("long").alias("n_parameters"), "confidence", "total")
+    steps = planner.plan_steps(plans, keep=("confidence", "estimated_total_time"))
+    return steps.select("request_id", "step", "tool_name", "reasoning", F.col("estimated_time").cast("long").alias("estimated_time"), F.size("parameters").cast("long").alias("n_parameters"), "confidence", F.col("estimated_total_time").cast("long").alias("total"))
 
 
 PLAN_CONVERT = """
