@@ -1,8 +1,9 @@
 """Toxicity: a logistic classifier on words, regularised by counterfactual identity swaps.
 
 For each training text that names a group (an identity term), the same text with another term of that family must get
-nearly the same logit: the squared change is penalised. So a term that merely stands in many toxic texts earns no
-weight of its own, while words that are toxic whoever they are about keep theirs.
+nearly the same logit: the squared change, over all features that the swap changes, is penalised. So a term that merely stands in many toxic texts earns no
+weight of its own, while words that are toxic whoever they are about keep theirs. A neutral word is one of each family,
+so that a mention of a group scores like none, not just like that of another group.
 
 Only texts give a score. Fitting uses a bounded sample of labelled rows (``sample``, by hash order); of sampled rows
 that share their least shingle hash one stays, so copies do not outvote other texts. Features are the words and word
@@ -53,7 +54,7 @@ class Model:
 
 
 def fit_logistic(docs: list, labels, n_features: int, pairs, l2: float = 1.0, swap_penalty: float = 1.0, rounds: int = 30):
-    """(weights, bias) by Newton steps. docs: arrays of feature numbers; pairs: (from, to, times) swaps of one feature for another."""
+    """(weights, bias) by Newton steps. docs: arrays of feature numbers; pairs: (lost, gained, times) swaps of features for others."""
     import numpy as np
 
     y = np.asarray(labels, "f8")
@@ -64,11 +65,11 @@ def fit_logistic(docs: list, labels, n_features: int, pairs, l2: float = 1.0, sw
     ridge = np.full(n_features + 1, l2)
     ridge[-1] = 1e-6
     fixed = np.diag(ridge)
-    for a, b, times in pairs:
-        fixed[a, a] += swap_penalty * times
-        fixed[b, b] += swap_penalty * times
-        fixed[a, b] -= swap_penalty * times
-        fixed[b, a] -= swap_penalty * times
+    for lost, gained, times in pairs:  # the squared change of the logit, (sum of lost - sum of gained)^2
+        change = np.zeros(n_features + 1)
+        change[lost], change[gained] = 1.0, -1.0
+        own = np.flatnonzero(change)
+        fixed[np.ix_(own, own)] += swap_penalty * times * np.outer(change[own], change[own])
     w = np.zeros(n_features + 1)
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
 
@@ -95,6 +96,12 @@ def fit_logistic(docs: list, labels, n_features: int, pairs, l2: float = 1.0, sw
     return w[:-1], float(w[-1])
 
 
+def _features_of(hashed: tuple) -> list:
+    """The word and the word beginnings of one hashed word; what word_hashes() gives as 0 is no beginning."""
+    word, _, *stems = hashed
+    return [word, *(s for s in stems if len(s) and s[0] != 0)]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -161,7 +168,8 @@ def train(
     from strandline.llm.textvec import word_hashes
 
     terms = [t for family in families for t in family]
-    hash_of = {t: int(word_hashes([t])[0].view("i8")[0]) for t in terms}
+    forms = {t: [int(x.view("i8")[0]) for x in _features_of(word_hashes([t], STEMS))] for t in terms}  # the word, and its beginnings
+    hash_of = {t: forms[t][0] for t in terms}
     vocabulary = np.array(sorted({*chosen, *hash_of.values()}), "i8")
 
     def numbers(batches):
@@ -175,10 +183,13 @@ def train(
     df = np.bincount(np.concatenate([*data, np.zeros(0, "i4")]), minlength=len(vocabulary))
     pairs = []
     for family in families:
-        own = [number[hash_of[t]] for t in family]
-        pairs += [(a, b, float(df[a]) / (len(own) - 1)) for a in own for b in own if a != b and df[a]]
+        own = {t: {number[h] for h in forms[t] if h in number} for t in family}
+        for a in family:
+            times = float(df[number[hash_of[a]]]) / len(family)
+            others = [own[b] for b in family if b != a] + [set()]  # the last is a neutral word: else all might share a weight
+            pairs += [(sorted(own[a] - b), sorted(b - own[a]), times) for b in others if times]
     w, bias = fit_logistic(data, y, len(vocabulary), pairs, l2, swap_penalty)
-    gap = float(np.average([abs(w[a] - w[b]) for a, b, _ in pairs], weights=[t for *_, t in pairs])) if pairs else 0.0
+    gap = float(np.average([abs(w[a].sum() - w[b].sum()) for a, b, _ in pairs], weights=[t for *_, t in pairs])) if pairs else 0.0
     return Model(tuple(int(h) for h in vocabulary), tuple(float(v) for v in w), bias, gap)
 
 
