@@ -48,7 +48,7 @@ def read_details(spark: SparkSession, path: str) -> DataFrame:
     """A folder {app}/{version}/metadata.json or {app}.json read in parallel: (app_name, body)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
     name = F.when(F.element_at(F.split("path", "/"), -1) == "metadata.json", F.element_at(F.split("path", "/"), -3)).otherwise(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", ""))
-    return files.select(name.alias("app_name"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    return files.select(name.alias("app_name"), F.decode("content", "UTF-8").alias("body"))
 
 
 def parse_details(bodies: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from strandline.functions.text import sse_frame
 def read_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, body) of whole files, in parallel."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("body"))
+    return files.select("path", F.decode("content", "UTF-8").alias("body"))
 
 
 def path_or_text(spark: SparkSession, value: str) -> str:

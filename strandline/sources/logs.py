@@ -12,7 +12,7 @@ SPLIT = r"\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} - )"
 
 def parse_log(files: DataFrame, text: str = "value") -> DataFrame:
     """(ord, log_ts, level, session_id, log_type, body) of whole log files; records that are no events have a null type."""
-    rows = files.select(F.posexplode(F.split(F.rtrim(text, F.lit("\n")), SPLIT)).alias("ord", "r"))
+    rows = files.select(F.posexplode(F.split(F.rtrim(text, F.lit("\n")), SPLIT)).alias("ord", "r")).filter("r <> ''")
 
     def part(i: int) -> Column:
         return F.nullif(F.regexp_extract("r", HEADER, i), F.lit(""))
@@ -43,4 +43,4 @@ def append_log(events: DataFrame, path: str) -> None:
 
 def follow(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the files that appear in a log folder, one row per file; parse_log() takes it."""
-    return spark.readStream.option("wholetext", "true").text(folder)
+    return spark.readStream.text(folder, wholetext=True)

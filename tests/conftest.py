@@ -15,7 +15,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYT
 def spark():
     from strandline.session import local_session
 
-    return local_session(4, 4, "strandline-tests")
+    return local_session(int(os.environ.get("TEST_CPUS", 4)), 4, "strandline-tests")
 
 
 @pytest.fixture(scope="session")
