@@ -108,16 +108,20 @@ def _neighbours(text: Column, span: Column) -> tuple[Column, Column]:
     return left, right
 
 
-def _found(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with entities: h1, h2, base (the spans with their values and what stands beside them)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
-
+def _wide(text: Column, base: Column) -> Column:
+    """Spans with their values and what stands beside them."""
     def wide(s: Column) -> Column:
-        left, right = _neighbours(F.col("text"), s)
+        left, right = _neighbours(text, s)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), left.alias("left"), right.alias("right"))
 
-    return rows.select(*_text_keys(F.col("text")), F.transform("base", wide).alias("base"))
+    return F.transform(base, wide)
+
+
+def _scanned(docs: DataFrame, text_col: str, *others: Column) -> DataFrame:
+    """h1, h2, base (wide spans) for each row of docs, with other columns; the only pass that applies the patterns."""
+    rows = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("scanned_text"))
+    rows = rows.withColumn("base", base_spans(F.col("scanned_text")))
+    return rows.select(*[c for c in rows.columns if c not in ("scanned_text", "base")], *_text_keys(F.col("scanned_text")), _wide(F.col("scanned_text"), F.col("base")).alias("base"))
 
 
 def _text_keys(text: Column) -> tuple[Column, Column]:
@@ -157,9 +161,8 @@ def _term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
     return hit.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
 
-def _with_terms(docs: DataFrame, text_col: str) -> DataFrame:
-    """(h1, h2, terms) of the texts that hold disclosed terms."""
-    found = materialize(_found(docs, text_col), "pii-found")
+def _terms(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """(h1, h2, terms) of the texts that hold disclosed terms; found: the scanned rows with entities."""
     return materialize(_term_spans(found, _disclosed(docs, found, text_col)), "pii-terms")
 
 
@@ -171,10 +174,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null texts count as empty and have no spans. Repeated rows count as often as they stand; null ids stay null; an
     empty table gives an empty result; other columns play no part.
     """
-    terms = _with_terms(docs, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), *_text_keys(text), base_spans(text).alias("base"))
-    rows = materialize(rows.withColumn("base", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))), "pii-rows")
+    rows = materialize(_scanned(docs, text_col, F.col(id_col).alias("id")), "pii-rows")
+    terms = _terms(docs, rows.filter(F.size("base") > 0), text_col)
+    rows = rows.withColumn("base", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
     clean = rows.filter(F.size("base") == 0).select("id", "base", none.alias("terms"))
     hit = rows.filter(F.size("base") > 0).join(terms, ["h1", "h2"], "left")
@@ -199,7 +201,8 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans are replaced as one, by the first one's placeholder. Texts without spans, null texts among them,
     stay as they are, and so do all other columns.
     """
-    terms = _with_terms(docs, text_col)
+    entities = materialize(_scanned(docs, text_col).filter(F.size("base") > 0), "pii-found")
+    terms = _terms(docs, entities, text_col)
     h1, h2, base, found = fresh(docs, "h1", "h2", "base", "terms")
     text = F.coalesce(F.col(text_col), F.lit(""))
     hint = F.lit(False)
