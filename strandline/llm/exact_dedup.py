@@ -47,12 +47,12 @@ def split_directory(counts: dict[int, int], max_depth: int, capacity: int) -> li
     return done
 
 
-def build_index(rows: DataFrame, max_depth: int = 12, capacity: int = 65_536) -> tuple[DataFrame, DataFrame]:
-    """(directory, entries) for rows of (id, key, norm). The directory has at most 2^max_depth rows, so it may be broadcast."""
+def build_index(rows: DataFrame, keys: DataFrame, max_depth: int = 12, capacity: int = 65_536) -> tuple[DataFrame, DataFrame]:
+    """(directory, entries) for rows of (id, key, norm) and a table of their keys. The directory has at most 2^max_depth rows, so it may be broadcast."""
     spark = rows.sparkSession
     slot = F.shiftrightunsigned("key", 64 - max_depth).cast("int") if max_depth else F.lit(0)
-    keys = rows.select("key").distinct().groupBy(slot.alias("slot")).count()
-    counts = {r["slot"]: r["count"] for r in keys.collect()}  # at most 2^max_depth rows
+    per_slot = keys.select("key").distinct().groupBy(slot.alias("slot")).count()
+    counts = {r["slot"]: r["count"] for r in per_slot.collect()}  # at most 2^max_depth rows
     buckets = [(s, first, depth) for first, width, depth in split_directory(counts, max_depth, capacity) for s in range(first, first + width)]
     directory = spark.createDataFrame(buckets, "slot int, bucket int, depth int")
     owned = rows.withColumn("slot", slot).join(F.broadcast(directory), "slot")
@@ -74,7 +74,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64("norm")
     rows = rows.withColumn("key", key if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits))
     keys = materialize(rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("copies")), "dedup-keys")
-    _, index = build_index(rows, max_depth, capacity)
+    _, index = build_index(rows, keys, max_depth, capacity)
 
     total = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     chained = index.groupBy("key").count().filter("count > 1").select("key")
