@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from strandline.functions.jsonx import is_error
 from strandline.operators.lookups import lookup
 from strandline.operators.sequences import ordered, until_first_failure
+from strandline.session import workers_import
 
 PROGRESS = "plan_id string, seq long, current_step long, total_steps long, step_name string, status string, percentage double"
 
@@ -116,6 +117,7 @@ def run_plans(plans: DataFrame, steps: DataFrame, registry) -> DataFrame:
     success, output, error for the executed steps. Tools come from a registry (see registry.py). Rows arrive by plan and
     step and are run as they come, so neither a plan nor a partition is held in memory, and a plan costs no call of its own.
     """
+    workers_import(plans.sparkSession)
     both = plans.join(steps, "plan_id").select("plan_id", "step", "tool_name", "parameters", "input")
     schema = "plan_id string, step long, tool_name string, success boolean, output string, error string"
 

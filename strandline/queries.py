@@ -211,9 +211,13 @@ FROM e LEFT JOIN {PART_RULES_SQL} ON r.o = lower(st) AND r.i = lower(tt) WHERE s
 
 
 def _plans(spark: SparkSession, sf_dir: str, most_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plans, results, tools): the tool lookup comes before the numbering, so lines are dealt by order only once more."""
     plans = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"))
-    steps = _steps(spark, sf_dir).select(F.col("l_orderkey").alias("plan_id"), "step", F.col("l_partkey").alias("tool_name"), (F.col("l_returnflag") != "R").alias("success"))
-    return plans, steps, read(spark, sf_dir, "part").filter(F.col("p_size") <= most_size).select(F.col("p_partkey").alias("tool_name"))
+    tools = read(spark, sf_dir, "part").filter(F.col("p_size") <= most_size).select(F.col("p_partkey").alias("tool_name"))
+    lines = read(spark, sf_dir, "lineitem").withColumn("tool_name", F.col("l_partkey")).withColumn("success", F.col("l_returnflag") != "R")
+    looked_up = execution.step_results(lines, tools)
+    steps = sequences.with_ordinal(looked_up, ["l_orderkey"], LINE_ORDER, "step")
+    return plans, steps.select(F.col("l_orderkey").alias("plan_id"), "step", "tool_name", "success", "error"), tools
 
 
 def validate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,8 +233,8 @@ UNION ALL SELECT o_orderkey, 0, 'Pipeline has no steps' FROM orders WHERE o_orde
 
 
 def plan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans, steps, tools = _plans(spark, sf_dir, 45)
-    return execution.progress(plans, execution.step_results(steps, tools))
+    plans, steps, _ = _plans(spark, sf_dir, 45)
+    return execution.progress(plans, steps)
 
 
 RESULTS_SQL = f"""{STEPS_SQL},
@@ -248,8 +252,8 @@ UNION ALL SELECT o_orderkey, coalesce(seq, 1), coalesce(n, 0), coalesce(n, 0), '
 
 
 def plan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans, steps, tools = _plans(spark, sf_dir, 45)
-    outcomes = execution.plan_outcomes(plans, execution.step_results(steps, tools).withColumn("tool_name", F.col("tool_name").cast("string")))
+    plans, steps, _ = _plans(spark, sf_dir, 45)
+    outcomes = execution.plan_outcomes(plans, steps.withColumn("tool_name", F.col("tool_name").cast("string")))
     heads = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"), "o_orderstatus", "o_totalprice")
     status = execution.request_status(F.col("o_orderstatus") != "P", F.col("o_totalprice") > 1000.0, F.when(F.col("o_orderstatus") == "O", 0).otherwise(F.when(F.col("n_run") == 0, 1).otherwise(0)), F.when(F.col("success"), "completed").otherwise("failed"), F.lit(None).cast("string"))
     return outcomes.join(heads, "plan_id").select("plan_id", "success", "failed_steps", "n_run", status.alias("status"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +24,11 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers that share this file system import the library from where the driver did."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)

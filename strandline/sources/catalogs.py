@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.schemas import CATALOG, DETAIL, INDEX_ENTRY, L, struct
+from strandline.session import workers_import
 
 
 def index_rows(index: dict) -> list[tuple]:
@@ -70,6 +71,7 @@ def parse_details(bodies: DataFrame) -> DataFrame:
             parameter = pa.struct([(c, pa.string()) for c in ("name", "description", "type", "default")])
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("app_name", pa.string()), ("input", pa.list_(pa.list_(kind))), ("output", pa.list_(kind)), ("parameters", pa.list_(parameter))]))
 
+    workers_import(bodies.sparkSession)
     return bodies.select("app_name", "body").mapInArrow(parse, DETAIL)
 
 

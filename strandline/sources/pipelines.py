@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions.names import pipeline_title
 from strandline.plans.graph import from_struct, to_struct
 from strandline.schemas import PIPELINE
+from strandline.session import workers_import
 
 try:
     import yaml
@@ -74,6 +75,7 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
             as_dicts = [(n, [dict(zip(("id", "tool_id", "data", "x", "y"), x, strict=True)) for x in nodes], [dict(zip(("id", "source", "target"), x, strict=True)) for x in edges]) for n, nodes, edges in rows]
             yield pd.DataFrame(as_dicts, columns=["name", "nodes", "edges"])
 
+    workers_import(spark)
     return spark.read.option("pathGlobFilter", "*.yaml").text(folder, wholetext=True).mapInPandas(parse, PIPELINE)
 
 
