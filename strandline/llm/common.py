@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.session import workers_import
+
+__all__ = ["ascii_lower", "fresh", "materialize", "release", "scratch_path", "shared_dir", "table", "workers_import"]
+
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _KEPT: list[tuple[SparkSession, str]] = []
@@ -68,14 +70,6 @@ def _release_all() -> None:
 atexit.register(_release_all)
 
 
-def workers_import(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the library from where the driver did."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
