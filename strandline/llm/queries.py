@@ -56,6 +56,42 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op4_sql() -> str:
+    """The patterns in their plain form, then the term test step by step."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+    found = " UNION ALL ".join(f"SELECT rid, {i} AS kind, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d" for i, p in enumerate(plain.values()))
+    word = r"[\p{L}\p{N}]+"
+    names = "['email', 'ip', 'card', 'phone', 'term']"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+u AS (SELECT rid, kind, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM f),
+p AS (SELECT rid, kind, v, sum(length(gap) + length(v)) OVER (PARTITION BY rid, kind ORDER BY i) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM u),
+b AS (SELECT rid, kind, v, CAST(e - length(v) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM p WHERE CASE kind
+  WHEN 0 THEN true
+  WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || left(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0
+  WHEN 2 THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INTEGER) WHEN CAST(digits[i] AS INTEGER) > 4 THEN 2 * CAST(digits[i] AS INTEGER) - 9 ELSE 2 * CAST(digits[i] AS INTEGER) END)) % 10 = 0
+  ELSE length(digits) BETWEEN 9 AND 15 END),
+w0 AS (SELECT b.*, lower(v) AS c, split_part(substr(t, greatest(s - {pii.WINDOW}, 0) + 1, least(s, {pii.WINDOW})), chr(10), -1) AS l, split_part(substr(t, e + 1, {pii.WINDOW}), chr(10), 1) AS r FROM b JOIN d USING (rid)),
+w AS (SELECT rid, kind, c, s, e, CASE WHEN length(l) = {pii.WINDOW} AND s > {pii.WINDOW} THEN regexp_replace(l, '^{word}', '') ELSE l END AS l, CASE WHEN length(r) = {pii.WINDOW} THEN regexp_replace(r, '{word}$', '') ELSE r END AS r FROM w0),
+near AS (SELECT kind, c, l, r, list_distinct(list_filter(list_concat(regexp_extract_all(lower(l), '{word}'), regexp_extract_all(lower(r), '{word}')), lambda x: length(x) >= {pii.LEAST_LETTERS})) AS terms FROM w),
+nc AS (SELECT kind, c, count(*) AS n_c FROM near GROUP BY kind, c),
+nct AS (SELECT kind, c, term, count(*) AS n_ct FROM (SELECT kind, c, l, r, unnest(terms) AS term FROM near) GROUP BY kind, c, term HAVING count(DISTINCT [l, r]) >= {pii.SUPPORT}),
+lines AS (SELECT unnest(string_split(t, chr(10))) AS line FROM d),
+total AS (SELECT count(*) AS n FROM lines),
+nt AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(line), '{word}'))) AS term FROM lines) WHERE term IN (SELECT term FROM nct) GROUP BY term),
+told AS (SELECT kind, c, term FROM nct JOIN nc USING (kind, c) JOIN nt USING (term), total WHERE CAST(n_ct AS DOUBLE) * n_ct * n >= CAST(n_c AS DOUBLE) * n_t * n_t),
+sides AS (SELECT rid, kind, c, s - length(l) AS base, l AS side FROM w UNION ALL SELECT rid, kind, c, e, r FROM w),
+tw AS (SELECT rid, kind, c, base, side, unnest(regexp_extract_all(side, '{word}')) AS x, unnest(regexp_split_to_array(side, '{word}')[1:len(regexp_extract_all(side, '{word}'))]) AS gap, generate_subscripts(regexp_extract_all(side, '{word}'), 1) AS i FROM sides),
+tp AS (SELECT DISTINCT rid, kind, c, lower(x) AS term, CAST(base + z AS BIGINT) AS e, CAST(base + z - length(x) AS BIGINT) AS s FROM (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY rid, kind, c, base, side ORDER BY i) AS z FROM (SELECT DISTINCT * FROM tw))),
+ts AS (SELECT DISTINCT rid, s, e FROM tp JOIN told USING (kind, c, term) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = tp.rid AND b.s < tp.e AND tp.s < b.e)),
+spans AS (SELECT rid, kind, s, e FROM b UNION ALL SELECT rid, 4, s, e FROM ts),
+told_of AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3, count(*) FILTER (kind = 4) AS n4,
+  string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) FILTER (kind < 4) AS base, string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) AS every FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(n4, 0) AS n_term, coalesce(every, '') AS spans
+FROM d LEFT JOIN told_of USING (rid)"""
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -92,6 +128,19 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g FROM w),
+x AS (SELECT DISTINCT doc_id, unnest(g) AS s FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM x a JOIN x b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE same >= 0.8::DOUBLE * (na.n + nb.n - same) - 1e-9::DOUBLE),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a AS doc_id, min(b) AS low, count(*) AS size FROM r GROUP BY a),
+m AS (SELECT a AS doc_id, count(*) AS links FROM l GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(links, 0) AS n_links, coalesce(size, 1) AS class_size FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -128,4 +177,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1_SQL, "op2_license_scan": op2_sql(), "op6_exact_dedup": OP6_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_pivot_topk": OP1_SQL, "op2_license_scan": op2_sql(), "op4_pii": op4_sql(), "op6_exact_dedup": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL}
