@@ -52,6 +52,49 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_sql() -> str:
+    """Split, rules and generalised segments, then one set of steps for each level of the tree."""
+    o = url_filter.TreeOptions()
+    m, z = f"{o.smoothing!r}::DOUBLE", f"{o.z!r}::DOUBLE"
+
+    def fits(rule: str) -> str:
+        name, slash, tail = rule.partition("/")
+        return f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{tail}')"
+
+    longest = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest) + " END"
+    stem, end = "regexp_extract(s, '^(.*?)(\\.[A-Za-z]{1,5})?$', 1)", "regexp_extract(s, '(\\.[A-Za-z]{1,5})?$')"
+    kind = f"""CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' || {end} WHEN regexp_matches({stem}, '^[0-9a-fA-F]{{8,}}$') OR regexp_matches({stem}, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$') THEN '{{hex}}' || {end}
+    WHEN regexp_matches({stem}, '[0-9]') THEN '{{x}}' || {end} ELSE s END"""
+    steps = [
+        "p0 AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"p1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0)",
+        f"p2 AS (SELECT *, {rule} AS rule, {ruled} AS ruled, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM p1)",
+        f"p3 AS (SELECT *, list_concat(list_transform(parts[1:{o.depth}], lambda s: {kind}), CASE WHEN len(parts) > {o.depth} THEN ['{{+' || (len(parts) - {o.depth}) || '}}'] ELSE [] END) AS segs FROM p2)",
+        "counts AS (SELECT host, segs, count(*) AS n, count(ruled) AS l, count(*) FILTER (ruled = 'block') AS b FROM p3 GROUP BY host, segs)",
+        "root AS (SELECT (sum(b) + 1.0::DOUBLE) / (sum(l) + 2.0::DOUBLE) AS r FROM counts)",
+        f"hosts AS (SELECT host, (sum(b) + {m} * any_value(r)) / (sum(l) + {m}) AS share FROM counts, root GROUP BY host)",
+        "at0 AS (SELECT host, segs, n, l, b, share, '' AS node FROM counts JOIN hosts USING (host))",
+    ]
+    by = "(PARTITION BY host, node, l > 0 ORDER BY CASE WHEN l > 0 THEN CAST(b AS DOUBLE) / l END, branch"
+    pooled = "((b + lag(b) OVER w + 1.0::DOUBLE) / (l + lag(l) OVER w + 2.0::DOUBLE))"
+    for k in range(o.depth + 1):
+        steps += [
+            f"ch{k} AS (SELECT host, node, segs[{k + 1}] AS seg, CAST(sum(n) AS BIGINT) AS n, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, max(share) AS parent FROM at{k} WHERE len(segs) > {k} GROUP BY 1, 2, 3)",
+            f"nm{k} AS (SELECT *, CASE WHEN NOT starts_with(seg, '{{') AND n * {o.max_children} < sum(n) OVER (PARTITION BY host, node) THEN '*' ELSE seg END AS branch FROM ch{k})",
+            f"br{k} AS (SELECT host, node, branch, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, max(parent) AS parent FROM nm{k} GROUP BY 1, 2, 3)",
+            f"ap{k} AS (SELECT *, CASE WHEN l = 0 OR lag(l) OVER w IS NULL THEN 1 WHEN abs(CAST(b AS DOUBLE) / l - CAST(lag(b) OVER w AS DOUBLE) / lag(l) OVER w) > {z} * sqrt({pooled} * (1.0::DOUBLE - {pooled}) * (1.0::DOUBLE / l + 1.0::DOUBLE / lag(l) OVER w)) THEN 1 ELSE 0 END AS apart FROM br{k} WINDOW w AS {by}))",
+            f"rn{k} AS (SELECT *, sum(apart) OVER {by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ap{k})",
+            f"mg{k} AS (SELECT host, node, l > 0 AS known, run, string_agg(branch, '|' ORDER BY branch) AS name, (sum(b) + {m} * max(parent)) / (sum(l) + {m}) AS share FROM rn{k} GROUP BY 1, 2, 3, 4)",
+            f"st{k} AS (SELECT nm{k}.host, nm{k}.node, nm{k}.seg, g.name, g.share FROM nm{k} JOIN rn{k} r USING (host, node, branch) JOIN mg{k} g ON g.host = r.host AND g.node = r.node AND g.known = (r.l > 0) AND g.run = r.run)",
+            f"at{k + 1} AS (SELECT a.host, a.segs, a.n, a.l, a.b, s.share, a.node || '/' || s.name AS node FROM at{k} a JOIN st{k} s ON s.host = a.host AND s.node = a.node AND s.seg = a.segs[{k + 1}] WHERE len(a.segs) > {k} UNION ALL SELECT host, segs, n, l, b, share, node FROM at{k} WHERE len(segs) <= {k})",
+        ]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN share > {o.worst!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN node = '' THEN '/' ELSE node END AS template, share AS blocked_share
+FROM p3 JOIN at{o.depth + 1} USING (host, segs)"""
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -177,4 +220,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1_SQL, "op2_license_scan": op2_sql(), "op4_pii": op4_sql(), "op6_exact_dedup": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_pivot_topk": OP1_SQL, "op2_license_scan": op2_sql(), "op3_url_filter": op3_sql(), "op4_pii": op4_sql(), "op6_exact_dedup": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL}
