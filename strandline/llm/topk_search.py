@@ -54,29 +54,34 @@ def search_block(queries, query_ids, query_far, floors, vectors, ids, far, k: in
     if not len(vectors) or not len(queries):
         return out_q, out_c, out_s
     order = np.lexsort((ids, far[:, 0] if far.shape[1] else ids))
+    vectors, far, ids = vectors[order], far[order], ids[order]  # a cell is a slice from here on
     norms = (vectors**2).sum(1)
     q_norms = (queries**2).sum(1)
     cell = 512
-    starts = range(0, len(order), cell)
-    low = np.stack([far[order[s : s + cell]].min(0) for s in starts])
-    high = np.stack([far[order[s : s + cell]].max(0) for s in starts])
-    top = np.array([norms[order[s : s + cell]].max() for s in starts])
+    starts = np.arange(0, len(order), cell)
+    low, high = np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts)
+    top = np.maximum.reduceat(norms, starts)
+    # bounds of single candidates are made in single precision; the slack below is far above what that can be off
+    by_pivot, q_by_pivot = np.ascontiguousarray(far.T, "f4"), query_far.astype("f4")
+    farthest = max(far.max(initial=0.0), query_far.max(initial=0.0))
     for i, q in enumerate(queries):
-        slack = 1e-6 * (q_norms[i] + top.max()) + 1.0
+        slack = 1e-6 * (q_norms[i] + top.max()) + 2e-6 * farthest**2 + 1.0
         gap = np.maximum(np.maximum(low - query_far[i], query_far[i] - high), 0).max(1, initial=0.0)
         cell_bound = (q_norms[i] + top - gap**2) / 2 + slack
         reach = floors[i]
         live = np.flatnonzero(cell_bound >= reach)
         if not len(live):
             continue
-        rows = np.concatenate([order[c * cell : (c + 1) * cell] for c in live])
-        lower = np.abs(far[rows] - query_far[i]).max(1, initial=0.0)
+        rows = slice(None) if len(live) == len(starts) else np.concatenate([np.arange(s, min(s + cell, len(order))) for s in starts[live]])
+        lower = np.abs(by_pivot[:, rows] - q_by_pivot[i][:, None]).max(0, initial=0.0).astype("f8")
         bound = (q_norms[i] + norms[rows] - lower**2) / 2 + slack
-        by_bound = np.argsort(-bound, kind="stable")
+        worth = np.flatnonzero(bound >= reach)
+        by_bound = worth[np.argsort(-bound[worth], kind="stable")]
+        place = by_bound if isinstance(rows, slice) else rows[by_bound]
         best: dict[int, tuple[float, int]] = {}
         step, at = 256, 0
-        while at < len(rows) and bound[by_bound[at]] >= reach:
-            part = rows[by_bound[at : at + step]]
+        while at < len(place) and bound[by_bound[at]] >= reach:
+            part = place[at : at + step]
             scores = vectors[part] @ q
             good = np.flatnonzero(scores >= reach)
             for p, s in zip(part[good], scores[good], strict=True):
@@ -84,14 +89,13 @@ def search_block(queries, query_ids, query_far, floors, vectors, ids, far, k: in
                 if name != query_ids[i] and (name not in best or best[name][0] < s):
                     best[name] = (float(s), int(p))
             if len(best) > k:
-                kept = sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:k]
-                best = dict(kept)
+                best = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:k])
             if len(best) >= k:
                 reach = max(reach, min(v[0] for v in best.values()))
-            at += step
+            at, step = at + step, step * 4  # what is left by now is seldom stopped early
         for s, p in best.values():
             out_q.append(i)
-            out_c.append(p)
+            out_c.append(int(order[p]))
             out_s.append(s)
     return out_q, out_c, out_s
 
