@@ -666,8 +666,11 @@ def pipeline_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = read(spark, sf_dir, "nation").select(F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("pipeline"), F.col("n_name").alias("tool_id"), F.lit("{}").alias("data"), "n_nationkey")
     nodes = graph.add_nodes(e, ["pipeline"], ["n_nationkey"])
-    _, back, _ = pipelines.round_trip(spark, nodes.select("pipeline").distinct(), nodes, spark.createDataFrame([], "pipeline string, ord long, id string, source string, target string"), tempfile.mkdtemp(prefix="strandline-yaml-"))
-    return spark.createDataFrame([tuple(r) for r in back.select("pipeline", "ord", "id", "y").collect()], "pipeline string, ord long, id string, y double")  # 25 nations
+    edges = spark.createDataFrame([], "pipeline string, ord long, id string, source string, target string")
+    with tempfile.TemporaryDirectory(prefix="strandline-yaml-") as folder:
+        _, back, _ = pipelines.round_trip(spark, nodes.select("pipeline").distinct(), nodes, edges, folder)
+        rows = [tuple(r) for r in back.select("pipeline", "ord", "id", "y").collect()]  # 25 nations
+    return spark.createDataFrame(rows, "pipeline string, ord long, id string, y double")
 
 
 PIPELINE_YAML = """
