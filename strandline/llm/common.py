@@ -5,17 +5,19 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.session import workers_import
 
-__all__ = ["ascii_lower", "fresh", "materialize", "release", "scratch_path", "shared_dir", "table", "workers_import"]
+__all__ = ["ascii_lower", "fresh", "labelled", "materialize", "release", "scratch_path", "shared_dir", "table", "workers_import"]
 
 _OWN_DIR: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
-_KEPT: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
+_LABELS = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["own"]
 
 
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the shared folder. release() deletes it, if it is to be kept only when it is named."""
+@contextmanager
+def labelled(label: str) -> Iterator[None]:
+    """Scratch tables written meanwhile carry this label, by which release() can tell them from others."""
+    _LABELS.append(label)
+    try:
+        yield
+    finally:
+        _LABELS.pop()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release() deletes."""
     path = f"{shared_dir(spark).rstrip('/')}/strandline-scratch/{name}-{uuid.uuid4().hex}"
-    (_KEPT if keep else _WRITTEN).append((spark, path))
+    _WRITTEN.append((spark, path, _LABELS[-1]))
     return path
 
 
@@ -50,24 +62,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def release(path: str | None = None) -> None:
-    """Delete a kept scratch table, or all others written so far. Call it only when what was built on them has been written."""
-    if path is not None:
-        for item in [x for x in _KEPT if x[1] == path]:
-            _KEPT.remove(item)
-            _delete(*item)
-        return
-    while _WRITTEN:
-        _delete(*_WRITTEN.pop())
-
-
-def _release_all() -> None:
-    release()
-    for _, path in list(_KEPT):
-        release(path)
+def release(label: str | None = None) -> None:
+    """Delete the scratch tables with a label, or all. Call it only when what was built on them has been written."""
+    for item in [x for x in _WRITTEN if label in (None, x[2])]:
+        _WRITTEN.remove(item)
+        _delete(*item[:2])
 
 
-atexit.register(_release_all)
+atexit.register(release)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -195,11 +195,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with every span of a pattern replaced by its kind's placeholder, disclosed terms by <TERM>, and terms that occur nowhere else removed.
 
     Overlapping spans are replaced as one, by the first one's placeholder. Texts without spans, null texts among them,
-    stay as they are, and so do all other columns.
+    stay as they are, and so do all other columns, but for length_col, which follows a text that changes.
     """
     entities = materialize(_scanned(docs, text_col).filter(F.size("base") > 0), "pii-found")
     terms = _terms(docs, entities, text_col)
@@ -224,4 +224,6 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"].cast("int") + 1)))
     rows = rows.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(F.col(text_col)))
+    if length_col:
+        rows = rows.withColumn(length_col, F.when(F.size(spans) > 0, F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return docs.filter(~hint).unionByName(rows.select(*docs.columns))

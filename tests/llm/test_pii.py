@@ -143,6 +143,11 @@ def test_sanitise_against_plain(spark):
         assert got[i] == out + text[at:]
 
 
+def test_length_follows_changed_texts_only(spark):
+    docs = spark.createDataFrame([(1, "a@b.cd!", 99), (2, "clean", 99), (3, None, None)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.n_chars for r in pii.sanitise(docs, length_col="n_chars").collect()} == {1: len("<EMAIL>!"), 2: 99, 3: None}
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, h1 string, base string"
     rows = [(None, None, "x", "y"), (1, "a@b.cd", None, None), (1, "a@b.cd", None, None), (2, "", "x", "y")]
