@@ -90,7 +90,7 @@ def _sign(rows: DataFrame, trees: int, depth: int, k: int, prefix: int) -> DataF
                             made = mixed(made * np.uint64(0x9FB21C651E98DF25) + sig[:, t * depth + p])
                         key[:, t] = made
                     nodes += [prints[i].tobytes() if some[i] else None for i in range(b - a)]
-                    counts += n.tolist()
+                    counts += [len(np.unique(h[x:y])) for x, y in zip(at[:-1], at[1:], strict=True)]  # distinct, as in the similarity
                     sizes += [len(t) for t in texts[a:b]]
                     sigs += [sig[i].tobytes() if some[i] else None for i in range(b - a)]
                     keys += [row if ok else None for row, ok in zip(key.view("i8"), some, strict=True)]

@@ -61,6 +61,20 @@ def test_against_brute_force(spark, options):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("options", [{"block_rows": 3}, {"block_bytes": 2000}])
+def test_text_and_its_doubling_in_a_large_group(spark, options):
+    """A text written twice has nearly the same set of shingles at twice their number."""
+    rnd = random.Random(8)
+    words = [f"d{i}" for i in range(200)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + words)), (2, " ".join(words * 4))]
+    for i in range(3, 12):
+        other = list(words)
+        other[rnd.randrange(200)] = f"e{i}"
+        rows.append((i, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jj.jaccard_join(df, **options).collect()), key=repr) == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, th string")
     assert jj.jaccard_join(df).count() == 0
