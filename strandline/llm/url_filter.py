@@ -1,8 +1,8 @@
 """URL filters: explicit rules first, then a path-template tree per host learned from labelled urls.
 
 1. A path is cut into segments; segments that vary by form (numbers, hashes, mixed) become wildcards of their kind.
-2. Level by level, a literal segment of a parent stays only if it has at least 1/max_children of the parent's urls; the
-   others of that parent become one wildcard. So a node has a bounded number of children whatever the host's size.
+2. Level by level, literal segments of a parent with labelled urls stay apart, however rare. Those without any label
+   become one wildcard where each has less than 1/max_children of the parent's urls; all of them inherit its share.
 3. Labelled sibling branches whose shares of blocked urls do not differ significantly are merged into one branch.
 4. Each node's share of blocked urls is smoothed towards its parent's, the host's and the whole table's. A url whose
    deepest node is blocked by more than the allowed share is rejected.
@@ -95,20 +95,26 @@ def learn_templates(counts: DataFrame, options: TreeOptions = TreeOptions()) ->
         children = materialize(children, f"url-children-{level}")
         parents = children.groupBy("host", "node").agg(F.sum("n").alias("of"))
         literal = ~F.startswith(F.col("seg"), F.lit("{"))
-        named = children.join(parents, ["host", "node"]).withColumn("branch", F.when(literal & (F.col("n") * options.max_children < F.col("of")), F.lit("*")).otherwise(F.col("seg")))
+        named = children.join(parents, ["host", "node"]).withColumn("branch", F.when(literal & (F.col("l") == 0) & (F.col("n") * options.max_children < F.col("of")), F.lit("*")).otherwise(F.col("seg")))
         named = materialize(named.select("host", "node", "seg", "branch", "n", "l", "b", "parent"), f"url-named-{level}")
         branches = named.groupBy("host", "node", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("parent").alias("parent"))
-        # at most max_children literals, a wildcard and the kinds of form per parent: a bounded window
+        # a parent's labelled branches, sorted and streamed
         by_share = Window.partitionBy("host", "node", F.col("l") > 0).orderBy(F.try_divide("b", "l"), "branch")
         l, b, l0, b0 = F.col("l"), F.col("b"), F.lag("l").over(by_share), F.lag("b").over(by_share)
         pooled = (b + b0 + 1.0) / (l + l0 + 2.0)
         error = F.sqrt(pooled * (1.0 - pooled) * (F.try_divide(F.lit(1.0), l) + F.try_divide(F.lit(1.0), l0)))
         apart = F.when((l == 0) | l0.isNull(), 1).when(F.abs(F.try_divide(b, l) - F.try_divide(b0, l0)) > F.lit(options.z) * error, 1).otherwise(0)
         run = branches.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
-        merged = run.groupBy("host", "node", (F.col("l") > 0).alias("known"), "run").agg(
-            F.array_join(F.array_sort(F.collect_list("branch")), "|").alias("name"), F.collect_list("branch").alias("members"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("parent").alias("parent")
+        # a name lists its members, or where they are more than max_children tells the first one and how many follow
+        group = ["host", "node", "known", "run"]
+        run = run.withColumn("known", F.col("l") > 0)
+        run = run.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("branch")))
+        merged = run.groupBy(*group).agg(
+            F.collect_list(F.when(F.col("place") <= options.max_children, F.col("branch"))).alias("members"), F.min("branch").alias("first"), F.count(F.lit(1)).alias("many"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("parent").alias("parent")
         )
-        merged = merged.withColumn("share_here", (F.col("b") + m * F.col("parent")) / (F.col("l") + m)).select("host", "node", F.explode("members").alias("branch"), "name", "share_here")
+        name = F.when(F.col("many") <= options.max_children, F.array_join(F.array_sort("members"), "|")).otherwise(F.concat("first", F.lit("|+"), (F.col("many") - 1).cast("string")))
+        merged = merged.select(*group, name.alias("name"), ((F.col("b") + m * F.col("parent")) / (F.col("l") + m)).alias("share_here"))
+        merged = run.select(*group, "branch").join(merged, group).drop("known", "run")
         step = materialize(named.join(merged, ["host", "node", "branch"]).select("host", "node", "seg", "name", "share_here"), f"url-step-{level}")
         moved = deeper.join(step, ["host", "node", "seg"])
         moved = moved.select("host", "segs", "n", "labelled", "blocked", F.col("share_here").alias("share"), F.concat("node", F.lit("/"), "name").alias("node"))

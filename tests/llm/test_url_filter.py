@@ -145,3 +145,20 @@ def test_given_labels(spark):
     rows = [(i, f"http://q.net/spam/{i}", "block" if i < 20 else None) for i in range(40)] + [(100 + i, f"http://q.net/good/{i}", "allow" if i < 20 else None) for i in range(40)]
     got = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string, mark string"), label_col="mark").collect()
     assert {(("spam" in r.path), r.verdict) for r in got} == {(True, "block"), (False, "allow")}
+
+
+def test_rare_branches_are_told_apart_by_labels(spark):
+    """Rare branches without labels inherit the host's share; a rare blocked one among rare allowed ones stays blocked."""
+    urls = [f"http://q.com/fr/{i}" for i in range(300)] + [f"http://q.com/{s}/{i}" for s in ("de", "es", "it", "pt") for i in range(40)] + [f"http://q.com/big/{i}" for i in range(540)]
+    got = uf.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    rare = [r for r in got if r.path[:4] in ("/es/", "/it/", "/pt/")]
+    assert len(rare) == 120 and {(r.rule, r.verdict) for r in rare} == {(None, "allow")}
+    rows = [(f"http://h.net/{s}/{i}", "block" if s == "bad" else "allow") for s in ["bad"] + [f"ok{chr(97 + k)}" for k in range(4)] for i in range(40)] + [(f"http://h.net/bad/{i}", None) for i in range(5)] + [(f"http://h.net/main/{i}", "allow") for i in range(900)]
+    got = uf.judge_urls(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark string"), label_col="mark").collect()
+    assert {("bad" in r.path, r.verdict) for r in got} == {(True, "block"), (False, "allow")}
+
+
+def test_many_labelled_branches_have_short_names(spark):
+    rows = [(i, f"http://m.net/{chr(97 + i // 26)}{chr(97 + i % 26)}x/y", "block") for i in range(100)]
+    got = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string, mark string"), label_col="mark").collect()
+    assert {(r.template, r.verdict) for r in got} == {("/aax|+99/y", "block")}
