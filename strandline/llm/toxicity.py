@@ -5,10 +5,10 @@ nearly the same logit: the squared change, over all features that the swap chang
 weight of its own, while words that are toxic whoever they are about keep theirs. A neutral word is one of each family,
 so that a mention of a group scores like none, not just like that of another group.
 
-Only texts give a score. Fitting uses a bounded sample of labelled rows (``sample``, by hash order); of sampled rows
-that share their least shingle hash one stays, so copies do not outvote other texts. Features are the words and word
-beginnings (of 4, 5 and 6 bytes, so that inflected forms share one) whose association with the label is strongest by
-the chi-square statistic, plus all identity terms. Scoring is one pass over the texts.
+Only texts give a score. Fitting uses a bounded sample of labelled rows (``sample``, by hash order). Texts of the same set of
+words share the weight of one, each with its own label, so copies do not outvote other texts and none is left out.
+Features are the words and word beginnings (of 4, 5 and 6 bytes, so that inflected forms share one) whose association
+with the label is strongest by the chi-square statistic, plus all identity terms. Scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import materialize, workers_import
 
-#: Families of identity terms; within a family each may be swapped for any other.
+#: Families of identity terms, in English, German, French and Spanish; within a family each may be swapped for any other.
 IDENTITY_FAMILIES: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -33,9 +33,15 @@ IDENTITY_FAMILIES: tuple[tuple[str, ...], ...] = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf"),
     ("old", "young", "elderly"),
-    ("frauen", "männer"),
-    ("femmes", "hommes"),
-    ("mujeres", "hombres"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("ausländer", "flüchtlinge", "einwanderer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("étrangers", "réfugiés", "immigrés", "autochtones"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("extranjeros", "refugiados", "inmigrantes", "nativos"),
 )
 
 
@@ -53,11 +59,11 @@ class Model:
     gap: float = 0.0
 
 
-def fit_logistic(docs: list, labels, n_features: int, pairs, l2: float = 1.0, swap_penalty: float = 1.0, rounds: int = 30):
-    """(weights, bias) by Newton steps. docs: arrays of feature numbers; pairs: (lost, gained, times) swaps of features for others."""
+def fit_logistic(docs: list, labels, shares, n_features: int, pairs, l2: float = 1.0, swap_penalty: float = 1.0, rounds: int = 30):
+    """(weights, bias) by Newton steps. docs: arrays of feature numbers; shares: what each counts; pairs: (lost, gained, times) swaps of features for others."""
     import numpy as np
 
-    y = np.asarray(labels, "f8")
+    y, share = np.asarray(labels, "f8"), np.asarray(shares, "f8")
     x = np.zeros((len(docs), n_features + 1), "f4")
     x[:, -1] = 1
     for i, features in enumerate(docs):
@@ -71,17 +77,17 @@ def fit_logistic(docs: list, labels, n_features: int, pairs, l2: float = 1.0, sw
         own = np.flatnonzero(change)
         fixed[np.ix_(own, own)] += swap_penalty * times * np.outer(change[own], change[own])
     w = np.zeros(n_features + 1)
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w[-1] = np.log((share @ y + 0.5) / (share @ (1 - y) + 0.5))
 
     def loss(w):
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ fixed @ w)
+        return float(share @ (np.logaddexp(0, z) - y * z) + 0.5 * w @ fixed @ w)
 
     at = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        gradient = x.T @ (p - y) + fixed @ w
-        s = (p * (1 - p)).astype("f4")
+        gradient = x.T @ (share * (p - y)) + fixed @ w
+        s = (share * p * (1 - p)).astype("f4")
         hessian = np.zeros_like(fixed)
         for i in range(0, len(docs), 2048):
             part = x[i : i + 2048]
@@ -110,8 +116,8 @@ def train(
     label_col: str = "toxic",
     sample: int = 20_000,
     features: int = 512,
-    least_docs: int = 8,
-    least_chi_square: float = 24.0,
+    least_docs: int = 4,
+    least_chi_square: float = 10.0,
     l2: float = 0.05,
     swap_penalty: float = 1.0,
     families: tuple[tuple[str, ...], ...] = IDENTITY_FAMILIES,
@@ -119,7 +125,8 @@ def train(
     """A model from rows of labels that have a document, or None if these do not hold both labels.
 
     At most ``sample`` labelled ids are used, those with the least hash. Rows with a null id or label are no labels; of
-    several labels of an id the larger counts; of several documents of an id one is used.
+    several labels of an id the larger counts; of several documents of an id one is used. A feature needs ``least_docs``
+    texts of different words and a chi-square of ``least_chi_square`` at least; the ``features`` strongest ones are taken.
     """
     import numpy as np
     import pyarrow as pa
@@ -132,55 +139,58 @@ def train(
 
     def words(batches):
         from strandline.llm.bpe import rows_of
-        from strandline.llm.textvec import shingle_hashes, slices, word_hashes
+        from strandline.llm.textvec import mixed, slices, word_hashes
 
+        np.seterr(over="ignore")
         for batch in batches:
             label, done = batch.column(2), 0
-            for ids, texts in rows_of(batch):
+            for ids, texts in rows_of(batch, 64):
                 texts = [t or "" for t in texts]
-                seen, least = [], []
+                seen, prints = [], []
                 for a, b in slices(texts):
                     w, at, *stems = word_hashes(texts[a:b], STEMS)
-                    h, sh = shingle_hashes(texts[a:b])
                     for i in range(b - a):
                         own = np.unique(np.concatenate([x[at[i] : at[i + 1]] for x in (w, *stems)]))
-                        seen.append(own[own != 0].view("i8"))
-                    least += [int(h[sh[i] : sh[i + 1]].min().view("i8")) if sh[i + 1] > sh[i] else 0 for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), label.slice(done, len(ids)), pa.array(least, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["id", "label", "least", "words"])
+                        own = own[own != 0]
+                        seen.append(own.view("i8"))
+                        prints.append(int(mixed(own).sum(dtype="u8").astype("i8")))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), label.slice(done, len(ids)), pa.array(prints, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["id", "label", "print", "words"])
                 done += len(ids)
 
-    seen = rows.mapInArrow(words, "id long, label int, least long, words array<long>")
+    seen = rows.mapInArrow(words, "id long, label int, print long, words array<long>").withColumn("at", F.monotonically_increasing_id())
     seen = materialize(seen, "toxic-words")
-    pick = seen.groupBy("least").agg(F.min("id").alias("id"))
-    seen = materialize(seen.join(pick, ["least", "id"]).dropDuplicates(["id"]), "toxic-sample")
-    all_ones, n = (int(v or 0) for v in seen.agg(F.sum((F.col("label") > 0).cast("int")), F.count(F.lit(1))).first())
-    if all_ones in (0, n):
+    # one document of each id; texts of the same words share one's weight. Only these narrow rows are shuffled, at most ``sample``
+    one = F.min_by(F.struct("label", "print"), "at")
+    picks = materialize(seen.groupBy("id").agg(F.min("at").alias("at"), one.alias("one")).select("at", "one.label", "one.print"), "toxic-picks")
+    copies = picks.groupBy("print").agg((F.lit(1.0) / F.count(F.lit(1))).alias("share"))
+    picks = picks.join(F.broadcast(copies), "print").select("at", (F.col("label") > 0).cast("double").alias("one"), "share")
+    ones, n, rows_of_one, n_rows = picks.agg(F.sum(F.col("one") * F.col("share")), F.sum("share"), F.sum("one"), F.count(F.lit(1))).first()
+    if not n_rows or rows_of_one in (0, n_rows):
         return None
 
-    counts = seen.select(F.explode("words").alias("word"), (F.col("label") > 0).cast("long").alias("one")).groupBy("word").agg(F.sum("one").alias("ones"), F.count(F.lit(1)).alias("has"))
+    in_texts = seen.select("at", "words").join(F.broadcast(picks), "at").select("at", "one", "share", F.explode("words").alias("word"))
+    counts = in_texts.groupBy("word").agg(F.sum(F.col("one") * F.col("share")).alias("ones"), F.sum("share").alias("has"))
     # chi-square of the two by two table: n (ad - bc)^2 / (rows x columns)
-    a, has = F.col("ones").cast("double"), F.col("has").cast("double")
-    cross = a * F.lit(float(n - all_ones)) - (has - a) * F.lit(float(all_ones))
-    score = F.lit(float(n)) * cross * cross / (has * (F.lit(float(n)) - has) * F.lit(float(all_ones) * (n - all_ones)))
-    best = counts.filter((F.col("has") >= least_docs) & (F.col("has") < n)).filter(score >= least_chi_square).orderBy(score.desc(), "word").limit(features)
+    a, has = F.col("ones"), F.col("has")
+    cross = a * F.lit(n - ones) - (has - a) * F.lit(ones)
+    score = F.round(F.lit(n) * cross * cross / (has * (F.lit(n) - has) * F.lit(ones * (n - ones))), 6)
+    best = counts.filter((has >= least_docs - 1e-6) & (has < n - 1e-6)).filter(score >= least_chi_square).orderBy(score.desc(), "word").limit(features)
     chosen = [r["word"] for r in best.collect()]  # of ``features`` rows
 
     from strandline.llm.textvec import word_hashes
 
-    terms = [t for family in families for t in family]
+    terms = sorted({t for family in families for t in family})
     forms = {t: [int(x.view("i8")[0]) for x in _features_of(word_hashes([t], STEMS))] for t in terms}  # the word, and its beginnings
     hash_of = {t: forms[t][0] for t in terms}
-    vocabulary = np.array(sorted({*chosen, *hash_of.values()}), "i8")
-
-    def numbers(batches):
-        for batch in batches:
-            lists = [np.flatnonzero(np.isin(vocabulary, w.values.to_numpy(zero_copy_only=False))).astype("i4") for w in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["label", "features"])
-
-    got = seen.select("label", "words").mapInArrow(numbers, "label int, features array<int>").collect()  # at most ``sample`` rows of known features
-    data, y = [np.array(r["features"], "i4") for r in got], [int(r["label"] > 0) for r in got]
-    number = {int(h): i for i, h in enumerate(vocabulary)}
-    df = np.bincount(np.concatenate([*data, np.zeros(0, "i4")]), minlength=len(vocabulary))
+    vocabulary = sorted({*chosen, *hash_of.values()})
+    numbers = spark.createDataFrame(list(zip(vocabulary, range(len(vocabulary)), strict=True)), "word long, number int")
+    hits = in_texts.join(F.broadcast(numbers), "word").groupBy("at").agg(F.array_sort(F.collect_list("number")).alias("features"))
+    got = picks.join(hits, "at", "left").orderBy("at").collect()  # at most ``sample`` rows of known features
+    data, y, shares = [np.array(r["features"] or [], "i4") for r in got], [r["one"] for r in got], [r["share"] for r in got]
+    number = {h: i for i, h in enumerate(vocabulary)}
+    df = np.zeros(len(vocabulary))
+    for own, share in zip(data, shares, strict=True):
+        df[own] += share
     pairs = []
     for family in families:
         own = {t: {number[h] for h in forms[t] if h in number} for t in family}
@@ -188,9 +198,9 @@ def train(
             times = float(df[number[hash_of[a]]]) / len(family)
             others = [own[b] for b in family if b != a] + [set()]  # the last is a neutral word: else all might share a weight
             pairs += [(sorted(own[a] - b), sorted(b - own[a]), times) for b in others if times]
-    w, bias = fit_logistic(data, y, len(vocabulary), pairs, l2, swap_penalty)
+    w, bias = fit_logistic(data, y, shares, len(vocabulary), pairs, l2, swap_penalty)
     gap = float(np.average([abs(w[a].sum() - w[b].sum()) for a, b, _ in pairs], weights=[t for *_, t in pairs])) if pairs else 0.0
-    return Model(tuple(int(h) for h in vocabulary), tuple(float(v) for v in w), bias, gap)
+    return Model(tuple(vocabulary), tuple(float(v) for v in w), bias, gap)
 
 
 def _scorer(model: Model):
@@ -244,7 +254,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below 0.5, with all columns: one pass, no join. Without a model all stay."""
+    """The rows of docs whose text scores below 0.5, with all columns: one pass, no join. Without a model all stay.
+
+    Null texts count as empty; null ids, repeated rows and an empty table stay as they are.
+    """
     if model is None:
         return docs
     workers_import(docs.sparkSession)

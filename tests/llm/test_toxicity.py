@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import toxicity as tox
 from strandline.llm.queries import op5_toxicity
+from strandline.llm.textvec import words_of
 
 NEUTRAL = "tree river house walk paper stone window garden bread music table cloud summer winter street".split()
 
@@ -58,6 +61,79 @@ def test_held_out_accuracy(spark, models):
     assert sum(named) / len(named) > 0.95
 
 
+def plain_model(rows, options):
+    """Word and beginnings, chi-square, and the loss with every swap written out text by text, minimised in plain numpy."""
+    families = options["families"]
+
+    def found(text):
+        out = set()
+        for w in words_of(text):
+            raw = w.encode()
+            out |= {raw} | {("stem", raw[:size]) for size in tox.STEMS if len(raw) > size}
+        return out
+
+    sets = [found(t) for _, t, _ in rows]
+    y = np.array([float(x > 0) for *_, x in rows])
+    copies = Counter(map(frozenset, sets))
+    share = np.array([1 / copies[frozenset(x)] for x in sets])
+    n, ones = share.sum(), (share * y).sum()
+    has, a = defaultdict(float), defaultdict(float)
+    for x, s, one in zip(sets, share, y, strict=True):
+        for f in x:
+            has[f] += s
+            a[f] += s * one
+    chi = {f: n * (a[f] * (n - ones) - (has[f] - a[f]) * ones) ** 2 / (has[f] * (n - has[f]) * ones * (n - ones)) for f in has if options["least_docs"] - 1e-6 <= has[f] < n - 1e-6}
+    names = [f for f in chi if chi[f] >= options["least_chi_square"]]
+    assert len(names) <= 512
+    names = sorted({*names, *(t.encode() for family in families for t in family)}, key=repr)
+    number = {f: i for i, f in enumerate(names)}
+
+    def vector(x):
+        v = np.zeros(len(names) + 1)
+        v[[number[f] for f in x if f in number]] = 1
+        v[-1] = 1
+        return v
+
+    data = np.array([vector(x) for x in sets])
+    penalty = np.diag([options["l2"]] * len(names) + [1e-6])
+    for x, s in zip(sets, share, strict=True):
+        for family in families:
+            for t in family:
+                if t.encode() in x:
+                    for other in [*family, None]:
+                        if other != t:
+                            gap = vector(found(t)) - (vector(found(other)) if other else vector(set()))
+                            penalty += options["swap_penalty"] * s / len(family) * np.outer(gap, gap)
+    w = np.zeros(len(names) + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-data @ w))
+        w -= np.linalg.solve(data.T @ (data * (share * p * (1 - p))[:, None]) + penalty, data.T @ (share * (p - y)) + penalty @ w)
+    return lambda text: 1 / (1 + np.exp(-vector(found(text)) @ w))
+
+
+def test_scores_equal_plain_refit(spark):
+    rows = corpus(3, 400)
+    rows += [(1000 + i, rows[5][1], i % 2) for i in range(40)]  # copies with both labels
+    families = (("muslims", "christians", "jews"), ("women", "men"))
+    options = {"least_docs": 3, "least_chi_square": 5.0, "l2": 0.5, "swap_penalty": 2.0, "families": families}
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = tox.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), **options)
+    plain = plain_model(rows, options)
+    texts = [t for _, t, _ in rows[:80]] + ["", "nothing known", "men and women", "christians walk"]
+    got = scores(spark, model, texts)
+    assert max(abs(got[i] - plain(t)) for i, t in enumerate(texts)) < 2e-3
+
+
+def test_texts_that_share_a_passage(spark):
+    rnd = random.Random(4)
+    passage = " ".join(rnd.choice(NEUTRAL) + str(i) for i in range(300))
+    rows = [(i, f"{passage} {rnd.choice(NEUTRAL)} {'vile' if i % 2 else 'kind'} {rnd.choice(NEUTRAL)}{i}", i % 2) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = tox.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = scores(spark, model, [passage + " vile", passage + " kind"])
+    assert got[0] > 0.9 and got[1] < 0.1
+
+
 def test_query_on_documents(spark, sf_dir):
     base = sf_dir.replace("sf0.001", "sf0.1")
     got = op5_toxicity(spark, base)
