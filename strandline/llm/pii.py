@@ -1,15 +1,21 @@
 """PII: patterns for known kinds, and an information-theoretic test for terms that give a person away. DataFrame operations only.
 
-Entities are the matches of the patterns. A term is a word next to an entity (within ``WINDOW`` code points on its
-line). With lines as the unit, n_c lines hold an entity c, n_t the term, n_ct both next to each other, of N lines:
-the term's pointwise mutual information with c is log(n_ct N / (n_c n_t)), the entity's own information log(N / n_c). A term
-that stands next to c in ``SUPPORT`` different lines at least is disclosed for c if the first is at least half the
-second, that is n_ct^2 N >= n_c n_t^2, and is generalised; if the first reaches the whole of the second, that is
-n_ct >= n_t, the term occurs nowhere but beside c, and it is removed.
+Entities are the matches of the patterns; a term is any other word of ``LEAST_LETTERS`` code points or more. Of a term's n_t
+occurrences in the corpus, n_ct stand beside an entity c, that is begin and end within ``WINDOW`` code points of it. The
+information of c is -log p(c), the term's pointwise mutual information with it log p(c|t) - log p(c); what is left of the
+one after the other, -log p(c|t), is how uncertain c stays for a reader of the term. p(c|t) is smoothed to
+n_ct / (n_t + smoothing), so that few occurrences tell less than many. A term that leaves at most ``generalise_bits`` of
+some entity discloses it, and is generalised to a word for its form; at most ``remove_bits``, and it is removed. Both
+happen wherever the term stands, in texts without entities too.
+
+Positions are counted in blocks of ``BLOCK`` code points, so that texts with many entities are cut in linear time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,30 +32,94 @@ PATTERNS = {
 }
 #: A text without a match of these has no valid match of the kind; they are cheap to look for.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "gone": ""}
-NO_WORD = r"[^\p{L}\p{N}]+"
-WINDOW, SUPPORT, LEAST_LETTERS = 100, 3, 3
+#: What stands for an entity, and for a term that is generalised, by its form.
+PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
+FORMS = {"number": "<NUMBER>", "code": "<CODE>", "name": "<NAME>", "word": "<WORD>"}
+WORD, NO_WORD = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+WINDOW, LEAST_LETTERS, BLOCK = 100, 3, 1024
+
+
+@dataclass(frozen=True)
+class Disclosure:
+    """smoothing: occurrences beside nothing that every term gets. The bits of an entity that a term may leave at most to be
+    generalised or removed; with these, a word that stands beside an entity once and nowhere else is generalised."""
+
+    smoothing: float = 1.0
+    generalise_bits: float = 1.0
+    remove_bits: float = 0.25
+
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used: lambdas keep their arguments, other expressions are made anew."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-def running_sums(values: Column, block: int = 128) -> Column:
-    """The sum of the values before each one, as array<long>; blockwise, so that long arrays are not copied for each element."""
+
+def _running(values: Column, join: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """What join makes of zero and all values before each one, as array<long>; blockwise, so that long arrays are not copied for each element."""
     def before(xs: Column, start: Column) -> Column:
         seed = F.struct(start.alias("total"), F.array().cast("array<long>").alias("list"))
-        return F.aggregate(xs, seed, lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.array_append(acc["list"], acc["total"]).alias("list")))["list"]
+        return F.aggregate(xs, seed, lambda acc, x: F.struct(join(acc["total"], x).alias("total"), F.array_append(acc["list"], acc["total"]).alias("list")))["list"]
 
     zero = F.lit(0).cast("long")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0))), lambda b: F.slice(values, b * block + 1, block))
-    sums = F.transform(blocks, lambda xs: F.aggregate(xs, zero, lambda acc, x: acc + x))
-    return F.flatten(F.zip_with(blocks, before(sums, zero), before))
+
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / block).cast("int") - 1, F.lit(0))), lambda b: F.slice(xs, b * block + 1, block))
+
+    def of_blocks(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, before(F.transform(parts, lambda xs: F.aggregate(xs, zero, join)), zero), before))
+
+    return _once(values, lambda xs: _once(blocks(xs), of_blocks))
+
+
+def running_sums(values: Column) -> Column:
+    return _running(values, lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    return _running(values, lambda a, b: F.greatest(a, b))
+
+
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points; the last one is shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (code points, end exclusive) of its blocks; empty where end is not after start."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substr(some, (start % BLOCK).cast("int") + 1, (end - start).cast("int"))).otherwise(F.lit(""))
+
+
+def _replaced(text: Column, spans: Column, sign: Callable[[Column], Column]) -> Column:
+    """The text with spans (array of struct<start, end, ...>, not empty) replaced by their signs. Of spans that overlap each other
+    the first one's sign stands for all, though what the later ones add is dropped as well."""
+    def of(both: Column, blocks: Column) -> Column:
+        fresh_ones = F.filter(both, lambda b: b["s"]["start"] >= b["r"])
+        last = F.array_max(F.transform(both, lambda b: b["s"]["end"]))
+        return F.concat(F.array_join(F.transform(fresh_ones, lambda b: F.concat(_cut(blocks, b["r"], b["s"]["start"]), sign(b["s"]))), ""), _cut(blocks, last, F.char_length(text).cast("long")))
+
+    return _once(_reached(spans), lambda both: _once(_blocks(text), lambda blocks: of(both, blocks)))
+
+
+def _reached(spans: Column) -> Column:
+    """array<struct<s: span, r: how far the spans before it reach>>, sorted."""
+    return _once(F.array_sort(spans), lambda xs: F.zip_with(xs, running_max(F.transform(xs, lambda s: s["end"])), lambda s, r: F.struct(s.alias("s"), r.alias("r"))))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """The leftmost matches that do not overlap, as array<struct<start, end, value>>; code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda s: F.char_length(s).cast("long"))
-    both = F.arrays_zip(between.alias("gap"), found.alias("value"))
-    ahead = running_sums(F.transform(both, lambda m: m["gap"] + F.char_length(m["value"])))
-    return F.zip_with(both, ahead, lambda m, a: F.struct((a + m["gap"]).alias("start"), (a + m["gap"] + F.char_length(m["value"])).alias("end"), m["value"].alias("value")))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def measured(p: Column) -> Column:
+        return F.zip_with(p["found"], F.slice(p["gaps"], 1, F.size(p["found"])), lambda v, g: F.struct(F.char_length(g).cast("long").alias("gap"), F.char_length(v).cast("long").alias("own"), v.alias("value")))
+
+    def placed(both: Column) -> Column:
+        ahead = running_sums(F.transform(both, lambda m: m["gap"] + m["own"]))
+        return F.zip_with(both, ahead, lambda m, a: F.struct((a + m["gap"]).alias("start"), (a + m["gap"] + m["own"]).alias("end"), m["value"].alias("value")))
+
+    return _once(parts, lambda p: _once(measured(p), placed))
 
 
 def _digits(value: Column) -> Column:
@@ -94,79 +164,92 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), NO_WORD, -1), lambda w: F.char_length(w) >= LEAST_LETTERS)
-
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks for its entities: what stands elsewhere keeps its place, and no word lies in an entity."""
+    plain = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    # what a span adds to those before it, so that overlapping spans are blanked in all their length
+    apart = F.transform(_reached(plain), lambda b: F.struct(F.greatest(b["s"]["start"], b["r"]).alias("start"), F.greatest(b["s"]["end"], b["r"]).alias("end")))
+    blanked = _replaced(text, F.filter(apart, lambda s: s["end"] > s["start"]), lambda s: F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")))
+    return F.when(F.size(base) > 0, blanked).otherwise(text)
 
-def _neighbours(text: Column, span: Column) -> tuple[Column, Column]:
-    """(left, right): what stands within WINDOW of a span on its line, without a word that the window cuts."""
-    before = F.substr(text, F.greatest(span["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(WINDOW)).cast("int"))
-    after = F.substr(text, span["end"].cast("int") + 1, F.lit(WINDOW))
-    left, right = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)
-    left = F.when((F.char_length(left) == WINDOW) & (span["start"] > WINDOW), F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(F.char_length(right) == WINDOW, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    return left, right
 
+def _words(rows: DataFrame) -> DataFrame:
+    """(number, term) of the words of masked texts, lower-cased, with repeats."""
+    words = rows.select("number", F.explode(F.split(F.lower("masked"), NO_WORD, -1)).alias("term"))
+    return words.filter(F.char_length("term") >= LEAST_LETTERS)
 
-def _wide(text: Column, base: Column) -> Column:
-    """Spans with their values and what stands beside them."""
-    def wide(s: Column) -> Column:
-        left, right = _neighbours(text, s)
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), left.alias("left"), right.alias("right"))
 
-    return F.transform(base, wide)
+def _placed(text: Column, start: Column) -> Column:
+    """array<struct<start, end, term>> of the words of a text that begins at start."""
+    return F.transform(matches(text, WORD), lambda m: F.struct((m["start"] + start).alias("start"), (m["end"] + start).alias("end"), m["value"].alias("value")))
 
 
-def _scanned(docs: DataFrame, text_col: str, *others: Column) -> DataFrame:
-    """h1, h2, base (wide spans) for each row of docs, with other columns; the only pass that applies the patterns."""
-    rows = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("scanned_text"))
-    rows = rows.withColumn("base", base_spans(F.col("scanned_text")))
-    return rows.select(*[c for c in rows.columns if c not in ("scanned_text", "base")], *_text_keys(F.col("scanned_text")), _wide(F.col("scanned_text"), F.col("base")).alias("base"))
+def _beside(blocks: Column, length: Column, span: Column) -> Column:
+    """The words that begin and end within WINDOW of a span, of a masked text in blocks."""
+    start, end = span["start"], span["end"]
+    left = _cut(blocks, F.greatest(start - WINDOW - 1, F.lit(0).cast("long")), start)  # one more on each side tells whether a word is cut
+    left = F.when(start > WINDOW, F.regexp_replace(left, "^" + WORD, "")).otherwise(left)
+    right = _cut(blocks, end, F.least(end + WINDOW + 1, length))
+    right = F.when(length - end > WINDOW, F.regexp_replace(right, WORD + "$", "")).otherwise(right)
+    return F.concat(_placed(left, start - F.char_length(left)), _placed(right, end))
 
 
-def _text_keys(text: Column) -> tuple[Column, Column]:
-    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")
+def _scanned(docs: DataFrame, text_col: str, *others: Column) -> tuple[DataFrame, str, str, str]:
+    """The others of each row of docs with a row number, the masked text and the entities, written once; and the names of these three."""
+    rows = docs.select(*others, F.col(text_col).alias("scanned text"))
+    number, masked, base = fresh(rows, "number", "masked", "base")
+    text = F.coalesce(F.col("scanned text"), F.lit(""))
+    rows = rows.withColumn(base, base_spans(text))
+    rows = rows.withColumn(masked, _masked(F.col("scanned text"), F.col(base))).drop("scanned text").withColumn(number, F.monotonically_increasing_id())
+    return materialize(rows, "pii-rows"), number, masked, base
 
 
-def _disclosed(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """(kind, value, term, gone) of the terms that disclose an entity."""
-    near = found.select(F.explode("base").alias("s")).select("s.kind", "s.value", F.array_distinct(F.concat(_words(F.col("s.left")), _words(F.col("s.right")))).alias("terms"), F.xxhash64("s.left", "s.right").alias("line"))
-    n_c = near.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c"))
-    n_ct = near.select("kind", "value", "line", F.explode("terms").alias("term")).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.countDistinct("line").alias("lines"))
-    n_ct = materialize(n_ct.filter(F.col("lines") >= SUPPORT).join(n_c, ["kind", "value"]), "pii-pairs")
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line"))
-    counts = lines.select(F.explode(F.array_distinct(_words(F.col("line")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.coalesce(F.sum(F.char_length(F.coalesce(F.col(text_col), F.lit(""))) - F.char_length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(""))) + 1), F.lit(0))).first()[0]
-    known = n_ct.join(counts.join(n_ct.select("term").distinct(), "term", "left_semi"), "term")
-    ct, c, t = (F.col(x).cast("double") for x in ("n_ct", "n_c", "n_t"))
-    return known.filter(ct * ct * F.lit(float(total)) >= c * t * t).select("kind", "value", "term", (F.col("n_ct") >= F.col("n_t")).alias("gone"))
+def disclosing_terms(rows: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
+    """(term, gone) of the terms that disclose an entity, for rows of (number, masked, base); gone: to be removed, not generalised.
 
-
-def _term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
-    """(h1, h2, terms: array<struct<kind, start, end, gone>> by start) of the texts that hold a disclosed term beside its entity."""
-    spans = found.select("h1", "h2", "base", F.explode("base").alias("s"))
-
-    def words_in(text: Column, start: Column) -> Column:
-        word = r"[\p{L}\p{N}]+"
-        return F.transform(matches(text, word), lambda m: F.struct((m["start"] + start).alias("start"), (m["end"] + start).alias("end"), F.lower(m["value"]).alias("term")))
-
-    left, right = F.col("s.left"), F.col("s.right")
-    words = F.concat(words_in(left, F.col("s.start") - F.char_length(left)), words_in(right, F.col("s.end")))
-    free = F.filter(words, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    beside = spans.select("h1", "h2", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.explode(free).alias("w"))
-    beside = beside.select("h1", "h2", "kind", "value", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.term").alias("term"))
-    hit = beside.join(disclosed, ["kind", "value", "term"])
-    hit = hit.groupBy("h1", "h2", "start", "end").agg(F.max("gone").alias("gone"))
-    span = F.struct(F.lit(4).alias("kind"), F.col("start"), F.col("end"), F.col("gone"))
-    return hit.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(span)).alias("terms"))
-
-
-def _terms(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """(h1, h2, terms) of the texts that hold disclosed terms; found: the scanned rows with entities."""
-    return materialize(_term_spans(found, _disclosed(docs, found, text_col)), "pii-terms")
-
-
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Terms are counted before they are joined, and of each only its most frequent entity is kept, so every join has one
+    row for a term on either side.
+    """
+    held = rows.filter(F.size("base") > 0).select("number", "base", F.array(_blocks(F.col("masked"))).alias("blocks"), F.char_length("masked").cast("long").alias("length"))
+    around = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _beside(F.element_at("blocks", 1), F.col("length"), s).alias("words")))
+    near = held.select("number", F.explode(around).alias("s")).select("number", "s.kind", "s.value", F.explode("s.words").alias("w"))
+    near = near.select("number", "kind", "value", F.lower("w.value").alias("term"), F.col("w.start").alias("start")).filter(F.char_length("term") >= LEAST_LETTERS)
+    n_ct = near.distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"))
+    most = materialize(n_ct.groupBy("term").agg(F.max("n_ct").alias("n_ct")), "pii-near")
+    counts = _words(rows).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    told = most.join(materialize(counts, "pii-counts"), "term")
+    share = F.col("n_ct").cast("double") / (F.col("n_t").cast("double") + F.lit(options.smoothing))
+    return materialize(told.filter(share >= 2.0**-options.generalise_bits).select("term", (share >= 2.0**-options.remove_bits).alias("gone")), "pii-terms")
+
+
+def _form(word: Column) -> Column:
+    """What a generalised term is replaced by: a number, a code of letters and digits, a name, another word."""
+    return F.when(word.rlike(r"^\p{N}+$"), FORMS["number"]).when(word.rlike(r"\p{N}"), FORMS["code"]).when(word.rlike(r"^\p{Lu}"), FORMS["name"]).otherwise(FORMS["word"])
+
+
+def _term_spans(rows: DataFrame, disclosed: DataFrame) -> DataFrame:
+    """(number, terms: array<struct<start, end, sign>> by start) of the rows that hold a disclosed term, wherever it stands."""
+    texts = rows.select("number", F.coalesce("masked", F.lit("")).alias("masked"))
+    own = materialize(_words(texts).join(disclosed, "term").distinct(), "pii-hits")  # a disclosing term occurs at most 2^bits times as often as beside its entity
+    held = texts.join(own.select("number").distinct(), "number", "left_semi")
+    placed = held.select("number", F.explode(_placed(F.col("masked"), F.lit(0).cast("long"))).alias("w")).withColumn("term", F.lower("w.value"))
+    placed = placed.join(own, ["number", "term"])
+    span = F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.when(F.col("gone"), F.lit("")).otherwise(_form(F.col("w.value"))).alias("sign"))
+    return materialize(placed.groupBy("number").agg(F.array_sort(F.collect_list(span)).alias("terms")), "pii-spans")
+
+
+def _found(docs: DataFrame, text_col: str, options: Disclosure, *others: Column) -> tuple[DataFrame, str, str, str, str]:
+    """The others of each row of docs with masked text, base and terms (never null), and the names of these and of the row number."""
+    rows, number, masked, base = _scanned(docs, text_col, *others)
+    plain = rows.select(F.col(number).alias("number"), F.col(masked).alias("masked"), F.col(base).alias("base"))
+    terms = _term_spans(plain, disclosing_terms(plain, options))
+    found, other = fresh(rows, "terms", "other number")
+    rows = rows.join(terms.select(F.col("number").alias(other), F.col("terms").alias(found)), F.col(number) == F.col(other), "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,sign:string>>")
+    return rows.withColumn(found, F.coalesce(found, none)), number, masked, base, found
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Disclosure = Disclosure()) -> DataFrame:
     """One row for each row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, n_term, spans.
 
     spans: 'kind:start:end' of all spans, comma-joined, by kind as in KINDS, then start; base_sha256 is the digest of
@@ -174,56 +257,35 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null texts count as empty and have no spans. Repeated rows count as often as they stand; null ids stay null; an
     empty table gives an empty result; other columns play no part.
     """
-    rows = materialize(_scanned(docs, text_col, F.col(id_col).alias("id")), "pii-rows")
-    terms = _terms(docs, rows.filter(F.size("base") > 0), text_col)
-    rows = rows.withColumn("base", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
-    clean = rows.filter(F.size("base") == 0).select("id", "base", none.alias("terms"))
-    hit = rows.filter(F.size("base") > 0).join(terms, ["h1", "h2"], "left")
-    plain = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    out = clean.unionByName(hit.select("id", "base", F.coalesce(plain, none).alias("terms")))
+    rows, _, _, base, found = _found(docs, text_col, options, F.col(id_col).alias("id"))
 
     def count(place: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == place)).cast("long")
+        return F.size(F.filter(base, lambda s: s["kind"] == place)).cast("long")
 
-    return out.select(
+    plain = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    terms = F.transform(found, lambda s: F.struct(F.lit(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select(
         F.col("id").alias(id_col),
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],
-        F.sha2(_named(F.col("base")), 256).alias("base_sha256"),
-        F.size("terms").cast("long").alias("n_term"),
-        _named(F.concat("base", "terms")).alias("spans"),
+        F.sha2(_named(plain), 256).alias("base_sha256"),
+        F.size(found).cast("long").alias("n_term"),
+        _named(F.concat(plain, terms)).alias("spans"),
     )
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """docs with every span of a pattern replaced by its kind's placeholder, disclosed terms by <TERM>, and terms that occur nowhere else removed.
+def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = None, options: Disclosure = Disclosure()) -> DataFrame:
+    """docs with every span of a pattern replaced by its kind's placeholder, and disclosing terms generalised or removed.
 
     Overlapping spans are replaced as one, by the first one's placeholder. Texts without spans, null texts among them,
     stay as they are, and so do all other columns, but for length_col, which follows a text that changes.
     """
-    entities = materialize(_scanned(docs, text_col).filter(F.size("base") > 0), "pii-found")
-    terms = _terms(docs, entities, text_col)
-    h1, h2, base, found = fresh(docs, "h1", "h2", "base", "terms")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hint = F.lit(False)
-    for h in HINTS.values():
-        hint = hint | text.rlike(h)
-    a, b = _text_keys(text)
-    rows = docs.filter(hint).withColumn(h1, a).withColumn(h2, b).withColumn(base, base_spans(text))
-    rows = rows.join(terms.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("terms").alias(found)), [h1, h2], "left")
-    signs = F.array(*[F.lit(PLACEHOLDERS[k]) for k in KINDS], F.lit(PLACEHOLDERS["gone"]))
-    of_base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("sign")))
-    of_terms = F.transform(F.coalesce(F.col(found), F.array().cast("array<struct<kind:int,start:bigint,end:bigint,gone:boolean>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["gone"], F.lit(5)).otherwise(s["kind"]).alias("sign")))
-    spans = F.array_sort(F.concat(of_base, of_terms))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substr(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        fresh_span = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh_span, F.concat(acc["parts"], F.array(kept, F.get(signs, s["sign"])))).otherwise(acc["parts"]).alias("parts"))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"].cast("int") + 1)))
-    rows = rows.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(F.col(text_col)))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows, _, masked, base, found = _found(docs, text_col, options, *others)
+    signs = F.array(*[F.lit(PLACEHOLDERS[k]) for k in KINDS[:4]])
+    of_base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(signs, s["kind"]).alias("sign")))
+    spans = F.concat(of_base, F.col(found))
+    changed = F.size(spans) > 0
+    rows = rows.withColumn(text_col, F.when(changed, _replaced(F.col(masked), spans, lambda s: s["sign"])).otherwise(F.col(masked)))
     if length_col:
-        rows = rows.withColumn(length_col, F.when(F.size(spans) > 0, F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return docs.filter(~hint).unionByName(rows.select(*docs.columns))
+        rows = rows.withColumn(length_col, F.when(changed, F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -103,7 +103,7 @@ def op4_sql() -> str:
     """The patterns in their plain form, then the term test step by step."""
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
     found = " UNION ALL ".join(f"SELECT rid, {i} AS kind, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d" for i, p in enumerate(plain.values()))
-    word = r"[\p{L}\p{N}]+"
+    word, o = pii.WORD, pii.Disclosure()
     names = "['email', 'ip', 'card', 'phone', 'term']"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -115,19 +115,17 @@ b AS (SELECT rid, kind, v, CAST(e - length(v) AS BIGINT) AS s, CAST(e AS BIGINT)
   WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || left(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0
   WHEN 2 THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INTEGER) WHEN CAST(digits[i] AS INTEGER) > 4 THEN 2 * CAST(digits[i] AS INTEGER) - 9 ELSE 2 * CAST(digits[i] AS INTEGER) END)) % 10 = 0
   ELSE length(digits) BETWEEN 9 AND 15 END),
-w0 AS (SELECT b.*, lower(v) AS c, split_part(substr(t, greatest(s - {pii.WINDOW}, 0) + 1, least(s, {pii.WINDOW})), chr(10), -1) AS l, split_part(substr(t, e + 1, {pii.WINDOW}), chr(10), 1) AS r FROM b JOIN d USING (rid)),
-w AS (SELECT rid, kind, c, s, e, CASE WHEN length(l) = {pii.WINDOW} AND s > {pii.WINDOW} THEN regexp_replace(l, '^{word}', '') ELSE l END AS l, CASE WHEN length(r) = {pii.WINDOW} THEN regexp_replace(r, '{word}$', '') ELSE r END AS r FROM w0),
-near AS (SELECT kind, c, l, r, list_distinct(list_filter(list_concat(regexp_extract_all(lower(l), '{word}'), regexp_extract_all(lower(r), '{word}')), lambda x: length(x) >= {pii.LEAST_LETTERS})) AS terms FROM w),
-nc AS (SELECT kind, c, count(*) AS n_c FROM near GROUP BY kind, c),
-nct AS (SELECT kind, c, term, count(*) AS n_ct FROM (SELECT kind, c, l, r, unnest(terms) AS term FROM near) GROUP BY kind, c, term HAVING count(DISTINCT [l, r]) >= {pii.SUPPORT}),
-lines AS (SELECT unnest(string_split(t, chr(10))) AS line FROM d),
-total AS (SELECT count(*) AS n FROM lines),
-nt AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(line), '{word}'))) AS term FROM lines) WHERE term IN (SELECT term FROM nct) GROUP BY term),
-told AS (SELECT kind, c, term FROM nct JOIN nc USING (kind, c) JOIN nt USING (term), total WHERE CAST(n_ct AS DOUBLE) * n_ct * n >= CAST(n_c AS DOUBLE) * n_t * n_t),
-sides AS (SELECT rid, kind, c, s - length(l) AS base, l AS side FROM w UNION ALL SELECT rid, kind, c, e, r FROM w),
-tw AS (SELECT rid, kind, c, base, side, unnest(regexp_extract_all(side, '{word}')) AS x, unnest(regexp_split_to_array(side, '{word}')[1:len(regexp_extract_all(side, '{word}'))]) AS gap, generate_subscripts(regexp_extract_all(side, '{word}'), 1) AS i FROM sides),
-tp AS (SELECT DISTINCT rid, kind, c, lower(x) AS term, CAST(base + z AS BIGINT) AS e, CAST(base + z - length(x) AS BIGINT) AS s FROM (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY rid, kind, c, base, side ORDER BY i) AS z FROM (SELECT DISTINCT * FROM tw))),
-ts AS (SELECT DISTINCT rid, s, e FROM tp JOIN told USING (kind, c, term) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = tp.rid AND b.s < tp.e AND tp.s < b.e)),
+bo AS (SELECT *, coalesce(max(e) OVER (PARTITION BY rid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM b),
+bm AS (SELECT rid, string_agg(substr(t, r + 1, greatest(s - r, 0)) || repeat(' ', greatest(e - greatest(s, r), 0)), '' ORDER BY s, e) || substr(any_value(t), max(e) + 1) AS t FROM bo JOIN d USING (rid) GROUP BY rid),
+m AS (SELECT rid, coalesce(bm.t, d.t) AS t FROM d LEFT JOIN bm USING (rid)),
+wl AS (SELECT rid, regexp_extract_all(t, '{word}') AS x, regexp_split_to_array(t, '{word}') AS g FROM m),
+wu AS (SELECT rid, unnest(x) AS x, unnest(g[1:len(x)]) AS gap, generate_subscripts(x, 1) AS i FROM wl),
+wp AS (SELECT rid, lower(x) AS term, CAST(z - length(x) AS BIGINT) AS s, CAST(z AS BIGINT) AS e FROM (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY rid ORDER BY i) AS z FROM wu) WHERE length(lower(x)) >= {pii.LEAST_LETTERS}),
+near AS (SELECT DISTINCT wp.rid, b.kind, lower(b.v) AS c, wp.term, wp.s FROM b JOIN wp USING (rid) WHERE wp.s >= b.s - {pii.WINDOW} AND wp.e <= b.e + {pii.WINDOW}),
+most AS (SELECT term, max(n) AS n_ct FROM (SELECT kind, c, term, count(*) AS n FROM near GROUP BY kind, c, term) GROUP BY term),
+nt AS (SELECT term, count(*) AS n_t FROM wp GROUP BY term),
+told AS (SELECT term FROM most JOIN nt USING (term) WHERE n_ct >= {2.0**-o.generalise_bits!r}::DOUBLE * (n_t + {o.smoothing!r}::DOUBLE)),
+ts AS (SELECT rid, s, e FROM wp JOIN told USING (term)),
 spans AS (SELECT rid, kind, s, e FROM b UNION ALL SELECT rid, 4, s, e FROM ts),
 told_of AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3, count(*) FILTER (kind = 4) AS n4,
   string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) FILTER (kind < 4) AS base, string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) AS every FROM spans GROUP BY rid)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -44,46 +45,32 @@ def plain_spans(text: str) -> list[tuple[str, int, int, str]]:
 WORD = re.compile(r"[^\W_]+")
 
 
-def plain_terms(texts: list[str]) -> list[list[tuple[int, int, bool]]]:
-    """The method, text by text, in plain Python."""
-    def words(s):
-        return [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(s)]
-
-    def sides(text, start, end):
-        left, right = text[max(0, start - pii.WINDOW) : start], text[end : end + pii.WINDOW]
-        left, right = left.rsplit("\n", 1)[-1], right.split("\n", 1)[0]
-        if len(left) == pii.WINDOW and start > pii.WINDOW:
-            left = re.sub(r"^[^\W_]+", "", left)
-        if len(right) == pii.WINDOW:
-            right = re.sub(r"[^\W_]+$", "", right)
-        return left, right
-
-    total, n_t = 0, Counter()
-    for text in texts:
-        for line in text.split("\n"):
-            total += 1
-            n_t.update({w for *_, w in words(line) if len(w) >= pii.LEAST_LETTERS})
-    n_c, n_ct, lines = Counter(), Counter(), defaultdict(set)
-    for text in texts:
-        for kind, start, end, value in plain_spans(text):
-            c = (kind, value.lower())
-            left, right = sides(text, start, end)
-            n_c[c] += 1
-            for w in {w for side in (left, right) for *_, w in words(side) if len(w) >= pii.LEAST_LETTERS}:
-                n_ct[c, w] += 1
-                lines[c, w].add((left, right))
-    gone = {k: n >= n_t[k[1]] for k, n in n_ct.items() if len(lines[k]) >= pii.SUPPORT and n * n * total >= n_c[k[0]] * n_t[k[1]] ** 2}
-    out = []
-    for text in texts:
-        base, found = plain_spans(text), {}
+def plain_terms(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """The method, occurrence by occurrence, in plain Python: (start, end, sign) of the terms of each text."""
+    o = pii.Disclosure()
+    placed, n_t, beside = [], Counter(), defaultdict(set)
+    for i, text in enumerate(texts):
+        base = plain_spans(text)
+        inside = {p for _, start, end, _ in base for p in range(start, end)}
+        masked = "".join(" " if p in inside else c for p, c in enumerate(text))
+        words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(masked) if len(m[0].lower()) >= pii.LEAST_LETTERS]
+        placed.append(words)
+        n_t.update(w.lower() for *_, w in words)
         for kind, start, end, value in base:
-            left, right = sides(text, start, end)
-            for s, e, w in [(s + start - len(left), e + start - len(left), w) for s, e, w in words(left)] + [(s + end, e + end, w) for s, e, w in words(right)]:
-                k = ((kind, value.lower()), w)
-                if k in gone and not any(b < e and s < x for _, b, x, _ in base):
-                    found[s, e] = found.get((s, e), False) or gone[k]
-        out.append(sorted((s, e, g) for (s, e), g in found.items()))
-    return out
+            for s, e, w in words:
+                if s >= start - pii.WINDOW and e <= end + pii.WINDOW:
+                    beside[w.lower(), kind, value.lower()].add((i, s))
+    bits = {}
+    for (term, *_), where in beside.items():
+        bits[term] = min(bits.get(term, math.inf), math.log2((n_t[term] + o.smoothing) / len(where)))
+
+    def sign(w):
+        if bits[w.lower()] <= o.remove_bits + 1e-12:
+            return ""
+        form = "number" if w.isdecimal() else "code" if any(c.isdecimal() for c in w) else "name" if w[0].isupper() else "word"
+        return pii.FORMS[form]
+
+    return [[(s, e, sign(w)) for s, e, w in words if bits.get(w.lower(), math.inf) <= o.generalise_bits + 1e-12] for words in placed]
 
 
 def named(spans):
@@ -116,21 +103,34 @@ def test_patterns_on_random_texts(spark):
 def test_terms_that_disclose(spark):
     rnd = random.Random(3)
     common = ["the", "meeting", "notes", "from", "today", "about", "plans"]
-    texts = []
-    for i in range(12):
-        texts.append(f"{rnd.choice(common)} {rnd.choice(common)} Jane Quill wrote from jane.q@site.org {rnd.choice(common)} {i}\nother line")
+    texts = [f"{rnd.choice(common)} {rnd.choice(common)}\nJane Quill wrote:\njane.q@site.org {rnd.choice(common)} {i}\nother line" for i in range(12)]
     texts += [" ".join(rnd.choice(common) for _ in range(12)) + ("\nQuill pens" if i % 40 == 0 else "") for i in range(300)]
-    texts += ["call +1 (234) 567-8901 now " + "long " * 60, " " * 200 + "word" * 60 + " a@b.cd"]
+    texts += ["call +1 (234) 567-8901 now " + "long " * 60, " " * 200 + "word" * 60 + " a@b.cd", "Once3 Single beside 10.0.0.1"]
     terms = check(spark, texts)
-    assert any(g for t in terms for *_, g in t) and any(not g for t in terms for *_, g in t)
+    assert any(g == "" for t in terms for *_, g in t) and any(g for t in terms for *_, g in t)
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, base string")
     clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
-    assert "@" not in clean[0].text and "Jane" not in clean[0].text and "<EMAIL>" in clean[0].text and "<TERM>" in clean[0].text
-    assert clean[20].text == texts[20] and clean[20].base == "n"
+    assert "@" not in clean[0].text and "Jane" not in clean[0].text and "<EMAIL>" in clean[0].text and "<NAME>" in clean[0].text
+    assert clean[12].text.endswith("<NAME> pens")  # wherever the term stands
+    assert clean[13].text == texts[13] and clean[13].base == "n"
+    assert clean[len(texts) - 1].text == "<CODE> <NAME> <WORD> <IP>"
+
+
+def test_one_entity_many_times_on_a_line(spark):
+    texts = ["Nora a@b.cd met a@b.cd and wrote a@b.cd", "they met and wrote", "they met", "they wrote", "and so on"]
+    terms = check(spark, texts)
+    assert terms[0] == [(0, 4, "<NAME>")] and not any(terms[1:])  # the occurrence counts once, not once for each address
+
+
+def test_many_entities(spark):
+    texts = [" ".join(f"w{i} u{i % 50}@site.org é" for i in range(3000)), "+1 (234) 567-8901 x@y.zz " * 1500]
+    check(spark, texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any("@" in r.text for r in pii.sanitise(docs).collect())
 
 
 def test_sanitise_against_plain(spark):
-    texts = ["a@b.cd +1 (234) 567-8901, 4111111111111111 and 1.2.3.4", "+4111 1111 1111 1111", "none", "", "é a@b.cd é"]
+    texts = ["a@b.cd +1 (234) 567-8901, 4111111111111111 and 1.2.3.4", "+4111 1111 1111 1111", "and none and", "", "é a@b.cd é"]
     docs = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert got[None] is None
