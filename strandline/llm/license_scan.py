@@ -1,7 +1,14 @@
 """License scans by sentence-rule recognition. DataFrame operations only.
 
-A text is cut into sentences; a sentence is normalised and mapped to a known licence-sentence identifier; the ordered
-identifiers of a text are matched against ordered licence rules. Both tables are parameters; the defaults follow.
+1. A text becomes a line of lower-cased ASCII words between three kinds of separators: a blank; a soft end, where a line
+   ends or where . ! ? : ; stands before white space; a blank line, marks of comments aside. So the marks in front of
+   lines, and the places where lines are wrapped, do not matter.
+2. Known licence sentences are looked for between ends, longest first; inside one, words may be parted by blanks or soft
+   ends, but not by a blank line. Each is normalised and mapped to its identifier.
+3. The identifiers of a text, in order, are matched against ordered licence rules. A rule takes the identifiers that it
+   matches, so a later rule cannot match on them again.
+
+Both tables are parameters; the defaults follow.
 """
 
 from __future__ import annotations
@@ -11,101 +18,185 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of public licence texts, and the identifier of each. Versions that differ only in case,
-#: punctuation or white space are one sentence.
-SENTENCES: tuple[tuple[str, str], ...] = (
+#: Sentences of public licence texts and notices, and the identifier of each. Versions that differ only in
+#: case, punctuation, white space and line breaks are one sentence.
+TEXTS: tuple[tuple[str, str], ...] = (
     ("apache2_line", "Licensed under the Apache License, Version 2.0."),
-    ("apache2_grant", 'Licensed under the Apache License, Version 2.0 (the "License");'),
-    ("apache2_use", "you may not use this file except in compliance with the License."),
+    ("apache2_grant", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("apache2_copy", "You may obtain a copy of the License at"),
     ("apache2_asis", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("apache2_see", "See the License for the specific language governing permissions and limitations under the License."),
     ("mit_line", "Released under the MIT License."),
     ("mit_licensed", "Licensed under the MIT License."),
+    ("mit_title", "The MIT License (MIT)"),
     ("mit_grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("mit_notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit_asis", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ("mit_liable", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc_grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd_grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("isc_asis", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
     ("gpl3_line", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl_free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl_hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("bsd_redistribute", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd_source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd_binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd_endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("bsd_asis", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
     ("mpl2_line", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc_by_nc_line", "Licensed under CC BY-NC 4.0."),
-    ("cc_by_line", "Licensed under CC BY 4.0."),
-    ("cc_by_sa_line", "Licensed under CC BY-SA 4.0."),
+    ("mpl2_copy", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("epl2_line", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("boost_line", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib_asis", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib_grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("unlicense_free", "This is free and unencumbered software released into the public domain."),
+    ("wtfpl_do", "You just DO WHAT THE FUCK YOU WANT TO."),
     ("cc0_line", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("public_domain", "This work is in the public domain."),
     ("reserved_line", "All rights reserved."),
 )
-
-#: Ordered rules (licence, identifiers that follow each other among the recognised sentences of a text).
+#: GNU licences (SPDX stem, name, versions), whose notices differ in these only.
+GNU = (("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",)))
+#: Creative Commons conditions and versions, and licences whose SPDX tag is a sentence of its own.
+CC_KINDS, CC_VERSIONS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"), ("2.0", "2.5", "3.0", "4.0")
+CC_NAMES = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+TAGGED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
+
+
+def _spdx_version(version: str) -> str:
+    return version if "." in version else f"{version}.0"
+
+
+def _made() -> tuple[list[tuple[str, str]], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences and rules that follow from the tables of families."""
+    sentences, rules = [], []
+    for stem, name, versions in GNU:
+        low = stem.lower()
+        subject = "This program" if stem != "LGPL" else "This library"
+        hope = f"{subject} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+        sentences += [(f"{low}_hope", hope)] if stem != "AGPL" else []
+        for v in versions:
+            spdx = f"{stem}-{_spdx_version(v)}"
+            for end, tail in (("or-later", f"either version {v} of the License, or (at your option) any later version."), ("only", f"version {v} of the License.")):
+                key = f"{low}{v}_{end}"
+                sentences.append((key, f"{subject} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, {tail}"))
+                rules += [(f"{spdx}-{end}", (key, "gpl_hope" if stem == "AGPL" else f"{low}_hope")), (f"{spdx}-{end}", (key,))]
+    for kind in CC_KINDS:
+        long = "-".join(CC_NAMES[x] for x in kind.split("-"))
+        for v in CC_VERSIONS:
+            low = f"cc_{kind.lower().replace('-', '_')}_{v}"
+            sentences += [(low, f"Licensed under CC {kind} {v}."), (f"{low}_long", f"This work is licensed under a Creative Commons {long} {v} International License." if v == "4.0" else f"This work is licensed under a Creative Commons {long} {v} Unported License.")]
+            rules += [(f"CC-{kind}-{v}", (low,)), (f"CC-{kind}-{v}", (f"{low}_long",))]
+    for tag in TAGGED:
+        sentences.append((f"spdx_{tag}", f"SPDX-License-Identifier: {tag}"))
+        rules.append((tag, (f"spdx_{tag}",)))
+    return sentences, rules
+
+
+SENTENCES: tuple[tuple[str, str], ...] = (*TEXTS, *_made()[0])
+#: Ordered rules (licence, identifiers that follow each other among the recognised sentences of a text): whole texts first, then parts of them.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("Apache-2.0", ("apache2_grant", "apache2_use", "apache2_copy", "apache2_asis")),
+    ("Apache-2.0", ("apache2_grant", "apache2_copy", "apache2_asis", "apache2_see")),
+    ("Apache-2.0", ("apache2_grant", "apache2_copy", "apache2_asis")),
+    ("Apache-2.0", ("apache2_grant",)),
     ("Apache-2.0", ("apache2_line",)),
-    ("Apache-2.0", ("apache2_grant", "apache2_use")),
+    ("MIT", ("mit_title", "mit_grant", "mit_notice", "mit_asis", "mit_liable")),
+    ("MIT", ("mit_grant", "mit_notice", "mit_asis", "mit_liable")),
     ("MIT", ("mit_grant", "mit_notice", "mit_asis")),
+    ("MIT", ("mit_title",)),
     ("MIT", ("mit_line",)),
     ("MIT", ("mit_licensed",)),
-    ("GPL-3.0-or-later", ("gpl_free", "gpl_hope")),
+    ("ISC", ("isc_grant", "isc_asis")),
+    ("0BSD", ("0bsd_grant", "isc_asis")),
     ("GPL-3.0-only", ("gpl3_line",)),
+    ("BSD-3-Clause", ("bsd_redistribute", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_asis")),
+    ("BSD-2-Clause", ("bsd_redistribute", "bsd_source", "bsd_binary", "bsd_asis")),
     ("BSD-3-Clause", ("bsd_redistribute", "bsd_endorse", "bsd_asis")),
     ("BSD-2-Clause", ("bsd_redistribute", "bsd_asis")),
+    ("MPL-2.0", ("mpl2_line", "mpl2_copy")),
     ("MPL-2.0", ("mpl2_line",)),
-    ("CC-BY-NC-4.0", ("cc_by_nc_line",)),
-    ("CC-BY-4.0", ("cc_by_line",)),
-    ("CC-BY-SA-4.0", ("cc_by_sa_line",)),
+    ("EPL-2.0", ("epl2_line",)),
+    ("BSL-1.0", ("boost_line",)),
+    ("Zlib", ("zlib_asis", "zlib_grant")),
+    ("Unlicense", ("unlicense_free",)),
+    ("WTFPL", ("wtfpl_do",)),
     ("CC0-1.0", ("cc0_line",)),
+    *_made()[1],
+    ("LicenseRef-public-domain", ("public_domain",)),
     ("LicenseRef-all-rights-reserved", ("reserved_line",)),
 )
 
-#: A sentence ends at a line break, or at . ! ? : ; before white space. A line break inside a sentence of the table above is not joined.
-SENTENCE_END = r"\n+|[.!?:;][ \t\r]+"
-#: In a normalised sentence everything but ASCII letters and digits is one space, and letters are lower-case.
-NOT_WORD = r"[^A-Za-z0-9]+"
+#: Steps that turn a text into words and ends: (pattern, what stands for it). SOFT ends a line or sentence, HARD is a blank line.
+SOFT, HARD = "\u0001", "\u0002"
+STEPS = (
+    (r"\n[^A-Za-z0-9\n]*\n[^A-Za-z0-9]*", HARD),
+    (r"\n", SOFT),
+    (r"[.!?:;]([ \t\r\x01\x02]|$)", SOFT + "$1"),
+    (r"[^A-Za-z0-9\x01\x02]+", " "),
+)
 
 
 def normalise(sentence: str) -> str:
-    return re.sub(NOT_WORD, " ", sentence).strip().lower()
+    """Lower-case ASCII words, single blanks."""
+    return re.sub(r"[^A-Za-z0-9]+", " ", sentence).strip().lower()
 
 
-def known_parts(sentences: tuple[tuple[str, str], ...] = SENTENCES) -> dict[str, str]:
-    """Normalised sentence -> identifier, after cutting each known text as scanned texts are cut: identifier, identifier#2..."""
+def known_sentences(sentences: tuple[tuple[str, str], ...] = SENTENCES) -> dict[str, str]:
+    """Normalised sentence -> identifier; of equal ones the first counts."""
     out: dict[str, str] = {}
     for name, text in sentences:
-        parts = [n for x in re.split(SENTENCE_END, text) if (n := normalise(x))]
-        for i, n in enumerate(parts):
-            out.setdefault(n, name if i == 0 else f"{name}#{i + 1}")
+        out.setdefault(normalise(text), name)
     return out
 
 
+def wanted(known: dict[str, str]) -> str:
+    """A pattern of all known sentences, longest first, whose words may be parted by blanks and soft ends."""
+    longest = sorted(known, key=lambda n: (-len(n), n))
+    return "|".join("[ \\x01]+".join(n.split(" ")) for n in longest)
+
+
 def expanded_rules(sentences=SENTENCES, rules=RULES) -> list[tuple[str, str]]:
-    """(licence, ';a;b;') in order: each identifier of a rule followed by the identifiers of its later parts."""
-    parts, known = {}, known_parts(sentences)
-    for name, text in sentences:
-        parts[name] = [known[n] for x in re.split(SENTENCE_END, text) if (n := normalise(x))]
-    return [(licence, ";" + ";".join(p for name in names for p in parts[name]) + ";") for licence, names in rules]
+    """(licence, ';a;;b;') in order; an identifier that shares its sentence with an earlier one counts as that."""
+    known = known_sentences(sentences)
+    name_of = {name: known[normalise(text)] for name, text in sentences}
+    return [(licence, "".join(f";{name_of[n]};" for n in names)) for licence, names in rules]
+
+
+def words_and_ends(text: Column) -> Column:
+    """The text after STEPS, lower-cased."""
+    out = text
+    for pattern, sign in STEPS:
+        # possessive, so that a long run without a match is passed once
+        out = F.regexp_replace(out, pattern.replace("]*", "]*+").replace("]+", "]++"), sign)
+    return F.lower(out)
 
 
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     words = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    plain = F.transform(F.split(text, SENTENCE_END, -1), lambda s: F.lower(F.trim(F.regexp_replace(s, NOT_WORD, " "))))
-    return F.filter(F.transform(plain, lambda s: F.element_at(words, s)), lambda x: x.isNotNull())
+    pattern = f"(?<=^|^ |[\\x01\\x02]|[\\x01\\x02] )(?:{wanted(known).replace(']+', ']++')})(?= ?(?:[\\x01\\x02]|$))"
+    return F.transform(F.regexp_extract_all(words_and_ends(text), F.lit(pattern), F.lit(0)), lambda s: F.element_at(words, F.regexp_replace(s, "[ \\x01]+", " ")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """One row for each row of docs: id, n_sentences (recognised), sentence_ids, licenses, n_licenses.
 
     sentence_ids: the identifiers in order, joined by ';'. A rule matches if its identifiers follow each other in that
-    order, other text between them aside. Rules are tried in the order of the table; licenses are the distinct licences
-    that match, in that order. Null and empty texts have no licence. Rows repeat as they do in docs; an empty table
-    gives an empty result; other columns play no part.
+    order, text that is no known sentence aside. Rules are tried in the order of the table, and each takes all places
+    where it matches; licenses are the distinct licences that match, in that order. Null and empty texts have no
+    licence. Rows repeat as they do in docs; null ids stay null; an empty table gives an empty result; other columns
+    play no part.
     """
-    known = known_parts(sentences)
-    ids = docs.select(F.col(id_col), sentence_ids(F.coalesce(F.col(text_col), F.lit("")), known).alias("ids"))
-    joined = F.concat(F.lit(";"), F.array_join("ids", ";"), F.lit(";"))
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.col("joined"), F.lit(seq)), F.lit(lic)) for lic, seq in expanded_rules(sentences, rules)])))
-    out = ids.withColumn("joined", joined).withColumn("found", found)
+    ids = docs.select(F.col(id_col), sentence_ids(F.coalesce(F.col(text_col), F.lit("")), known_sentences(sentences)).alias("ids"))
+    table = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(sequence).alias("sequence")) for licence, sequence in expanded_rules(sentences, rules)])
+    start = F.struct(F.array_join(F.transform("ids", lambda x: F.concat(F.lit(";"), x, F.lit(";"))), "").alias("left"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, rule: Column) -> Column:
+        hit = F.contains(acc["left"], rule["sequence"])
+        left = F.when(hit, F.replace(acc["left"], rule["sequence"], F.lit("#"))).otherwise(acc["left"])
+        return F.struct(left.alias("left"), F.when(hit, F.array_append(acc["found"], rule["licence"])).otherwise(acc["found"]).alias("found"))
+
+    found = F.when(F.size("ids") > 0, F.array_distinct(F.aggregate(table, start, step)["found"])).otherwise(F.array().cast("array<string>"))
+    out = ids.withColumn("found", found)
     return out.select(
         F.col(id_col),
         F.size("ids").cast("long").alias("n_sentences"),

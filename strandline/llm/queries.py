@@ -31,21 +31,25 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sql() -> str:
+    """The steps in RE2, with every end doubled so that each sentence has its own; then one step for each rule."""
     def quote(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    known = license_scan.known_parts()
+    known = license_scan.known_sentences()
     words = f"MAP([{', '.join(map(quote, known))}], [{', '.join(map(quote, known.values()))}])"
-    tries = ", ".join(f"CASE WHEN contains(joined, {quote(seq)}) THEN {quote(lic)} END" for lic, seq in license_scan.expanded_rules())
+    text = "coalesce(text, '')"
+    for pattern, sign in license_scan.STEPS:
+        text = f"regexp_replace({text}, {quote(pattern)}, {quote(sign.replace('$1', chr(92) + '1'))}, 'g')"
+    ends = f"chr(1) || replace(replace(lower({text}), chr(1), chr(1) || chr(1)), chr(2), chr(2) || chr(2)) || chr(1)"
+    found = f"regexp_extract_all({ends}, {quote('[' + chr(92) + 'x01' + chr(92) + 'x02] ?(' + license_scan.wanted(known) + ') ?[' + chr(92) + 'x01' + chr(92) + 'x02]')}, 1)"
+    rules = license_scan.expanded_rules()
+    steps = [f"r{i + 1} AS (SELECT rid, CASE WHEN contains(l, {quote(seq)}) THEN replace(l, {quote(seq)}, '#') ELSE l END AS l, CASE WHEN contains(l, {quote(seq)}) THEN list_append(f, {quote(lic)}) ELSE f END AS f FROM r{i})" for i, (lic, seq) in enumerate(rules)]
     return f"""
-WITH parts AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\n+|[.!?:;][ \\t\\r]+') AS p FROM documents),
-cut AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts),
-plain AS (SELECT doc_id, i, lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS s FROM cut),
-ids AS (SELECT doc_id, string_agg(k, ';' ORDER BY i) AS ids, count(*) AS n FROM (SELECT doc_id, i, {words}[s] AS k FROM plain) WHERE k IS NOT NULL GROUP BY doc_id),
-alldocs AS (SELECT d.doc_id, coalesce(ids, '') AS ids, coalesce(n, 0) AS n, ';' || coalesce(ids, '') || ';' AS joined FROM documents d LEFT JOIN ids USING (doc_id)),
-hits AS (SELECT *, list_filter([{tries}], lambda x: x IS NOT NULL) AS l FROM alldocs),
-firsts AS (SELECT *, list_filter(l, lambda x, j: list_position(l, x) = j) AS found FROM hits)
-SELECT doc_id, n AS n_sentences, ids AS sentence_ids, coalesce(array_to_string(found, ';'), '') AS licenses, CAST(len(found) AS BIGINT) AS n_licenses FROM firsts"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_transform({found}, lambda s: {words}[regexp_replace(s, '[ \\x01]+', ' ', 'g')]) AS ids FROM documents),
+r0 AS (SELECT rid, ';' || array_to_string(ids, ';;') || ';' AS l, CAST([] AS VARCHAR[]) AS f FROM d WHERE len(ids) > 0),
+{", ".join(chr(10) + s for s in steps)},
+firsts AS (SELECT rid, list_filter(f, lambda x, j: list_position(f, x) = j) AS found FROM r{len(rules)})
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ';') AS sentence_ids, coalesce(array_to_string(found, ';'), '') AS licenses, CAST(coalesce(len(found), 0) AS BIGINT) AS n_licenses FROM d LEFT JOIN firsts USING (rid)"""
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

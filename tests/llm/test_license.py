@@ -1,42 +1,166 @@
 from __future__ import annotations
 
+import random
+import re
+import textwrap
+
 from strandline.llm import license_scan as ls
 
 BY_NAME = dict(ls.SENTENCES)
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Some Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+"""
+BSD3 = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.
+#
+# 2. Redistributions in binary form must reproduce the above copyright notice,
+#    this list of conditions and the following disclaimer in the documentation
+#    and/or other materials provided with the distribution.
+#
+# 3. Neither the name of the copyright holder nor the names of its
+#    contributors may be used to endorse or promote products derived from
+#    this software without specific prior written permission.
+#
+# THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+# AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+# IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+# DISCLAIMED.
+"""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
 
 def scan(spark, rows, **options):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")
     return {r.doc_id: r for r in ls.scan_licenses(df, **options).collect()}
 
 
-def brute(text: str) -> tuple[list[str], list[str]]:
-    import re
-
-    known = ls.known_parts()
-    ids = [known[n] for s in re.split(ls.SENTENCE_END, text or "") if (n := ls.normalise(s)) in known]
-    line = ";" + ";".join(ids) + ";"
-    found = []
-    for licence, sequence in ls.expanded_rules():
-        if sequence in line and licence not in found:
-            found.append(licence)
+def brute(text: str | None, sentences=ls.SENTENCES, rules=ls.RULES) -> tuple[list[str], list[str]]:
+    """Word by word: what parts two words, every known sentence tried at every end, rules on lists."""
+    text = text or ""
+    words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", text)]
+    after = []
+    for i, (_, _, end) in enumerate(words):
+        gap = text[end : words[i + 1][1]] if i + 1 < len(words) else "\n\n"
+        after.append(2 if gap.count("\n") > 1 else 1 if "\n" in gap or re.search("[.!?:;][ \t\r]", gap) else 0)
+    tables: dict[tuple, str] = {}
+    for name, sentence in sentences:
+        tables.setdefault(tuple(re.findall("[a-z0-9]+", sentence.lower())), name)
+    longest = sorted(tables, key=lambda t: -len(" ".join(t)))
+    ids, i = [], 0
+    while i < len(words):
+        step = 1
+        if i == 0 or after[i - 1]:
+            for known in longest:
+                end = i + len(known)
+                if end <= len(words) and tuple(w for w, *_ in words[i:end]) == known and after[end - 1] and 2 not in after[i : end - 1]:
+                    ids.append(tables[known])
+                    step = len(known)
+                    break
+        i += step
+    names = {name: tables[tuple(re.findall("[a-z0-9]+", sentence.lower()))] for name, sentence in sentences}
+    left, found = list(ids), []
+    for licence, sequence in rules:
+        sequence = [names[n] for n in sequence]
+        at = 0
+        while at + len(sequence) <= len(left):
+            if left[at : at + len(sequence)] == sequence:
+                left[at : at + len(sequence)] = [None]
+                if licence not in found:
+                    found.append(licence)
+            at += 1
     return ids, found
 
 
-def test_rules_over_texts(spark):
-    mit = "\n".join(["Some header.", BY_NAME["mit_grant"], "", BY_NAME["mit_notice"], BY_NAME["mit_asis"]])
-    apache = "\n * ".join(BY_NAME[n] for n in ("apache2_grant", "apache2_use", "apache2_copy", "apache2_asis")) + "\nhttp://www.apache.org/licenses/LICENSE-2.0"
-    rows = [
-        (1, mit), (2, apache), (3, "text. Released under  the MIT License.\nmore"), (4, BY_NAME["mit_asis"] + "\n" + BY_NAME["mit_grant"]), (5, None), (6, ""), (7, "LICENSED UNDER CC BY-NC 4.0"),
-        (8, BY_NAME["gpl_free"] + " " + BY_NAME["gpl_hope"]), (9, "word " * 50_000 + "\nAll rights reserved."), (10, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nReleased under the MIT License."),
-    ]
+def check(spark, rows):
     got = scan(spark, rows)
     assert len(got) == len(rows)
     for i, text in rows:
         ids, found = brute(text)
-        assert (got[i].sentence_ids, got[i].licenses, got[i].n_sentences, got[i].n_licenses) == (";".join(ids), ";".join(found), len(ids), len(found))
-    assert got[1].licenses == "MIT" and got[2].licenses == "Apache-2.0" and got[3].licenses == "MIT" and got[4].licenses == ""
-    assert got[7].licenses == "CC-BY-NC-4.0" and got[8].licenses == "GPL-3.0-or-later" and got[9].licenses == "LicenseRef-all-rights-reserved" and got[10].licenses == "Apache-2.0;MIT"
+        assert (got[i].sentence_ids, got[i].licenses, got[i].n_sentences, got[i].n_licenses) == (";".join(ids), ";".join(found), len(ids), len(found)), text
+    return got
+
+
+def test_published_texts(spark):
+    texts = [MIT, APACHE, BSD3, GPL2, MIT.replace("\n", "\r\n"), MIT + "\n" + APACHE, "x = 1  // SPDX-License-Identifier: BSD-2-Clause\ny = 2", "// SPDX-License-Identifier: MIT\n", GPL2.replace("\n    ", "\n// ")]
+    got = check(spark, list(enumerate(texts)))
+    assert [got[i].licenses for i in range(len(texts))] == ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-2.0-or-later", "MIT", "Apache-2.0;MIT", "", "MIT", "GPL-2.0-or-later"]
+
+
+def test_an_earlier_rule_takes_its_sentences(spark):
+    got = check(spark, [(1, MIT), (2, BSD3), (3, MIT + "\n\nThe MIT License (MIT)\n\nThe MIT License (MIT)\n")])
+    rules = (("whole", ("mit_title", "mit_grant")), ("title", ("mit_title",)))
+    got = scan(spark, [(1, MIT), (2, MIT + "\n" + "The MIT License (MIT)")], rules=rules)
+    assert got[1].licenses == "whole" and got[2].licenses == "whole;title"
+
+
+def test_rules_over_texts(spark):
+    mit = "\n".join(["Some header.", BY_NAME["mit_grant"], "", BY_NAME["mit_notice"], BY_NAME["mit_asis"]])
+    rows = [
+        (1, mit), (3, "text. Released under  the MIT License.\nmore"), (4, BY_NAME["mit_asis"] + "\n" + BY_NAME["mit_grant"]), (5, None), (6, ""), (7, "LICENSED UNDER CC BY-NC 4.0"),
+        (8, "no end Released under the MIT License."), (9, "word " * 50_000 + "\nAll rights reserved."), (10, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nReleased under the MIT License."),
+        (11, "Licensed under\n\nthe MIT License."), (12, "—" * 20_000 + "\n" * 3000 + "All rights\nreserved"), (13, "All rights reserved"), (14, " \n All rights reserved \n "),
+    ]
+    got = check(spark, rows)
+    assert got[1].licenses == "MIT" and got[3].licenses == "MIT" and got[4].licenses == "" and got[7].licenses == "CC-BY-NC-4.0" and got[8].licenses == "" and got[11].licenses == ""
+    assert got[9].licenses == got[12].licenses == "LicenseRef-all-rights-reserved" and got[10].licenses == "Apache-2.0;MIT"
+
+
+def test_random_wrapping(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(150):
+        parts = [rnd.choice(["some other words", *BY_NAME.values()]) for _ in range(rnd.randint(1, 6))]
+        text = rnd.choice(["\n", "\n\n", " ", ". "]).join(parts)
+        mark = rnd.choice(["", "# ", " * ", "// "])
+        rows.append((i, rnd.choice([str, str.upper])("\n".join(mark + x for p in text.split("\n") for x in (textwrap.wrap(p, rnd.randint(20, 90)) or [""])))))
+    got = check(spark, rows)
+    assert sum(r.n_licenses for r in got.values()) > 50
 
 
 def test_repeated_and_empty(spark):
