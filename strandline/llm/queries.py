@@ -56,6 +56,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+#: Levels that the SQL of op3 goes down; the tables' paths have three segments at most, and the query itself goes as deep as they do.
+SQL_LEVELS = 8
+
+
 def op3_sql() -> str:
     """Split, rules and generalised segments, then one set of steps for each level of the tree."""
     o = url_filter.TreeOptions()
@@ -75,28 +79,29 @@ def op3_sql() -> str:
         "p0 AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         f"p1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0)",
         f"p2 AS (SELECT *, {rule} AS rule, {ruled} AS ruled, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM p1)",
-        f"p3 AS (SELECT *, list_concat(list_transform(parts[1:{o.depth}], lambda s: {kind}), CASE WHEN len(parts) > {o.depth} THEN ['{{+' || (len(parts) - {o.depth}) || '}}'] ELSE [] END) AS segs FROM p2)",
+        f"p3 AS (SELECT *, list_transform(parts, lambda s: {kind}) AS segs FROM p2)",
         "counts AS (SELECT host, segs, count(*) AS n, count(ruled) AS l, count(*) FILTER (ruled = 'block') AS b FROM p3 GROUP BY host, segs)",
         "root AS (SELECT (sum(b) + 1.0::DOUBLE) / (sum(l) + 2.0::DOUBLE) AS r FROM counts)",
-        f"hosts AS (SELECT host, (sum(b) + {m} * any_value(r)) / (sum(l) + {m}) AS share FROM counts, root GROUP BY host)",
-        "at0 AS (SELECT host, segs, n, l, b, share, '' AS node FROM counts JOIN hosts USING (host))",
+        f"hosts AS (SELECT host, (sum(b) + {m} * any_value(r)) / (sum(l) + {m}) AS share, sum(l) > 0 AS open FROM counts, root GROUP BY host)",
+        "at0 AS (SELECT host, segs, n, l, b, '' AS node, share, open FROM counts JOIN hosts USING (host))",
     ]
-    by = "(PARTITION BY host, node, l > 0 ORDER BY CASE WHEN l > 0 THEN CAST(b AS DOUBLE) / l END, branch"
-    pooled = "((b + lag(b) OVER w + 1.0::DOUBLE) / (l + lag(l) OVER w + 2.0::DOUBLE))"
-    for k in range(o.depth + 1):
+    # a run's state and each entry are of one type: counts, the run's number, and the numbers given so far
+    pooled = "((x.b + y.b + 1.0::DOUBLE) / (x.l + y.l + 2.0::DOUBLE))"
+    apart = f"abs(CAST(y.b AS DOUBLE) / y.l - CAST(x.b AS DOUBLE) / x.l) > {z} * sqrt({pooled} * (1.0::DOUBLE - {pooled}) * (1.0::DOUBLE / y.l + 1.0::DOUBLE / x.l))"
+    fold = f"list_reduce(list({{'l': l, 'b': b, 'run': 0, 'told': [{{'bin': bin, 'run': 0}}]}} ORDER BY bin), lambda x, y: CASE WHEN {apart} THEN {{'l': y.l, 'b': y.b, 'run': x.run + 1, 'told': list_append(x.told, {{'bin': y.told[1].bin, 'run': x.run + 1}})}} ELSE {{'l': x.l + y.l, 'b': x.b + y.b, 'run': x.run, 'told': list_append(x.told, {{'bin': y.told[1].bin, 'run': x.run}})}} END).told"
+    for k in range(SQL_LEVELS):
         steps += [
-            f"ch{k} AS (SELECT host, node, segs[{k + 1}] AS seg, CAST(sum(n) AS BIGINT) AS n, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, max(share) AS parent FROM at{k} WHERE len(segs) > {k} GROUP BY 1, 2, 3)",
-            f"nm{k} AS (SELECT *, CASE WHEN NOT starts_with(seg, '{{') AND n * {o.max_children} < sum(n) OVER (PARTITION BY host, node) THEN '*' ELSE seg END AS branch FROM ch{k})",
-            f"br{k} AS (SELECT host, node, branch, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, max(parent) AS parent FROM nm{k} GROUP BY 1, 2, 3)",
-            f"ap{k} AS (SELECT *, CASE WHEN l = 0 OR lag(l) OVER w IS NULL THEN 1 WHEN abs(CAST(b AS DOUBLE) / l - CAST(lag(b) OVER w AS DOUBLE) / lag(l) OVER w) > {z} * sqrt({pooled} * (1.0::DOUBLE - {pooled}) * (1.0::DOUBLE / l + 1.0::DOUBLE / lag(l) OVER w)) THEN 1 ELSE 0 END AS apart FROM br{k} WINDOW w AS {by}))",
-            f"rn{k} AS (SELECT *, sum(apart) OVER {by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ap{k})",
-            f"mg{k} AS (SELECT host, node, l > 0 AS known, run, string_agg(branch, '|' ORDER BY branch) AS name, (sum(b) + {m} * max(parent)) / (sum(l) + {m}) AS share FROM rn{k} GROUP BY 1, 2, 3, 4)",
-            f"st{k} AS (SELECT nm{k}.host, nm{k}.node, nm{k}.seg, g.name, g.share FROM nm{k} JOIN rn{k} r USING (host, node, branch) JOIN mg{k} g ON g.host = r.host AND g.node = r.node AND g.known = (r.l > 0) AND g.run = r.run)",
-            f"at{k + 1} AS (SELECT a.host, a.segs, a.n, a.l, a.b, s.share, a.node || '/' || s.name AS node FROM at{k} a JOIN st{k} s ON s.host = a.host AND s.node = a.node AND s.seg = a.segs[{k + 1}] WHERE len(a.segs) > {k} UNION ALL SELECT host, segs, n, l, b, share, node FROM at{k} WHERE len(segs) <= {k})",
+            f"ch{k} AS (SELECT host, node, segs[{k + 1}] AS seg, CAST(sum(n) AS BIGINT) AS n, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, max(share) AS parent FROM at{k} WHERE open AND len(segs) > {k} GROUP BY 1, 2, 3)",
+            f"kn{k} AS (SELECT *, b * {o.bins} // l AS bin FROM ch{k} WHERE l > 0)",
+            f"bn{k} AS (SELECT host, node, bin, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, min(seg) AS first, count(*) AS many, max(parent) AS parent FROM kn{k} GROUP BY 1, 2, 3)",
+            f"rn{k} AS (SELECT host, node, t.bin, t.run FROM (SELECT host, node, unnest({fold}) AS t FROM bn{k} GROUP BY host, node))",
+            f"mg{k} AS (SELECT host, node, run, CASE WHEN sum(many) > 1 THEN min(first) || '|+' || (sum(many) - 1) ELSE min(first) END AS name, (sum(b) + {m} * max(parent)) / (sum(l) + {m}) AS share FROM bn{k} JOIN rn{k} USING (host, node, bin) GROUP BY 1, 2, 3)",
+            f"st{k} AS (SELECT host, node, seg, name, share, true AS open FROM kn{k} JOIN rn{k} USING (host, node, bin) JOIN mg{k} USING (host, node, run) UNION ALL SELECT host, node, seg, CASE WHEN NOT starts_with(seg, '{{') AND n * {o.max_children} < of THEN '*' ELSE seg END, parent, false FROM (SELECT *, sum(n) OVER (PARTITION BY host, node) AS of FROM ch{k}) WHERE l = 0)",
+            f"at{k + 1} AS (SELECT a.host, a.segs, a.n, a.l, a.b, a.node || '/' || s.name AS node, s.share, s.open FROM at{k} a JOIN st{k} s ON s.host = a.host AND s.node = a.node AND s.seg = a.segs[{k + 1}] WHERE a.open AND len(a.segs) > {k} UNION ALL SELECT host, segs, n, l, b, node, share, false FROM at{k} WHERE NOT (open AND len(segs) > {k}))",
         ]
     return "WITH " + ",\n".join(steps) + f"""
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN share > {o.worst!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN node = '' THEN '/' ELSE node END AS template, share AS blocked_share
-FROM p3 JOIN at{o.depth + 1} USING (host, segs)"""
+FROM p3 JOIN at{SQL_LEVELS} USING (host, segs)"""
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

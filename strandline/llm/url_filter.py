@@ -1,13 +1,17 @@
 """URL filters: explicit rules first, then a path-template tree per host learned from labelled urls.
 
 1. A path is cut into segments; segments that vary by form (numbers, hashes, mixed) become wildcards of their kind.
-2. Level by level, literal segments of a parent with labelled urls stay apart, however rare. Those without any label
-   become one wildcard where each has less than 1/max_children of the parent's urls; all of them inherit its share.
-3. Labelled sibling branches whose shares of blocked urls do not differ significantly are merged into one branch.
+2. Level by level, the labelled branches of a node are merged where their shares of blocked urls do not differ
+   significantly: in the order of their shares each is held against the pooled run of those before it, not just against
+   the last one, so a slow drift ends a run. Branches whose shares fall into one of ``bins`` intervals are pooled first.
+3. Branches without any label inherit the node's share; those with less than 1/max_children of its urls become one
+   wildcard. Nothing is learned below them, so the tree goes no further there.
 4. Each node's share of blocked urls is smoothed towards its parent's, the host's and the whole table's. A url whose
    deepest node is blocked by more than the allowed share is rejected.
 
-Counts are summed per distinct generalised path before anything else is shuffled, so a hot host is a few rows.
+Counts are summed per distinct generalised path before anything else is shuffled, so a hot host is a few rows; a node's
+branches are summed per interval before they meet in one row, which so has at most bins + 1 entries. A level is one
+written table; levels end with the labelled paths.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandline.llm.common import ascii_lower, materialize
 
@@ -32,10 +35,11 @@ RULES: tuple[tuple[str, str], ...] = (
 
 @dataclass(frozen=True)
 class TreeOptions:
-    """depth: levels of the tree; deeper segments count as their number only. smoothing: urls that a parent's share weighs.
+    """levels: segments past so many stand together as one. bins: intervals of shares. smoothing: urls that a parent's share weighs.
     z: a merge needs a difference below so many standard errors. worst: more blocked urls than this share reject a template."""
 
-    depth: int = 4
+    levels: int = 64
+    bins: int = 200
     max_children: int = 20
     smoothing: float = 4.0
     z: float = 1.96
@@ -60,8 +64,8 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The segments of a path in general form; those beyond depth become one that tells how many there are."""
+def segments(path: Column, levels: int) -> Column:
+    """The segments of a path in general form; those from the last level on are joined to one."""
     def general(s: Column) -> Column:
         stem, end = F.regexp_extract(s, r"^(.*?)(\.[A-Za-z]{1,5})?$", 1), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})?$", 0)
         kind = (
@@ -71,9 +75,55 @@ def segments(path: Column, depth: int) -> Column:
         )
         return F.when(kind.isNotNull(), F.concat(kind, end)).otherwise(s)
 
-    parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    head = F.transform(F.slice(parts, 1, depth), general)
-    return F.when(F.size(parts) > depth, F.concat(head, F.array(F.concat(F.lit("{+"), (F.size(parts) - depth).cast("string"), F.lit("}"))))).otherwise(head)
+    parts = F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
+    tail = F.array(F.array_join(F.slice(parts, levels, F.greatest(F.size(parts), F.lit(1))), "/"))
+    return F.when(F.size(parts) > levels, F.concat(F.slice(parts, 1, levels - 1), tail)).otherwise(parts)
+
+
+def _runs(bins: Column, z: float) -> Column:
+    """array<struct<bin, run>> for an array of struct<bin, l, b> sorted by bin: each is held against the pooled run before it."""
+    none = F.array().cast("array<struct<bin:bigint,run:int>>")
+    start = F.struct(F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("b"), F.lit(-1).alias("run"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        l, b, l0, b0 = x["l"].cast("double"), x["b"].cast("double"), acc["l"].cast("double"), acc["b"].cast("double")
+        pooled = (b + b0 + 1.0) / (l + l0 + 2.0)
+        error = F.sqrt(pooled * (1.0 - pooled) * (1.0 / l + F.try_divide(F.lit(1.0), l0)))
+        apart = F.coalesce(F.abs(b / l - F.try_divide(b0, l0)) > F.lit(z) * error, F.lit(True))
+        run = F.when(apart, acc["run"] + 1).otherwise(acc["run"])
+        return F.struct(
+            F.when(apart, x["l"]).otherwise(acc["l"] + x["l"]).alias("l"),
+            F.when(apart, x["b"]).otherwise(acc["b"] + x["b"]).alias("b"),
+            run.alias("run"),
+            F.array_append(acc["out"], F.struct(x["bin"].alias("bin"), run.alias("run"))).alias("out"),
+        )
+
+    return F.aggregate(bins, start, step)["out"]
+
+
+def _level(at: DataFrame, level: int, options: TreeOptions) -> DataFrame:
+    """at: (host, segs, n, labelled, blocked, node, share, open). The open paths that go on at this level get the next node."""
+    m = F.lit(float(options.smoothing))
+    goes_on = F.col("open") & (F.size("segs") > level)
+    deeper = at.filter(goes_on).withColumn("seg", F.get("segs", F.lit(level)))
+    key = ["host", "node"]
+    children = deeper.groupBy(*key, "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("share").alias("parent"))
+    in_bin = F.expr(f"b * {int(options.bins)} div l")
+    known = children.filter("l > 0").withColumn("bin", in_bin)
+    bins = known.groupBy(*key, "bin").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.min("seg").alias("first"), F.count(F.lit(1)).alias("many"), F.max("parent").alias("parent"))
+    runs = bins.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bin", "l", "b"))).alias("bins")).select(*key, F.inline(_runs(F.col("bins"), options.z)))
+    of_bin = bins.join(runs, [*key, "bin"])
+    merged = of_bin.groupBy(*key, "run").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.min("first").alias("first"), F.sum("many").alias("many"), F.max("parent").alias("parent"))
+    # a name tells the first of the merged branches and how many follow
+    name = F.when(F.col("many") > 1, F.concat("first", F.lit("|+"), (F.col("many") - 1).cast("string"))).otherwise(F.col("first"))
+    merged = merged.select(*key, "run", name.alias("name"), ((F.col("b") + m * F.col("parent")) / (F.col("l") + m)).alias("share_here"))
+    learned = known.select(*key, "seg", "bin").join(runs, [*key, "bin"]).join(merged, [*key, "run"]).select(*key, "seg", "name", "share_here", F.lit(True).alias("labelled_here"))
+    totals = children.groupBy(*key).agg(F.sum("n").alias("of"))
+    rare = ~F.startswith(F.col("seg"), F.lit("{")) & (F.col("n") * options.max_children < F.col("of"))
+    others = children.filter("l = 0").join(totals, key).select(*key, "seg", F.when(rare, F.lit("*")).otherwise(F.col("seg")).alias("name"), F.col("parent").alias("share_here"), F.lit(False).alias("labelled_here"))
+    moved = deeper.join(learned.unionByName(others), [*key, "seg"])
+    moved = moved.select("host", "segs", "n", "labelled", "blocked", F.concat("node", F.lit("/"), "name").alias("node"), F.col("share_here").alias("share"), F.col("labelled_here").alias("open"))
+    return moved.unionByName(at.filter(~goes_on).withColumn("open", F.lit(False)))
 
 
 def learn_templates(counts: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
@@ -83,43 +133,14 @@ def learn_templates(counts: DataFrame, options: TreeOptions = TreeOptions()) ->
     table's share; without any label that is one half.
     """
     m = F.lit(float(options.smoothing))
-    total = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
+    longest = F.max(F.when(F.col("labelled") > 0, F.size("segs")).otherwise(0))
+    total = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(longest, F.lit(0)).alias("levels")).first()
     root = (total["b"] + 1.0) / (total["l"] + 2.0)
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    hosts = hosts.select("host", ((F.col("b") + m * F.lit(root)) / (F.col("l") + m)).alias("share"))
-    at = materialize(counts.join(hosts, "host").withColumn("node", F.lit("")), "url-level-0")
-    for level in range(options.depth + 1):
-        seg = F.get("segs", F.lit(level))
-        deeper = at.filter(F.size("segs") > level).withColumn("seg", seg)
-        children = deeper.groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("share").alias("parent"))
-        children = materialize(children, f"url-children-{level}")
-        parents = children.groupBy("host", "node").agg(F.sum("n").alias("of"))
-        literal = ~F.startswith(F.col("seg"), F.lit("{"))
-        named = children.join(parents, ["host", "node"]).withColumn("branch", F.when(literal & (F.col("l") == 0) & (F.col("n") * options.max_children < F.col("of")), F.lit("*")).otherwise(F.col("seg")))
-        named = materialize(named.select("host", "node", "seg", "branch", "n", "l", "b", "parent"), f"url-named-{level}")
-        branches = named.groupBy("host", "node", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("parent").alias("parent"))
-        # a parent's labelled branches, sorted and streamed
-        by_share = Window.partitionBy("host", "node", F.col("l") > 0).orderBy(F.try_divide("b", "l"), "branch")
-        l, b, l0, b0 = F.col("l"), F.col("b"), F.lag("l").over(by_share), F.lag("b").over(by_share)
-        pooled = (b + b0 + 1.0) / (l + l0 + 2.0)
-        error = F.sqrt(pooled * (1.0 - pooled) * (F.try_divide(F.lit(1.0), l) + F.try_divide(F.lit(1.0), l0)))
-        apart = F.when((l == 0) | l0.isNull(), 1).when(F.abs(F.try_divide(b, l) - F.try_divide(b0, l0)) > F.lit(options.z) * error, 1).otherwise(0)
-        run = branches.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
-        # a name lists its members, or where they are more than max_children tells the first one and how many follow
-        group = ["host", "node", "known", "run"]
-        run = run.withColumn("known", F.col("l") > 0)
-        run = run.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("branch")))
-        merged = run.groupBy(*group).agg(
-            F.collect_list(F.when(F.col("place") <= options.max_children, F.col("branch"))).alias("members"), F.min("branch").alias("first"), F.count(F.lit(1)).alias("many"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("parent").alias("parent")
-        )
-        name = F.when(F.col("many") <= options.max_children, F.array_join(F.array_sort("members"), "|")).otherwise(F.concat("first", F.lit("|+"), (F.col("many") - 1).cast("string")))
-        merged = merged.select(*group, name.alias("name"), ((F.col("b") + m * F.col("parent")) / (F.col("l") + m)).alias("share_here"))
-        merged = run.select(*group, "branch").join(merged, group).drop("known", "run")
-        step = materialize(named.join(merged, ["host", "node", "branch"]).select("host", "node", "seg", "name", "share_here"), f"url-step-{level}")
-        moved = deeper.join(step, ["host", "node", "seg"])
-        moved = moved.select("host", "segs", "n", "labelled", "blocked", F.col("share_here").alias("share"), F.concat("node", F.lit("/"), "name").alias("node"))
-        rest = at.filter(F.size("segs") <= level).select("host", "segs", "n", "labelled", "blocked", "share", "node")
-        at = materialize(moved.unionByName(rest), f"url-level-{level + 1}")
+    hosts = hosts.select("host", ((F.col("b") + m * F.lit(root)) / (F.col("l") + m)).alias("share"), (F.col("l") > 0).alias("open"))
+    at = counts.join(hosts, "host").select("host", "segs", "n", "labelled", "blocked", F.lit("").alias("node"), "share", "open")
+    for level in range(total["levels"]):
+        at = materialize(_level(at, level, options), f"url-level-{level + 1}")
     return at.select("host", "segs", F.when(F.col("node") == "", F.lit("/")).otherwise(F.col("node")).alias("template"), F.col("share").alias("blocked_share"))
 
 
@@ -137,7 +158,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = split_url(F.col("url"))
     rows = rows.select("id", host.alias("host"), path.alias("path"), "label")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "label", segments(F.col("path"), options.depth).alias("segs"))
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "label", segments(F.col("path"), options.levels).alias("segs"))
     known = F.col("label") if label_col else F.col("ruled")
     counts = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum(known.isNotNull().cast("long")).alias("labelled"), F.sum(F.coalesce((known == "block").cast("long"), F.lit(0))).alias("blocked"))
     learned = learn_templates(materialize(counts, "url-counts"), options)

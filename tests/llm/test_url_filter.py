@@ -28,7 +28,7 @@ def rule_of(host, path):
     return best or (None, None)
 
 
-def segments(path, depth):
+def segments(path, levels):
     def general(s):
         m = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", s, re.S)
         stem, end = m[1], m[2] or ""
@@ -38,68 +38,63 @@ def segments(path, depth):
             return "{hex}" + end
         return "{x}" + end if re.search("[0-9]", stem) else s
 
-    parts = [s for s in path.split("/") if s]
-    return tuple([general(s) for s in parts[:depth]] + (["{+" + str(len(parts) - depth) + "}"] if len(parts) > depth else []))
+    parts = [general(s) for s in path.split("/") if s]
+    return tuple(parts if len(parts) <= levels else [*parts[: levels - 1], "/".join(parts[levels - 1 :])])
 
 
 def brute(rows, o):
-    """verdict, template and share of (url, label or None) rows, level by level in plain Python."""
-    counts = defaultdict(lambda: [0, 0, 0])
+    """template and share of (host, segments, label or None) rows: the tree walked node by node in plain Python."""
+    hosts = defaultdict(list)
     for host, segs, label in rows:
-        c = counts[host, segs]
-        c[0] += 1
-        c[1] += label is not None
-        c[2] += label == "block"
-    root = (sum(c[2] for c in counts.values()) + 1.0) / (sum(c[1] for c in counts.values()) + 2.0)
-    hosts = defaultdict(lambda: [0, 0])
-    for (host, _), c in counts.items():
-        hosts[host][0] += c[1]
-        hosts[host][1] += c[2]
-    at = {k: ("", (hosts[k[0]][1] + o.smoothing * root) / (hosts[k[0]][0] + o.smoothing)) for k in counts}
-    for level in range(o.depth + 1):
-        children = defaultdict(lambda: [0, 0, 0, 0.0])
-        for (host, segs), (node, share) in at.items():
-            if len(segs) > level:
-                c = children[host, node, segs[level]]
-                for i in range(3):
-                    c[i] += counts[host, segs][i]
-                c[3] = max(c[3], share)
-        parents = defaultdict(int)
-        for (host, node, _), c in children.items():
-            parents[host, node] += c[0]
-        branch_of = {k: "*" if not k[2].startswith("{") and c[0] * o.max_children < parents[k[:2]] else k[2] for k, c in children.items()}
-        branches = defaultdict(lambda: [0, 0, 0.0])
-        for k, c in children.items():
-            b = branches[k[0], k[1], branch_of[k]]
-            b[0] += c[1]
-            b[1] += c[2]
-            b[2] = max(b[2], c[3])
-        named = {}
-        for parent in parents:
-            own = {k[2]: b for k, b in branches.items() if k[:2] == parent}
-            groups = [[n] for n in sorted(n for n in own if own[n][0] == 0)]
-            known = sorted((n for n in own if own[n][0] > 0), key=lambda n: (own[n][1] / own[n][0], n))
-            for j, n in enumerate(known):
-                if j:
-                    (l, b, _), (l0, b0, _) = own[n], own[known[j - 1]]
-                    pooled = (b + b0 + 1.0) / (l + l0 + 2.0)
-                    if abs(b / l - b0 / l0) <= o.z * math.sqrt(pooled * (1.0 - pooled) * (1.0 / l + 1.0 / l0)):
-                        groups[-1].append(n)
-                        continue
-                groups.append([n])
-            for g in groups:
-                l, b, up = sum(own[n][0] for n in g), sum(own[n][1] for n in g), max(own[n][2] for n in g)
-                for n in g:
-                    named[(*parent, n)] = ("|".join(sorted(g)), (b + o.smoothing * up) / (l + o.smoothing))
-        moved = {}
-        for (host, segs), (node, share) in at.items():
+        hosts[host].append((segs, label))
+    blocked = sum(label == "block" for *_, label in rows)
+    root = (blocked + 1.0) / (sum(label is not None for *_, label in rows) + 2.0)
+    out = {}
+
+    def counted(members):
+        return sum(x is not None for _, x in members), sum(x == "block" for _, x in members)
+
+    def walk(host, node, share, level, members):
+        branches = defaultdict(list)
+        for segs, label in members:
             if len(segs) > level:
-                name, share = named[host, node, branch_of[host, node, segs[level]]]
-                moved[host, segs] = (f"{node}/{name}", share)
+                branches[segs[level]].append((segs, label))
             else:
-                moved[host, segs] = (node, share)
-        at = moved
-    return {k: (node or "/", share) for k, (node, share) in at.items()}
+                out[host, segs] = (node, share)
+        n = sum(map(len, branches.values()))
+        bins = defaultdict(list)
+        for seg, own in branches.items():
+            l, b = counted(own)
+            if l:
+                bins[b * o.bins // l].append(seg)
+                continue
+            name = "*" if not seg.startswith("{") and len(own) * o.max_children < n else seg
+            for segs, _ in own:
+                out[host, segs] = (f"{node}/{name}", share)
+        runs = []
+        for _, segs in sorted(bins.items()):
+            own = [x for s in segs for x in branches[s]]
+            if runs:
+                (l0, b0), (l, b) = counted(runs[-1][1]), counted(own)
+                pooled = (b + b0 + 1.0) / (l + l0 + 2.0)
+                if abs(b / l - b0 / l0) <= o.z * math.sqrt(pooled * (1.0 - pooled) * (1.0 / l + 1.0 / l0)):
+                    runs[-1][0].extend(segs)
+                    runs[-1][1].extend(own)
+                    continue
+            runs.append((list(segs), own))
+        for segs, own in runs:
+            l, b = counted(own)
+            name = min(segs) + (f"|+{len(segs) - 1}" if len(segs) > 1 else "")
+            walk(host, f"{node}/{name}", (b + o.smoothing * share) / (l + o.smoothing), level + 1, own)
+
+    for host, members in hosts.items():
+        l, b = counted(members)
+        share = (b + o.smoothing * root) / (l + o.smoothing)
+        if l:
+            walk(host, "", share, 0, members)
+        else:
+            out |= {(host, segs): ("", share) for segs, _ in members}
+    return {k: (node or "/", share) for k, (node, share) in out.items()}
 
 
 def check(spark, urls, options=uf.TreeOptions()):
@@ -109,7 +104,7 @@ def check(spark, urls, options=uf.TreeOptions()):
     rows = []
     for u in urls:
         host, path = split_url(u)
-        rows.append((host, segments(path, options.depth), rule_of(host, path)[0]))
+        rows.append((host, segments(path, options.levels), rule_of(host, path)[0]))
     want = brute(rows, options)
     for i, u in enumerate(urls):
         host, path = split_url(u)
@@ -131,7 +126,7 @@ def test_against_plain_tree(spark):
         path = "/".join(rnd.choice(words + [str(rnd.randint(0, 99)), f"w{rnd.choice('abcdefghijklmnop')}{rnd.choice('abcdefghijkl')}", f"{rnd.randint(0, 9)}.html", "deadbeef01"]) for _ in range(rnd.randint(0, 6)))
         urls.append(f"http{rnd.choice(['', 's'])}://{host}/{path}{rnd.choice(['', '?q=1', '#top', '/'])}")
     got = check(spark, urls)
-    check(spark, urls[:300], uf.TreeOptions(depth=2, max_children=3, smoothing=1.0, z=0.5))
+    check(spark, urls[:300], uf.TreeOptions(levels=2, bins=7, max_children=3, smoothing=1.0, z=0.5))
     assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
 
 
@@ -158,6 +153,29 @@ def test_rare_branches_are_told_apart_by_labels(spark):
     assert {("bad" in r.path, r.verdict) for r in got} == {(True, "block"), (False, "allow")}
 
 
+def judged(spark, rows):
+    got = uf.judge_urls(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark string"), label_col="mark").collect()
+    want = brute([(split_url(u)[0], segments(split_url(u)[1], 64), m) for u, m in rows], uf.TreeOptions())
+    for r in got:
+        template, share = want[r.host, segments(r.path, 64)]
+        assert r.template == template and r.blocked_share == pytest.approx(share, abs=1e-12)
+    return got
+
+
+def test_a_drift_of_shares_is_not_one_branch(spark):
+    rows = [(f"http://d.net/{chr(97 + k)}/{i}", "block" if i < 4 * k else "allow") for k in range(11) for i in range(40)]
+    got = judged(spark, rows)
+    assert {r.verdict for r in got if r.path < "/d"} == {"allow"} and {r.verdict for r in got if r.path > "/h"} == {"block"}
+    assert len({r.template for r in got}) >= 3
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [(f"http://d.net/a/b/c/d/e/f/{s}/{i}/x", "block" if s == "bad" else "allow") for s in ("bad", "good") for i in range(30)]
+    rows += [(f"http://d.net/{'q/' * 9}{s}/{i}", "block" if s == "bad" else "allow") for s in ("bad", "good") for i in range(30)]
+    got = judged(spark, rows)
+    assert {("bad" in r.path, r.verdict) for r in got} == {(True, "block"), (False, "allow")}
+
+
 def test_many_labelled_branches_have_short_names(spark):
     rows = [(i, f"http://m.net/{chr(97 + i // 26)}{chr(97 + i % 26)}x/y", "block") for i in range(100)]
     got = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string, mark string"), label_col="mark").collect()
