@@ -1,11 +1,14 @@
 """Exact dedup by an extendible-hash index kept in shared files. DataFrame operations only.
 
 1. Keys: every row's 64-bit hash of its normalised text goes to a narrow table (doc_id, key, copies).
-2. Directory: keys are counted by their first ``max_depth`` bits; the directory starts with one bucket and doubles
-   while a bucket holds more than ``capacity`` keys, so each bucket gets a local depth of its own.
-3. Owners: rows are combined map-side and dealt out by bucket, key and text; the hash aggregate chains texts whose
-   keys collide and compares their bytes. Each owner range of buckets is written as a sorted file of index entries.
-4. Lookup: each row finds its entry by key. Only where texts really collide on a key are the bytes looked up again.
+2. Directory: slots are the keys' first ``depth`` bits. It starts with one bucket and doubles while a bucket holds more
+   than ``capacity`` keys; a bucket keeps the local depth at which it last was split. Nothing bounds the depth but the
+   64 bits of a key. The directory is a table of (slot, bucket, depth), made by aggregates; it grows with the keys.
+3. Index: rows find their bucket through the directory and are combined map-side; the aggregate over (bucket, key, text)
+   compares the bytes of texts under one key. Owner tasks then take a range of keys each, bucket by bucket,
+   and write its entries as a sorted file; texts whose keys collide lie beside each other there, as a chain.
+4. Lookup: each row of keys goes through the directory to its bucket and finds its entry there. Only where texts really
+   collide on a key are the bytes looked up again.
 
 Group sizes do not matter: a text in a third of all rows leaves each map task as one row, and its lookup uses a
 broadcast of the entries that hold more than 1/1024 of all rows, of which there can be at most 1024.
@@ -13,11 +16,15 @@ broadcast of the entries that hold more than 1/1024 of all rows, of which there
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import ascii_lower, fresh, materialize
 
+#: The directory is broadcast up to so many slots (some 20 MB); beyond, it is joined by slot like any other table.
+MOST_BROADCAST = 1 << 20
 #: An entry is hot if it has more than this part of all rows; so there are at most that many hot entries.
 HOT_ENTRIES = 1024
 
@@ -27,41 +34,52 @@ def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def split_directory(counts: dict[int, int], max_depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """Directory doubling over the slot counts: (first slot, slots, local depth) of every bucket.
+def _slot(depth: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def build_directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(slot, bucket, depth) for each slot that has keys, and the directory's depth. keys: distinct keys.
 
-    One bucket covers all 2^max_depth slots at first. An overfull bucket is split into halves by the next bit until it
-    fits or its depth is max_depth; such a last bucket keeps all its keys as longer chains.
+    Doubling stops when no slot holds more than capacity keys, or at 64 bits, where each key is a slot. The first
+    doublings are made at once, as many as the number of keys needs at least; a slot's local depth is the number of its
+    prefixes that are overfull, since a prefix is split exactly then. bucket is the first slot of the bucket.
     """
-    from itertools import accumulate
-
-    below = [0, *accumulate(counts.get(s, 0) for s in range(1 << max_depth))]
-    done, todo = [], [(0, 0)]
-    while todo:
-        first, depth = todo.pop()
-        width = 1 << (max_depth - depth)
-        if below[first + width] - below[first] > capacity and depth < max_depth:
-            todo += [(first + width // 2, depth + 1), (first, depth + 1)]
-        else:
-            done.append((first, width, depth))
-    return done
-
-
-def build_index(rows: DataFrame, keys: DataFrame, max_depth: int = 12, capacity: int = 65_536) -> tuple[DataFrame, DataFrame]:
-    """(directory, entries) for rows of (id, key, norm) and a table of their keys. The directory has at most 2^max_depth rows, so it may be broadcast."""
-    spark = rows.sparkSession
-    slot = F.shiftrightunsigned("key", 64 - max_depth).cast("int") if max_depth else F.lit(0)
-    per_slot = keys.select("key").distinct().groupBy(slot.alias("slot")).count()
-    counts = {r["slot"]: r["count"] for r in per_slot.collect()}  # at most 2^max_depth rows
-    buckets = [(s, first, depth) for first, width, depth in split_directory(counts, max_depth, capacity) for s in range(first, first + width)]
-    directory = spark.createDataFrame(buckets, "slot int, bucket int, depth int")
-    owned = rows.withColumn("slot", slot).join(F.broadcast(directory), "slot")
-    entries = owned.groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep"))
+    n = keys.count()
+    depth = min(64, max(0, math.ceil(math.log2(max(n, 1) / capacity))) if n > capacity else 0)
+    while True:
+        slots = materialize(keys.groupBy(_slot(depth).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "dedup-slots")
+        if depth == 64 or not (slots.agg(F.max("n")).first()[0] or 0) > capacity:
+            break
+        depth += 1
+    ahead = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits"))
+    prefix = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(slot, {depth} - bits)"))
+    ahead = ahead.withColumn("prefix", prefix)
+    overfull = ahead.groupBy("bits", "prefix").agg(F.sum("n").alias("all")).filter(F.col("all") > capacity).select("bits", "prefix")
+    local = ahead.join(overfull, ["bits", "prefix"]).groupBy("slot").agg(F.count(F.lit(1)).cast("int").alias("depth"))
+    # at the last bit an overfull slot can't be split: its keys are one bucket
+    found = slots.select("slot").join(local, "slot", "left").select("slot", F.least(F.coalesce("depth", F.lit(0)), F.lit(depth)).alias("depth"))
+    drop = f"({depth} - depth)"
+    bucket = F.expr(f"CASE WHEN {drop} >= 64 THEN 0L ELSE shiftleft(shiftrightunsigned(slot, {drop}), {drop}) END")
+    return materialize(found.select("slot", bucket.alias("bucket"), "depth"), "dedup-directory"), depth
+
+
+def _located(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """rows with the bucket of their key, through the directory; it is broadcast up to MOST_BROADCAST slots."""
+    small = depth <= 62 and 1 << depth <= MOST_BROADCAST
+    buckets = directory.select("slot", "bucket")
+    return rows.withColumn("slot", _slot(depth)).join(F.broadcast(buckets) if small else buckets, "slot").drop("slot")
+
+
+def build_index(rows: DataFrame, keys: DataFrame, capacity: int = 65_536) -> tuple[DataFrame, int, DataFrame]:
+    """(directory, its depth, entries) for rows of (id, key, norm) and a table of their keys."""
+    directory, depth = build_directory(keys.select("key").distinct(), capacity)
+    entries = _located(rows, directory, depth).groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep"))
     entries = entries.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "size", "keep")
-    return directory, materialize(entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index")
+    return directory, depth, materialize(entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_depth: int = 12, capacity: int = 65_536, key_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65_536, key_bits: int = 64) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical after A-Z are lower-cased. The largest id of a group stays; of several rows
@@ -74,7 +92,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64("norm")
     rows = rows.withColumn("key", key if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits))
     keys = materialize(rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("copies")), "dedup-keys")
-    _, index = build_index(rows, keys, max_depth, capacity)
+    directory, depth, index = build_index(rows, keys, capacity)
 
     total = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     chained = index.groupBy("key").count().filter("count > 1").select("key")
@@ -83,10 +101,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:  # different texts under one key: these rows compare their bytes
         chained = materialize(chained, "dedup-chained")
         single, found = index.join(chained, "key", "left_anti"), keys.join(chained, "key", "left_anti")
-    hot = single.filter(F.col("size") * HOT_ENTRIES > F.lit(total)).select("key", "size", "keep", "sha")
-    cold = single.filter(F.col("size") * HOT_ENTRIES <= F.lit(total)).select("key", "size", "keep", "sha")
-    in_hot = found.join(F.broadcast(hot), "key")
-    in_cold = found.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key")
+    found = _located(found, directory, depth)
+    hot = single.filter(F.col("size") * HOT_ENTRIES > F.lit(total))
+    cold = single.filter(F.col("size") * HOT_ENTRIES <= F.lit(total))
+    in_hot = found.join(F.broadcast(hot), ["bucket", "key"]).drop("bucket")
+    in_cold = found.join(F.broadcast(hot.select("bucket", "key")), ["bucket", "key"], "left_anti").join(cold, ["bucket", "key"]).drop("bucket")
     out = in_hot.unionByName(in_cold)
     if single is not index:
         texts = rows.join(chained, "key")

@@ -37,7 +37,7 @@ def run(spark, rows, **options):
 TEXTS = ["", None, "A", "a", "É", "é", "ABC def", "abc DEF", "abc def ", "ß", "SS", "x" * 200_000, "X" * 200_000, "İ", "i̇", "K", "k"]
 
 
-@pytest.mark.parametrize("options", [{}, {"key_bits": 2}, {"key_bits": 3, "max_depth": 3, "capacity": 1}, {"max_depth": 5, "capacity": 2}, {"max_depth": 0}])
+@pytest.mark.parametrize("options", [{}, {"key_bits": 2}, {"key_bits": 3, "capacity": 1}, {"capacity": 1}, {"capacity": 5}])
 def test_against_brute_force(spark, options):
     rnd = random.Random(9)
     rows = [(i, rnd.choice(TEXTS + ["hot"] * 12 + [str(i)])) for i in range(300)]
@@ -51,11 +51,36 @@ def test_empty(spark):
     assert xd.drop_copies(df).count() == 0
 
 
-def test_directory_doubling():
-    buckets = xd.split_directory({0: 5, 1: 5, 2: 1, 7: 1}, 3, 4)
-    assert sorted(buckets) == [(0, 1, 3), (1, 1, 3), (2, 2, 2), (4, 4, 1)]
-    assert sum(w for _, w, _ in buckets) == 8
-    assert xd.split_directory({}, 4, 1) == [(0, 16, 0)]
+def plain_directory(keys: list[int], capacity: int) -> dict[int, tuple[int, int]]:
+    """(first key, local depth) of each key's bucket, split by split."""
+    out, todo = {}, [(sorted(keys), 0)]
+    while todo:
+        own, depth = todo.pop()
+        if len(own) > capacity and depth < 64:
+            bit = 63 - depth
+            todo += [([k for k in own if k >> bit & 1 == side], depth + 1) for side in (0, 1)]
+        else:
+            out |= {k: (k >> (64 - depth) << (64 - depth), depth) for k in own}
+    return out
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 4, 100])
+def test_directory_doubling(spark, capacity):
+    rnd = random.Random(2)
+    keys = sorted({rnd.getrandbits(64) for _ in range(40)} | {0, 1, 2, 3, (1 << 64) - 1, 0b1011 << 60, (0b1011 << 60) + 1})
+    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "key long")
+    directory, depth = xd.build_directory(df, capacity)
+    want = plain_directory(keys, capacity)
+    assert depth == max(d for _, d in want.values())
+    got = {(r.slot % (1 << 64), r.bucket % (1 << 64), r.depth) for r in directory.collect()}
+    up = 64 - depth
+    assert got == {(k >> up, first >> up, d) for k, (first, d) in want.items()}
+    assert len(xd._located(df, directory, depth).collect()) == len(keys)
+
+
+def test_empty_directory(spark):
+    directory, depth = xd.build_directory(spark.createDataFrame([], "key long"), 4)
+    assert depth == 0 and directory.count() == 0
 
 
 def test_stage_keeps_rows_and_columns(spark):
