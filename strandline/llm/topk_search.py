@@ -6,8 +6,11 @@ from below, and so their inner product from above: 2 q.c = |q|^2 + |c|^2 - d(q,
 whose bound cannot reach a query's k-th best score, then evaluates the remaining candidates in the order of their
 bounds until the next bound is below the k-th best score. That stop is exact; ties go to the smaller id.
 
-Queries come in blocks of at most ``block`` rows, which are all that is broadcast; a block is searched against every
-candidate, and only each task's k best per query leave it.
+Components are integers of any size. Scores are made in double precision where they are exact there, which is below 2^53,
+and from parts of 22 bits otherwise. Bounds are made in floating point with a slack above what they can be off.
+
+Queries are broadcast, at most ``pass_bytes`` of them at once, and searched together: each batch of candidates is sorted
+into cells once and serves all blocks of queries. Only each batch's k best per query leave a task.
 """
 
 from __future__ import annotations
@@ -42,56 +45,78 @@ def choose_pivots(sample, count: int):
     return sample[chosen]
 
 
-def search_block(queries, query_ids, query_far, floors, vectors, ids, far, k: int):
+def exact_scores(left, right):
+    """Inner products of the rows of two int64 matrices: int64 where these are exact, else Python integers."""
+    import numpy as np
+
+    def most(x) -> int:
+        return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+    if most(left) * most(right) * max(left.shape[1], 1) < 1 << 53:
+        return (left.astype("f8") @ right.astype("f8").T).astype("i8")
+
+    def parts(x):
+        mask = (1 << 22) - 1
+        return [(p.astype("f8"), shift) for p, shift in ((x & mask, 0), ((x >> 22) & mask, 22), (x >> 44, 44))]
+
+    total = np.zeros((left.shape[0], right.shape[0]), object)
+    for start in range(0, left.shape[1], 256):  # 256 products of 44 bits each stay exact
+        here = slice(start, start + 256)
+        for a, i in parts(left[:, here]):
+            for b, j in parts(right[:, here]):
+                total += (a @ b.T).astype("i8").astype(object) * (1 << (i + j))
+    return total
+
+
+def search_block(queries, query_ids, query_far, floors, cells, k: int):
     """(query position, candidate position, score) of each query's k best candidates of another id, by bound order.
 
-    vectors and queries hold integers as float64 (exact below 2^53); far and query_far their distances to the pivots;
-    floors: scores that each query's k-th best is known to reach, or -inf.
+    queries: int64 rows; query_far: their distances to the pivots; floors: scores that each query's k-th best is known to
+    reach, or None; cells: what make_cells() returns.
     """
     import numpy as np
 
     out_q, out_c, out_s = [], [], []
-    if not len(vectors) or not len(queries):
+    if cells is None or not len(queries):
         return out_q, out_c, out_s
-    order = np.lexsort((ids, far[:, 0] if far.shape[1] else ids))
-    vectors, far, ids = vectors[order], far[order], ids[order]  # a cell is a slice from here on
-    norms = (vectors**2).sum(1)
-    q_norms = (queries**2).sum(1)
-    cell = 512
-    starts = np.arange(0, len(order), cell)
-    low, high = np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts)
-    top = np.maximum.reduceat(norms, starts)
-    # bounds of single candidates are made in single precision; the slack below is far above what that can be off
-    by_pivot, q_by_pivot = np.ascontiguousarray(far.T, "f4"), query_far.astype("f4")
-    farthest = max(far.max(initial=0.0), query_far.max(initial=0.0))
+    vectors, ids, order, norms, starts, low, high, top, by_pivot, farthest, cell = cells
+    q_by_pivot = query_far.astype("f4")
+    q_norms = (queries.astype("f8") ** 2).sum(1)
+    farthest = max(farthest, query_far.max(initial=0.0))
+    small = max(int(np.abs(vectors.astype("f8")).max(initial=0)), 1) * max(int(np.abs(queries.astype("f8")).max(initial=0)), 1) * max(vectors.shape[1], 1) < 1 << 52
+    plain = vectors.astype("f8") if small else None
     for i, q in enumerate(queries):
         slack = 1e-6 * (q_norms[i] + top.max()) + 2e-6 * farthest**2 + 1.0
         gap = np.maximum(np.maximum(low - query_far[i], query_far[i] - high), 0).max(1, initial=0.0)
         cell_bound = (q_norms[i] + top - gap**2) / 2 + slack
         reach = floors[i]
-        live = np.flatnonzero(cell_bound >= reach)
+        far_reach = -np.inf if reach is None else float(reach)
+        live = np.flatnonzero(cell_bound >= far_reach)
         if not len(live):
             continue
         rows = slice(None) if len(live) == len(starts) else np.concatenate([np.arange(s, min(s + cell, len(order))) for s in starts[live]])
         lower = np.abs(by_pivot[:, rows] - q_by_pivot[i][:, None]).max(0, initial=0.0).astype("f8")
         bound = (q_norms[i] + norms[rows] - lower**2) / 2 + slack
-        worth = np.flatnonzero(bound >= reach)
+        worth = np.flatnonzero(bound >= far_reach)
         by_bound = worth[np.argsort(-bound[worth], kind="stable")]
         place = by_bound if isinstance(rows, slice) else rows[by_bound]
-        best: dict[int, tuple[float, int]] = {}
+        best: dict[int, tuple[int, int]] = {}
         step, at = 256, 0
-        while at < len(place) and bound[by_bound[at]] >= reach:
+        q_plain = q.astype("f8")
+        while at < len(place) and bound[by_bound[at]] >= far_reach:
             part = place[at : at + step]
-            scores = vectors[part] @ q
-            good = np.flatnonzero(scores >= reach)
+            scores = (plain[part] @ q_plain) if small else exact_scores(vectors[part], q[None, :])[:, 0]
+            good = np.arange(len(part)) if reach is None else np.flatnonzero(scores >= reach)
             for p, s in zip(part[good], scores[good], strict=True):
                 name = int(ids[p])
                 if name != query_ids[i] and (name not in best or best[name][0] < s):
-                    best[name] = (float(s), int(p))
+                    best[name] = (int(s), int(p))
             if len(best) > k:
                 best = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:k])
             if len(best) >= k:
-                reach = max(reach, min(v[0] for v in best.values()))
+                least = min(v[0] for v in best.values())
+                reach = least if reach is None else max(reach, least)
+                far_reach = float(reach)
             at, step = at + step, step * 4  # what is left by now is seldom stopped early
         for s, p in best.values():
             out_q.append(i)
@@ -100,14 +125,30 @@ def search_block(queries, query_ids, query_far, floors, vectors, ids, far, k: in
     return out_q, out_c, out_s
 
 
-def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, sample: int = 2048, block: int = 2048) -> DataFrame:
+def make_cells(vectors, ids, far, cell: int = 512):
+    """Candidates sorted by their distance to the first pivot, in slices with bounds of their distances to all; None without any."""
+    import numpy as np
+
+    if not len(vectors):
+        return None
+    order = np.lexsort((ids, far[:, 0] if far.shape[1] else ids))
+    vectors, far, ids = vectors[order], far[order], ids[order]
+    norms = (vectors.astype("f8") ** 2).sum(1)
+    starts = np.arange(0, len(order), cell)
+    low, high = np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts)
+    top = np.maximum.reduceat(norms, starts)
+    # bounds of single candidates are made in single precision; the slack is far above what that can be off
+    return vectors, ids, order, norms, starts, low, high, top, np.ascontiguousarray(far.T, "f4"), far.max(initial=0.0), cell
+
+
+def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, sample: int = 2048, block: int = 2048, pass_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for candidates and queries of (vec_id long, v array<long>).
 
     The k largest inner products among candidates of another id than the query's; all of them if there are fewer.
     Ties go to the smaller vec_id. Rows with a null id or vector, or a null component, take no part; missing components
-    count as zero. Rows that share an id are one candidate (or query) with the best score of any of them. Scores are
-    exact while components stay below 2^20 in size and there are fewer than 4096 of them, which is checked. Empty
-    inputs give an empty result; other columns play no part.
+    count as zero. Rows that share an id are one candidate (or query) with the best score of any of them. Components
+    may be any longs; a score beyond the range of a long is ranked by up to 38 digits and returned as the limit of that range.
+    Empty inputs give an empty result; other columns play no part.
     """
     import numpy as np
     import pyarrow as pa
@@ -121,76 +162,98 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: in
     cands, asked = clean(candidates), clean(queries)
     size, large, n_asked = 0, 0, 0
     for part in (cands, asked):
-        r = part.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs))), F.count(F.lit(1))).first()
-        size, large, n_asked = max(size, r[0] or 0), max(large, r[1] or 0), r[2]
-    if large >= 1 << 20 or size >= 4096:
-        raise ValueError(f"components of {large} or {size} of them: scores would not be exact")
+        r = part.agg(F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v")), F.count(F.lit(1))).first()
+        size, large, n_asked = max(size, r[0] or 0), max(large, r[1] or 0, -(r[2] or 0)), r[3]
+    wide = large**2 * max(size, 1) >= 1 << 63  # scores may leave the range of a long: they are carried as decimals
+    schema = f"query_id long, vec_id long, score {'decimal(38,0)' if wide else 'long'}"
+    exact_type, most = (pa.decimal128(38, 0), 10**38 - 1) if wide else (pa.int64(), (1 << 63) - 1)
     if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     size = max(size, 1)
+    kept_as = "<i4" if large < 1 << 31 else "<i8"
 
     def dense(rows) -> np.ndarray:
-        out = np.zeros((len(rows), size))
+        out = np.zeros((len(rows), size), "i8")
         for i, v in enumerate(rows):
             out[i, : len(v)] = v
         return out
 
     drawn = cands.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # at most ``sample`` rows
     drawn_ids, drawn_v = np.array([r["vec_id"] for r in drawn], "i8"), dense([r["v"] for r in drawn])
-    pivot = choose_pivots(drawn_v, pivots)
+    pivot = choose_pivots(drawn_v.astype("f8"), pivots)
 
     def distances(v: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum((v**2).sum(1)[:, None] + (pivot**2).sum(1)[None, :] - 2 * v @ pivot.T, 0)) if len(pivot) else np.zeros((len(v), 0))
+        return np.stack([np.sqrt(((v - p) ** 2).sum(1)) for p in pivot], axis=1) if len(pivot) else np.zeros((len(v), 0))
 
     def measure(batches):
-        for batch in batches:
-            v = np.zeros((batch.num_rows, size))
-            lists = batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            v[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
-            far = distances(v)
-            near = far.argmin(1) if far.shape[1] else np.zeros(len(v), "i8")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tobytes() for x in v.astype("<i4")], pa.binary()), pa.array([x.tobytes() for x in far.astype("<f8")], pa.binary()), pa.array(near.astype("i4"), pa.int32())],
-                names=["vec_id", "v", "far", "near"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                v = np.zeros((batch.num_rows, size), "i8")
+                lists = batch.column(1)
+                lengths = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), lengths)
+                v[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+                far = distances(v.astype("f8"))
+                near = far.argmin(1) if far.shape[1] else np.zeros(len(v), "i8")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([x.tobytes() for x in v.astype(kept_as)], pa.binary()), pa.array([x.tobytes() for x in far.astype("<f8")], pa.binary()), pa.array(near.astype("i4"), pa.int32())],
+                    names=["vec_id", "v", "far", "near"],
+                )
 
     measured = cands.mapInArrow(measure, "vec_id long, v binary, far binary, near int")
     pivot_table = materialize(measured.repartitionByRange("near", "vec_id"), "topk-pivots")
 
-    spread = asked.repartition(max(1, -(-n_asked // block)))
-    asked = materialize(spread.withColumn("at", F.monotonically_increasing_id()), "topk-queries")
-    number = F.floor((F.col("at") % (1 << 33)) / block) + F.shiftright("at", 33) * (1 << 20)
-    blocks = sorted(r[0] for r in asked.select(number.alias("b")).distinct().collect())  # one number for each block of queries
-    found = scratch_path(spark, "topk-found")
-    for b in blocks:
-        rows = asked.filter(number == F.lit(b)).collect()  # at most ``block`` rows
-        q_ids, q = np.array([r["vec_id"] for r in rows], "i8"), dense([r["v"] for r in rows])
-        floors = np.full(len(q), -np.inf)
-        scores = q @ drawn_v.T
-        for i in range(len(q)):  # the k-th best of other ids in the sample is a floor
-            best: dict[int, float] = {}
+    def floors_of(q_ids, q) -> list:
+        """The k-th best of other ids in the sample, or None."""
+        floors: list = [None] * len(q)
+        scores = exact_scores(q, drawn_v)
+        for i in range(len(q)):
+            best: dict[int, int] = {}
             for p in np.argsort(-scores[i], kind="stable"):
                 if drawn_ids[p] != q_ids[i]:
-                    best.setdefault(int(drawn_ids[p]), float(scores[i, p]))
+                    best.setdefault(int(drawn_ids[p]), int(scores[i, p]))
                 if len(best) == k:
                     floors[i] = min(best.values())
                     break
-        shared = spark.sparkContext.broadcast((q_ids, q, distances(q), floors))  # of one block
+        return floors
+
+    # a pass searches as many blocks of queries as pass_bytes hold
+    per_pass = max(1, pass_bytes // (block * (size + len(pivot) + 2) * 8))
+    spread = asked.repartition(max(1, -(-n_asked // block)))
+    asked = materialize(spread.withColumn("at", F.monotonically_increasing_id()), "topk-queries")
+    number = F.floor((F.col("at") % (1 << 33)) / block) + F.shiftright("at", 33) * (1 << 20)
+    blocks = sorted(r[0] for r in asked.select(number.alias("b")).distinct().collect())  # one number for each block of queries
+    found = scratch_path(spark, "topk-found")
+    for first in range(0, len(blocks), per_pass):
+        some = blocks[first : first + per_pass]
+        taken: dict[int, list] = {}
+        for r in asked.filter(number.isin(some)).select("vec_id", "v", number.alias("b")).collect():  # at most pass_bytes of queries
+            taken.setdefault(r["b"], []).append(r)
+        together = []
+        for rows in taken.values():
+            q_ids, q = np.array([r["vec_id"] for r in rows], "i8"), dense([r["v"] for r in rows])
+            together.append((q, q_ids, distances(q.astype("f8")), floors_of(q_ids, q)))
+        shared = spark.sparkContext.broadcast(together)
 
         def search(batches, shared=shared):
-            q_ids, q, q_far, floors = shared.value
             width = len(pivot)
             for batch in batches:
                 ids = batch.column(0).to_numpy()
-                v = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4").reshape(len(ids), -1).astype("f8")
+                v = np.frombuffer(b"".join(batch.column(1).to_pylist()), kept_as).reshape(len(ids), -1).astype("i8")
                 far = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(len(ids), width)
-                a, c, s = search_block(q, q_ids, q_far, floors, v, ids, far, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a] if len(a) else np.zeros(0, "i8"), pa.int64()), pa.array(ids[c] if len(c) else np.zeros(0, "i8"), pa.int64()), pa.array(np.array(s, "f8").astype("i8"), pa.int64())], names=["query_id", "vec_id", "score"])
+                cells = make_cells(v, ids, far)
+                for q, q_ids, q_far, floors in shared.value:
+                    a, c, s = search_block(q, q_ids, q_far, floors, cells, k)
+                    s = [max(-most, min(most, x)) for x in s]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a] if len(a) else np.zeros(0, "i8"), pa.int64()), pa.array(ids[c] if len(c) else np.zeros(0, "i8"), pa.int64()), pa.array(s, exact_type)], names=["query_id", "vec_id", "score"])
 
-        pivot_table.select("vec_id", "v", "far").mapInArrow(search, "query_id long, vec_id long, score long").write.mode("append").parquet(found)
-    best = spark.read.schema("query_id long, vec_id long, score long").parquet(found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        pivot_table.select("vec_id", "v", "far").mapInArrow(search, schema).write.mode("append").parquet(found)
+    best = spark.read.schema(schema).parquet(found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    if wide:
+        score = F.greatest(F.least(F.col("score"), F.lit((1 << 63) - 1).cast("decimal(38,0)")), F.lit(-(1 << 63)).cast("decimal(38,0)")).cast("long")
+        best = best.withColumn("score", score)
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -21,7 +21,7 @@ def brute(rows, is_query, k):
             continue
         scores = {c: max(sum(x * y for x, y in zip(a, b, strict=False)) for a in good[q] for b in vs) for c, vs in good.items() if c != q}
         for rank, (c, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k], 1):
-            out.append((q, rank, c, s))
+            out.append((q, rank, c, max(-(1 << 63), min((1 << 63) - 1, s))))
     return sorted(out)
 
 
@@ -60,3 +60,25 @@ def test_random_integers_many_blocks(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.randint(-3, 3) / 256 for _ in range(3)]) for i in range(150)]
     assert search(spark, rows, "true", k=3, pivots=4, sample=20, block=32) == brute(rows, lambda i: True, 3)
+
+
+def test_large_components(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for size in (5e3, 1e7, 1e12, 3e15):
+        rows = [(i, [float(np.float32(x)) for x in rnd.normal(0, size, 6)]) for i in range(120)]
+        rows += [(200 + i, rows[i][1][:5] + [float(np.float32(rows[i][1][5] * (1 + 1e-6)))]) for i in range(40)] + [(300, [5000.0] * 6), (301, [0.004] * 6)]
+        assert search(spark, rows, "vec_id % 10 = 0", pivots=5, sample=40, block=8, pass_bytes=3000) == brute(rows, lambda i: i % 10 == 0, 5)
+
+
+def test_exact_scores():
+    import numpy as np
+
+    from strandline.llm.topk_search import exact_scores
+
+    rnd = random.Random(1)
+    for bits in (10, 26, 40, 63):
+        a, b = ([[rnd.randint(-(1 << bits), (1 << bits) - 1) for _ in range(300)] for _ in range(4)] for _ in range(2))
+        got = exact_scores(np.array(a, "i8"), np.array(b, "i8"))
+        assert [[int(x) for x in row] for row in got] == [[sum(x * y for x, y in zip(p, q, strict=True)) for q in b] for p in a]
