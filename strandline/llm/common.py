@@ -21,10 +21,13 @@ _LABELS = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its
+    own; on a cluster that would be another disk on each machine, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if "own" not in _OWN_DIR:
         _OWN_DIR["own"] = tempfile.mkdtemp(prefix="strandline-")
     return _OWN_DIR["own"]

@@ -1,11 +1,14 @@
 """N-gram Jaccard self-join: a MinHash LSH forest finds candidates, exact Jaccard on word shingles verifies them.
 
 1. Sign: words, shingles and minhashes of each text; texts with the same words in the same order become one node.
-2. Forest: each tree labels a node with ``depth`` minhashes. Starting from whole labels, the prefix that has to match is
-   shortened until a pair at the threshold shares one in some tree with the target recall; nodes that share a prefix in
-   a tree form a group.
-3. Groups are narrowed by the share of equal minhashes, at a margin that a pair at the threshold passes nearly always;
-   only edges of a spanning star leave a group, never its pairs. Their connected components are the candidates.
+2. Forest: each tree labels a node with ``depth`` minhashes. The nodes of a tree that share its shortest useful prefix meet
+   and are sorted by their labels there, which makes each subtree a sorted prefix trie. From the whole label down, the
+   prefix that has to match is shortened, node by node, until the trees together meet a partner with the target recall:
+   a partner of a node with few shingles is more similar than the threshold asks, since sets of that size can't be
+   just at it, so such a node stops at a longer prefix. A subtree that has become one component is done.
+3. Nodes that so meet are joined if enough of all their minhashes agree, at a margin that a pair at the threshold passes
+   nearly always; a joined node is not compared again, so a dense group takes few comparisons. Only edges of a spanning
+   star leave a subtree, never its pairs. Their connected components are the candidates.
 4. Verify: every pair of a component is compared by the exact Jaccard similarity of its shingle sets, whether or not
    the forest had found that very pair. Links are summed per node; again only spanning stars leave a task.
 
@@ -17,7 +20,7 @@ The work within one group still grows with the square of the different texts in
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +40,24 @@ def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> in
     return 1
 
 
-def least_agreement(hashes: int, threshold: float, miss: float = 1e-5) -> int:
+def least_similarity(n: int, threshold: float) -> float:
+    """The least Jaccard similarity at or above the threshold that a set of n elements can have with any other."""
+    best = 1.0
+    for lost in range(n):
+        gained = math.floor((n - lost) / threshold + 1e-9) - n
+        if gained < 0:
+            break
+        best = min(best, (n - lost) / (n + gained))
+    return best
+
+
+def stop_lengths(trees: int, depth: int, threshold: float, recall: float, most: int = 200) -> list[int]:
+    """The prefix length at which a node of n shingles stops, for n up to most; the last one also stands for larger ones."""
+    lengths = [prefix_length(trees, depth, least_similarity(max(n, 1), threshold), recall) for n in range(most)]
+    return [*lengths, prefix_length(trees, depth, threshold, recall)]
+
+
+def least_agreement(hashes: int, threshold: float, miss: float = 1e-9) -> int:
     """So many of the hashes at least agree for a pair at the threshold, but for a part ``miss`` of such pairs."""
     total, k = 0.0, 0
     while k <= hashes:
@@ -102,46 +122,60 @@ def _sign(rows: DataFrame, trees: int, depth: int, k: int, prefix: int) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def _tasks(rows: DataFrame, key: str, threshold: float, block_rows: int, block_bytes: int) -> DataFrame:
-    """rows (key, node, n, size, ...) of keys with two nodes or more, as (task, near, ...): each pair of nodes of a key meets in exactly one task.
+def _tasks(rows: DataFrame, key: str, threshold: float, block_rows: int, block_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows (key, node, n, size, ...) of keys with two nodes or more, as (task, near, place, ...): each pair of nodes of a key meets in exactly one task.
 
     near is 0 for rows compared with each other and with those of near 1, which are not compared with each other; 2 where a
-    task is one block compared within itself. A key within the bounds is one task. Others are cut into cells by size
-    class, cells into blocks by hash; a block meets itself, the blocks of its cell after it, and those of the next cell.
+    task is one block compared within itself. A key within the bounds is one task, in the first table. Others are cut into
+    cells by size class, cells into blocks by hash; a block meets itself, the blocks of its cell after it, and those of the
+    next cell. These are the second table, if any; the tasks of a cell are numbered, and place deals them out evenly.
     """
     per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes")).filter("m > 1")
     per_key = materialize(per_key.select(key, ((F.col("m") <= block_rows) & (F.col("bytes") <= block_bytes)).alias("whole")), "join-keys")
     small = rows.join(per_key.filter("whole").select(key), key)
-    small = small.withColumn("task", F.xxhash64(F.lit(0), F.col(key))).withColumn("near", F.lit(2))
+    small = small.select(*rows.columns, F.xxhash64(F.lit(0), F.col(key)).alias("task"), F.lit(2).alias("near"), F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(1 << 40)).alias("place"))
     large_keys = per_key.filter("NOT whole").select(key)
     if large_keys.isEmpty():
-        return small
+        return small, None
     step = math.log(1 / threshold) * (1 + 1e-9)  # so sizes at the very threshold are at most one cell apart
     large = rows.join(large_keys, key).withColumn("cell", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int"))
     per_cell = large.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
-    blocks = per_cell.select(key, "cell", F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    blocks = per_cell.select(key, "cell", F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("long").alias("blocks"))
     blocks = materialize(blocks, "join-blocks")
     next_cell = blocks.select(key, (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next_blocks"))
     before = blocks.select(key, (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("last_blocks"))
     plan = materialize(blocks.join(next_cell, [key, "cell"], "left").join(before, [key, "cell"], "left"), "join-plan")
-    big = large.join(plan, [key, "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    big = large.join(plan, [key, "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def own_pairs(n: Column) -> Column:
+        return F.floor(n * (n + 1) / 2)
 
-    def name(kind: str, cell: Column, a: Column, b: Column) -> Column:
-        return F.xxhash64(F.lit(kind), F.col(key), cell, a, b)
+    def meet(cell: Column, number: Column, near: int) -> Column:
+        """A task by its cell and its number there."""
+        return F.struct(F.xxhash64(F.lit("block"), F.col(key), cell, number).alias("task"), F.lit(near).alias("near"), (F.pmod(F.xxhash64(F.col(key), cell), F.lit(1 << 40)) + number).alias("place"))
 
-    def meet(task: Column, near: int) -> Column:
-        return F.struct(task.alias("task"), F.lit(near).alias("near"))
+    def within(a: Column, b: Column) -> Column:
+        return a * F.col("blocks") - F.floor(a * (a - 1) / 2) + b - a
 
     def span(n: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda j: j < n)
+        return F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1).cast("long")) - 1), lambda j: j < n)
+
+    c, own, none = F.col("cell"), F.col("block"), F.lit(0).cast("long")
+    inside = F.transform(span(F.col("blocks")), lambda j: F.when(j == own, meet(c, within(own, own), 2)).when(own < j, meet(c, within(own, j), 0)).otherwise(meet(c, within(j, own), 1)))
+    above = F.transform(span(F.coalesce("next_blocks", none)), lambda j: meet(c, own_pairs(F.col("blocks")) + own * F.col("next_blocks") + j, 0))
+    below = F.transform(span(F.coalesce("last_blocks", none)), lambda j: meet(c - 1, own_pairs(F.col("last_blocks")) + j * F.col("blocks") + own, 1))
+    big = big.withColumn("meet", F.explode(F.concat(inside, above, below)))
+    return small, big.select(*rows.columns, F.col("meet.task").alias("task"), F.col("meet.near").alias("near"), F.col("meet.place").alias("place"))
 
-    c, own = F.col("cell"), F.col("block")
-    within = F.transform(span(F.col("blocks")), lambda j: F.when(j == own, meet(name("own", c, own, own), 2)).when(own < j, meet(name("own", c, own, j), 0)).otherwise(meet(name("own", c, j, own), 1)))
-    above = F.transform(span(F.coalesce("next_blocks", F.lit(0))), lambda j: meet(name("next", c, own, j), 0))
-    below = F.transform(span(F.coalesce("last_blocks", F.lit(0))), lambda j: meet(name("next", c - 1, j, own), 1))
-    big = big.withColumn("meet", F.explode(F.concat(within, above, below)))
-    big = big.select(*rows.columns, F.col("meet.task").alias("task"), F.col("meet.near").alias("near"))
-    return small.unionByName(big)
+
+def _dealt(tasks: tuple[DataFrame, DataFrame | None], finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of all tasks after finish(), each task whole in one partition and sorted by task; blocks of large keys in turn over all partitions."""
+    small, big = tasks
+    if big is None:
+        return finish(small).repartition("task").sortWithinPartitions("task")
+    out = finish(small.unionByName(big))  # together, so that what they are joined with is dealt once
+    partitions = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(partitions, F.pmod(F.col("place"), F.lit(partitions)).cast("int")).sortWithinPartitions("task")
 
 
 def _groups(batches: Iterator, most_rows: int = 4096) -> Iterator:
@@ -187,45 +221,84 @@ def _runs(task):
     return at, np.diff(np.concatenate([at, [len(task)]]))
 
 
-def _candidate_edges(tasks: DataFrame, agree: int) -> DataFrame:
-    """Edges (a, b) of spanning stars over pairs that agree in so many minhashes."""
+def _joined(labels, sigs, stop, near, agree: int, least: int):
+    """A component number for each node of a subtree. labels: of its tree; sigs: of all trees; stop: each node's shortest prefix."""
+    import numpy as np
+
+    size, depth = labels.shape
+    across = near[0] != 2
+    if size <= 32:
+        shared = np.cumprod(labels[:, None, :] == labels[None, :, :], axis=2, dtype="u1").sum(2)
+        fits = np.triu((sigs[:, None, :] == sigs[None, :, :]).sum(-1) >= agree, 1) & (shared >= np.maximum(stop[:, None], stop[None, :]))
+        if across:
+            fits &= near[:, None] != near[None, :]
+        return _star(*np.nonzero(fits), size)
+    order = np.lexsort(labels.T[::-1])  # the sorted prefix trie: a subtree is a run of rows
+    shared = np.concatenate([[0], np.cumprod(labels[order[1:]] == labels[order[:-1]], axis=1, dtype="u1").sum(1)])
+    component = np.arange(size)
+    for length in range(depth, least - 1, -1):
+        starts = np.flatnonzero(shared < length)
+        ends = np.append(starts[1:], size)
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            left = order[a:b]
+            left = left[stop[left] <= length]
+            while len(left) > 1:
+                own = component[left[0]]
+                here = component[left] == own
+                front, left = left[here].tolist(), left[~here]
+                while front and len(left):  # what is joined is compared with the rest, but not again
+                    x = front.pop()
+                    hit = (sigs[left] == sigs[x]).sum(1) >= agree
+                    if across:
+                        hit &= near[left] != near[x]
+                    if hit.any():
+                        found = np.unique(component[left[hit]])
+                        here = np.isin(component[left], found)
+                        front += left[here].tolist()
+                        left = left[~here]
+                        component[np.isin(component, found)] = own
+    return component
+
+
+def _candidate_edges(tasks: tuple[DataFrame, DataFrame | None], signatures: DataFrame, depth: int, agree: int, stops: list[int]) -> DataFrame:
+    """Edges (a, b) of spanning stars over pairs that meet in a trie and agree in so many minhashes."""
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
+        stop_of = np.array(stops)
         for part in _groups(batches):
             node, task, near = part.column("node").to_pylist(), part.column("task").to_numpy(), part.column("near").to_numpy()
+            tree = part.column("tree").to_numpy()
+            stop = stop_of[np.minimum(part.column("n").to_numpy(), len(stops) - 1)]
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u4").reshape(len(node), -1)
+            labels = sig.reshape(len(node), -1, depth)[np.arange(len(node)), tree]
             left, right = [], []
             for start, size in zip(*_runs(task), strict=True):
                 own = slice(start, start + size)
                 if size == 2:
-                    if (near[start] != near[start + 1] or near[start] == 2) and (sig[start] == sig[start + 1]).sum() >= agree:
-                        left.append(node[start])
-                        right.append(node[start + 1])
+                    x, y = start, start + 1
+                    length = max(stop[x], stop[y])
+                    if (near[x] != near[y] or near[x] == 2) and (labels[x, :length] == labels[y, :length]).all() and (sig[x] == sig[y]).sum() >= agree:
+                        left.append(node[x])
+                        right.append(node[y])
                     continue
-                s, m = sig[own], near[own]
-                if size <= 32:
-                    equal = (s[:, None, :] == s[None, :, :]).sum(-1)
-                else:
-                    equal = np.zeros((size, size), "u2" if sig.shape[1] > 255 else "u1")
-                    for p in range(s.shape[1]):
-                        equal += s[:, p, None] == s[None, :, p]
-                fits = np.triu(equal >= agree, 1)
-                if m[0] != 2:
-                    fits &= m[:, None] != m[None, :]
-                label = _star(*np.nonzero(fits), size)
-                for x in np.flatnonzero(label != np.arange(size)):
-                    left.append(node[start + label[x]])
-                    right.append(node[start + x])
+                component = _joined(labels[own], sig[own], stop[own], near[own], agree, stops[-1])
+                first: dict[int, int] = {}
+                for x, c in enumerate(component.tolist()):
+                    if first.setdefault(c, x) != x:
+                        left.append(node[start + first[c]])
+                        right.append(node[start + x])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    dealt = tasks.select("task", "near", "node", "sig").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    def with_signatures(df: DataFrame) -> DataFrame:
+        return df.drop("size").join(signatures, "node").select("task", "near", "place", "node", "n", "tree", "sig")
+
+    return _dealt(tasks, with_signatures).mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _verified(tasks: DataFrame, threshold: float, k: int) -> DataFrame:
+def _verified(dealt: DataFrame, threshold: float, k: int) -> DataFrame:
     """(node, links, other): links from each task, and edges of spanning stars (node, other) over pairs at the threshold or above."""
     import pyarrow as pa
 
@@ -305,7 +378,6 @@ def _verified(tasks: DataFrame, threshold: float, k: int) -> DataFrame:
                     out[2].append(node[own[label[x]]])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["node", "links", "other"])
 
-    dealt = tasks.select("task", "near", "node", "copies", "text").repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(run, "node binary, links long, other binary")
 
 
@@ -324,14 +396,16 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float, words
     own = signed.join(nodes.select("node", "rep", "rep_th"), "node").filter(of_rep).dropDuplicates(["node"]).select("node", "n", "size", "sig", "keys")
     own = materialize(own, "join-own")
 
-    groups = own.select("node", "n", F.lit(0).cast("long").alias("size"), F.explode("keys").alias("key"))
-    tasks = _tasks(groups, "key", threshold, block_rows, block_bytes).drop("size", "n").join(own.select("node", "sig"), "node")
-    candidates = components(_candidate_edges(tasks, least_agreement(trees * depth, threshold)))
+    groups = own.select("node", "n", F.lit(0).cast("long").alias("size"), F.posexplode("keys").alias("tree", "key"))
+    stops = stop_lengths(trees, depth, threshold, recall)
+    tasks = _tasks(groups, "key", threshold, -(-block_rows // 2), block_bytes)  # narrow rows: smaller blocks are dealt more evenly
+    candidates = components(_candidate_edges(tasks, own.select("node", "sig"), depth, least_agreement(trees * depth, threshold), stops))
 
     members = candidates.join(own.select("node", "n", "size"), "node").join(nodes, "node")
-    texts = _tasks(members.withColumnRenamed("root", "key"), "key", threshold, block_rows, block_bytes)
-    texts = texts.join(rows, F.col("rep").eqNullSafe(F.col("id")) & (F.col("rep_th") == F.col("th")))
-    found = materialize(_verified(texts, threshold, words), "join-links")
+    tasks = _tasks(members.withColumnRenamed("root", "key"), "key", threshold, block_rows, block_bytes)
+    same_row = F.col("rep").eqNullSafe(F.col("id")) & (F.col("rep_th") == F.col("th"))
+    dealt = _dealt(tasks, lambda df: df.join(rows, same_row).select("task", "near", "place", "node", "copies", "text"))
+    found = materialize(_verified(dealt, threshold, words), "join-links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -355,7 +429,7 @@ def jaccard_join(
     threshold: float = 0.8,
     words: int = 5,
     trees: int = 16,
-    depth: int = 5,
+    depth: int = 6,
     recall: float = 0.999,
     block_rows: int = BLOCK_ROWS,
     block_bytes: int = BLOCK_BYTES,
@@ -376,7 +450,7 @@ def jaccard_join(
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs with one row of each class, the one of the least id, with all columns; of rows that repeat id and text one stays."""
-    judged = materialize(_judged(docs, id_col, text_col, threshold, 5, 16, 5, 0.999, BLOCK_ROWS, BLOCK_BYTES), "join-rows")
+    judged = materialize(_judged(docs, id_col, text_col, threshold, 5, 16, 6, 0.999, BLOCK_ROWS, BLOCK_BYTES), "join-rows")
     th, kept_id, kept_th = fresh(docs, "th", "kept_id", "kept_th")
     stays = judged.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).select(F.col("id").alias(kept_id), F.col("th").alias(kept_th))
     out = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

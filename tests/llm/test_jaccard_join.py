@@ -109,6 +109,46 @@ def test_prefix_is_shortened_to_the_recall():
     assert 1 - (1 - 0.8**4) ** 16 >= 0.999
 
 
+def test_nodes_stop_where_their_recall_is_reached():
+    for n in range(1, 40):
+        plain = min((n - lost) / (n + gained) for lost in range(n) for gained in range(n) if (n - lost) / (n + gained) >= 0.8 - 1e-12)
+        assert jj.least_similarity(n, 0.8) == pytest.approx(plain)
+    stops = jj.stop_lengths(16, 6, 0.8, 0.999)
+    assert stops[1] == stops[3] == 6 and stops[-1] == 4 and min(stops[1:]) == 4
+    for n in range(1, 200):
+        assert stops[n] == 1 or 1 - (1 - jj.least_similarity(n, 0.8) ** stops[n]) ** 16 >= 0.999
+
+
+@pytest.mark.parametrize("sides", [False, True])
+@pytest.mark.parametrize("size", [5, 33, 150])
+def test_a_trie_joins_what_all_pairs_join(size, sides):
+    rnd = np.random.default_rng(size)
+    for _ in range(6):
+        base = rnd.integers(0, 3, (6, 24)).astype("u4")
+        sigs = base[rnd.integers(0, 6, size)]
+        sigs = np.where(rnd.random(sigs.shape) < 0.15, rnd.integers(0, 50, sigs.shape), sigs).astype("u4")
+        labels, stop = sigs[:, :4], rnd.integers(1, 5, size)
+        near = rnd.integers(0, 2, size) if sides else np.full(size, 2)
+        left, right = [], []
+        for i in range(size):
+            for j in range(i):
+                length = max(stop[i], stop[j])
+                if (near[i] != near[j] or near[i] == 2) and (labels[i, :length] == labels[j, :length]).all() and (sigs[i] == sigs[j]).sum() >= 16:
+                    left.append(i)
+                    right.append(j)
+        want, got = jj._star(np.array(left, int), np.array(right, int), size), jj._joined(labels, sigs, stop, near, 16, 1)
+        assert {frozenset(np.flatnonzero(want == c)) for c in set(want)} == {frozenset(np.flatnonzero(got == c)) for c in set(got)}
+
+
+def test_blocks_of_a_large_key_are_dealt_evenly(spark):
+    df = spark.range(4000).selectExpr("CAST(1 AS LONG) AS key", "CAST(CAST(id AS STRING) AS BINARY) AS node", "100 AS n", "CAST(0 AS LONG) AS size")
+    small, big = jj._tasks(df, "key", 0.8, 256, 1 << 30)
+    assert small.count() == 0
+    per_task = big.groupBy("task", "place").count().collect()
+    assert len({r.task for r in per_task}) == len({r.place for r in per_task}) == len(per_task) == 16 * 17 // 2
+    assert max(r.place for r in per_task) - min(r.place for r in per_task) == len(per_task) - 1
+
+
 def test_shingle_hashes_equal_plain_sets():
     rnd = random.Random(5)
     texts = ["".join(rnd.choice("ab cé. \n0ÀZ") for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["", "a", "one two three four five"]
