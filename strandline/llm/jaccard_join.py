@@ -29,7 +29,7 @@ from strandline.llm.common import fresh, materialize, workers_import
 from strandline.llm.components import components
 
 #: Nodes of a block, and bytes of text of a block in verification.
-BLOCK_ROWS, BLOCK_BYTES = 512, 2_000_000
+BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
 
 
 def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
@@ -398,7 +398,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float, words
 
     groups = own.select("node", "n", F.lit(0).cast("long").alias("size"), F.posexplode("keys").alias("tree", "key"))
     stops = stop_lengths(trees, depth, threshold, recall)
-    tasks = _tasks(groups, "key", threshold, -(-block_rows // 2), block_bytes)  # narrow rows: smaller blocks are dealt more evenly
+    tasks = _tasks(groups, "key", threshold, block_rows, block_bytes)
     candidates = components(_candidate_edges(tasks, own.select("node", "sig"), depth, least_agreement(trees * depth, threshold), stops))
 
     members = candidates.join(own.select("node", "n", "size"), "node").join(nodes, "node")

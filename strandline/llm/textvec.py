@@ -20,7 +20,7 @@ _UP = np.ones(1, "u8")
 _DOWN = np.ones(1, "u8")
 _STEP = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], "u8")
 #: Texts are taken together until they have so many bytes; a longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def words_of(text: str) -> list[str]:
