@@ -7,9 +7,9 @@ from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 
-#: The default values of both classes are fixed values.
+#: The default values of both classes, and the key of the model's settings in the file, are fixed values.
 @dataclass
-class ModelConfig:
+class LlmConfig:
     model_name: str = "llama3.2:3b"
     base_url: str = "http://localhost:11434"
     temperature: float = 0.7
@@ -21,7 +21,7 @@ class ModelConfig:
 
 @dataclass
 class AppConfig:
-    model: ModelConfig = field(default_factory=ModelConfig)
+    llm: LlmConfig = field(default_factory=LlmConfig)
     cache_dir: str = "data/cache"
     max_video_size: int = 500 * 1024 * 1024
     supported_video_formats: list[str] = field(default_factory=lambda: [".mp4", ".avi", ".mov", ".mkv"])
@@ -35,8 +35,8 @@ def load(path: str, only_model: bool = False) -> AppConfig:
     """The file's settings; defaults where it is missing or unreadable. only_model: all but the model's are defaults."""
     try:
         got = json.loads(Path(path).read_text(encoding="utf-8"))
-        model = ModelConfig(**_known(ModelConfig, got.get("model", {})))
-        return AppConfig(model=model) if only_model else AppConfig(**_known(AppConfig, got) | {"model": model})
+        llm = LlmConfig(**_known(LlmConfig, got.get("llm", {})))
+        return AppConfig(llm=llm) if only_model else AppConfig(**_known(AppConfig, got) | {"llm": llm})
     except (OSError, ValueError, TypeError, AttributeError):
         return AppConfig()
 
@@ -47,12 +47,12 @@ def save(config: AppConfig, path: str) -> None:
 
 def update(config: AppConfig, **values) -> AppConfig:
     """A changed copy; names of the model's settings go to the model, unknown ones are refused."""
-    model, own = asdict(config.model), {k: v for k, v in asdict(config).items() if k != "model"}
+    llm, own = asdict(config.llm), {k: v for k, v in asdict(config).items() if k != "llm"}
     for k, v in values.items():
-        if k in model:
-            model[k] = v
+        if k in llm:
+            llm[k] = v
         elif k in own:
             own[k] = v
         else:
             raise KeyError(k)
-    return AppConfig(model=ModelConfig(**model), **own)
+    return AppConfig(llm=LlmConfig(**llm), **own)
