@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions.names import app_name, latest_version
 from strandline.functions.text import listing_line, tool_description
 from strandline.functions.types import short_type, short_types
-from strandline.operators.sequences import last_wins
+from strandline.operators.sequences import last_wins, with_rank
 from strandline.schemas import DETAIL
 
 
@@ -54,9 +54,10 @@ def exploded_types(catalog: DataFrame, mode: str = "fixed") -> tuple[DataFrame,
     return outs, ins
 
 
-def palette(catalog: DataFrame, name: str = "app_name", collation: str = "UNICODE") -> DataFrame:
-    """Rows by name under a collation; equal names keep the catalog's order. A missing name sorts as an empty one."""
-    return catalog.orderBy(F.collate(F.coalesce(F.col(name), F.lit("")), collation), "ord")
+def palette(catalog: DataFrame, name: str = "app_name", collation: str = "UNICODE", tie: str = "ord", rank: str = "rank") -> DataFrame:
+    """Rows with their rank by name under a collation; equal names keep the catalog's order. A missing name sorts as an empty one."""
+    order = [F.collate(F.coalesce(F.col(name), F.lit("")), collation), F.col(tie)]
+    return with_rank(catalog, order, rank)
 
 
 def health(**tables: DataFrame | None) -> DataFrame:

@@ -23,6 +23,18 @@ def with_ordinal(df: DataFrame, keys: Names, order: Sequence[str | Column], name
     return df.withColumn(name, F.row_number().over(ordered(keys, order)).cast("long") + (start - 1))
 
 
+def with_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """Number all rows in one order, from 1, without one task for all: ranges of the order are numbered apart and moved on by the
+    sizes of those before. Only one row for each range meets in a task."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that adaptive execution leaves the ranges as they are
+    ranged = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    placed = with_ordinal(ranged, ["_range"], order, "_place").join(F.broadcast(starts), "_range")
+    return placed.withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_before", "_place")
+
+
 def until_first_failure(df: DataFrame, keys: Names, order: Sequence[str | Column], success: Column) -> DataFrame:
     """The rows of each key up to and with the first one that fails; a null success is a failure."""
     before = ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandline.functions import jsonx, names, text, types
 from strandline.operators import catalog, compat, events, lookups, sequences
 from strandline.plans import execution, graph, planner
 from strandline.plans.planner import IntentRule
+from strandline.session import shared_folder
 
 #: The type rules of the driver tables: which part type may follow which.
 PART_RULES = {"economy": ("medium", "promo"), "medium": ("small", "large"), "large": ("small",), "promo": ("standard", "small")}
@@ -91,11 +91,7 @@ FROM p"""
 
 
 def palette_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    counts = parts.groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
-    below = counts.select("p_name", F.coalesce(F.sum("n").over(sequences.ordered([], ["p_name"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))  # one row for each distinct name
-    ranked = sequences.with_ordinal(parts, ["p_name"], ["p_partkey"], "place")
-    return ranked.join(below, "p_name").select("p_partkey", "p_name", (F.col("below") + F.col("place")).alias("rank"))
+    return catalog.palette(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "UTF8_BINARY", "p_partkey")
 
 
 PALETTE_RANK = "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS rank FROM part"
@@ -157,15 +153,13 @@ def _part_types(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def compat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").select(F.col("p_brand").alias("tool"), "p_type", "p_size").filter("p_size <= 4")
-    rules = compat.rule_table(spark, PART_RULES)
-    return compat.compatible_pairs(parts.filter("p_size <= 2").select("tool", F.col("p_type").alias("out_type")), parts.filter("p_size > 2").select("tool", F.col("p_type").alias("in_type")), rules)
+    parts = read(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("tool"), "p_type")
+    return compat.compatible_pairs(parts.withColumnRenamed("p_type", "out_type"), parts.withColumnRenamed("p_type", "in_type"), compat.rule_table(spark, PART_RULES))
 
 
 COMPAT_PAIRS = f"""
-SELECT DISTINCT a.p_brand AS source, b.p_brand AS target FROM part a JOIN part b ON a.p_brand <> b.p_brand
-LEFT JOIN {PART_RULES_SQL} ON r.o = lower(a.p_type) AND r.i = lower(b.p_type)
-WHERE a.p_size <= 2 AND b.p_size > 2 AND b.p_size <= 4 AND (lower(a.p_type) = lower(b.p_type) OR r.o IS NOT NULL)"""
+WITH p AS (SELECT DISTINCT p_brand || ' ' || p_size AS tool, lower(p_type) AS t FROM part)
+SELECT DISTINCT a.tool AS source, b.tool AS target FROM p a JOIN p b ON a.tool <> b.tool LEFT JOIN {PART_RULES_SQL} ON r.o = a.t AND r.i = b.t WHERE a.t = b.t OR r.o IS NOT NULL"""
 
 
 def suggest_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +390,7 @@ def response_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sessions: each user turn is answered by the assistant turn after it, each fifth run breaks."""
     c = read(spark, sf_dir, "conversations")
     messages = c.filter("role = 'user'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), F.when(F.col("conv_id") % 5 == 0, "broken").alias("failed"))
-    said = c.filter("role = 'assistant'").select(F.col("conv_id").alias("session_id"), (F.col("turn") - 1).alias("message_ord"), F.lit(1).alias("ord"), F.lit("assistant_message").alias("type"), text.preview(F.col("text"), 20).alias("content"))
+    said = c.filter("role = 'assistant'").select(F.col("conv_id").alias("session_id"), (F.col("turn") - 1).alias("message_ord"), F.lit(1).alias("ord"), F.lit("assistant_message").alias("type"), F.col("text").alias("content"))
     done = messages.filter("failed IS NULL").select("session_id", F.col("ord").alias("message_ord"), F.lit(2).alias("ord"), F.lit("conversation_complete").alias("type"), F.lit("completed").alias("content"))
     return events.responses(messages, said.join(messages.select("session_id", F.col("ord").alias("message_ord")), ["session_id", "message_ord"]).unionByName(done))
 
@@ -405,7 +399,7 @@ RESPONSE_EVENTS = """
 WITH m AS (SELECT conv_id, turn, conv_id % 5 = 0 AS bad, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, 0 AS stage, 'text_message_content' AS type, 'Hello! What would you like to analyze?' AS content FROM m WHERE k = 1
 UNION ALL SELECT conv_id, turn, 1, 'run_started', 'Processing your request...' FROM m
-UNION ALL SELECT m.conv_id, m.turn, 2, 'text_message_content', c.text[1:20] || '...' FROM m JOIN conversations c ON c.conv_id = m.conv_id AND c.turn = m.turn + 1 AND c.role = 'assistant'
+UNION ALL SELECT m.conv_id, m.turn, 2, 'text_message_content', c.text FROM m JOIN conversations c ON c.conv_id = m.conv_id AND c.turn = m.turn + 1 AND c.role = 'assistant'
 UNION ALL SELECT conv_id, turn, 3, 'run_finished', 'completed' FROM m WHERE NOT bad
 UNION ALL SELECT conv_id, turn, 3, 'run_error', 'broken' FROM m WHERE bad
 UNION ALL SELECT conv_id, turn, 4, 'run_finished', 'Response complete' FROM m)
@@ -469,16 +463,16 @@ SELECT conv_id AS session_id, coalesce(arg_max(text, turn) FILTER (role = 'assis
 
 def update_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as an agent run: one chunk a turn, an assistant's turn calls two tools, a user's turn is a tool's result."""
-    c = read(spark, sf_dir, "conversations").filter("role <> 'system'")
-    message = F.struct(F.when(F.col("role") == "assistant", "assistant").otherwise("tool").alias("kind"), text.preview(F.col("text"), 5).alias("content"), F.lit("n").alias("name"), F.when(F.col("role") == "assistant", F.array(F.lit("a"), F.lit("b"))).alias("tool_calls"))
+    c = read(spark, sf_dir, "conversations")
+    message = F.struct(F.when(F.col("role") == "assistant", "assistant").otherwise("tool").alias("kind"), F.col("text").alias("content"), F.lit("n").alias("name"), F.when(F.col("role") == "assistant", F.array(F.lit("a"), F.lit("b"))).alias("tool_calls"))
     node = F.struct(F.lit("node").alias("name"), F.array(message).alias("messages"), F.when(F.col("turn") % 2 == 0, F.lit(3)).alias("pipeline_nodes"), F.lit(0).alias("pipeline_edges"))
     chunks = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("chunk_ord"), F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 1), "oops").alias("error"), F.array(node).alias("nodes"))
     return events.flattened_updates(chunks)
 
 
 UPDATE_FLATTEN = """
-WITH c AS (SELECT * FROM conversations WHERE role <> 'system'),
-u AS (SELECT conv_id, turn, 0 AS b, CASE role WHEN 'assistant' THEN 'assistant_message' ELSE 'tool_result' END AS type, text[1:5] || '...' AS content, CASE WHEN role <> 'assistant' THEN 'n' END AS tool_name FROM c
+WITH c AS (SELECT * FROM conversations),
+u AS (SELECT conv_id, turn, 0 AS b, CASE role WHEN 'assistant' THEN 'assistant_message' ELSE 'tool_result' END AS type, text AS content, CASE WHEN role <> 'assistant' THEN 'n' END AS tool_name FROM c
 UNION ALL SELECT conv_id, turn, unnest([1, 2]), 'tool_selected', NULL, unnest(['a', 'b']) FROM c WHERE role = 'assistant'
 UNION ALL SELECT conv_id, turn, 9, 'pipeline_updated', '3,0', NULL FROM c WHERE turn % 2 = 0
 UNION ALL SELECT conv_id, 1000000, 0, CASE WHEN conv_id % 4 = 0 AND max(turn) FILTER (turn = 1) IS NOT NULL THEN 'error' ELSE 'conversation_complete' END, CASE WHEN conv_id % 4 = 0 AND max(turn) FILTER (turn = 1) IS NOT NULL THEN 'oops' ELSE 'completed' END, NULL FROM c GROUP BY conv_id)
@@ -604,7 +598,7 @@ SESSION_ELAPSED = "SELECT user_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS
 
 
 def plan_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = read(spark, sf_dir, "part").filter("p_size <= 5").select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("query"))
+    requests = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("query"))
     plans = planner.plan_requests(requests, rules=NAME_RULES[:1])
     return plans.select("request_id", text.explanation(F.col("query"), F.col("plan")).alias("explanation"))
 
@@ -612,7 +606,7 @@ def plan_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAN_EXPLAIN = """
 SELECT p_partkey AS request_id, 'Request: "' || p_name || '"' || chr(10) || chr(10) || '**Overview:**' || chr(10) || 'Fallback plan for: ' || p_name || chr(10) || chr(10) || '**Steps:**' || chr(10)
   || CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'bolt') THEN '1. **fasten**: hold things' ELSE '1. **whisper-wrapper**: General audio analysis' END || chr(10) || chr(10)
-  || chr(10) || '**Estimated time:** 1 minutes 0 seconds' || chr(10) || '**Confidence:** 50.0%' AS explanation FROM part WHERE p_size <= 5"""
+  || chr(10) || '**Estimated time:** 1 minutes 0 seconds' || chr(10) || '**Confidence:** 50.0%' AS explanation FROM part"""
 
 
 # ---- without SQL
@@ -625,8 +619,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(spark, sf_dir, "conversations"))
     sessions = session_stream(rows.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("ord"), "role", "text"), ttl_ms=None)
-    name = "sessions_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    out = run_available(sessions, name, "update", _stream_dir(spark))
+    out = run_available(sessions, f"sessions_{uuid.uuid4().hex}", "update", shared_folder(spark, "stream"))
     return out.groupBy("session_id").agg(*[F.max_by(c, "messages").alias(c) for c in out.columns if c not in ("session_id", "messages")], F.max("messages").alias("messages"))
 
 
@@ -637,12 +630,6 @@ def _stream_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet" if fs.getFileStatus(path).isDirectory() else f"{sf_dir}/{name}*.parquet"
 
 
-def _stream_dir(spark: SparkSession) -> str:
-    """A checkpoint folder: below spark.checkpoint.dir, or a folder of our own where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{next(tempfile._get_candidate_names())}" if shared else tempfile.mkdtemp(prefix="strandline-stream-")
-
-
 def pipeline_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges of users' event pipelines to structs and back: (pipeline, kind, ord, id), equal to what went in."""
     e = _at(_user_events(spark, sf_dir)).withColumn("pipeline", F.concat(F.lit("p"), "session_id"))
@@ -660,17 +647,24 @@ i AS (SELECT *, event_type || '-' || ord AS id FROM n), e AS (SELECT pipeline, o
 SELECT pipeline, 'node' AS kind, ord, id FROM i UNION ALL SELECT pipeline, 'edge', ord, id FROM e WHERE id IS NOT NULL"""
 
 
-def pipeline_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few pipelines, one for each region, through files and back. The files are written by the driver, so few they stay."""
+def _yaml_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of pipeline files, one for each region."""
     from strandline.sources import pipelines
 
     e = read(spark, sf_dir, "nation").select(F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("pipeline"), F.col("n_name").alias("tool_id"), F.lit("{}").alias("data"), "n_nationkey")
     nodes = graph.add_nodes(e, ["pipeline"], ["n_nationkey"])
     edges = spark.createDataFrame([], "pipeline string, ord long, id string, source string, target string")
-    with tempfile.TemporaryDirectory(prefix="strandline-yaml-") as folder:
-        _, back, _ = pipelines.round_trip(spark, nodes.select("pipeline").distinct(), nodes, edges, folder)
-        rows = [tuple(r) for r in back.select("pipeline", "ord", "id", "y").collect()]  # 25 nations
-    return spark.createDataFrame(rows, "pipeline string, ord long, id string, y double")
+    folder = shared_folder(spark, "yaml")
+    pipelines.save(graph.to_struct(nodes.select("pipeline").distinct(), nodes, edges), folder)
+    return folder
+
+
+def pipeline_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipelines through files and back."""
+    from strandline.sources import pipelines
+
+    _, back, _ = graph.from_struct(pipelines.read_folder(spark, _yaml_folder(spark, sf_dir)))
+    return back.select("pipeline", "ord", "id", "y")
 
 
 PIPELINE_YAML = """
@@ -689,17 +683,279 @@ def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return '{"error": "stop"}' if int(value) % 5 == 0 else value
 
     registry = Registry().add("add", add).add("stop", stop)
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").cast("string").alias("plan_id"), F.col("o_custkey").cast("string").alias("input"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id"), F.col("o_custkey").cast("string").alias("input"))
     lines = _steps(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("plan_id"), "step", F.when(F.col("step") % 2 == 1, "add").otherwise("stop").alias("tool_name"), F.create_map(F.lit("by"), F.col("l_linenumber").cast("string")).alias("parameters"))
     return execution.run_plans(orders, lines, registry).select("plan_id", "step", "tool_name", "success", "output", "error")
 
 
 TOOL_RUNS = f"""
-WITH RECURSIVE s AS (SELECT l_orderkey AS k, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}) AS step FROM lineitem WHERE l_orderkey % 10 = 0),
-r AS (SELECT o_orderkey AS k, CAST(0 AS BIGINT) AS step, CAST(o_custkey AS BIGINT) AS v, true AS ok FROM orders WHERE o_orderkey % 10 = 0
+WITH RECURSIVE s AS (SELECT l_orderkey AS k, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}) AS step FROM lineitem),
+r AS (SELECT o_orderkey AS k, CAST(0 AS BIGINT) AS step, CAST(o_custkey AS BIGINT) AS v, true AS ok FROM orders
 UNION ALL SELECT s.k, s.step, CASE WHEN s.step % 2 = 1 THEN r.v + s.n ELSE r.v END, s.step % 2 = 1 OR r.v % 5 <> 0 FROM r JOIN s ON s.k = r.k AND s.step = r.step + 1 WHERE r.ok)
 SELECT CAST(k AS VARCHAR) AS plan_id, step, CASE WHEN step % 2 = 1 THEN 'add' ELSE 'stop' END AS tool_name, ok AS success, CASE WHEN ok THEN CAST(v AS VARCHAR) END AS output, CASE WHEN NOT ok THEN 'stop' END AS error FROM r WHERE step > 0"""
 
+def pipeline_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.sources import pipelines
+
+    return pipelines.list_names(spark, _yaml_folder(spark, sf_dir))
+
+
+PIPELINE_NAMES = "SELECT DISTINCT 'region_' || n_regionkey || '.yaml' AS file, 'Region ' || n_regionkey AS name FROM nation"
+
+
+# ---- catalogs, documents, logs
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of brands: each part is a version of its brand's app, and the details are those of one part."""
+    parts = read(spark, sf_dir, "part")
+    versions = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array("p_name", F.lit("x"))))
+    index = parts.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("http://apps/"), "p_brand").alias("app_url"), F.when(F.col("p_size") % 7 > 0, F.col("p_type")).alias("description"), F.lit(None).cast("string").alias("latest_update"), versions.alias("versions"))
+    one = part_catalog(parts.groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey")).filter("p_brand <> 'Brand#13'").join(parts.drop("p_brand"), "p_partkey"))
+    return catalog.shape_catalog(index, one.select(F.col("latest_version").alias("app_name"), "input", "output", "parameters"))
+
+
+def catalog_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shaped catalog, written as a snapshot and read again."""
+    from strandline.sources import catalogs
+
+    path = shared_folder(spark, "catalog")
+    catalogs.write_snapshot(_shaped(spark, sf_dir), path)
+    shaped = catalogs.read_snapshot(spark, path)
+    return shaped.select("ord", "app_name", "latest_version", "description", F.get("output", F.lit(0))["type"].alias("gives"), F.size("input").cast("long").alias("inputs"), F.size("parameters").cast("long").alias("parameters"))
+
+
+CATALOG_SHAPE = """
+WITH one AS (SELECT p_brand, arg_min(p_type, p_partkey) AS gives, arg_min(p_size % 3, p_partkey) AS k FROM part WHERE p_brand <> 'Brand#13' GROUP BY p_brand)
+SELECT min(p_partkey) AS ord, p_brand AS app_name, arg_max(CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE p_name END, p_partkey) AS latest_version, arg_max(CASE WHEN p_size % 7 > 0 THEN p_type ELSE '' END, p_partkey) AS description,
+  any_value(gives) AS gives, CAST(CASE WHEN any_value(k) < 2 THEN 1 ELSE 0 END AS BIGINT) AS inputs, CAST(CASE WHEN any_value(gives) IS NULL THEN 0 ELSE 1 END AS BIGINT) AS parameters
+FROM part LEFT JOIN one USING (p_brand) GROUP BY p_brand"""
+
+
+def catalog_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.pick_app(_shaped(spark, sf_dir), "Brand#12").select("ord", "app_name", "latest_version", "description")
+
+
+CATALOG_PICK = f"SELECT ord, app_name, latest_version, description FROM ({CATALOG_SHAPE}) WHERE app_name = 'Brand#12'"
+
+
+def catalog_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata bodies, some of which do not parse, and an index of them through a file and back."""
+    from strandline.sources import catalogs
+
+    parts = read(spark, sf_dir, "part")
+    kind = F.concat(F.lit('{"@type": "'), "p_type", F.lit('"}'))
+    body = F.when(F.col("p_size") % 4 == 0, F.lit("no json")).otherwise(F.concat(F.lit('{"input": ['), kind, F.lit(", ["), kind, F.lit(", "), kind, F.lit(']], "output": [{"@type": "'), "p_brand", F.lit('", "properties": {"n": 1}}], "parameters": [{"name": "p", "default": 0}]}')))
+    details = catalogs.parse_details(parts.select(F.col("p_partkey").cast("string").alias("app_name"), body.alias("body")))
+    nations = read(spark, sf_dir, "nation").orderBy("n_nationkey").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"http://a/'), F.format_string("%03d", "n_nationkey"), F.lit('": {"description": "'), "n_name", F.lit('", "versions": [["v'), F.col("n_regionkey").cast("string"), F.lit('", "x"]]}')))), ", "), F.lit("}")).alias("value"))
+    path = shared_folder(spark, "index")
+    nations.write.mode("overwrite").text(path)
+    index = catalogs.read_index(spark, path)
+    first = details.select("app_name", F.array_join(F.transform("input", lambda s: F.array_join(F.transform(s, lambda t: t["type"]), "|")), ",").alias("takes"), F.get("output", F.lit(0))["properties"]["n"].alias("n"), F.get("parameters", F.lit(0))["default"].alias("latest"))
+    return first.unionByName(index.select(F.col("app_url").alias("app_name"), F.col("description").alias("takes"), F.col("ord").cast("string").alias("n"), names.latest_version(F.col("versions")).alias("latest")))
+
+
+CATALOG_DETAILS = """
+SELECT CAST(p_partkey AS VARCHAR) AS app_name, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type || ',' || p_type || '|' || p_type END AS takes, CASE WHEN p_size % 4 <> 0 THEN '1' END AS n, CASE WHEN p_size % 4 <> 0 THEN '0' END AS latest FROM part
+UNION ALL SELECT 'http://a/' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0'), n_name, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS VARCHAR), 'v' || n_regionkey FROM nation"""
+
+
+def documents_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interchange documents written as files, read whole and taken apart; some do not parse."""
+    from strandline.sources import documents
+
+    p = read(spark, sf_dir, "part")
+    body = F.when(F.col("p_size") % 6 == 0, F.lit("{")).otherwise(F.concat(F.lit('{"documents": [{"@type": "'), "p_type", F.lit('", "properties": {"mime": "'), "p_brand", F.lit('", "id": "'), F.col("p_partkey").cast("string"), F.lit('", "location": "'), "p_name", F.lit('"}}]}')))
+    path = shared_folder(spark, "documents")
+    p.select(body.alias("value")).write.mode("overwrite").text(path)
+    lines = documents.read_documents(spark, path, "*.txt").select("path", F.explode(F.split("body", "\n")).alias("body"))
+    return documents.document_parts(lines).select("type", "mime", "id", "location")
+
+
+DOCUMENTS_PARTS = "SELECT p_type AS type, p_brand AS mime, CAST(p_partkey AS VARCHAR) AS id, p_name AS location FROM part WHERE p_size % 6 <> 0"
+
+
+def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a log, and its records read again with the JSON in them."""
+    from strandline.sources import logs
+
+    e = read(spark, sf_dir, "events")
+    body = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "session_id": "s", "data": {"message": "'), F.col("event_id").cast("string"), F.lit('"}}'))
+    path = shared_folder(spark, "log")
+    logs.append_log(e.select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("session_id"), F.upper("event_type").alias("log_type"), body.alias("body")), path)
+    return logs.log_events(logs.read_log(spark, path)).select(F.unix_millis("log_ts").alias("at_ms"), "session_id", "log_type", "type", "message")
+
+
+LOG_ROUND_TRIP = "SELECT epoch_us(ts) // 1000 AS at_ms, CAST(user_id AS VARCHAR) AS session_id, upper(event_type) AS log_type, event_type AS type, CAST(event_id AS VARCHAR) AS message FROM events"
+
+
+# ---- edges, names and nodes by their own operators
+
+
+def connection_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive tools of an order, valid if a namespace of the one's outputs is one of the other's inputs."""
+    parts = read(spark, sf_dir, "part")
+
+    def kind(number: Column) -> Column:
+        return F.struct(F.concat(F.lit("http://n"), number.cast("string"), F.lit("/"), "p_type").alias("type"), F.lit(True).alias("required"), F.create_map().cast("map<string,string>").alias("properties"))
+
+    tools = parts.filter("p_size <= 45").select(F.col("p_partkey").alias("app_name"), F.array(kind(F.col("p_size") % 3)).alias("output"), F.array(F.array(kind(F.col("p_partkey") % 3))).alias("input"))
+    steps = _steps(spark, sf_dir).select("l_orderkey", "step", "l_partkey")
+    edges = steps.select("l_orderkey", "step", F.lag("l_partkey").over(sequences.ordered(["l_orderkey"], ["step"])).alias("source_tool"), F.col("l_partkey").alias("target_tool")).filter("source_tool IS NOT NULL")
+    return compat.valid_connections(edges, tools).select("l_orderkey", "step", "source_tool", "target_tool", "edge_type")
+
+
+CONNECTION_VALIDITY = f"""
+WITH {STEPS_SQL}, e AS (SELECT plan_id AS l_orderkey, step, lag(tool_name) OVER (PARTITION BY plan_id ORDER BY step) AS source_tool, tool_name AS target_tool FROM s)
+SELECT l_orderkey, step, source_tool, target_tool, CASE WHEN a.p_size % 3 = b.p_partkey % 3 THEN 'default' ELSE 'invalid' END AS edge_type
+FROM e JOIN part a ON a.p_partkey = source_tool AND a.p_size <= 45 JOIN part b ON b.p_partkey = target_tool AND b.p_size <= 45"""
+
+
+def shown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of users' event pipelines; those that lead to no node are not shown."""
+    e = _at(_user_events(spark, sf_dir)).withColumn("pipeline", F.concat(F.lit("p"), "session_id"))
+    nodes = graph.add_nodes(e.select("pipeline", F.col("event_type").alias("tool_id"), F.col("ord").alias("event_ord"), "event_id"), ["pipeline"], ["event_ord"])
+    source = F.lag("id").over(sequences.ordered(["pipeline"], ["ord"]))
+    edges = nodes.select("pipeline", source.alias("source"), F.when(F.col("event_id") % 3 == 0, "gone").otherwise(F.col("id")).alias("target"), "ord").filter("source IS NOT NULL")
+    return graph.displayed_edges(graph.add_edges(edges, ["pipeline"], "ord"), nodes).select("pipeline", "id", "source_tool", "target_tool")
+
+
+SHOWN_EDGES = """
+WITH n AS (SELECT 'p' || user_id AS pipeline, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord FROM events),
+i AS (SELECT *, event_type || '-' || ord AS id FROM n), e AS (SELECT *, lag(id) OVER w AS source, lag(event_type) OVER w AS source_tool FROM i WINDOW w AS (PARTITION BY pipeline ORDER BY ord))
+SELECT pipeline, source || '-' || id AS id, source_tool, event_type AS target_tool FROM e WHERE source IS NOT NULL AND event_id % 3 <> 0"""
+
+
+def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 4
+    name, url = F.when(k == 0, F.col("p_name")).when(k == 1, ""), F.when(k < 3, F.when(k == 2, F.concat(F.lit("http://a/"), "p_brand")).otherwise(F.lit("http://a/")))
+    return read(spark, sf_dir, "part").select("p_partkey", names.display_name(name, url, F.concat(F.lit("n-"), F.col("p_partkey").cast("string"))).alias("name"))
+
+
+NODE_NAMES = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 2 THEN p_brand ELSE 'n-' || p_partkey END AS name FROM part"
+
+
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("ord"), F.when(F.col("event_type") == "view", "other").otherwise("tool_selected").alias("type"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("tool_name"))
+    return graph.from_tool_events(e).select("pipeline", "ord", "id", "x", "y")
+
+
+CONVERSATION_NODES = """
+WITH n AS (SELECT 'Pipeline-' || user_id AS pipeline, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord FROM events WHERE event_type NOT IN ('view', 'error'))
+SELECT pipeline, ord, event_type || '-' || ord AS id, 100.0::DOUBLE AS x, CAST(ord * 100 AS DOUBLE) AS y FROM n"""
+
+
+def preview_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, more = sequences.head_and_more(read(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"])
+    return first.select("p_partkey", F.lit(None).cast("long").alias("more")).unionByName(more.select(F.lit(None).cast("long").alias("p_partkey"), "more"))
+
+
+PREVIEW_MORE = "SELECT * FROM (SELECT p_partkey, CAST(NULL AS BIGINT) AS more FROM part ORDER BY p_name, p_partkey LIMIT 5) UNION ALL SELECT NULL, greatest(count(*) - 5, 0) FROM part"
+
+
+def catalog_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry with a tool for each app of the catalog, and plans of one step each that call it."""
+    from strandline.plans import registry
+
+    tools = registry.from_catalog(_shaped(spark, sf_dir), lambda name: registry.echo)
+    parts = read(spark, sf_dir, "part")
+    plans = parts.select(F.col("p_partkey").cast("string").alias("plan_id"), F.col("p_name").alias("input"))
+    tool = F.when(F.col("p_size") % 9 == 0, "none").otherwise(F.col("p_brand"))
+    steps = parts.select(F.col("p_partkey").cast("string").alias("plan_id"), F.lit(1).cast("long").alias("step"), tool.alias("tool_name"), F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("parameters"))
+    return execution.run_plans(plans, steps, tools).select("plan_id", "tool_name", "success", "output", "error")
+
+
+CATALOG_TOOLS = """
+SELECT CAST(p_partkey AS VARCHAR) AS plan_id, CASE WHEN p_size % 9 = 0 THEN 'none' ELSE p_brand END AS tool_name, p_size % 9 <> 0 AS success,
+  CASE WHEN p_size % 9 <> 0 THEN '{"text": "' || p_name || '", "size": "' || p_size || '"}' END AS output, CASE WHEN p_size % 9 = 0 THEN 'Tool none not found' END AS error FROM part"""
+
+
+# ---- the service
+
+
+SERVICE_EVENTS = {"click": "user_message", "signup": "session_start", "view": "validation_request", "purchase": "human_feedback"}
+
+
+def _service(spark: SparkSession, sf_dir: str):
+    """(service, incoming events): its agent repeats each message, names a tool and ends."""
+    from strandline.api import Service
+
+    def agent(messages: DataFrame) -> DataFrame:
+        def row(i: int, kind: str, content: Column, tool: Column) -> Column:
+            return F.struct(F.lit(i).cast("long").alias("ord"), F.lit(kind).alias("type"), content.alias("content"), tool.alias("tool_name"))
+
+        none = F.lit(None).cast("string")
+        rows = F.array(row(1, "assistant_message", F.concat(F.lit("re: "), "message"), none), row(2, "tool_selected", none, F.col("message")), row(3, "conversation_complete", F.lit("completed"), none))
+        return messages.select("session_id", "message_ord", F.explode(rows).alias("u")).select("session_id", "message_ord", "u.*")
+
+    e = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ord"), events.mapped(F.col("event_type"), SERVICE_EVENTS, "odd").alias("type"), F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("m"), F.col("event_id").cast("string"))).otherwise("").alias("message"),
+        F.when(F.col("event_id") % 2 == 0, "plan").alias("item"), (F.col("value") > 50).alias("approved"), F.when(F.col("event_id") % 2 == 0, "soon").otherwise("").alias("comments"),
+    )
+    return Service(spark, _shaped(spark, sf_dir), "", agent), e
+
+
+SERVICE_SQL = """
+e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS ord, event_type AS t, value FROM events),
+m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS k FROM e WHERE t = 'click' AND ord % 7 > 0),
+r AS (SELECT session_id, ord, 0 AS stage, 'text_message_content' AS type, 'Hello! What would you like to analyze?' AS content FROM m WHERE k = 1
+UNION ALL SELECT session_id, ord, 1, 'run_started', 'Processing your request...' FROM m
+UNION ALL SELECT session_id, ord, unnest([2, 3, 4]), unnest(['text_message_content', 'tool_call_start', 'run_finished']), unnest(['re: m' || ord, NULL, 'completed']) FROM m
+UNION ALL SELECT session_id, ord, 5, 'run_finished', 'Response complete' FROM m),
+answers AS (SELECT session_id, ord, row_number() OVER (PARTITION BY session_id, ord ORDER BY stage) AS seq, type, content FROM r
+UNION ALL SELECT session_id, ord, 1, 'run_error', 'Message is required' FROM e WHERE t = 'click' AND ord % 7 = 0
+UNION ALL SELECT * FROM (""" + FEEDBACK.strip().replace("WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS ord, event_type AS t, value FROM events)\n", "").replace("'Unhandled event type: ' || t", "'Unhandled event type: odd'") + "))"
+
+
+def service_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    service, incoming = _service(spark, sf_dir)
+    return service.answer(incoming)
+
+
+SERVICE_ANSWERS = f"WITH {SERVICE_SQL} SELECT session_id, ord, seq, type, content FROM answers"
+
+
+def service_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    service, incoming = _service(spark, sf_dir)
+    return service.stream(incoming)
+
+
+SERVICE_STREAM = f"WITH {SERVICE_SQL} SELECT session_id, ord, seq, type, content FROM answers QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord, seq) <= 50"
+
+
+def service_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folded answers of all sessions, and the pipelines that their messages built."""
+    service, incoming = _service(spark, sf_dir)
+    clicks = incoming.filter("type = 'user_message'")
+    chats = service.chat(clicks).select("session_id", "content", F.array_join("tool_calls", ",").alias("tool_calls"), "updates", "tool_added")
+    return chats.join(service.session_pipelines(clicks, clicks.select("session_id").distinct()), "session_id", "right")
+
+
+SERVICE_CHAT = """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS ord FROM events WHERE event_type = 'click'),
+m AS (SELECT session_id, 're: m' || max(ord) AS content, string_agg('m' || ord, ',' ORDER BY ord) AS tool_calls, count(*) * 3 AS updates FROM e WHERE ord % 7 > 0 GROUP BY session_id)
+SELECT DISTINCT e.session_id, content, tool_calls, updates, CASE WHEN m.session_id IS NOT NULL THEN true END AS tool_added, CASE WHEN m.session_id IS NOT NULL THEN 'Pipeline-' || m.session_id END AS pipeline, CASE WHEN m.session_id IS NULL THEN 'no pipeline' ELSE 'found' END AS status
+FROM e LEFT JOIN m ON m.session_id = e.session_id"""
+
+
+def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests planned by the rules, and run where they have an input and all tools are there."""
+    service, _ = _service(spark, sf_dir)
+    service.registry.add("whisper-wrapper", lambda value, parameters: value.upper()).add("easyocr-wrapper", lambda value, parameters: '{"error": "dark"}')
+    word = F.element_at(F.array(F.lit("speech"), F.lit("read"), F.lit("scene"), F.lit("plain")), (F.col("p_size") % 4 + 1).cast("int"))
+    requests = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), word.alias("query"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("input"))
+    plans, results = service.process(requests, auto_execute=True)
+    ran = results.select(F.col("plan_id").cast("long").alias("request_id"), "tool_name", "output")
+    return plans.select("request_id", "issues", "status").join(ran, "request_id", "left")
+
+
+SERVICE_REQUESTS = """
+SELECT p_partkey AS request_id, CAST(CASE WHEN p_size % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS issues,
+  CASE WHEN p_partkey % 3 = 0 THEN 'planned' WHEN p_size % 4 = 2 THEN 'validation_failed' WHEN p_size % 4 = 1 THEN 'execution_failed' ELSE 'completed' END AS status,
+  CASE WHEN p_partkey % 3 > 0 THEN CASE p_size % 4 WHEN 1 THEN 'easyocr-wrapper' WHEN 2 THEN NULL ELSE 'whisper-wrapper' END END AS tool_name,
+  CASE WHEN p_partkey % 3 > 0 AND p_size % 4 IN (0, 3) THEN upper(p_name) END AS output FROM part"""
+
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "type_clean": (type_clean, TYPE_CLEAN), "type_namespace": (type_namespace, TYPE_NAMESPACE), "catalog_latest": (catalog_latest, CATALOG_LATEST), "catalog_describe": (catalog_describe, CATALOG_DESCRIBE),
     "compat_pairs": (compat_pairs, COMPAT_PAIRS), "suggest_top5": (suggest_top5, SUGGEST_TOP5), "edge_validity": (edge_validity, EDGE_VALIDITY), "validate_plan": (validate_plan, VALIDATE_PLAN),
@@ -709,6 +965,9 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "preview": (preview, PREVIEW), "intent": (intent, _intent_sql()), "slug": (slug, SLUG), "palette_rank": (palette_rank, PALETTE_RANK), "health": (health, HEALTH), "available_tools": (available_tools, AVAILABLE_TOOLS), "tool_directories": (tool_directories, TOOL_DIRECTORIES),
     "plan_convert": (plan_convert, PLAN_CONVERT), "plan_explain": (plan_explain, PLAN_EXPLAIN), "feedback": (feedback, FEEDBACK), "response_events": (response_events, RESPONSE_EVENTS), "update_flatten": (update_flatten, UPDATE_FLATTEN), "session_clear": (session_clear, SESSION_CLEAR),
     "session_pipeline": (session_pipeline, SESSION_PIPELINE), "connections": (connections, CONNECTIONS), "broadcast_all": (broadcast_all, BROADCAST_ALL), "wire_frames": (wire_frames, WIRE_FRAMES), "message_guard": (message_guard, MESSAGE_GUARD), "session_elapsed": (session_elapsed, SESSION_ELAPSED),
+    "catalog_shape": (catalog_shape, CATALOG_SHAPE), "catalog_pick": (catalog_pick, CATALOG_PICK), "catalog_details": (catalog_details, CATALOG_DETAILS), "documents_parts": (documents_parts, DOCUMENTS_PARTS), "log_round_trip": (log_round_trip, LOG_ROUND_TRIP),
+    "connection_validity": (connection_validity, CONNECTION_VALIDITY), "shown_edges": (shown_edges, SHOWN_EDGES), "node_names": (node_names, NODE_NAMES), "conversation_nodes": (conversation_nodes, CONVERSATION_NODES), "preview_more": (preview_more, PREVIEW_MORE), "catalog_tools": (catalog_tools, CATALOG_TOOLS),
+    "service_answers": (service_answers, SERVICE_ANSWERS), "service_stream": (service_stream, SERVICE_STREAM), "service_chat": (service_chat, SERVICE_CHAT), "service_requests": (service_requests, SERVICE_REQUESTS), "pipeline_names": (pipeline_names, PIPELINE_NAMES),
     "pipeline_graph": (pipeline_graph, PIPELINE_GRAPH), "pipeline_yaml": (pipeline_yaml, PIPELINE_YAML), "tool_runs": (tool_runs, TOOL_RUNS), "stream_sessions": (stream_sessions, SESSION_STATE.replace("conv_id AS session_id", "CAST(conv_id AS VARCHAR) AS session_id").replace(", md5(string_agg(text, '|' ORDER BY turn)) AS history, string_agg(role, ',' ORDER BY turn) AS roles", "")),
 }
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +29,7 @@ def load(text: str) -> dict:
     return got
 
 
-def _plain(row) -> dict:
+def as_mapping(row) -> dict:
     return {"name": row["name"], "nodes": [{"id": n["id"], "tool_id": n["tool_id"], "data": json.loads(n["data"] or "{}"), "position": {"x": n["x"], "y": n["y"]}} for n in row["nodes"]], "edges": [e.asDict() for e in row["edges"]]}
 
 
@@ -44,24 +42,36 @@ def file_name(name: str) -> str:
     return name.lower().replace(" ", "_") + ".yaml"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop sees them, so that a folder may be in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def save(pipelines: DataFrame, folder: str, name: str | None = None) -> list[str]:
-    """Write each pipeline of (name, nodes, edges) to its own file; equal slugs overwrite each other. Returns the paths."""
-    os.makedirs(folder, exist_ok=True)
+    """Write each pipeline of (name, nodes, edges) to its own file; equal slugs overwrite each other. Returns the paths.
+
+    Files are written one by one through the folder's file system: pipelines that people build are few and small.
+    """
     out = []
     for row in pipelines.toLocalIterator():
-        d = _plain(row)
+        d = as_mapping(row)
         d["name"] = name or d["name"]
-        path = os.path.join(folder, file_name(d["name"]))
-        Path(path).write_text(dump(d), encoding="utf-8")
+        path = f"{folder.rstrip('/')}/{file_name(d['name'])}"
+        fs, where = _file_system(pipelines.sparkSession, path)
+        stream = fs.create(where, True)
+        stream.write(bytearray(dump(d).encode()))
+        stream.close()
         out.append(path)
     return out
 
 
 def load_one(spark: SparkSession, name_or_path: str, folder: str) -> DataFrame:
     """A pipeline by its path, else by its name in the folder; FileNotFoundError if there is neither."""
-    for path in (name_or_path, os.path.join(folder, file_name(name_or_path))):
-        if os.path.isfile(path):
-            return spark.createDataFrame([_row(load(Path(path).read_text(encoding="utf-8")))], PIPELINE)
+    for path in (name_or_path, f"{folder.rstrip('/')}/{file_name(name_or_path)}"):
+        fs, where = _file_system(spark, path)
+        if fs.exists(where) and fs.getFileStatus(where).isFile():
+            return spark.createDataFrame([_row(load(spark.read.text(path, wholetext=True).first()["value"]))], PIPELINE)
     raise FileNotFoundError(f"Pipeline not found: {name_or_path}")
 
 

@@ -89,12 +89,22 @@ def fan_out(stream: DataFrame, connections: Callable[[], DataFrame], deliver: Ca
 
 
 def run_available(df: DataFrame, name: str, mode: str, checkpoint: str, timeout: int = 300) -> DataFrame:
-    """Run a stream over what is there now into a memory table and return it; an overlong run is stopped and raises."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return its rows; an overlong run is stopped and raises.
+
+    Rows are Parquet files beside the checkpoint, a folder for each batch, so a batch that is run twice counts once.
+    """
+    rows = f"{checkpoint.rstrip('/')}-rows"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
+
+    query = df.writeStream.outputMode(mode).queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"{name} ran longer than {timeout} s")
-    return df.sparkSession.table(name)
+    if query.lastProgress is None:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(rows).select(*df.columns)
 
 
 def call_with_timeout(spark: SparkSession, action: Callable[[], object], seconds: float, group: str) -> object:

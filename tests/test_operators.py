@@ -45,7 +45,7 @@ def test_catalog(tools):
 
 def test_palette_and_health(spark, tools):
     df = spark.createDataFrame([(1, "b"), (2, "A"), (3, None), (4, "a"), (5, "B")], "ord long, app_name string")
-    assert [r.app_name for r in catalog.palette(df).collect()] == [None, "a", "A", "b", "B"]
+    assert [r.app_name for r in catalog.palette(df).orderBy("rank").collect()] == [None, "a", "A", "b", "B"]
     r = catalog.health(tools=tools, store=None).first()
     assert r.tools_count == 3 and r.tools_available and not r.store_available and r.store_count is None and r.status == "healthy"
     with pytest.raises(ValueError, match="session"):

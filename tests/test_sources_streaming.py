@@ -79,6 +79,7 @@ def test_config(tmp_path):
     assert config.load(path) == config.AppConfig()
     changed = config.update(config.AppConfig(), temperature=0.1, cache_dir="x")
     config.save(changed, path)
+    assert json.loads((tmp_path / "c.json").read_text())["llm"]["temperature"] == 0.1
     assert config.load(path) == changed and config.load(path, only_model=True).cache_dir == config.AppConfig().cache_dir
     (tmp_path / "c.json").write_text("[")
     assert config.load(path) == config.AppConfig()
