@@ -6,6 +6,8 @@
    prefix that has to match is shortened, node by node, until the trees together meet a partner with the target recall:
    a partner of a node with few shingles is more similar than the threshold asks, since sets of that size can't be
    just at it, so such a node stops at a longer prefix. A subtree that has become one component is done.
+   Nodes meet by their whole minhashes; the rest of a label and the agreement below are told by the last byte of each,
+   which can only let more nodes meet.
 3. Nodes that so meet are joined if enough of all their minhashes agree, at a margin that a pair at the threshold passes
    nearly always; a joined node is not compared again, so a dense group takes few comparisons. Only edges of a spanning
    star leave a subtree, never its pairs. Their connected components are the candidates.
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import fresh, materialize, workers_import
 from strandline.llm.components import components
 
-#: Nodes of a block, and bytes of text of a block in verification.
-BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
+#: Nodes of a block (half as many in verification), and bytes of text of a block in verification.
+BLOCK_ROWS, BLOCK_BYTES = 512, 2_000_000
 
 
 def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
@@ -112,7 +114,8 @@ def _sign(rows: DataFrame, trees: int, depth: int, k: int, prefix: int) -> DataF
                     nodes += [prints[i].tobytes() if some[i] else None for i in range(b - a)]
                     counts += [len(np.unique(h[x:y])) for x, y in zip(at[:-1], at[1:], strict=True)]  # distinct, as in the similarity
                     sizes += [len(t) for t in texts[a:b]]
-                    sigs += [sig[i].tobytes() if some[i] else None for i in range(b - a)]
+                    short = sig.astype("u1")  # the last byte: equal minhashes stay equal, and few others become so
+                    sigs += [short[i].tobytes() if some[i] else None for i in range(b - a)]
                     keys += [row if ok else None for row, ok in zip(key.view("i8"), some, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), th, pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -272,7 +275,7 @@ def _candidate_edges(tasks: tuple[DataFrame, DataFrame | None], signatures: Data
             node, task, near = part.column("node").to_pylist(), part.column("task").to_numpy(), part.column("near").to_numpy()
             tree = part.column("tree").to_numpy()
             stop = stop_of[np.minimum(part.column("n").to_numpy(), len(stops) - 1)]
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u4").reshape(len(node), -1)
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "u1").reshape(len(node), -1)
             labels = sig.reshape(len(node), -1, depth)[np.arange(len(node)), tree]
             left, right = [], []
             for start, size in zip(*_runs(task), strict=True):
@@ -402,7 +405,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float, words
     candidates = components(_candidate_edges(tasks, own.select("node", "sig"), depth, least_agreement(trees * depth, threshold), stops))
 
     members = candidates.join(own.select("node", "n", "size"), "node").join(nodes, "node")
-    tasks = _tasks(members.withColumnRenamed("root", "key"), "key", threshold, block_rows, block_bytes)
+    # here all pairs are compared: smaller blocks are dealt more evenly
+    tasks = _tasks(members.withColumnRenamed("root", "key"), "key", threshold, -(-block_rows // 2), block_bytes)
     same_row = F.col("rep").eqNullSafe(F.col("id")) & (F.col("rep_th") == F.col("th"))
     dealt = _dealt(tasks, lambda df: df.join(rows, same_row).select("task", "near", "place", "node", "copies", "text"))
     found = materialize(_verified(dealt, threshold, words), "join-links")
