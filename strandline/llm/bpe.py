@@ -24,7 +24,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import workers_import
+from strandline.llm.common import python_workers
 
 #: A space with white space before it and white space or the end after it: then chunks are not independent.
 _ENTANGLED = re.compile(r"\s (?:\s|\Z)")
@@ -243,7 +243,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col:
     """
     import pyarrow as pa
 
-    workers_import(docs.sparkSession)
+    python_workers(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_bytes())  # of the vocabulary's fixed size
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strandline.session import workers_import
 
-__all__ = ["ascii_lower", "fresh", "labelled", "materialize", "release", "scratch_path", "shared_dir", "table", "workers_import"]
+__all__ = ["ascii_lower", "fresh", "labelled", "materialize", "python_workers", "release", "scratch_path", "shared_dir", "table"]
 
+#: What Arrow hands to a Python worker at once: so many rows and, as far as a single row allows, so many bytes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str, str]] = []
 _LABELS = [""]
@@ -33,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["own"]
 
 
+def python_workers(spark: SparkSession) -> None:
+    """Let Python workers import the library, and bound what both sides of a worker hold of its input: whole texts are long rows.
+    A session that sets the sizes of Arrow batches itself keeps them."""
+    workers_import(spark)
+    for key, most in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
+
+
 @contextmanager
 def labelled(label: str) -> Iterator[None]:
     """Scratch tables written meanwhile carry this label, by which release() can tell them from others."""

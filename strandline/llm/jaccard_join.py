@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fresh, materialize, workers_import
+from strandline.llm.common import fresh, materialize, python_workers
 from strandline.llm.components import components
 
 #: Nodes of a block (half as many in verification), and bytes of text of a block in verification.
@@ -386,7 +386,7 @@ def _verified(dealt: DataFrame, threshold: float, k: int) -> DataFrame:
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float, words: int, trees: int, depth: int, recall: float, block_rows: int, block_bytes: int) -> DataFrame:
     """id, th (hash of the text), class_id, class_th (of the row that stands for the class), n_links, class_size for each row of docs."""
-    workers_import(docs.sparkSession)
+    python_workers(docs.sparkSession)
     prefix = prefix_length(trees, depth, threshold, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))

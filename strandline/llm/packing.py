@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.bpe import rows_of
-from strandline.llm.common import workers_import
+from strandline.llm.common import python_workers
 
 #: Fixed value: the pattern that the byte-level pretokeniser of the tokenizers library applies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -107,7 +107,7 @@ def _pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int, id_c
     from pathlib import Path
 
     piece_lengths(0, sequence)
-    workers_import(docs.sparkSession)
+    python_workers(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))  # of the vocabulary's fixed size
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids
 

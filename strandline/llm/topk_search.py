@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.common import materialize, scratch_path, workers_import
+from strandline.llm.common import materialize, python_workers, scratch_path
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -154,7 +154,7 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: in
     import pyarrow as pa
 
     spark = candidates.sparkSession
-    workers_import(spark)
+    python_workers(spark)
 
     def clean(df: DataFrame) -> DataFrame:
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL)")

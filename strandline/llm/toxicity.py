@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, workers_import
+from strandline.llm.common import materialize, python_workers
 
 #: Families of identity terms, in English, German, French and Spanish; within a family each may be swapped for any other.
 IDENTITY_FAMILIES: tuple[tuple[str, ...], ...] = (
@@ -132,7 +132,7 @@ def train(
     import pyarrow as pa
 
     spark = docs.sparkSession
-    workers_import(spark)
+    python_workers(spark)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # of ``sample`` rows
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """
     import pyarrow as pa
 
-    workers_import(docs.sparkSession)
+    python_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -260,7 +260,7 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     """
     if model is None:
         return docs
-    workers_import(docs.sparkSession)
+    python_workers(docs.sparkSession)
     scorer = _scorer(model)
 
     @F.pandas_udf("double")
