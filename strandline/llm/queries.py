@@ -1,4 +1,4 @@
-"""The queries op1_ ... op10_, each the whole of its table through its operator, and their SQL where SQL can say it."""
+"""The queries op1_ ... op13_, each the whole of its table through its operator, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat_format, exact_dedup, jaccard_join, license_scan, packing, pii, topk_search, toxicity, url_filter
+from strandline.llm import bpe, chat_format, divergence, exact_dedup, jaccard_join, license_scan, packing, pii, quality_rules, spelling, topk_search, toxicity, url_filter
 from strandline.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -222,9 +222,63 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM esc GROUP BY conv_id"""
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels").filter(~held_out())))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (gn.total + 5 * v.v) AS p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (SELECT lang, CAST(sum(total) AS HUGEINT) AS total FROM gn GROUP BY lang),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (CAST(sum(n) AS HUGEINT) + 5)) // (any_value(total) + 5 * any_value(v)) AS q FROM c JOIN v USING (lang) JOIN whole USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, CAST(p.p - q.q AS BIGINT) AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+#: The checksum is folded over the bytes with a table of 256 numbers, made by its rule; near words are found by keys and compared in pairs.
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x) ORDER BY x) AS t FROM range(0, 256) r(x)),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM d)),
+c AS (SELECT id, run, count(*) AS n FROM w WHERE length(run) >= 7 GROUP BY id, run),
+b AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS bytes FROM c),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, t),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+x AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS wild, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM i),
+l AS (SELECT DISTINCT word, n, less FROM x),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.wild = b.wild AND a.word <> b.word
+  UNION ALL SELECT l.word, v.word, v.n FROM l JOIN v ON v.word = l.less UNION ALL SELECT v.word, l.word, l.n FROM l JOIN v ON v.word = l.less),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+r(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM r JOIN f ON f.form = r.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_topk, op2_license_scan, op3_url_filter, op4_pii, op5_toxicity, op6_exact_dedup, op7_byte_bpe, op8_packing, op9_jaccard_join, op10_chat_format)}
+    return {f.__name__: f for f in (op1_pivot_topk, op2_license_scan, op3_url_filter, op4_pii, op5_toxicity, op6_exact_dedup, op7_byte_bpe, op8_packing, op9_jaccard_join, op10_chat_format, op11_quality_rules, op12_source_divergence, op13_spelling_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1_SQL, "op2_license_scan": op2_sql(), "op3_url_filter": op3_sql(), "op4_pii": op4_sql(), "op6_exact_dedup": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_pivot_topk": OP1_SQL, "op2_license_scan": op2_sql(), "op3_url_filter": op3_sql(), "op4_pii": op4_sql(), "op6_exact_dedup": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_spelling_groups": OP13_SQL}
