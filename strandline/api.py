@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from strandline.operators import catalog as catalogs
 from strandline.operators import events
 from strandline.operators.lookups import session_pipeline
-from strandline.plans import execution, graph, planner
+from strandline.plans import execution, graph, planner, stepwise
 from strandline.plans.registry import Registry
+from strandline.session import shared_folder
 from strandline.sources import pipelines
 
 #: An agent: from messages (session_id, message_ord, message) to updates (session_id, message_ord, ord, type, content, tool_name).
@@ -104,19 +105,22 @@ class Service:
 
     # ---- requests
 
-    def process(self, requests: DataFrame, auto_execute: bool = False) -> tuple[DataFrame, DataFrame]:
-        """(plans, results) for requests (request_id, query, input): each is planned once, and run if asked to and valid.
+    def process(self, requests: DataFrame, auto_execute: bool = False, work: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(plans, results) for requests (request_id, query, input): each is planned once, and run once if asked to and valid.
 
-        plans: request_id, query, plan, issues, status; results: those of run_plans() for the plans that ran.
+        plans: request_id, query, plan, issues, status; results: plan_id, step, tool_name, success, output, error of the steps that
+        ran. The planner's output and each round of steps are tables in the folder ``work`` (a new one by default), which both
+        results are read from; a call with the folder of one that broke off goes on from what is there.
         """
-        plans = planner.plan_requests(requests.select("request_id", "query"), self.planner)
+        work = work or shared_folder(self.spark, "requests")
+        plans = planner.plan_requests(requests.select("request_id", "query"), self.planner, path=f"{work}/planned")
         heads = plans.join(requests.select("request_id", "input"), "request_id")
         ids = heads.select(F.col("request_id").cast("string").alias("plan_id"), F.coalesce("input", F.lit("")).alias("input"))
         steps = planner.plan_steps(plans).select(F.col("request_id").cast("string").alias("plan_id"), "step", "tool_name", "parameters")
         known = self.registry.table(self.spark).select("tool_name") if self.registry.tools else self.catalog.select(F.col("app_name").alias("tool_name"))
         issues = execution.validate_plans(ids, steps, known).groupBy("plan_id").agg(F.count(F.lit(1)).alias("issues"))
         ready = ids.join(issues, "plan_id", "left_anti").filter("input <> ''") if auto_execute else ids.limit(0)
-        results = execution.run_plans(ready, steps, self.registry)
+        results = stepwise.run_stepwise(ready, steps, self.registry, f"{work}/run")
         ends = execution.plan_outcomes(ready, results).select("plan_id", F.when(F.col("success"), "completed").otherwise("failed").alias("ended"))
         both = heads.withColumn("plan_id", F.col("request_id").cast("string")).join(issues, "plan_id", "left").join(ends, "plan_id", "left")
         status = execution.request_status(F.lit(auto_execute), F.coalesce("input", F.lit("")) != "", F.coalesce("issues", F.lit(0)), F.col("ended"), F.lit(None).cast("string"))

@@ -1,7 +1,8 @@
 """Models behind planners and agents: connectors to chat servers, a planner that asks one, and the tool loop.
 
 A model is a callable from a list of messages (dicts of role and content) to a text; the connectors below are such, and
-so is any function, which is what tests use. Calls run on the executors, one for each request or message.
+so is any function, which is what tests use. Calls run on the executors. A frame that calls a model does so each time it is
+evaluated; model_planner() with a folder, and Service.process(), keep what was answered.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.config import LlmConfig
+from strandline.plans.ledger import call_once, request_key
 from strandline.plans.registry import Registry
 from strandline.session import workers_import
 
@@ -47,19 +50,23 @@ def chat_model(config: LlmConfig, key: str = "", timeout: float = 120.0, post: C
     return kinds[config.provider]
 
 
-def model_planner(model: Model, tools: str = "") -> Callable[[DataFrame], DataFrame]:
-    """A planner for plan_requests(): asks the model once for each request; what fails becomes the request's error.
+def model_planner(model: Model, tools: str = "", folder: str | None = None, width: int = 8, attempts: int = 3) -> Callable[[DataFrame], DataFrame]:
+    """A planner for plan_requests(): asks the model for each request; what fails becomes the request's error.
 
-    tools: the listing of the tools that the model may plan with.
+    tools: the listing of the tools that the model may plan with. With a folder, answers are kept in the ledger there: equal requests
+    are asked once between them, now and in later runs, ``width`` at a time in a task, each up to ``attempts`` times.
     """
     task = f"Plan which tools answer the request. Tools:\n{tools}\nReply with one JSON object: steps (tool_name, parameters, config, reasoning, estimated_time), reasoning, confidence, input_types, output_types, estimated_time."
 
+    def asked(query: str) -> str:
+        return model([{"role": "system", "content": task}, {"role": "user", "content": query}])
+
     def ask(frames: Iterator) -> Iterator:
         for f in frames:
             outputs, errors = [], []
             for query in f["query"]:
                 try:
-                    outputs.append(model([{"role": "system", "content": task}, {"role": "user", "content": query}]))
+                    outputs.append(asked(query))
                     errors.append(None)
                 except Exception as e:  # a failing model is a plan's error, not the job's
                     outputs.append(None)
@@ -69,17 +76,21 @@ def model_planner(model: Model, tools: str = "") -> Callable[[DataFrame], DataFr
     def plan(requests: DataFrame) -> DataFrame:
         workers_import(requests.sparkSession)
         kind = requests.schema["request_id"].dataType.simpleString()
-        return requests.select("request_id", "query").mapInPandas(ask, f"request_id {kind}, output string, error string")
+        if folder is None:
+            return requests.select("request_id", "query").mapInPandas(ask, f"request_id {kind}, output string, error string")
+        keyed = requests.select("request_id", request_key(F.lit(task), F.col("query")).alias("key"), F.col("query").alias("payload"))
+        answers = call_once(keyed, asked, folder, width, attempts)
+        return keyed.join(answers, "key").select("request_id", "output", "error", "attempts")
 
     return plan
 
 
-def tool_agent(model: Model, registry: Registry, most_rounds: int = 10) -> Callable[[DataFrame], DataFrame]:
-    """An agent whose model may call the registry's tools, round after round, until it answers.
+def updates_of(model: Model, registry: Registry, most_rounds: int = 10) -> Callable[[list[dict], str], Iterator[tuple]]:
+    """What answers one message: from (history, message) to (type, content, tool_name) for each update.
 
-    The model replies with a JSON object {"tool", "input", "parameters"} for a call, whose result is put to it again;
-    any other reply is the answer. Each message gives tool_selected and tool_result for each call, assistant_message,
-    and conversation_complete, or error where the model fails or does not answer within most_rounds.
+    The model sees the history, the message, and each call's result; it replies with a JSON object {"tool", "input",
+    "parameters"} for a call, and any other reply is the answer. Updates are tool_selected and tool_result for each call,
+    assistant_message, and conversation_complete, or error where the model fails or does not answer within most_rounds.
     """
     listing = "Tools: " + ", ".join(sorted(registry.tools)) + '. Call one by replying {"tool": name, "input": text, "parameters": {}}; else answer.'
 
@@ -90,8 +101,8 @@ def tool_agent(model: Model, registry: Registry, most_rounds: int = 10) -> Calla
             return None
         return got if isinstance(got, dict) and "tool" in got else None
 
-    def updates(message: str) -> Iterator[tuple]:
-        said = [{"role": "system", "content": listing}, {"role": "user", "content": message}]
+    def updates(history: list[dict], message: str) -> Iterator[tuple]:
+        said = [{"role": "system", "content": listing}, *history, {"role": "user", "content": message}]
         try:
             for _ in range(most_rounds):
                 reply = model(said)
@@ -110,11 +121,21 @@ def tool_agent(model: Model, registry: Registry, most_rounds: int = 10) -> Calla
         except Exception as e:
             yield "error", str(e), None
 
+    return updates
+
+
+def tool_agent(model: Model, registry: Registry, most_rounds: int = 10) -> Callable[[DataFrame], DataFrame]:
+    """An agent for Service: answers each message by itself, as updates_of() does without a history.
+
+    With a memory over a session's messages it is streaming.keyed.conversation(messages, updates_of(model, registry)).
+    """
+    updates = updates_of(model, registry, most_rounds)
+
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for f in frames:
-            rows = [(s, m, i + 1, *u) for s, m, text in f.itertuples(index=False, name=None) for i, u in enumerate(updates(text))]
+            rows = [(s, m, i + 1, *u) for s, m, text in f.itertuples(index=False, name=None) for i, u in enumerate(updates([], text))]
             yield pd.DataFrame(rows, columns=["session_id", "message_ord", "ord", "type", "content", "tool_name"])
 
     def agent(messages: DataFrame) -> DataFrame:

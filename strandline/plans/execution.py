@@ -49,6 +49,12 @@ def progress(plans: DataFrame, results: DataFrame) -> DataFrame:
     # as a window over the plan: how many steps it has in all
     counted = results.withColumn("total_steps", F.count(F.lit(1)).over(ordered(["plan_id"], ["step"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     ran = executed(counted)
+    last = ran.groupBy("plan_id").agg(F.every("success").alias("ok"), F.max("total_steps").alias("total_steps"), F.count(F.lit(1)).alias("n_run"))
+    return step_progress(ran).unionByName(end_progress(plans.select("plan_id").join(last, "plan_id", "left")))
+
+
+def step_progress(ran: DataFrame) -> DataFrame:
+    """The three progress rows of each executed step, for rows of plan_id, step, tool_name, success, total_steps."""
     i, n = (F.col("step") - 1).cast("double"), F.col("total_steps").cast("double")
     hundred = F.lit(100.0)
 
@@ -58,13 +64,16 @@ def progress(plans: DataFrame, results: DataFrame) -> DataFrame:
 
     ended = F.when(F.col("success"), "completed").otherwise("failed")
     rows = ran.select("plan_id", "total_steps", F.explode(F.array(row("starting", i / n, 1), row("running", (i + F.lit(0.5)) / n, 2), row(ended, (i + F.lit(1.0)) / n, 3))).alias("r"))
-    rows = rows.select("plan_id", "r.seq", "r.current_step", "total_steps", "r.step_name", "r.status", "r.percentage")
-    last = ran.groupBy("plan_id").agg(F.every("success").alias("ok"), F.max("total_steps").alias("total_steps"), (F.count(F.lit(1)) * 3 + 1).alias("seq"))
-    ends = plans.select("plan_id").join(last, "plan_id", "left").select(
-        "plan_id", F.coalesce("seq", F.lit(1).cast("long")).alias("seq"), F.coalesce("total_steps", F.lit(0).cast("long")).alias("current_step"), F.coalesce("total_steps", F.lit(0).cast("long")).alias("total_steps"),
+    return rows.select("plan_id", "r.seq", "r.current_step", "total_steps", "r.step_name", "r.status", "r.percentage")
+
+
+def end_progress(ends: DataFrame) -> DataFrame:
+    """The last progress row of plans that have ended, for rows of plan_id, ok, total_steps, n_run; a plan without steps has nulls."""
+    total, n_run = F.coalesce("total_steps", F.lit(0).cast("long")), F.coalesce("n_run", F.lit(0).cast("long"))
+    return ends.select(
+        "plan_id", (n_run * 3 + 1).alias("seq"), total.alias("current_step"), total.alias("total_steps"),
         F.lit("pipeline").alias("step_name"), F.when(F.coalesce("ok", F.lit(True)), "completed").otherwise("failed").alias("status"), F.lit(100.0).alias("percentage"),
     )
-    return rows.unionByName(ends)
 
 
 def progress_message(seconds: Column, failed: Column, error: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.schemas import PLAN_OUTPUT, STEP
+from strandline.session import written
 
 
 @dataclass(frozen=True)
@@ -100,18 +101,20 @@ def parsed(text: Column) -> Column:
     return once(F.from_json(text, PLAN_OUTPUT, {"mode": "PERMISSIVE"}), full)
 
 
-def plan_requests(requests: DataFrame, planner: Callable[[DataFrame], DataFrame] | None = None, rules: Sequence[IntentRule] = RULES) -> DataFrame:
-    """request_id, query, plan for requests (request_id, query); each request is planned once.
+def plan_requests(requests: DataFrame, planner: Callable[[DataFrame], DataFrame] | None = None, rules: Sequence[IntentRule] = RULES, path: str | None = None) -> DataFrame:
+    """request_id, query, plan for requests (request_id, query).
 
     Without a planner, or where its output does not parse, the rules make the plan. A planner may give a column error;
-    where that is set the plan is the one of a failed planning.
+    where that is set the plan is the one of a failed planning. A planner runs whenever the result is evaluated; with a path,
+    its output is written there and read from then on, so that it runs once.
     """
     if planner is None:
         return requests.select("request_id", "query", rule_plan(F.col("query"), rules).alias("plan"))
     out = planner(requests)
     if "error" not in out.columns:
         out = out.withColumn("error", F.lit(None).cast("string"))
-    both = requests.join(out.select("request_id", "output", "error"), "request_id", "left")
+    out = out.select("request_id", "output", "error")
+    both = requests.join(out if path is None else written(out, path), "request_id", "left")
     ruled = rule_plan(F.col("query"), rules)
     given = once(parsed(F.col("output")), lambda p: F.when(p.isNotNull(), converted(p)).otherwise(ruled))
     plan = F.when(F.col("error").isNotNull(), failure_plan(F.col("query"), F.col("error"))).otherwise(given)

@@ -672,8 +672,8 @@ WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nati
 SELECT 'Region ' || n_regionkey AS pipeline, ord, n_name || '-' || ord AS id, CAST(ord * 100 AS DOUBLE) AS y FROM n"""
 
 
-def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans run by real functions, each step on the output of the one before."""
+def _tool_plans(spark: SparkSession, sf_dir: str):
+    """(plans, steps, registry): orders as plans of real functions, one step for each line."""
     from strandline.plans.registry import Registry
 
     def add(value: str, parameters: dict) -> str:
@@ -685,7 +685,12 @@ def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = Registry().add("add", add).add("stop", stop)
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id"), F.col("o_custkey").cast("string").alias("input"))
     lines = _steps(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("plan_id"), "step", F.when(F.col("step") % 2 == 1, "add").otherwise("stop").alias("tool_name"), F.create_map(F.lit("by"), F.col("l_linenumber").cast("string")).alias("parameters"))
-    return execution.run_plans(orders, lines, registry).select("plan_id", "step", "tool_name", "success", "output", "error")
+    return orders, lines, registry
+
+
+def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans run by real functions, each step on the output of the one before."""
+    return execution.run_plans(*_tool_plans(spark, sf_dir)).select("plan_id", "step", "tool_name", "success", "output", "error")
 
 
 TOOL_RUNS = f"""
@@ -955,6 +960,152 @@ SELECT p_partkey AS request_id, CAST(CASE WHEN p_size % 4 = 2 THEN 1 ELSE 0 END
   CASE WHEN p_partkey % 3 > 0 THEN CASE p_size % 4 WHEN 1 THEN 'easyocr-wrapper' WHEN 2 THEN NULL ELSE 'whisper-wrapper' END END AS tool_name,
   CASE WHEN p_partkey % 3 > 0 AND p_size % 4 IN (0, 3) THEN upper(p_name) END AS output FROM part"""
 
+# ---- state across batches and restarts
+
+
+def _two_runs(spark: SparkSession, rows: DataFrame, first: Column, make: Callable[[DataFrame], DataFrame], last: DataFrame | None = None) -> DataFrame:
+    """What make() gives for rows as a stream whose first part is run over before the rest arrives; the second run starts from the checkpoint."""
+    from strandline.streaming.sessions import run_available
+
+    folder = shared_folder(spark, "stream")
+    for i, part in enumerate((rows.filter(first), rows.filter(~first))):
+        part.write.mode("append").parquet(f"{folder}/in/part={i}")
+        if i and last is not None:
+            last.write.mode("append").parquet(f"{folder}/in/part={i}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        out = run_available(make(stream), f"run_{uuid.uuid4().hex}", "append", f"{folder}/state")
+    return out
+
+
+def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user message with its session's history before it; the history lives in the stream's state over a restart."""
+    from strandline.streaming.keyed import remembered
+
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("ord"), "role", "text")
+    out = _two_runs(spark, c, F.col("ord") < 2, remembered)
+    said = F.array_join(F.transform("history", lambda h: F.concat(h["role"], F.lit(":"), F.coalesce(h["text"], F.lit("")))), "|")
+    return out.select("session_id", "ord", "text", "first", F.size("history").cast("long").alias("n_before"), F.md5(said).alias("history"))
+
+
+SESSION_MEMORY = """
+WITH h AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS BIGINT) AS ord, role, text, coalesce(count(*) FILTER (role = 'user') OVER w, 0) = 0 AS first, count(*) OVER w AS n_before,
+  md5(coalesce(string_agg(role || ':' || coalesce(text, ''), '|') OVER w, '')) AS history FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT session_id, ord, text, first, n_before, history FROM h WHERE role = 'user'"""
+
+
+def _recalling(said: list[dict]) -> str:
+    """A stand-in for a model, which tells what it has been given."""
+    return f"{len(said) - 2} before, last {len(said[-2]['content'])}: {said[-1]['content']}" if len(said) > 2 else f"new: {said[-1]['content']}"
+
+
+def agent_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User messages answered by an agent that is given its session's earlier messages and its own answers, over a restart."""
+    from strandline.plans.agents import updates_of
+    from strandline.plans.registry import Registry
+    from strandline.streaming.keyed import conversation
+
+    c = read(spark, sf_dir, "conversations").filter("role = 'user'").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    out = _two_runs(spark, c, F.col("ord") < 2, lambda m: conversation(m, updates_of(_recalling, Registry())))
+    return out.select("session_id", "message_ord", "ord", "type", "content")
+
+
+AGENT_MEMORY = """
+WITH RECURSIVE m AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS BIGINT) AS message_ord, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
+r AS (SELECT session_id, message_ord, k, 'new: ' || text AS content FROM m WHERE k = 1
+UNION ALL SELECT m.session_id, m.message_ord, m.k, 2 * r.k || ' before, last ' || length(r.content) || ': ' || m.text FROM r JOIN m ON m.session_id = r.session_id AND m.k = r.k + 1)
+SELECT session_id, message_ord, CAST(1 AS BIGINT) AS ord, 'assistant_message' AS type, content FROM r UNION ALL SELECT session_id, message_ord, 2, 'conversation_complete', 'completed' FROM r"""
+
+
+def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups and other events as two streams: each event with the connection that is open at its time, over a restart."""
+    from strandline.streaming.keyed import deliver
+
+    e = _user_events(spark, sf_dir).select("session_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("seq"), F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).alias("queue"))
+    middle = e.agg(F.expr("timestamp_micros((unix_micros(min(at)) + unix_micros(max(at))) div 2)").alias("middle"))
+    split = e.join(F.broadcast(middle))  # one row
+    close = e.agg(F.lit("").alias("session_id"), (F.max("at") + F.expr("INTERVAL 2 DAYS")).alias("at"), F.lit(-1).cast("long").alias("seq"), F.lit("close").alias("queue"), F.max("at").alias("middle"))  # moves the watermark past all rows
+    # some of the first half arrive with the second, late by less than the watermark allows
+    first = (F.col("at") < F.col("middle")) & ~((F.col("seq") % 5 == 0) & (F.col("at") > F.col("middle") - F.expr("INTERVAL 12 HOURS")))
+    make = lambda both: deliver(both.filter("queue IS NULL"), both.filter("queue IS NOT NULL"), "1 day")
+    return _two_runs(spark, split, first, make, close).select("session_id", F.col("seq").alias("event_id"), F.col("queue").cast("long").alias("queue"))
+
+
+DELIVERY = """
+WITH o AS (SELECT user_id, event_id, event_type, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS queue FROM events)
+SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, queue FROM o WHERE event_type <> 'signup' AND queue IS NOT NULL"""
+
+
+def frame_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 frames of each user's stream, counted over two runs."""
+    from strandline.streaming.keyed import capped_stream
+
+    e = _at(_user_events(spark, sf_dir)).select("session_id", F.col("ord").cast("long").alias("ord"), F.col("event_type").alias("frame"))
+    return _two_runs(spark, e, F.col("ord") <= 30, lambda s: capped_stream(s, 50))
+
+
+FRAME_CAP = "SELECT CAST(user_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, event_type AS frame FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 50"
+
+
+# ---- answers kept, and plans run in rounds
+
+
+def planned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of parts, planned by a model that fails at first on some: equal requests share one answer of the ledger."""
+    from strandline.plans.agents import model_planner
+
+    def model(said: list[dict], seen={}) -> str:  # noqa: B006
+        query = said[-1]["content"]
+        seen[query] = seen.get(query, 0) + 1
+        if query.startswith("size 7") and seen[query] % 3:  # twice in three calls
+            raise ValueError("busy")
+        if query.startswith("size 9"):
+            raise ValueError("no plan for " + query)
+        return '{"steps": [{"tool_name": "%s"}, {"tool_name": "keep"}], "reasoning": "r", "confidence": 0.5, "input_types": [], "output_types": [], "estimated_time": 3}' % query.replace(" ", "-")
+
+    requests = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_brand")).alias("query"))
+    folder = shared_folder(spark, "planned")
+    planner_of = model_planner(model, folder=f"{folder}/ledger", attempts=4)
+    plans = planner.plan_requests(requests, planner_of, path=f"{folder}/planned")
+    kept = planner_of(requests).select("request_id", "attempts")  # all from the ledger by now
+    return plans.join(kept, "request_id").select("request_id", F.array_join("plan.steps.tool_name", ",").alias("tools"), "attempts", F.col("plan.confidence").alias("confidence"))
+
+
+PLANNED_ONCE = """
+SELECT p_partkey AS request_id, CASE WHEN p_size = 9 OR p_size // 10 = 9 THEN 'whisper-wrapper' ELSE 'size-' || p_size || '-' || p_brand || ',keep' END AS tools,
+  CAST(CASE WHEN starts_with('size ' || p_size, 'size 9') THEN 4 WHEN starts_with('size ' || p_size, 'size 7') THEN 3 ELSE 1 END AS BIGINT) AS attempts, CASE WHEN starts_with('size ' || p_size, 'size 9') THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM part"""
+
+
+def _stepwise(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """(folder, results) of the plans of tool_runs, run for two rounds, then on to the end from what these wrote."""
+    from strandline.plans.stepwise import run_stepwise
+
+    orders, lines, registry = _tool_plans(spark, sf_dir)
+    folder = shared_folder(spark, "rounds")
+    run_stepwise(orders, lines, registry, folder, most_rounds=2)
+    return folder, run_stepwise(orders, lines, registry, folder)
+
+
+def stepwise_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stepwise(spark, sf_dir)[1]
+
+
+def stepwise_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress rows that the rounds of all plans leave."""
+    from strandline.plans.stepwise import progress_so_far
+
+    return progress_so_far(spark, _stepwise(spark, sf_dir)[0])
+
+
+STEPWISE_PROGRESS = f"""
+WITH x AS ({{TOOL_RUNS}}),
+n AS (SELECT CAST(o_orderkey AS VARCHAR) AS plan_id, count(l_orderkey) AS total_steps FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+r AS (SELECT x.*, total_steps FROM x JOIN n USING (plan_id)),
+p AS (SELECT plan_id, unnest([3 * step - 2, 3 * step - 1, 3 * step]) AS seq, step AS current_step, total_steps, tool_name AS step_name, unnest(['starting', 'running', CASE WHEN success THEN 'completed' ELSE 'failed' END]) AS status,
+  unnest([CAST(step - 1 AS DOUBLE) / total_steps * 100, (CAST(step - 1 AS DOUBLE) + 0.5::DOUBLE) / total_steps * 100, CAST(step AS DOUBLE) / total_steps * 100]) AS percentage FROM r),
+e AS (SELECT n.plan_id, 3 * count(step) + 1 AS seq, any_value(n.total_steps) AS current_step, any_value(n.total_steps) AS total_steps, 'pipeline' AS step_name, CASE WHEN coalesce(bool_and(success), true) THEN 'completed' ELSE 'failed' END AS status, 100.0::DOUBLE AS percentage FROM n LEFT JOIN x USING (plan_id) GROUP BY n.plan_id)
+SELECT * FROM p UNION ALL SELECT * FROM e""".replace("{TOOL_RUNS}", TOOL_RUNS)
+
+
 
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "type_clean": (type_clean, TYPE_CLEAN), "type_namespace": (type_namespace, TYPE_NAMESPACE), "catalog_latest": (catalog_latest, CATALOG_LATEST), "catalog_describe": (catalog_describe, CATALOG_DESCRIBE),
@@ -969,6 +1120,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "connection_validity": (connection_validity, CONNECTION_VALIDITY), "shown_edges": (shown_edges, SHOWN_EDGES), "node_names": (node_names, NODE_NAMES), "conversation_nodes": (conversation_nodes, CONVERSATION_NODES), "preview_more": (preview_more, PREVIEW_MORE), "catalog_tools": (catalog_tools, CATALOG_TOOLS),
     "service_answers": (service_answers, SERVICE_ANSWERS), "service_stream": (service_stream, SERVICE_STREAM), "service_chat": (service_chat, SERVICE_CHAT), "service_requests": (service_requests, SERVICE_REQUESTS), "pipeline_names": (pipeline_names, PIPELINE_NAMES),
     "pipeline_graph": (pipeline_graph, PIPELINE_GRAPH), "pipeline_yaml": (pipeline_yaml, PIPELINE_YAML), "tool_runs": (tool_runs, TOOL_RUNS), "stream_sessions": (stream_sessions, SESSION_STATE.replace("conv_id AS session_id", "CAST(conv_id AS VARCHAR) AS session_id").replace(", md5(string_agg(text, '|' ORDER BY turn)) AS history, string_agg(role, ',' ORDER BY turn) AS roles", "")),
+    "session_memory": (session_memory, SESSION_MEMORY), "agent_memory": (agent_memory, AGENT_MEMORY), "delivery": (delivery, DELIVERY), "frame_cap": (frame_cap, FRAME_CAP),
+    "planned_once": (planned_once, PLANNED_ONCE), "stepwise_runs": (stepwise_runs, TOOL_RUNS), "stepwise_progress": (stepwise_progress, STEPWISE_PROGRESS),
 }
 
 

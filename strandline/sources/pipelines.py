@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.names import pipeline_title
 from strandline.plans.graph import from_struct, to_struct
 from strandline.schemas import PIPELINE
-from strandline.session import workers_import
+from strandline.session import file_system, workers_import
 
 try:
     import yaml
@@ -42,12 +42,6 @@ def file_name(name: str) -> str:
     return name.lower().replace(" ", "_") + ".yaml"
 
 
-def _file_system(spark: SparkSession, path: str):
-    """(file system, path) as Hadoop sees them, so that a folder may be in any store that Spark reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def save(pipelines: DataFrame, folder: str, name: str | None = None) -> list[str]:
     """Write each pipeline of (name, nodes, edges) to its own file; equal slugs overwrite each other. Returns the paths.
 
@@ -58,7 +52,7 @@ def save(pipelines: DataFrame, folder: str, name: str | None = None) -> list[str
         d = as_mapping(row)
         d["name"] = name or d["name"]
         path = f"{folder.rstrip('/')}/{file_name(d['name'])}"
-        fs, where = _file_system(pipelines.sparkSession, path)
+        fs, where = file_system(pipelines.sparkSession, path)
         stream = fs.create(where, True)
         stream.write(bytearray(dump(d).encode()))
         stream.close()
@@ -69,7 +63,7 @@ def save(pipelines: DataFrame, folder: str, name: str | None = None) -> list[str
 def load_one(spark: SparkSession, name_or_path: str, folder: str) -> DataFrame:
     """A pipeline by its path, else by its name in the folder; FileNotFoundError if there is neither."""
     for path in (name_or_path, f"{folder.rstrip('/')}/{file_name(name_or_path)}"):
-        fs, where = _file_system(spark, path)
+        fs, where = file_system(spark, path)
         if fs.exists(where) and fs.getFileStatus(where).isFile():
             return spark.createDataFrame([_row(load(spark.read.text(path, wholetext=True).first()["value"]))], PIPELINE)
     raise FileNotFoundError(f"Pipeline not found: {name_or_path}")
