@@ -101,7 +101,7 @@ class Service:
         """Write a session's pipeline to its file, under another name if one is given; the session keeps its own."""
         own = f"Pipeline-{session_id}"
         one = graph.to_struct(nodes.filter(F.col("pipeline") == own).select("pipeline").distinct(), nodes.filter(F.col("pipeline") == own), edges.filter(F.col("pipeline") == own))
-        return pipelines.save(one, self.folder, name)
+        return [f"{self.folder.rstrip('/')}/{r['file']}" for r in pipelines.save(one, self.folder, name).collect()]  # of one pipeline
 
     # ---- requests
 

@@ -12,7 +12,7 @@ from strandline.functions import jsonx, names, text, types
 from strandline.operators import catalog, compat, events, lookups, sequences
 from strandline.plans import execution, graph, planner
 from strandline.plans.planner import IntentRule
-from strandline.session import shared_folder
+from strandline.session import shared_folder, workers_import
 
 #: The type rules of the driver tables: which part type may follow which.
 PART_RULES = {"economy": ("medium", "promo"), "medium": ("small", "large"), "large": ("small",), "promo": ("standard", "small")}
@@ -1106,6 +1106,129 @@ e AS (SELECT n.plan_id, 3 * count(step) + 1 AS seq, any_value(n.total_steps) AS
 SELECT * FROM p UNION ALL SELECT * FROM e""".replace("{TOOL_RUNS}", TOOL_RUNS)
 
 
+# ---- sources and sinks of its own
+
+
+def frame_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as wire frames and taken in from there as a stream, some of them after a restart."""
+    from strandline.sources import documents, tail
+    from strandline.streaming.sessions import run_available
+
+    workers_import(spark)
+    spark.dataSource.register(tail.RecordTail)
+    folder = shared_folder(spark, "frames")
+    e = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), F.create_map(F.lit("message"), F.coalesce("props", F.lit(""))).alias("data"), F.col("event_id").cast("string").alias("timestamp"), F.col("user_id").cast("string").alias("session_id"))
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0):
+        documents.write_frames(e.filter(part), f"{folder}/in")
+        frames = spark.readStream.format("record_tail").option("kind", "frames").option("chunk", str(1 << 20)).load(f"{folder}/in")
+        out = run_available(frames, f"ingest_{uuid.uuid4().hex}", "append", f"{folder}/state")
+    event = F.from_json(F.expr("substr(record, 7)"), "type string, data map<string,string>, timestamp string, session_id string")
+    return out.select(event.alias("e")).select("e.session_id", F.col("e.timestamp").cast("long").alias("event_id"), "e.type", F.col("e.data")["message"].alias("message"))
+
+
+FRAME_INGEST = "SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, event_type AS type, coalesce(props, '') AS message FROM events"
+
+
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of a thousand events each, followed while they grow: first three fifths of each file, which ends within a record, then all of it."""
+    from strandline.sources import logs, tail
+    from strandline.sources.named_files import write_files
+    from strandline.streaming.sessions import run_available
+
+    workers_import(spark)
+    spark.dataSource.register(tail.RecordTail)
+    folder = shared_folder(spark, "tail")
+    body = F.concat(F.lit('{\n  "type": "'), "event_type", F.lit('",\n  "session_id": "s",\n  "data": {"message": "'), F.col("event_id").cast("string"), F.lit('"}\n}'))
+    e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("session_id"), F.upper("event_type").alias("log_type"), body.alias("body"))
+    lines = e.select("event_id", F.concat(logs.log_lines(e), F.lit("\n")).alias("line"))
+    whole = lines.groupBy(F.floor(F.col("event_id") / 1000).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("body"))
+    files = whole.select(F.concat(F.lit("events-"), F.col("file").cast("string"), F.lit(".log")).alias("name"), "body")
+    for share in (0.6, 1.0):
+        write_files(files.withColumn("body", F.expr(f"substr(body, 1, int(ceil(length(body) * {share})))")), f"{folder}/in")
+        records = spark.readStream.format("record_tail").option("chunk", str(1 << 16)).load(f"{folder}/in")
+        out = run_available(records, f"tail_{uuid.uuid4().hex}", "append", f"{folder}/state")
+    return logs.log_events(logs.parse_log(out, "record")).select(F.unix_millis("log_ts").alias("at_ms"), "session_id", "log_type", "type", "message")
+
+
+def frame_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 events of each user through the sink of frames, in two runs; and read from its committed batches."""
+    from strandline.sources import frame_sink as sink
+    from strandline.streaming.keyed import capped_stream
+
+    workers_import(spark)
+    spark.dataSource.register(sink.FrameSink)
+    folder = shared_folder(spark, "sink")
+    e = _at(_user_events(spark, sf_dir)).select("session_id", F.col("ord").cast("long").alias("ord"), "event_type")
+    frame = text.sse_frame(F.to_json(F.struct("session_id", "ord", F.col("event_type").alias("type"))))
+    rows = e.select("session_id", "ord", frame.alias("frame"))
+    for i, part in enumerate((rows.filter("ord <= 30"), rows.filter("ord > 30"))):
+        part.write.mode("append").parquet(f"{folder}/in/part={i}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        query = capped_stream(stream, 50).repartition("session_id").writeStream.format("frame_sink").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    event = F.from_json(F.expr("substr(record, 7)"), "session_id string, ord long, type string")
+    return sink.read_frames(spark, f"{folder}/out").select(event.alias("e")).select("e.*")
+
+
+FRAME_SINK = FRAME_CAP.replace("event_type AS frame", "event_type AS type")
+
+
+def _served_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog whose apps are the brands of part, loaded from an index and details in files; some details can't be read."""
+    from strandline.sources.catalog_source import catalog_table
+    from strandline.sources.named_files import write_files
+
+    parts = read(spark, sf_dir, "part")
+    brands = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("first"), F.max_by("p_name", "p_partkey").alias("version"), F.max_by("p_type", "p_partkey").alias("kind"), F.count(F.lit(1)).alias("n"))
+    entry = F.to_json(F.create_map(F.concat(F.lit("http://apps/"), "p_brand"), F.struct(F.col("kind").alias("description"), F.when(F.col("n") % 3 > 0, F.array(F.array("version", F.lit("x")))).alias("versions"))))
+    index = brands.agg(F.array_sort(F.collect_list(F.struct("first", F.regexp_replace(entry, r"^\{|\}$", "").alias("e")))).alias("es"))  # an index is one object, with an entry for each app
+    index = index.select(F.lit("index.json").alias("name"), F.concat(F.lit("{"), F.array_join(F.transform("es", lambda x: x["e"]), ", "), F.lit("}")).alias("body"))
+    detail = F.when(F.col("n") % 5 == 0, "broken").otherwise(F.to_json(F.struct(F.array(F.struct(F.col("kind").alias("@type")), F.struct(F.col("p_brand").alias("@type"))).alias("output"), F.array(F.struct(F.lit("n").alias("name"), F.col("n").cast("string").alias("default"))).alias("parameters"))))
+    details = brands.select(F.concat_ws("/", "p_brand", F.when(F.col("n") % 3 > 0, F.col("version")).otherwise("unknown"), F.lit("metadata.json")).alias("name"), detail.alias("body"))
+    folder = shared_folder(spark, "apps")
+    write_files(details.unionByName(index), folder)
+    return catalog_table(spark, folder, group=4)
+
+
+def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = _served_catalog(spark, sf_dir)
+    return shown.select("ord", "app_name", "latest_version", "description", F.array_join(F.transform("output", lambda o: o["type"]), ",").alias("gives"), F.get("parameters", F.lit(0))["default"].alias("n"), F.size("input").cast("long").alias("inputs"))
+
+
+CATALOG_LOAD = """
+WITH b AS (SELECT p_brand, min(p_partkey) AS first, arg_max(p_name, p_partkey) AS version, arg_max(p_type, p_partkey) AS kind, count(*) AS n FROM part GROUP BY p_brand)
+SELECT row_number() OVER (ORDER BY first) - 1 AS ord, p_brand AS app_name, CASE WHEN n % 3 > 0 THEN version ELSE 'unknown' END AS latest_version, kind AS description, CASE WHEN n % 5 = 0 THEN '' ELSE kind || ',' || p_brand END AS gives,
+  CASE WHEN n % 5 > 0 THEN CAST(n AS VARCHAR) END AS n, CAST(0 AS BIGINT) AS inputs FROM b"""
+
+
+def catalog_load_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One app: the name reaches the source, which asks for one detail."""
+    return catalog.pick_app(_served_catalog(spark, sf_dir), "Brand#12").select("app_name", "latest_version", "description", F.array_join(F.transform("output", lambda o: o["type"]), ",").alias("gives"))
+
+
+CATALOG_LOAD_ONE = f"SELECT app_name, latest_version, description, gives FROM ({CATALOG_LOAD}) WHERE app_name = 'Brand#12'"
+
+
+def pipelines_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipelines of all users' events, each written to its file by the tasks that hold it, and read again."""
+    from strandline.sources import pipelines
+
+    e = _at(_user_events(spark, sf_dir)).select(F.concat(F.lit("User "), "session_id").alias("pipeline"), F.col("event_type").alias("tool_id"), F.lit("{}").alias("data"), F.col("ord").alias("event_ord"))
+    nodes = graph.add_nodes(e, ["pipeline"], ["event_ord"])
+    w = sequences.ordered(["pipeline"], ["ord"])
+    edges = graph.add_edges(nodes.select("pipeline", F.lag("id").over(w).alias("source"), F.col("id").alias("target"), "ord").filter("source IS NOT NULL"), ["pipeline"], "ord")
+    folder = shared_folder(spark, "pipelines")
+    pipelines.save(graph.to_struct(nodes.select("pipeline").distinct(), nodes, edges), folder)
+    back = pipelines.read_folder(spark, folder)
+    return back.select("name", F.size("nodes").cast("long").alias("nodes"), F.size("edges").cast("long").alias("edges"), F.md5(F.array_join(F.transform("nodes", lambda n: n["id"]), ",")).alias("ids"), F.md5(F.array_join(F.transform("edges", lambda x: F.concat(x["source"], F.lit(">"), x["target"])), ",")).alias("links"))
+
+
+PIPELINES_WRITTEN = """
+WITH n AS (SELECT user_id, event_type || '-' || (row_number() OVER w - 1) AS id, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+x AS (SELECT *, lag(id) OVER (PARTITION BY user_id ORDER BY i) || '>' || id AS link FROM n)
+SELECT 'User ' || user_id AS name, count(*) AS nodes, count(link) AS edges, md5(string_agg(id, ',' ORDER BY i)) AS ids, md5(coalesce(string_agg(link, ',' ORDER BY i), '')) AS links FROM x GROUP BY user_id"""
+
+
 
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "type_clean": (type_clean, TYPE_CLEAN), "type_namespace": (type_namespace, TYPE_NAMESPACE), "catalog_latest": (catalog_latest, CATALOG_LATEST), "catalog_describe": (catalog_describe, CATALOG_DESCRIBE),
@@ -1122,6 +1245,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "pipeline_graph": (pipeline_graph, PIPELINE_GRAPH), "pipeline_yaml": (pipeline_yaml, PIPELINE_YAML), "tool_runs": (tool_runs, TOOL_RUNS), "stream_sessions": (stream_sessions, SESSION_STATE.replace("conv_id AS session_id", "CAST(conv_id AS VARCHAR) AS session_id").replace(", md5(string_agg(text, '|' ORDER BY turn)) AS history, string_agg(role, ',' ORDER BY turn) AS roles", "")),
     "session_memory": (session_memory, SESSION_MEMORY), "agent_memory": (agent_memory, AGENT_MEMORY), "delivery": (delivery, DELIVERY), "frame_cap": (frame_cap, FRAME_CAP),
     "planned_once": (planned_once, PLANNED_ONCE), "stepwise_runs": (stepwise_runs, TOOL_RUNS), "stepwise_progress": (stepwise_progress, STEPWISE_PROGRESS),
+    "frame_ingest": (frame_ingest, FRAME_INGEST), "log_tail": (log_tail, LOG_ROUND_TRIP), "frame_sink": (frame_sink, FRAME_SINK), "catalog_load": (catalog_load, CATALOG_LOAD), "catalog_load_one": (catalog_load_one, CATALOG_LOAD_ONE), "pipelines_written": (pipelines_written, PIPELINES_WRITTEN),
 }
 
 

@@ -11,6 +11,7 @@ from strandline.functions.names import pipeline_title
 from strandline.plans.graph import from_struct, to_struct
 from strandline.schemas import PIPELINE
 from strandline.session import file_system, workers_import
+from strandline.sources.named_files import write_files
 
 try:
     import yaml
@@ -30,7 +31,9 @@ def load(text: str) -> dict:
 
 
 def as_mapping(row) -> dict:
-    return {"name": row["name"], "nodes": [{"id": n["id"], "tool_id": n["tool_id"], "data": json.loads(n["data"] or "{}"), "position": {"x": n["x"], "y": n["y"]}} for n in row["nodes"]], "edges": [e.asDict() for e in row["edges"]]}
+    """A pipeline as it stands in its file."""
+    nodes = [{"id": n["id"], "tool_id": n["tool_id"], "data": json.loads(n["data"] or "{}"), "position": {"x": n["x"], "y": n["y"]}} for n in row["nodes"]]
+    return {"name": row["name"], "nodes": nodes, "edges": [{k: e[k] for k in ("id", "source", "target")} for e in row["edges"]]}
 
 
 def _row(d: dict) -> tuple:
@@ -42,22 +45,24 @@ def file_name(name: str) -> str:
     return name.lower().replace(" ", "_") + ".yaml"
 
 
-def save(pipelines: DataFrame, folder: str, name: str | None = None) -> list[str]:
-    """Write each pipeline of (name, nodes, edges) to its own file; equal slugs overwrite each other. Returns the paths.
+def save(pipelines: DataFrame, folder: str, name: str | None = None) -> DataFrame:
+    """Write each pipeline of (name, nodes, edges) to its own file, under another name if one is given: (file, name) of all files.
 
-    Files are written one by one through the folder's file system: pipelines that people build are few and small.
+    Of pipelines of one file name the one whose name is last in order is written. Tasks write; see named_files for what a failure
+    leaves, which is nothing.
     """
-    out = []
-    for row in pipelines.toLocalIterator():
-        d = as_mapping(row)
-        d["name"] = name or d["name"]
-        path = f"{folder.rstrip('/')}/{file_name(d['name'])}"
-        fs, where = file_system(pipelines.sparkSession, path)
-        stream = fs.create(where, True)
-        stream.write(bytearray(dump(d).encode()))
-        stream.close()
-        out.append(path)
-    return out
+    def text(frames):
+        for f in frames:
+            rows = [as_mapping(dict(zip(("name", "nodes", "edges"), r, strict=True))) for r in f[["name", "nodes", "edges"]].itertuples(index=False, name=None)]
+            bodies = [dump({**d, "name": name or d["name"]}) for d in rows]
+            yield f[["file"]].rename(columns={"file": "name"}).assign(body=bodies)
+
+    workers_import(pipelines.sparkSession)
+    file = F.concat(F.replace(F.lower(F.lit(name) if name else F.col("name")), F.lit(" "), F.lit("_")), F.lit(".yaml"))
+    last = F.max_by(F.struct("name", "nodes", "edges"), "name")
+    one = pipelines.groupBy(file.alias("file")).agg(last.alias("p")).select("file", "p.*")
+    write_files(one.mapInPandas(text, "name string, body string"), folder)
+    return pipelines.select(file.alias("file"), (F.lit(name) if name else F.col("name")).alias("name")).distinct()
 
 
 def load_one(spark: SparkSession, name_or_path: str, folder: str) -> DataFrame:

@@ -72,6 +72,8 @@ def test_documents(spark, tmp_path):
     e = spark.createDataFrame([("error", {"a": "b"}, "t", "s")], "type string, data map<string,string>, timestamp string, session_id string")
     frame = e.select(documents.sse_frames(e)).first()[0]
     assert frame.startswith("data: {") and frame.endswith("}\n\n") and "\\n\\n" not in frame
+    documents.write_frames(e.unionByName(e), str(tmp_path / "frames"))
+    assert "".join(p.read_text() for p in (tmp_path / "frames").glob("part-*")) == frame * 2
 
 
 def test_config(tmp_path):
