@@ -1,12 +1,17 @@
 """PII: patterns for known kinds, and an information-theoretic test for terms that give a person away. DataFrame operations only.
 
 Entities are the matches of the patterns; a term is any other word of ``LEAST_LETTERS`` code points or more. Of a term's n_t
-occurrences in the corpus, n_ct stand beside an entity c, that is begin and end within ``WINDOW`` code points of it. The
+occurrences in the corpus, n_ct stand beside an entity c, that is begin and end within ``WINDOW`` code points of it; of the
+d_t documents that hold the term, d_ct have it beside c. c is the entity that the term stands beside in most documents. The
 information of c is -log p(c), the term's pointwise mutual information with it log p(c|t) - log p(c); what is left of the
-one after the other, -log p(c|t), is how uncertain c stays for a reader of the term. p(c|t) is smoothed to
-n_ct / (n_t + smoothing), so that few occurrences tell less than many. A term that leaves at most ``generalise_bits`` of
-some entity discloses it, and is generalised to a word for its form; at most ``remove_bits``, and it is removed. Both
-happen wherever the term stands, in texts without entities too.
+one after the other, -log p(c|t), is how uncertain c stays for a reader of the term. p(c|t) is estimated by the lower end
+of its confidence interval (Wilson's, ``z`` standard errors), by occurrences and by documents, and the smaller of the two
+counts: a word that stands once, or in one document only, tells nothing yet. A term that leaves at most ``generalise_bits`` of
+an entity discloses it and is generalised; at most ``remove_bits``, and it is removed. Both happen wherever the term
+stands, in texts without entities too.
+
+Terms are generalised along their beginnings, of 6, 4 and 2 code points: to the longest one whose own terms, all together,
+do not disclose any entity by the same test on occurrences; where there is none, to a word for its form.
 
 Positions are counted in blocks of ``BLOCK`` code points, so that texts with many entities are cut in linear time.
 """
@@ -32,23 +37,32 @@ PATTERNS = {
 }
 #: A text without a match of these has no valid match of the kind; they are cheap to look for.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-#: What stands for an entity, and for a term that is generalised, by its form.
+#: What stands for an entity, and for a term that has no beginning to be generalised to, by its form.
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 FORMS = {"number": "<NUMBER>", "code": "<CODE>", "name": "<NAME>", "word": "<WORD>"}
 WORD, NO_WORD = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 WINDOW, LEAST_LETTERS, BLOCK = 100, 3, 1024
+#: Code points of the beginnings that a term may be generalised to, the longest first.
+BEGINNINGS = (6, 4, 2)
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """smoothing: occurrences beside nothing that every term gets. The bits of an entity that a term may leave at most to be
-    generalised or removed; with these, a word that stands beside an entity once and nowhere else is generalised."""
+    """z: how many standard errors the bound of a share lies below it; with 1.2816 one in ten true shares is smaller. The bits of an
+    entity that a term may leave at most to be generalised or removed."""
 
-    smoothing: float = 1.0
+    z: float = 1.2816
     generalise_bits: float = 1.0
     remove_bits: float = 0.25
 
 
+def least_share(hits: Column, of: Column, z: float) -> Column:
+    """The lower end of Wilson's interval of the share that hits of some are."""
+    h, n, zz = hits.cast("double"), of.cast("double"), F.lit(z * z)
+    p = h / n
+    return (p + zz / (F.lit(2.0) * n) - F.lit(z) * F.sqrt(p * (F.lit(1.0) - p) / n + zz / (F.lit(4.0) * n * n))) / (F.lit(1.0) + zz / n)
+
+
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value made once however often it is used: lambdas keep their arguments, other expressions are made anew."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -173,10 +187,9 @@ def _masked(text: Column, base: Column) -> Column:
     return F.when(F.size(base) > 0, blanked).otherwise(text)
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """(number, term) of the words of masked texts, lower-cased, with repeats."""
-    words = rows.select("number", F.explode(F.split(F.lower("masked"), NO_WORD, -1)).alias("term"))
-    return words.filter(F.char_length("term") >= LEAST_LETTERS)
+def _words() -> Column:
+    """The words of a masked text, lower-cased, with repeats; null for a null text."""
+    return F.filter(F.split(F.lower("masked"), NO_WORD, -1), lambda w: F.char_length(w) >= LEAST_LETTERS)
 
 
 def _placed(text: Column, start: Column) -> Column:
@@ -204,22 +217,57 @@ def _scanned(docs: DataFrame, text_col: str, *others: Column) -> tuple[DataFrame
     return materialize(rows, "pii-rows"), number, masked, base
 
 
-def disclosing_terms(rows: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
-    """(term, gone) of the terms that disclose an entity, for rows of (number, masked, base); gone: to be removed, not generalised.
+def _counts(rows: DataFrame) -> DataFrame:
+    """(term, n_t, d_t): how often each term occurs, and in how many rows. Each text tells its different words apart by itself."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
-    Terms are counted before they are joined, and of each only its most frequent entity is kept, so every join has one
-    row for a term on either side.
-    """
+    def told(words: Column) -> Column:
+        every = F.transform(words, lambda w: F.struct(w.alias("term"), one.alias("n"), none.alias("d")))
+        once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), none.alias("n"), one.alias("d")))
+        return F.concat(every, once)
+
+    return rows.select(F.inline(_once(_words(), told))).groupBy("term").agg(F.sum("n").alias("n_t"), F.sum("d").alias("d_t"))
+
+
+def _beginnings() -> Column:
+    """array<string> of a term's beginnings, itself if it is one."""
+    return F.filter(F.array(*[F.when(F.char_length("term") >= n, F.left("term", F.lit(n))) for n in BEGINNINGS]), lambda b: b.isNotNull())
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """(kind, value, term, n_ct, d_ct): how often, and in how many rows, each term stands beside each entity."""
     held = rows.filter(F.size("base") > 0).select("number", "base", F.array(_blocks(F.col("masked"))).alias("blocks"), F.char_length("masked").cast("long").alias("length"))
     around = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _beside(F.element_at("blocks", 1), F.col("length"), s).alias("words")))
     near = held.select("number", F.explode(around).alias("s")).select("number", "s.kind", "s.value", F.explode("s.words").alias("w"))
     near = near.select("number", "kind", "value", F.lower("w.value").alias("term"), F.col("w.start").alias("start")).filter(F.char_length("term") >= LEAST_LETTERS)
-    n_ct = near.distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    most = materialize(n_ct.groupBy("term").agg(F.max("n_ct").alias("n_ct")), "pii-near")
-    counts = _words(rows).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = most.join(materialize(counts, "pii-counts"), "term")
-    share = F.col("n_ct").cast("double") / (F.col("n_t").cast("double") + F.lit(options.smoothing))
-    return materialize(told.filter(share >= 2.0**-options.generalise_bits).select("term", (share >= 2.0**-options.remove_bits).alias("gone")), "pii-terms")
+    # dealt by row: an occurrence that is near an entity twice is counted once, and so is its row
+    in_rows = near.repartition("number").distinct().groupBy("number", "kind", "value", "term").agg(F.count(F.lit(1)).alias("n"))
+    return in_rows.groupBy("kind", "value", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("d_ct"))
+
+
+def disclosing_terms(rows: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
+    """(term, mark) of the terms that disclose an entity, for rows of (number, masked, base); mark is what stands for the term:
+    nothing for one to be removed, a beginning, or null for a word for its form.
+
+    Terms are counted before they are joined, and of each only one entity is kept, so every join has one row for a
+    term on either side.
+    """
+    pairs = materialize(_near(rows), "pii-near")
+    most = pairs.groupBy("term").agg(F.max(F.struct("d_ct", "n_ct")).alias("c"))
+    counts = materialize(_counts(rows), "pii-counts")
+    told = most.join(counts, "term")
+    share = F.least(least_share(F.col("c.n_ct"), F.col("n_t"), options.z), least_share(F.col("c.d_ct"), F.col("d_t"), options.z))
+    told = materialize(told.filter(share >= 2.0**-options.generalise_bits).select("term", (share >= 2.0**-options.remove_bits).alias("gone")), "pii-told")
+
+    wider = told.filter("NOT gone").select(F.explode(_beginnings()).alias("beginning")).distinct()
+    in_all = counts.select(F.explode(_beginnings()).alias("beginning"), "n_t").join(wider, "beginning", "left_semi").groupBy("beginning").agg(F.sum("n_t").alias("n"))
+    beside = pairs.select("kind", "value", F.explode(_beginnings()).alias("beginning"), "n_ct").join(wider, "beginning", "left_semi")
+    beside = beside.groupBy("kind", "value", "beginning").agg(F.sum("n_ct").alias("n_c")).groupBy("beginning").agg(F.max("n_c").alias("n_c"))
+    safe = in_all.join(beside, "beginning").filter(least_share(F.col("n_c"), F.col("n"), options.z) < 2.0**-options.generalise_bits).select("beginning")
+    shorter = told.filter("NOT gone").select("term", F.explode(_beginnings()).alias("beginning")).filter(F.col("beginning") != F.col("term"))
+    longest = shorter.join(safe, "beginning").groupBy("term").agg(F.max_by("beginning", F.char_length("beginning")).alias("beginning"))
+    mark = F.when(F.col("gone"), F.lit("")).otherwise(F.concat(F.lit("<"), "beginning", F.lit("*>")))
+    return materialize(told.join(longest, "term", "left").select("term", mark.alias("mark")), "pii-terms")
 
 
 def _form(word: Column) -> Column:
@@ -230,11 +278,12 @@ def _form(word: Column) -> Column:
 def _term_spans(rows: DataFrame, disclosed: DataFrame) -> DataFrame:
     """(number, terms: array<struct<start, end, sign>> by start) of the rows that hold a disclosed term, wherever it stands."""
     texts = rows.select("number", F.coalesce("masked", F.lit("")).alias("masked"))
-    own = materialize(_words(texts).join(disclosed, "term").distinct(), "pii-hits")  # a disclosing term occurs at most 2^bits times as often as beside its entity
+    # each text's different words; a disclosing term occurs at most 2^bits times as often as beside its entity
+    own = materialize(texts.select("number", F.explode(F.array_distinct(_words())).alias("term")).join(disclosed, "term"), "pii-hits")
     held = texts.join(own.select("number").distinct(), "number", "left_semi")
     placed = held.select("number", F.explode(_placed(F.col("masked"), F.lit(0).cast("long"))).alias("w")).withColumn("term", F.lower("w.value"))
     placed = placed.join(own, ["number", "term"])
-    span = F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.when(F.col("gone"), F.lit("")).otherwise(_form(F.col("w.value"))).alias("sign"))
+    span = F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.coalesce("mark", _form(F.col("w.value"))).alias("sign"))
     return materialize(placed.groupBy("number").agg(F.array_sort(F.collect_list(span)).alias("terms")), "pii-spans")
 
 

@@ -114,6 +114,11 @@ def op4_sql() -> str:
     found = " UNION ALL ".join(f"SELECT rid, {i} AS kind, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d" for i, p in enumerate(plain.values()))
     word, o = pii.WORD, pii.Disclosure()
     names = "['email', 'ip', 'card', 'phone', 'term']"
+
+    def least(hits: str, of: str) -> str:
+        h, n, z, zz = f"CAST({hits} AS DOUBLE)", f"CAST({of} AS DOUBLE)", f"{o.z!r}::DOUBLE", f"{o.z * o.z!r}::DOUBLE"
+        return f"({h} / {n} + {zz} / (2.0::DOUBLE * {n}) - {z} * sqrt({h} / {n} * (1.0::DOUBLE - {h} / {n}) / {n} + {zz} / (4.0::DOUBLE * {n} * {n}))) / (1.0::DOUBLE + {zz} / {n})"
+
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({found}),
@@ -131,9 +136,10 @@ wl AS (SELECT rid, regexp_extract_all(t, '{word}') AS x, regexp_split_to_array(t
 wu AS (SELECT rid, unnest(x) AS x, unnest(g[1:len(x)]) AS gap, generate_subscripts(x, 1) AS i FROM wl),
 wp AS (SELECT rid, lower(x) AS term, CAST(z - length(x) AS BIGINT) AS s, CAST(z AS BIGINT) AS e FROM (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY rid ORDER BY i) AS z FROM wu) WHERE length(lower(x)) >= {pii.LEAST_LETTERS}),
 near AS (SELECT DISTINCT wp.rid, b.kind, lower(b.v) AS c, wp.term, wp.s FROM b JOIN wp USING (rid) WHERE wp.s >= b.s - {pii.WINDOW} AND wp.e <= b.e + {pii.WINDOW}),
-most AS (SELECT term, max(n) AS n_ct FROM (SELECT kind, c, term, count(*) AS n FROM near GROUP BY kind, c, term) GROUP BY term),
-nt AS (SELECT term, count(*) AS n_t FROM wp GROUP BY term),
-told AS (SELECT term FROM most JOIN nt USING (term) WHERE n_ct >= {2.0**-o.generalise_bits!r}::DOUBLE * (n_t + {o.smoothing!r}::DOUBLE)),
+most AS (SELECT term, max({{'d': d, 'n': n}}) AS c FROM (SELECT kind, c, term, count(DISTINCT rid) AS d, count(*) AS n FROM near GROUP BY kind, c, term) GROUP BY term),
+nt AS (SELECT term, count(*) AS n_t, count(DISTINCT rid) AS d_t FROM wp GROUP BY term),
+sh AS (SELECT term, {least('c.n', 'n_t')} AS by_n, {least('c.d', 'd_t')} AS by_d FROM most JOIN nt USING (term)),
+told AS (SELECT term FROM sh WHERE least(by_n, by_d) >= {2.0**-o.generalise_bits!r}::DOUBLE),
 ts AS (SELECT rid, s, e FROM wp JOIN told USING (term)),
 spans AS (SELECT rid, kind, s, e FROM b UNION ALL SELECT rid, 4, s, e FROM ts),
 told_of AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3, count(*) FILTER (kind = 4) AS n4,
