@@ -1,16 +1,17 @@
 """Exact dedup by an extendible-hash index kept in shared files. DataFrame operations only.
 
-1. Keys: every row's 64-bit hash of its normalised text goes to a narrow table (doc_id, key, copies).
+1. Keys: every row's 64-bit hash and sha-256 of its normalised text go to a narrow table (id, key, sha, copies).
 2. Directory: slots are the keys' first ``depth`` bits. It starts with one bucket and doubles while a bucket holds more
    than ``capacity`` keys; a bucket keeps the local depth at which it last was split. Nothing bounds the depth but the
    64 bits of a key. The directory is a table of (slot, bucket, depth), made by aggregates; it grows with the keys.
-3. Index: rows find their bucket through the directory and are combined map-side; the aggregate over (bucket, key, text)
-   compares the bytes of texts under one key. Owner tasks then take a range of keys each, bucket by bucket,
-   and write its entries as a sorted file; texts whose keys collide lie beside each other there, as a chain.
-4. Lookup: each row of keys goes through the directory to its bucket and finds its entry there. Only where texts really
-   collide on a key are the bytes looked up again.
-
-Group sizes do not matter: a text in a third of all rows leaves each map task as one row, and its lookup uses a
+3. Index: rows find their bucket through the directory. Copies within a task are combined, in ``SALTS`` parts, so that a hot text
+   reaches its owner as so many rows at most. Owners take the ranges of keys that share their first ``OWNER_BITS`` bits: they
+   compare the bytes of texts under one key, combine those that are equal, and chain those that differ, in order. They write
+   an entry for each link, by bucket, key and place in the chain.
+4. Lookup: each row of keys goes through the directory to its bucket, and along the chain of its key to the link of its
+   sha-256, the digest that the link's bytes have.
+
+Group sizes do not matter: a text in a third of all rows leaves each task as a few rows, and its lookup uses a
 broadcast of the entries that hold more than 1/1024 of all rows, of which there can be at most 1024.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import ascii_lower, fresh, materialize
@@ -27,6 +28,8 @@ from strandline.llm.common import ascii_lower, fresh, materialize
 MOST_BROADCAST = 1 << 20
 #: An entry is hot if it has more than this part of all rows; so there are at most that many hot entries.
 HOT_ENTRIES = 1024
+#: Parts of a text's copies that are combined before they meet, and bits of a key that tell its owner.
+SALTS, OWNER_BITS = 16, 12
 
 
 def normalised(text: Column) -> Column:
@@ -72,11 +75,19 @@ def _located(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
 
 
 def build_index(rows: DataFrame, keys: DataFrame, capacity: int = 65_536) -> tuple[DataFrame, int, DataFrame]:
-    """(directory, its depth, entries) for rows of (id, key, norm) and a table of their keys."""
+    """(directory, its depth, entries) for rows of (id, key, norm) and a table of their keys.
+
+    entries: (bucket, key, link, sha, size, keep), one for each different text of a key; links are numbered from 1 in text order.
+    """
     directory, depth = build_directory(keys.select("key").distinct(), capacity)
-    entries = _located(rows, directory, depth).groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep"))
-    entries = entries.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "size", "keep")
-    return directory, depth, materialize(entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index")
+    salted = _located(rows, directory, depth).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = salted.groupBy("bucket", "key", "norm", "salt").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep"))
+    # a range of keys is one task's; all below finds its rows there
+    owned = parts.withColumn("owner", F.shiftrightunsigned("key", 64 - OWNER_BITS)).repartition("owner")
+    links = owned.groupBy("owner", "bucket", "key", "norm").agg(F.sum("size").alias("size"), F.max("keep").alias("keep"))
+    chain = Window.partitionBy("owner", "bucket", "key").orderBy("norm")
+    entries = links.withColumn("link", F.row_number().over(chain)).select("bucket", "key", "link", F.sha2("norm", 256).alias("sha"), "size", "keep")
+    return directory, depth, materialize(entries.sortWithinPartitions("bucket", "key", "link"), "dedup-index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65_536, key_bits: int = 64) -> DataFrame:
@@ -91,28 +102,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
     key = F.xxhash64("norm")
     rows = rows.withColumn("key", key if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits))
-    keys = materialize(rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("copies")), "dedup-keys")
+    keys = materialize(rows.groupBy("key", F.sha2("norm", 256).alias("sha"), "id").agg(F.count(F.lit(1)).alias("copies")), "dedup-keys")
     directory, depth, index = build_index(rows, keys, capacity)
 
     total = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    chained = index.groupBy("key").count().filter("count > 1").select("key")
-    if chained.isEmpty():
-        single, found = index, keys
-    else:  # different texts under one key: these rows compare their bytes
-        chained = materialize(chained, "dedup-chained")
-        single, found = index.join(chained, "key", "left_anti"), keys.join(chained, "key", "left_anti")
-    found = _located(found, directory, depth)
-    hot = single.filter(F.col("size") * HOT_ENTRIES > F.lit(total))
-    cold = single.filter(F.col("size") * HOT_ENTRIES <= F.lit(total))
-    in_hot = found.join(F.broadcast(hot), ["bucket", "key"]).drop("bucket")
-    in_cold = found.join(F.broadcast(hot.select("bucket", "key")), ["bucket", "key"], "left_anti").join(cold, ["bucket", "key"]).drop("bucket")
-    out = in_hot.unionByName(in_cold)
-    if single is not index:
-        texts = rows.join(chained, "key")
-        groups = texts.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep"))
-        members = texts.groupBy("key", "norm", "id").agg(F.count(F.lit(1)).alias("copies"))
-        out = out.unionByName(members.join(groups, ["key", "norm"]).withColumn("sha", F.sha2("norm", 256)).drop("norm"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    found, at = _located(keys, directory, depth), ["bucket", "key", "sha"]
+    hot = index.filter(F.col("size") * HOT_ENTRIES > F.lit(total)).drop("link")
+    cold = index.filter(F.col("size") * HOT_ENTRIES <= F.lit(total)).drop("link")
+    in_hot = found.join(F.broadcast(hot), at)
+    in_cold = found.join(F.broadcast(hot.select(*at)), at, "left_anti").join(cold, at)
+    out = in_hot.unionByName(in_cold).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),

@@ -45,6 +45,40 @@ def test_against_brute_force(spark, options):
     assert run(spark, rows, **options) == brute(rows)
 
 
+def test_chains_hold_the_texts_of_a_key(spark):
+    """With one bit all texts lie under two keys: each is a link of its chain, in order, with its copies counted by its owner."""
+    rows = [(i, t) for i, t in enumerate(TEXTS + ["hot"] * 50) if t is not None]
+    df = spark.createDataFrame(rows, "id long, text string").select("id", xd.normalised(F.col("text")).alias("norm"))
+    df = df.withColumn("key", F.shiftleft(F.shiftrightunsigned(F.xxhash64("norm"), 63), 63))
+    _, _, entries = xd.build_index(df, df)
+    want = defaultdict(dict)
+    for r in df.collect():
+        want[r.key].setdefault(r.norm, []).append(r.id)
+    assert len(want) == 2
+    for key, texts in want.items():
+        got = entries.filter(F.col("key") == key).orderBy("link").collect()
+        assert [(r.link, r.sha, r.size, r.keep) for r in got] == [(i + 1, hashlib.sha256(t.encode()).hexdigest(), len(texts[t]), max(texts[t])) for i, t in enumerate(sorted(texts, key=lambda t: t.encode()))]
+
+
+def test_lookups_go_through_the_directory(spark, monkeypatch):
+    """Without one of its slots, just the rows of that slot's keys are not found."""
+    rows = [(i, str(i % 90)) for i in range(200)]
+    whole, build = run(spark, rows, capacity=4), xd.build_directory
+    gone = []
+
+    def torn(keys, capacity):
+        directory, depth = build(keys, capacity)
+        gone.append((directory.agg(F.min("slot")).first()[0], depth))
+        return directory.filter(F.col("slot") != gone[0][0]), depth
+
+    monkeypatch.setattr(xd, "build_directory", torn)
+    left = run(spark, rows, capacity=4)
+    slot, depth = gone[0]
+    keys = {r.t: r.k for r in spark.createDataFrame([(str(i),) for i in range(90)], "t string").select("t", F.xxhash64("t").alias("k")).collect()}
+    lost = {hashlib.sha256(t.encode()).hexdigest() for t, k in keys.items() if (k % (1 << 64)) >> (64 - depth) == slot}
+    assert lost and left == [r for r in whole if r[4] not in lost]
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
