@@ -9,8 +9,10 @@ bounds until the next bound is below the k-th best score. That stop is exact; ti
 Components are integers of any size. Scores are made in double precision where they are exact there, which is below 2^53,
 and from parts of 22 bits otherwise. Bounds are made in floating point with a slack above what they can be off.
 
-Queries are broadcast, at most ``pass_bytes`` of them at once, and searched together: each batch of candidates is sorted
-into cells once and serves all blocks of queries. Only each batch's k best per query leave a task.
+Tasks measure queries as they do candidates, and score them against a small sample for a first floor of their k-th best score.
+Queries are then broadcast, at most ``pass_bytes`` of them at once, and searched together: a task takes its candidates in
+steps of up to ``step_bytes``, sorted into cells once for all blocks of queries, and keeps each query's k best over all its steps.
+Every step starts from the floor that those before have reached. So a task hands on k rows of a query at most.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ def make_cells(vectors, ids, far, cell: int = 512):
     return vectors, ids, order, norms, starts, low, high, top, np.ascontiguousarray(far.T, "f4"), far.max(initial=0.0), cell
 
 
-def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, sample: int = 2048, block: int = 2048, pass_bytes: int = 64 << 20) -> DataFrame:
+def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, sample: int = 2048, block: int = 2048, pass_bytes: int = 64 << 20, step_bytes: int = 8 << 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for candidates and queries of (vec_id long, v array<long>).
 
     The k largest inner products among candidates of another id than the query's; all of them if there are fewer.
@@ -204,24 +206,32 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: in
 
     measured = cands.mapInArrow(measure, "vec_id long, v binary, far binary, near int")
     pivot_table = materialize(measured.repartitionByRange("near", "vec_id"), "topk-pivots")
-
-    def floors_of(q_ids, q) -> list:
-        """The k-th best of other ids in the sample, or None."""
-        floors: list = [None] * len(q)
-        scores = exact_scores(q, drawn_v)
-        for i in range(len(q)):
-            best: dict[int, int] = {}
-            for p in np.argsort(-scores[i], kind="stable"):
-                if drawn_ids[p] != q_ids[i]:
-                    best.setdefault(int(drawn_ids[p]), int(scores[i, p]))
-                if len(best) == k:
-                    floors[i] = min(best.values())
-                    break
-        return floors
+    width = len(pivot)
+
+    def matrix(column, kind: str) -> np.ndarray:
+        rows = column.to_pylist()
+        return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+    def with_floors(batches):
+        """Adds the k-th best score of other ids in the sample, or null if it has fewer."""
+        for batch in batches:
+            ids, v = batch.column(0).to_numpy(), matrix(batch.column(1), kept_as).astype("i8")
+            floors: list = [None] * len(ids)
+            for start in range(0, len(ids), 256):
+                scores = exact_scores(v[start : start + 256], drawn_v)
+                for i, own in enumerate(scores, start):
+                    best: dict[int, int] = {}
+                    for at in np.argsort(-own, kind="stable"):
+                        if drawn_ids[at] != ids[i]:
+                            best.setdefault(int(drawn_ids[at]), int(own[at]))
+                        if len(best) == k:
+                            floors[i] = str(min(best.values()))  # of any size
+                            break
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(floors, pa.string())], names=["vec_id", "v", "far", "floor"])
 
     # a pass searches as many blocks of queries as pass_bytes hold
-    per_pass = max(1, pass_bytes // (block * (size + len(pivot) + 2) * 8))
-    spread = asked.repartition(max(1, -(-n_asked // block)))
+    per_pass = max(1, pass_bytes // (block * (size + width + 2) * 8))
+    spread = asked.repartition(max(1, -(-n_asked // block))).mapInArrow(measure, "vec_id long, v binary, far binary, near int").mapInArrow(with_floors, "vec_id long, v binary, far binary, floor string")
     asked = materialize(spread.withColumn("at", F.monotonically_increasing_id()), "topk-queries")
     number = F.floor((F.col("at") % (1 << 33)) / block) + F.shiftright("at", 33) * (1 << 20)
     blocks = sorted(r[0] for r in asked.select(number.alias("b")).distinct().collect())  # one number for each block of queries
@@ -229,25 +239,55 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots: in
     for first in range(0, len(blocks), per_pass):
         some = blocks[first : first + per_pass]
         taken: dict[int, list] = {}
-        for r in asked.filter(number.isin(some)).select("vec_id", "v", number.alias("b")).collect():  # at most pass_bytes of queries
+        for r in asked.filter(number.isin(some)).select("vec_id", "v", "far", "floor", number.alias("b")).collect():  # at most pass_bytes of queries
             taken.setdefault(r["b"], []).append(r)
-        together = []
-        for rows in taken.values():
-            q_ids, q = np.array([r["vec_id"] for r in rows], "i8"), dense([r["v"] for r in rows])
-            together.append((q, q_ids, distances(q.astype("f8")), floors_of(q_ids, q)))
+        together = [
+            (
+                np.stack([np.frombuffer(r["v"], kept_as) for r in rows]).astype("i8"),
+                np.array([r["vec_id"] for r in rows], "i8"),
+                np.stack([np.frombuffer(r["far"], "<f8") for r in rows]),
+                [None if r["floor"] is None else int(r["floor"]) for r in rows],
+            )
+            for rows in taken.values()
+        ]
         shared = spark.sparkContext.broadcast(together)
 
         def search(batches, shared=shared):
-            width = len(pivot)
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                v = np.frombuffer(b"".join(batch.column(1).to_pylist()), kept_as).reshape(len(ids), -1).astype("i8")
-                far = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(len(ids), width)
+            kept = [(q, q_ids, q_far, list(floors), [{} for _ in q_ids]) for q, q_ids, q_far, floors in shared.value]
+
+            def step(rows: list) -> None:
+                ids = np.concatenate([b.column(0).to_numpy() for b in rows])
+                v = np.concatenate([matrix(b.column(1), kept_as) for b in rows]).astype("i8")
+                far = np.concatenate([matrix(b.column(2), "<f8").reshape(b.num_rows, width) for b in rows])
                 cells = make_cells(v, ids, far)
-                for q, q_ids, q_far, floors in shared.value:
-                    a, c, s = search_block(q, q_ids, q_far, floors, cells, k)
-                    s = [max(-most, min(most, x)) for x in s]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a] if len(a) else np.zeros(0, "i8"), pa.int64()), pa.array(ids[c] if len(c) else np.zeros(0, "i8"), pa.int64()), pa.array(s, exact_type)], names=["query_id", "vec_id", "score"])
+                for q, q_ids, q_far, floors, best in kept:
+                    touched = set()
+                    for i, c, s in zip(*search_block(q, q_ids, q_far, floors, cells, k), strict=True):
+                        name = int(ids[c])
+                        best[i][name] = max(s, best[i].get(name, s))
+                        touched.add(i)
+                    for i in touched:
+                        if len(best[i]) > k:
+                            best[i] = dict(sorted(best[i].items(), key=lambda x: (-x[1], x[0]))[:k])
+                        if len(best[i]) == k:
+                            least = min(best[i].values())
+                            floors[i] = least if floors[i] is None else max(floors[i], least)
+
+            waiting, bytes_held = [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    bytes_held += batch.num_rows * (size + width) * 8
+                if bytes_held >= step_bytes:
+                    step(waiting)
+                    waiting, bytes_held = [], 0
+            if waiting:
+                step(waiting)
+            for _, q_ids, _, _, best in kept:
+                rows = [(int(q_ids[i]), name, max(-most, min(most, s))) for i, own in enumerate(best) for name, s in own.items()]
+                for start in range(0, len(rows), 65_536):
+                    a, c, s = zip(*rows[start : start + 65_536], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s, exact_type)], names=["query_id", "vec_id", "score"])
 
         pivot_table.select("vec_id", "v", "far").mapInArrow(search, schema).write.mode("append").parquet(found)
     best = spark.read.schema(schema).parquet(found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

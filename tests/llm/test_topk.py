@@ -62,6 +62,33 @@ def test_random_integers_many_blocks(spark):
     assert search(spark, rows, "true", k=3, pivots=4, sample=20, block=32) == brute(rows, lambda i: True, 3)
 
 
+def test_intermediate_rows_do_not_grow_with_the_candidates(spark, monkeypatch):
+    """A task hands on k rows of a query at most, over however many steps it takes its candidates."""
+    import numpy as np
+
+    from strandline.llm import topk_search
+
+    paths, make = [], topk_search.scratch_path
+
+    def noted(session, name):
+        paths.append(make(session, name))
+        return paths[-1]
+
+    monkeypatch.setattr(topk_search, "scratch_path", noted)
+    rnd = np.random.default_rng(3)
+    for n in (1000, 6000):
+        rows = [(i, [float(np.float32(x)) for x in rnd.normal(0, 0.2, 6)]) for i in range(n)]
+        got = search(spark, rows, "vec_id < 40", k=3, pivots=4, sample=30, block=16, step_bytes=20_000)
+        want = np.floor(256 * np.array([v for _, v in rows])).astype("i8")
+        scores = want[:40] @ want.T
+        for q in range(40):
+            best = sorted((-int(scores[q, c]), c) for c in range(n) if c != q)[:3]
+            assert [(r[2], r[3]) for r in got if r[0] == q] == [(c, -s) for s, c in best]
+        found = spark.read.parquet(paths[-1])
+        tasks = len([f for f in found.inputFiles()])
+        assert tasks <= 4 and found.count() <= tasks * 40 * 3  # of four ranges, in one pass over all blocks
+
+
 def test_large_components(spark):
     import numpy as np
 
