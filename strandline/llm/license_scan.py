@@ -2,9 +2,11 @@
 
 1. A text becomes a line of lower-cased ASCII words between three kinds of separators: a blank; a soft end, where a line
    ends or where . ! ? : ; stands before white space; a blank line, marks of comments aside. So the marks in front of
-   lines, and the places where lines are wrapped, do not matter.
-2. Known licence sentences are looked for between ends, longest first; inside one, words may be parted by blanks or soft
-   ends, but not by a blank line. Each is normalised and mapped to its identifier.
+   lines, comment words among them (dnl, rem), and the places where lines are wrapped, do not matter.
+2. Known licence sentences are looked for at every word, longest first, also within a run of other words; inside one, words may
+   be parted by blanks or soft ends, but not by a blank line. Each is normalised and mapped to its identifier. The
+   alternatives are grouped by their first word. An SPDX tag may hold several licences joined by AND or OR, and gives
+   the identifier of each; a plus sign behind a version reads 'or later'.
 3. The identifiers of a text, in order, are matched against ordered licence rules. A rule takes the identifiers that it
    matches, so a later rule cannot match on them again.
 
@@ -18,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import fresh
+
 #: Sentences of public licence texts and notices, and the identifier of each. Versions that differ only in
 #: case, punctuation, white space and line breaks are one sentence.
 TEXTS: tuple[tuple[str, str], ...] = (
@@ -89,6 +93,8 @@ def _made() -> tuple[list[tuple[str, str]], list[tuple[str, tuple[str, ...]]]]:
     for tag in TAGGED:
         sentences.append((f"spdx_{tag}", f"SPDX-License-Identifier: {tag}"))
         rules.append((tag, (f"spdx_{tag}",)))
+    for stem, _, versions in GNU:  # identifiers of old: without a word behind them they mean that version only
+        sentences += [(f"spdx_{stem}-{_spdx_version(v)}-only", f"SPDX-License-Identifier: {stem}-{_spdx_version(v)}") for v in versions]
     return sentences, rules
 
 
@@ -128,6 +134,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: Steps that turn a text into words and ends: (pattern, what stands for it). SOFT ends a line or sentence, HARD is a blank line.
 SOFT, HARD = "\u0001", "\u0002"
 STEPS = (
+    (r"(?m)^[^A-Za-z0-9\n]*(?:dnl|DNL|rem|Rem|REM)(?:[ \t\r]|$)", ""),
+    (r"([0-9])\+", "$1 or later "),
     (r"\n[^A-Za-z0-9\n]*\n[^A-Za-z0-9]*", HARD),
     (r"\n", SOFT),
     (r"[.!?:;]([ \t\r\x01\x02]|$)", SOFT + "$1"),
@@ -148,10 +156,34 @@ def known_sentences(sentences: tuple[tuple[str, str], ...] = SENTENCES) -> dict[
     return out
 
 
+#: What parts words within a sentence, and how the tag of an SPDX expression reads.
+GAP, TAG = "[ \\x01]+", normalise("SPDX-License-Identifier: ") + " "
+
+
+def tagged(known: dict[str, str]) -> dict[str, str]:
+    """The licences that may stand behind an SPDX tag, normalised, and the identifier of each."""
+    return {n.removeprefix(TAG): name for n, name in known.items() if n.startswith(TAG)}
+
+
+def _longest_first(names) -> list[str]:
+    return sorted(names, key=lambda n: (-len(n), n))
+
+
 def wanted(known: dict[str, str]) -> str:
-    """A pattern of all known sentences, longest first, whose words may be parted by blanks and soft ends."""
-    longest = sorted(known, key=lambda n: (-len(n), n))
-    return "|".join("[ \\x01]+".join(n.split(" ")) for n in longest)
+    """A pattern of all known sentences by their first word, longest first, and of SPDX expressions."""
+    groups: dict[str, list[str]] = {}
+    for n in _longest_first(n for n in known if not n.startswith(TAG)):
+        first, _, rest = n.partition(" ")
+        groups.setdefault(first, []).append("".join(GAP + w for w in rest.split()))
+    parts = [f"{first}(?:{'|'.join(rests)})" for first, rests in sorted(groups.items())]
+    if own := "|".join(n.replace(" ", GAP) for n in _longest_first(tagged(known))):
+        parts.append(f"{TAG.replace(' ', GAP)}(?:{own})\\b(?:{GAP}(?:and|or){GAP}(?:{own})\\b)*")
+    return f"\\b(?:{'|'.join(parts)})\\b"
+
+
+def in_tag(known: dict[str, str]) -> str:
+    """A pattern of the licences of an SPDX expression whose words are parted by single blanks."""
+    return f"\\b(?:{'|'.join(_longest_first(tagged(known))) or '$.'})\\b"
 
 
 def expanded_rules(sentences=SENTENCES, rules=RULES) -> list[tuple[str, str]]:
@@ -165,16 +197,25 @@ def words_and_ends(text: Column) -> Column:
     """The text after STEPS, lower-cased."""
     out = text
     for pattern, sign in STEPS:
-        # possessive, so that a long run without a match is passed once
-        out = F.regexp_replace(out, pattern.replace("]*", "]*+").replace("]+", "]++"), sign)
+        # possessive, so that a long run without a match is passed once; lines end with \n alone
+        out = F.regexp_replace(out, pattern.replace("]*", "]*+").replace("]+", "]++").replace("(?m)", "(?dm)"), sign)
     return F.lower(out)
 
 
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    words = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    pattern = f"(?<=^|^ |[\\x01\\x02]|[\\x01\\x02] )(?:{wanted(known).replace(']+', ']++')})(?= ?(?:[\\x01\\x02]|$))"
-    return F.transform(F.regexp_extract_all(words_and_ends(text), F.lit(pattern), F.lit(0)), lambda s: F.element_at(words, F.regexp_replace(s, "[ \\x01]+", " ")))
+    def table(entries: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv]) if entries else F.create_map().cast("map<string,string>")
+
+    plain, tags = table(known), table(tagged(known))
+    found = F.regexp_extract_all(words_and_ends(text), F.lit(wanted(known).replace("]+", "]++")), F.lit(0))
+    found = F.transform(found, lambda s: F.regexp_replace(s, "[ \\x01]+", " "))
+
+    def of(s: Column) -> Column:
+        licences = F.regexp_extract_all(F.substr(s, F.lit(len(TAG))), F.lit(in_tag(known)), F.lit(0))
+        return F.when(F.startswith(s, F.lit(TAG)), F.transform(licences, lambda x: F.element_at(tags, x))).otherwise(F.array(F.element_at(plain, s)))
+
+    return F.flatten(F.transform(found, of))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -184,23 +225,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order, text that is no known sentence aside. Rules are tried in the order of the table, and each takes all places
     where it matches; licenses are the distinct licences that match, in that order. Null and empty texts have no
     licence. Rows repeat as they do in docs; null ids stay null; an empty table gives an empty result; other columns
-    play no part.
+    play no part. An id column with the name of a result column is refused.
     """
-    ids = docs.select(F.col(id_col), sentence_ids(F.coalesce(F.col(text_col), F.lit("")), known_sentences(sentences)).alias("ids"))
+    results = ("n_sentences", "sentence_ids", "licenses", "n_licenses")
+    if id_col.lower() in results:
+        raise ValueError(f"{id_col} is a column of the result")
+    listed, taken = fresh(docs.select(id_col), "ids", "found")
+    ids = docs.select(F.col(id_col), sentence_ids(F.coalesce(F.col(text_col), F.lit("")), known_sentences(sentences)).alias(listed))
     table = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(sequence).alias("sequence")) for licence, sequence in expanded_rules(sentences, rules)])
-    start = F.struct(F.array_join(F.transform("ids", lambda x: F.concat(F.lit(";"), x, F.lit(";"))), "").alias("left"), F.array().cast("array<string>").alias("found"))
+    start = F.struct(F.array_join(F.transform(listed, lambda x: F.concat(F.lit(";"), x, F.lit(";"))), "").alias("left"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, rule: Column) -> Column:
         hit = F.contains(acc["left"], rule["sequence"])
         left = F.when(hit, F.replace(acc["left"], rule["sequence"], F.lit("#"))).otherwise(acc["left"])
         return F.struct(left.alias("left"), F.when(hit, F.array_append(acc["found"], rule["licence"])).otherwise(acc["found"]).alias("found"))
 
-    found = F.when(F.size("ids") > 0, F.array_distinct(F.aggregate(table, start, step)["found"])).otherwise(F.array().cast("array<string>"))
-    out = ids.withColumn("found", found)
-    return out.select(
-        F.col(id_col),
-        F.size("ids").cast("long").alias("n_sentences"),
-        F.array_join("ids", ";").alias("sentence_ids"),
-        F.array_join("found", ";").alias("licenses"),
-        F.size("found").cast("long").alias("n_licenses"),
-    )
+    found = F.when(F.size(listed) > 0, F.array_distinct(F.aggregate(table, start, step)["found"])).otherwise(F.array().cast("array<string>"))
+    out = ids.withColumn(taken, found)
+    columns = (F.size(listed).cast("long"), F.array_join(listed, ";"), F.array_join(taken, ";"), F.size(taken).cast("long"))
+    return out.select(F.col(id_col), *[c.alias(name) for c, name in zip(columns, results, strict=True)])

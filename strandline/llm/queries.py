@@ -31,21 +31,23 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sql() -> str:
-    """The steps in RE2, with every end doubled so that each sentence has its own; then one step for each rule."""
+    """The steps in RE2, then one step for each rule."""
     def quote(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    known = license_scan.known_sentences()
-    words = f"MAP([{', '.join(map(quote, known))}], [{', '.join(map(quote, known.values()))}])"
+    def table(entries: dict[str, str]) -> str:
+        return f"MAP([{', '.join(map(quote, entries))}], [{', '.join(map(quote, entries.values()))}])"
+
+    known, tag = license_scan.known_sentences(), license_scan.TAG
     text = "coalesce(text, '')"
     for pattern, sign in license_scan.STEPS:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(sign.replace('$1', chr(92) + '1'))}, 'g')"
-    ends = f"chr(1) || replace(replace(lower({text}), chr(1), chr(1) || chr(1)), chr(2), chr(2) || chr(2)) || chr(1)"
-    found = f"regexp_extract_all({ends}, {quote('[' + chr(92) + 'x01' + chr(92) + 'x02] ?(' + license_scan.wanted(known) + ') ?[' + chr(92) + 'x01' + chr(92) + 'x02]')}, 1)"
+    found = f"list_transform(regexp_extract_all(lower({text}), {quote(license_scan.wanted(known))}), lambda s: regexp_replace(s, '[ \\x01]+', ' ', 'g'))"
+    own = f"list_transform(regexp_extract_all(substr(s, {len(tag)}), {quote(license_scan.in_tag(known))}), lambda x: {table(license_scan.tagged(known))}[x])"
     rules = license_scan.expanded_rules()
     steps = [f"r{i + 1} AS (SELECT rid, CASE WHEN contains(l, {quote(seq)}) THEN replace(l, {quote(seq)}, '#') ELSE l END AS l, CASE WHEN contains(l, {quote(seq)}) THEN list_append(f, {quote(lic)}) ELSE f END AS f FROM r{i})" for i, (lic, seq) in enumerate(rules)]
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_transform({found}, lambda s: {words}[regexp_replace(s, '[ \\x01]+', ' ', 'g')]) AS ids FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, flatten(list_transform({found}, lambda s: CASE WHEN starts_with(s, {quote(tag)}) THEN {own} ELSE [{table(known)}[s]] END)) AS ids FROM documents),
 r0 AS (SELECT rid, ';' || array_to_string(ids, ';;') || ';' AS l, CAST([] AS VARCHAR[]) AS f FROM d WHERE len(ids) > 0),
 {", ".join(chr(10) + s for s in steps)},
 firsts AS (SELECT rid, list_filter(f, lambda x, j: list_position(f, x) = j) AS found FROM r{len(rules)})

@@ -4,6 +4,8 @@ import random
 import re
 import textwrap
 
+import pytest
+
 from strandline.llm import license_scan as ls
 
 BY_NAME = dict(ls.SENTENCES)
@@ -80,9 +82,24 @@ def scan(spark, rows, **options):
     return {r.doc_id: r for r in ls.scan_licenses(df, **options).collect()}
 
 
+def words_of(sentence: str) -> tuple[str, ...]:
+    return tuple(re.findall("[a-z0-9]+", sentence.lower()))
+
+
+def plain_lines(text: str) -> str:
+    """Without comment words in front of lines, and with plus signs behind digits read out."""
+    lines = []
+    for line in text.split("\n"):
+        m = re.match("[^A-Za-z0-9]*([A-Za-z0-9]+)", line)
+        if m and m[1] in ("dnl", "DNL", "rem", "Rem", "REM") and (m.end() == len(line) or line[m.end()] in " \t\r"):
+            line = line[m.end() + 1 :]
+        lines.append(line)
+    return re.sub(r"(?<=[0-9])\+", " or later ", "\n".join(lines))
+
+
 def brute(text: str | None, sentences=ls.SENTENCES, rules=ls.RULES) -> tuple[list[str], list[str]]:
-    """Word by word: what parts two words, every known sentence tried at every end, rules on lists."""
-    text = text or ""
+    """Word by word: what parts two words, every known sentence tried at every word, rules on lists."""
+    text = plain_lines(text or "")
     words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", text)]
     after = []
     for i, (_, _, end) in enumerate(words):
@@ -90,19 +107,28 @@ def brute(text: str | None, sentences=ls.SENTENCES, rules=ls.RULES) -> tuple[lis
         after.append(2 if gap.count("\n") > 1 else 1 if "\n" in gap or re.search("[.!?:;][ \t\r]", gap) else 0)
     tables: dict[tuple, str] = {}
     for name, sentence in sentences:
-        tables.setdefault(tuple(re.findall("[a-z0-9]+", sentence.lower())), name)
+        tables.setdefault(words_of(sentence), name)
+    tag = words_of("SPDX-License-Identifier:")
     longest = sorted(tables, key=lambda t: -len(" ".join(t)))
+
+    def stands(known: tuple, i: int) -> bool:
+        end = i + len(known)
+        return end <= len(words) and tuple(w for w, *_ in words[i:end]) == known and 2 not in after[i : end - 1]
+
     ids, i = [], 0
     while i < len(words):
-        step = 1
-        if i == 0 or after[i - 1]:
-            for known in longest:
-                end = i + len(known)
-                if end <= len(words) and tuple(w for w, *_ in words[i:end]) == known and after[end - 1] and 2 not in after[i : end - 1]:
-                    ids.append(tables[known])
-                    step = len(known)
-                    break
-        i += step
+        known = next((k for k in longest if stands(k, i)), None)
+        if known is None:
+            i += 1
+            continue
+        ids.append(tables[known])
+        i += len(known)
+        while known[:3] == tag and i < len(words) and words[i][0] in ("and", "or") and 2 not in after[i - 1 : i + 1]:
+            more = next((k for k in longest if k[:3] == tag and stands(k[3:], i + 1)), None)
+            if more is None:
+                break
+            ids.append(tables[more])
+            i += 1 + len(more) - 3
     names = {name: tables[tuple(re.findall("[a-z0-9]+", sentence.lower()))] for name, sentence in sentences}
     left, found = list(ids), []
     for licence, sequence in rules:
@@ -129,7 +155,27 @@ def check(spark, rows):
 def test_published_texts(spark):
     texts = [MIT, APACHE, BSD3, GPL2, MIT.replace("\n", "\r\n"), MIT + "\n" + APACHE, "x = 1  // SPDX-License-Identifier: BSD-2-Clause\ny = 2", "// SPDX-License-Identifier: MIT\n", GPL2.replace("\n    ", "\n// ")]
     got = check(spark, list(enumerate(texts)))
-    assert [got[i].licenses for i in range(len(texts))] == ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-2.0-or-later", "MIT", "Apache-2.0;MIT", "", "MIT", "GPL-2.0-or-later"]
+    assert [got[i].licenses for i in range(len(texts))] == ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-2.0-or-later", "MIT", "Apache-2.0;MIT", "BSD-2-Clause", "MIT", "GPL-2.0-or-later"]
+
+
+def test_published_tags_and_embedded_sentences(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.\n"
+    rows = [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT;Apache-2.0"), ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "GPL-2.0-only"), ("# SPDX-License-Identifier: GPL-2.0\n", "GPL-2.0-only"),
+        ("// SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"), ("x; // SPDX-License-Identifier: LGPL-2.1+ and (MIT or ISC)", "MIT;ISC;LGPL-2.1-or-later"), ("This file is licensed under the MIT license.", "MIT"), (mpl, "MPL-2.0"),
+        ("".join("dnl " + x + "\n" for x in GPL2.split("\n")), "GPL-2.0-or-later"), ("\n".join("REM" + (" " + x if x else "") for x in MIT.split("\n")), "MIT"), ("remote\nremark: all rights reserved", "LicenseRef-all-rights-reserved"),
+        ("SPDX-License-Identifier: MIT\n\nOR Apache-2.0", "MIT"), ("SPDX-License-Identifier: LicenseRef-own", ""), ("notlicensed under the MIT licensee", ""), ("SPDX-License-Identifier: GPL-2.0-or-later or MIT", "MIT;GPL-2.0-or-later"),
+    ]
+    got = check(spark, [(i, t) for i, (t, _) in enumerate(rows)])
+    assert [set(got[i].licenses.split(";")) for i in range(len(rows))] == [set(w.split(";")) for _, w in rows]
+
+
+def test_id_columns_that_clash(spark):
+    df = spark.createDataFrame([(7, "All rights reserved")], "a long, text string")
+    for name in ("ids", "found", "licence", "Ids"):
+        assert tuple(ls.scan_licenses(df.withColumnRenamed("a", name), id_col=name).first())[:2] == (7, 1)
+    with pytest.raises(ValueError, match="licenses"):
+        ls.scan_licenses(df.withColumnRenamed("a", "licenses"), id_col="licenses")
 
 
 def test_an_earlier_rule_takes_its_sentences(spark):
@@ -147,7 +193,7 @@ def test_rules_over_texts(spark):
         (11, "Licensed under\n\nthe MIT License."), (12, "—" * 20_000 + "\n" * 3000 + "All rights\nreserved"), (13, "All rights reserved"), (14, " \n All rights reserved \n "),
     ]
     got = check(spark, rows)
-    assert got[1].licenses == "MIT" and got[3].licenses == "MIT" and got[4].licenses == "" and got[7].licenses == "CC-BY-NC-4.0" and got[8].licenses == "" and got[11].licenses == ""
+    assert got[1].licenses == "MIT" and got[3].licenses == "MIT" and got[4].licenses == "" and got[7].licenses == "CC-BY-NC-4.0" and got[8].licenses == "MIT" and got[11].licenses == ""
     assert got[9].licenses == got[12].licenses == "LicenseRef-all-rights-reserved" and got[10].licenses == "Apache-2.0;MIT"
 
 
