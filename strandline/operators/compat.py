@@ -46,11 +46,17 @@ def accepted_types(outputs: DataFrame, rules: DataFrame) -> DataFrame:
 def compatible_pairs(outputs: DataFrame, inputs: DataFrame, rules: DataFrame, tool: str = "tool") -> DataFrame:
     """Distinct (source, target) of different tools where an output of the source fits an input of the target.
 
-    outputs: tool, out_type; inputs: tool, in_type. Both are made distinct first.
+    outputs: tool, out_type; inputs: tool, in_type. Tools of the same set of types are taken together: sets are matched by type
+    first, which are few, and unfolded to tools at the end, where each pair comes up once.
     """
-    left = accepted_types(outputs.select(F.col(tool).alias("source"), "out_type").distinct(), rules).select("source", "in_type").distinct()
-    right = inputs.select(F.col(tool).alias("target"), F.lower("in_type").alias("in_type")).distinct()
-    return left.join(right, "in_type").filter("source <> target").select("source", "target").distinct()
+    def sets(rows: DataFrame, name: str, kinds: str) -> DataFrame:
+        return rows.groupBy(name).agg(F.array_sort(F.collect_set("in_type")).alias(kinds))  # of one tool's types
+
+    left = sets(accepted_types(outputs.select(F.col(tool).alias("source"), "out_type"), rules).select("source", "in_type"), "source", "gives")
+    right = sets(inputs.select(F.col(tool).alias("target"), F.lower("in_type").alias("in_type")), "target", "takes")
+    given, taken = left.select("gives").distinct(), right.select("takes").distinct()
+    fitting = given.select("gives", F.explode("gives").alias("t")).join(taken.select("takes", F.explode("takes").alias("t")), "t").select("gives", "takes").distinct()
+    return left.join(fitting, "gives").join(right, "takes").filter("source <> target").select("source", "target")
 
 
 def suggest_next(last: DataFrame, outputs: DataFrame, inputs: DataFrame, rules: DataFrame, k: int = 5, repeats: bool = True) -> DataFrame:

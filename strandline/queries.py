@@ -97,6 +97,17 @@ def palette_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 PALETTE_RANK = "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS rank FROM part"
 
 
+def palette_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in small and in capital letters under the UNICODE collation: by letters first, small ones first where these are equal."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    return catalog.palette(part, "name", "UNICODE", "p_partkey")
+
+
+PALETTE_UNICODE = """
+WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part)
+SELECT p_partkey, name, row_number() OVER (ORDER BY lower(name), name = upper(name), p_partkey) AS rank FROM p"""
+
+
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.initcap("p_name"), F.lit(" "), F.lower("p_brand"))
     return read(spark, sf_dir, "part").select("p_partkey", names.slug(name).alias("slug"), names.pipeline_title(F.concat(names.slug(F.col("p_name")), F.lit(".yaml"))).alias("title"))
@@ -1236,7 +1247,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "plan_progress": (plan_progress, PLAN_PROGRESS), "plan_status": (plan_status, PLAN_STATUS), "step_chain": (step_chain, STEP_CHAIN), "error_detect": (error_detect, ERROR_DETECT), "cli_args": (cli_args, CLI_ARGS),
     "event_map": (event_map, EVENT_MAP_SQL), "event_route": (event_route, EVENT_ROUTE), "session_state": (session_state, SESSION_STATE), "welcome_inject": (welcome_inject, WELCOME_INJECT), "response_fold": (response_fold, RESPONSE_FOLD),
     "tools_first_seen": (tools_first_seen, TOOLS_FIRST_SEEN), "node_ids": (node_ids, NODE_IDS), "edge_dedupe": (edge_dedupe, EDGE_DEDUPE), "ui_flags": (ui_flags, UI_FLAGS), "heartbeats": (heartbeats, HEARTBEATS), "session_cap": (session_cap, SESSION_CAP),
-    "preview": (preview, PREVIEW), "intent": (intent, _intent_sql()), "slug": (slug, SLUG), "palette_rank": (palette_rank, PALETTE_RANK), "health": (health, HEALTH), "available_tools": (available_tools, AVAILABLE_TOOLS), "tool_directories": (tool_directories, TOOL_DIRECTORIES),
+    "preview": (preview, PREVIEW), "intent": (intent, _intent_sql()), "slug": (slug, SLUG), "palette_rank": (palette_rank, PALETTE_RANK), "palette_unicode": (palette_unicode, PALETTE_UNICODE), "health": (health, HEALTH), "available_tools": (available_tools, AVAILABLE_TOOLS), "tool_directories": (tool_directories, TOOL_DIRECTORIES),
     "plan_convert": (plan_convert, PLAN_CONVERT), "plan_explain": (plan_explain, PLAN_EXPLAIN), "feedback": (feedback, FEEDBACK), "response_events": (response_events, RESPONSE_EVENTS), "update_flatten": (update_flatten, UPDATE_FLATTEN), "session_clear": (session_clear, SESSION_CLEAR),
     "session_pipeline": (session_pipeline, SESSION_PIPELINE), "connections": (connections, CONNECTIONS), "broadcast_all": (broadcast_all, BROADCAST_ALL), "wire_frames": (wire_frames, WIRE_FRAMES), "message_guard": (message_guard, MESSAGE_GUARD), "session_elapsed": (session_elapsed, SESSION_ELAPSED),
     "catalog_shape": (catalog_shape, CATALOG_SHAPE), "catalog_pick": (catalog_pick, CATALOG_PICK), "catalog_details": (catalog_details, CATALOG_DETAILS), "documents_parts": (documents_parts, DOCUMENTS_PARTS), "log_round_trip": (log_round_trip, LOG_ROUND_TRIP),
