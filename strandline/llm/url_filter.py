@@ -151,8 +151,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ``options.worst``, else allow. Labels are the verdicts of rules, or with label_col that column's values: block,
     allow or null for unlabelled. Null urls and urls without :// have an empty host and path. Repeated rows count as
     often as they stand and stay repeated; null ids stay null; an empty table gives an empty result; other columns play
-    no part.
+    no part. An id column with the name of a result column is refused.
     """
+    if id_col.lower() in (results := ("host", "path", "rule", "verdict", "template", "blocked_share")):
+        raise ValueError(f"{id_col} is a column of the result, as are {', '.join(results)}")
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), label.alias("label"))
     host, path = split_url(F.col("url"))

@@ -180,3 +180,10 @@ def test_many_labelled_branches_have_short_names(spark):
     rows = [(i, f"http://m.net/{chr(97 + i // 26)}{chr(97 + i % 26)}x/y", "block") for i in range(100)]
     got = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string, mark string"), label_col="mark").collect()
     assert {(r.template, r.verdict) for r in got} == {("/aax|+99/y", "block")}
+
+
+def test_id_columns_that_clash(spark):
+    df = spark.createDataFrame([(7, "http://a.org/x")], "a long, url string")
+    assert [r.segs for r in uf.judge_urls(df.withColumnRenamed("a", "segs"), id_col="segs").collect()] == [7]
+    with pytest.raises(ValueError, match="host"):
+        uf.judge_urls(df.withColumnRenamed("a", "host"), id_col="host")
