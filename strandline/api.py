@@ -51,16 +51,21 @@ class Service:
 
     # ---- events and chats
 
-    def answer(self, incoming: DataFrame) -> DataFrame:
+    def updates(self, incoming: DataFrame) -> DataFrame:
+        """What the agent says to the messages of incoming events. It is asked whenever the result is evaluated."""
+        fine, _ = events.with_message(incoming.filter(events.route(F.col("type")) == "message"))
+        return self.agent(fine.select("session_id", F.col("ord").alias("message_ord"), "message"))
+
+    def answer(self, incoming: DataFrame, updates: DataFrame | None = None) -> DataFrame:
         """All events that answer incoming ones: (session_id, ord, seq, type, content), each branch in its own way.
 
-        incoming: session_id, ord, type, message, item, approved, comments. Messages that are null or empty are rejected
-        with a run_error.
+        incoming: session_id, ord, type, message, item, approved, comments, and greeted where sessions go on (see events.responses).
+        Messages that are null or empty are rejected with a run_error. updates: what the agent has said to them already, if it has.
         """
         kind = events.route(F.col("type"))
         fine, rejected = events.with_message(incoming.filter(kind == "message"))
-        messages = fine.select("session_id", "ord", F.lit(None).cast("string").alias("failed"))
-        updates = self.agent(fine.select("session_id", F.col("ord").alias("message_ord"), "message"))
+        messages = fine.select("session_id", "ord", F.lit(None).cast("string").alias("failed"), *[c for c in fine.columns if c == "greeted"])
+        updates = self.updates(incoming) if updates is None else updates
         said = events.responses(messages, updates.select("session_id", "message_ord", "ord", "type", "content")).withColumnRenamed("message_ord", "ord")
         refused = rejected.select("session_id", "ord", F.lit(1).cast("long").alias("seq"), F.lit("run_error").alias("type"), F.col("error").alias("content"))
         parts = [
@@ -80,14 +85,14 @@ class Service:
         """What a newly opened session gets: its start is acknowledged."""
         return events.start_events(sessions.select("session_id", F.lit(0).cast("long").alias("ord")))
 
-    def stream(self, incoming: DataFrame, cap: int = events.STREAM_CAP) -> DataFrame:
+    def stream(self, incoming: DataFrame, cap: int = events.STREAM_CAP, updates: DataFrame | None = None) -> DataFrame:
         """The first ``cap`` answer events of each session."""
-        return events.capped(self.answer(incoming), ["session_id"], ["ord", "seq"], cap)
+        return events.capped(self.answer(incoming, updates), ["session_id"], ["ord", "seq"], cap)
 
-    def chat(self, messages: DataFrame) -> DataFrame:
+    def chat(self, messages: DataFrame, updates: DataFrame | None = None) -> DataFrame:
         """The folded response of each session: last text, tool names, number of updates, whether a tool was added."""
         fine, _ = events.with_message(messages)
-        updates = self.agent(fine.select("session_id", F.col("ord").alias("message_ord"), "message"))
+        updates = self.agent(fine.select("session_id", F.col("ord").alias("message_ord"), "message")) if updates is None else updates
         numbered = updates.withColumn("ord", F.struct("message_ord", "ord"))
         return events.folded_response(numbered).withColumn("tool_added", F.size("tool_calls") > 0)
 

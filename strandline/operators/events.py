@@ -45,9 +45,10 @@ def responses(messages: DataFrame, updates: DataFrame, dedupe_terminal: bool = F
     messages: session_id, ord, failed (null, or the error of a run that broke); updates: session_id, message_ord, ord,
     type, content. For each message: the welcome (a session's first message only), run_started, the updates' events, a
     run_error if the run broke, run_finished. A complete run reports run_finished as its last update already, so it
-    comes twice; dedupe_terminal keeps the last only.
+    comes twice; dedupe_terminal keeps the last only. messages may have a column greeted: whether the session had its welcome before.
     """
-    numbered = messages.withColumn("first", is_first(["session_id"], ["ord"]))
+    greeted = F.coalesce("greeted", F.lit(False)) if "greeted" in messages.columns else F.lit(False)
+    numbered = messages.withColumn("first", is_first(["session_id"], ["ord"]) & ~greeted)
 
     def row(stage: int, kind: str, content: Column) -> Column:
         return F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("type"), content.alias("content"))

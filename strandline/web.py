@@ -1,7 +1,8 @@
 """The service over HTTP, with the standard library: JSON calls, server-sent events, and a folder of static pages.
 
 Web.respond() turns one request into a reply and touches no socket; serve() puts it behind a server. Each call is a small
-Spark query of the service. What a session sent is kept here, the last ``STREAM_CAP`` messages of it.
+Spark query of the service. The agent is asked once for each message; a session keeps here how many messages it sent, the
+tools that were selected for it, all of them, and its newest ``STREAM_CAP`` answers, which a stream is opened with.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from strandline.operators.events import CHAT_CAP, STREAM_CAP
 from strandline.plans import graph
 from strandline.sources import pipelines
 
-INCOMING = "session_id string, ord long, type string, message string, item string, approved boolean, comments string"
+INCOMING = "session_id string, ord long, type string, message string, item string, approved boolean, comments string, greeted boolean"
 MEDIA = {".html": "text/html", ".js": "text/javascript", ".css": "text/css", ".svg": "image/svg+xml", ".png": "image/png", ".json": "application/json"}
 
 
@@ -43,13 +44,23 @@ def as_stream(payloads: Iterable[dict]) -> Reply:
     return Reply(200, "".join(f"data: {json.dumps(p, ensure_ascii=False)}\n\n" for p in payloads).encode(), "text/event-stream")
 
 
+@dataclass
+class Session:
+    """events: how many it sent; greeted: whether its first message has been answered; tools: names in order of selection."""
+
+    events: int = 0
+    greeted: bool = False
+    tools: list[str] = field(default_factory=list)
+    answers: deque = field(default_factory=lambda: deque(maxlen=STREAM_CAP))
+
+
 @dataclass
 class Web:
     """service: what answers; static: a folder with index.html and assets/, if there are pages."""
 
     service: Service
     static: str | None = None
-    sent: dict[str, deque] = field(default_factory=dict)
+    sessions: dict[str, Session] = field(default_factory=dict)
 
     def respond(self, method: str, target: str, body: bytes = b"") -> Reply:
         parts = urlsplit(target)
@@ -113,70 +124,71 @@ class Web:
 
     # ---- events and chats
 
-    def _incoming(self, session: str, kind: str, message: str | None = None, item: str | None = None, approved: bool | None = None, comments: str | None = None) -> DataFrame:
-        """The new event as a row, and the session's messages with it from now on."""
-        own = self.sent.setdefault(session, deque(maxlen=STREAM_CAP))
-        own.append((session, own[-1][1] + 1 if own else 1, kind, message, item, approved, comments))
-        return self._rows([own[-1]])
-
-    def _rows(self, rows: list[tuple]) -> DataFrame:
-        return self.service.spark.createDataFrame(rows, INCOMING)
-
-    def _answers(self, incoming: DataFrame) -> list[dict]:
-        rows = self.service.stream(incoming).orderBy("ord", "seq").collect()  # STREAM_CAP rows at most
-        return [{"type": r["type"], "data": {"content": r["content"]}, "session_id": r["session_id"], "timestamp": time.time()} for r in rows]
+    def _incoming(self, session: str, kind: str, message: str | None = None, item: str | None = None, approved: bool | None = None, comments: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The new event as a row, and what the agent says to it, which it is asked for here and not again."""
+        own = self.sessions.setdefault(session, Session())
+        own.events += 1
+        new = self.service.spark.createDataFrame([(session, own.events, kind, message, item, approved, comments, own.greeted)], INCOMING)
+        made = self.service.updates(new)
+        rows = made.collect()  # what one message is answered by
+        own.greeted = own.greeted or (kind == "user_message" and bool(message))
+        own.tools += [r["tool_name"] for r in sorted(rows, key=lambda r: (r["message_ord"], r["ord"])) if r["type"] == "tool_selected" and r["tool_name"]]
+        return new, self.service.spark.createDataFrame(rows, made.schema)
+
+    def _answers(self, session: str, incoming: DataFrame, updates: DataFrame) -> list[dict]:
+        rows = self.service.stream(incoming, updates=updates).orderBy("ord", "seq").collect()  # STREAM_CAP rows at most
+        events = [{"type": r["type"], "data": {"content": r["content"]}, "session_id": r["session_id"], "timestamp": time.time()} for r in rows]
+        self.sessions[session].answers.extend(events)
+        return events
 
     def _welcome(self, session: str, query, body) -> Reply:
-        return as_json({"status": "welcome_sent", "events_generated": len(self._answers(self._incoming(session, "session_start"))), "message": "Welcome message delivered"})
+        events = self._answers(session, *self._incoming(session, "session_start"))
+        return as_json({"status": "welcome_sent", "events_generated": len(events), "message": "Welcome message delivered"})
 
     def _events(self, query, body) -> Reply:
-        data = body.get("data") or {}
-        incoming = self._incoming(body.get("session_id", "unknown"), body.get("type"), data.get("message"), data.get("item"), data.get("approved"), data.get("comments"))
-        events = self._answers(incoming)
+        data, session = body.get("data") or {}, body.get("session_id", "unknown")
+        events = self._answers(session, *self._incoming(session, body.get("type"), data.get("message"), data.get("item"), data.get("approved"), data.get("comments")))
         return as_json({"status": "processed", "events_generated": len(events), "message": "Event processed successfully", "events": events})
 
     def _stream(self, session: str, query, body) -> Reply:
         opened = {"type": "connection_established", "data": {}, "session_id": session, "timestamp": time.time()}
-        rows = list(self.sent.get(session, ()))
-        return as_stream([opened, *(self._answers(self._rows(rows)) if rows else [])][:STREAM_CAP])
-
-    def _updates(self, body: dict) -> tuple[str, DataFrame] | None:
-        if not body.get("message"):
-            return None
-        session = body.get("session_id", "default")
-        new = self._incoming(session, "user_message", body["message"])
-        return session, self.service.agent(new.select("session_id", F.col("ord").alias("message_ord"), "message"))
+        return as_stream([opened, *(self.sessions[session].answers if session in self.sessions else ())][:STREAM_CAP])
 
     def _chat_stream(self, query, body) -> Reply:
-        if (got := self._updates(body)) is None:
+        if not body.get("message"):
             return as_json({"error": "Message is required"}, 400)
-        rows = got[1].orderBy("message_ord", "ord").limit(CHAT_CAP).collect()
+        session = body.get("session_id", "default")
+        incoming, updates = self._incoming(session, "user_message", body["message"])
+        self._answers(session, incoming, updates)
+        rows = updates.orderBy("message_ord", "ord").limit(CHAT_CAP).collect()
         return as_stream({"type": r["type"], "content": {"content": r["content"], "tool_name": r["tool_name"]}, "timestamp": time.time()} for r in rows)
 
     def _chat_message(self, query, body) -> Reply:
         if not body.get("message"):
             return as_json({"error": "Message is required"}, 400)
         session = body.get("session_id", "default")
-        r = self.service.chat(self._incoming(session, "user_message", body["message"])).first()
+        incoming, updates = self._incoming(session, "user_message", body["message"])
+        self._answers(session, incoming, updates)
+        r = self.service.chat(incoming, updates).first()
         return as_json({"response": r["content"] if r else "", "tool_calls": r["tool_calls"] if r else [], "session_id": session, "tool_added": bool(r and r["tool_added"])})
 
     def _built(self, session: str) -> dict | None:
-        """The pipeline that a session's messages have built, or None."""
-        fine = self._rows(list(self.sent[session])).filter((F.col("type") == "user_message") & (F.coalesce("message", F.lit("")) != ""))
-        updates = self.service.agent(fine.select("session_id", F.col("ord").alias("message_ord"), "message"))
-        nodes = graph.from_tool_events(updates.withColumn("ord", F.struct("message_ord", "ord"))).withColumn("data", F.lit("{}"))
+        """The pipeline that a session's messages have built, a node for each tool that was selected, or None."""
+        rows = [(session, i, "tool_selected", t) for i, t in enumerate(self.sessions[session].tools)]
+        chosen = self.service.spark.createDataFrame(rows, "session_id string, ord long, type string, tool_name string")
+        nodes = graph.from_tool_events(chosen).withColumn("data", F.lit("{}"))
         edges = self.service.spark.createDataFrame([], "pipeline string, ord long, id string, source string, target string")
         row = graph.to_struct(nodes.select("pipeline").distinct(), nodes, edges).first()
         return pipelines.as_mapping(row) if row else None
 
     def _session_pipeline(self, session: str, query, body) -> Reply:
-        if session not in self.sent:
+        if session not in self.sessions:
             return as_json({"error": "Session not found"}, 404)
         built = self._built(session)
         return as_json(built) if built else as_json({"error": "No pipeline found for session"}, 404)
 
     def _export(self, session: str, query, body) -> Reply:
-        built = self._built(session) if session in self.sent else None
+        built = self._built(session) if session in self.sessions else None
         if not built:
             return as_json({"error": "No pipeline found for session"}, 404)
         built["name"] = query.get("name", [built["name"]])[0]

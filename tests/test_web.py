@@ -142,3 +142,30 @@ def test_ranks(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("rank_of"))
     assert {r.k: r.rank for r in with_rank(df, ["k"]).collect()} == {k: k + 1 for k in range(1000)}
     assert with_rank(df.limit(0), ["k"]).count() == 0
+
+
+def test_a_session_is_greeted_once_and_keeps_all_its_tools(spark, tmp_path):
+    """The agent is asked once for each message, however often the answers and the pipeline are looked at."""
+    asked = []
+
+    def agent(messages):
+        rows = messages.collect()
+        asked.extend(r.message for r in rows)
+        made = [(r.session_id, r.message_ord, i, *u) for r in rows for i, u in enumerate((("tool_selected", None, r.message), ("assistant_message", "re " + r.message, None)))]
+        return spark.createDataFrame(made, agents.UPDATES)
+
+    s = service(spark, tmp_path)
+    s.agent = agent
+    w = Web(s)
+    greetings = 0
+    for i in range(2):
+        got = call(w, "POST", "/api/agui/events", {"type": "user_message", "session_id": "s", "data": {"message": f"t{i}"}})[1]["events"]
+        greetings += sum((e["data"]["content"] or "").startswith("Hello!") for e in got)
+    assert greetings == 1 and asked == ["t0", "t1"]
+    for i in range(2, 60):
+        w._incoming("s", "user_message", f"t{i}")
+    for _ in range(2):
+        nodes = call(w, "GET", "/api/chat/pipeline/s")[1]["nodes"]
+        assert [n["tool_id"] for n in nodes] == [f"t{i}" for i in range(60)]
+        assert len(frames(call(w, "GET", "/api/agui/stream/s")[1])) > 5
+    assert len(asked) == 60
