@@ -1,6 +1,6 @@
 """Type compatibility: which tool may follow which, next-tool suggestions, and the validity of pipeline edges.
 
-The rule table is small by definition (a parameter of the caller), so it may be broadcast. Both kinds of match, equal
+The rule table is a parameter of the caller, whose size Spark knows when it chooses the joins. Both kinds of match, equal
 types and rule pairs, are equi-joins on the input type; no nested loop over tools remains.
 """
 
@@ -23,15 +23,11 @@ RULES: dict[str, tuple[str, ...]] = {
 }
 #: What to start with when there is no last tool or it is unknown.
 STARTERS = ("transnet-wrapper", "whisper-wrapper", "easyocr-wrapper")
-#: Rules of more pairs than this are refused as a broadcast.
-MOST_RULES = 10_000
 
 
 def rule_table(spark: SparkSession, rules: dict[str, Sequence[str]] = RULES) -> DataFrame:
     """(out_type, in_type), lower-case, distinct."""
     pairs = sorted({(a.lower(), b.lower()) for a, bs in rules.items() for b in bs})
-    if len(pairs) > MOST_RULES:
-        raise ValueError(f"{len(pairs)} rule pairs")
     return spark.createDataFrame(pairs, "out_type string, in_type string")
 
 
@@ -39,7 +35,7 @@ def accepted_types(outputs: DataFrame, rules: DataFrame) -> DataFrame:
     """outputs (with out_type) repeated for each input type that accepts the output: its own and those of the rules."""
     low = outputs.withColumn("out_type", F.lower("out_type"))
     same = low.withColumn("in_type", F.col("out_type"))
-    ruled = low.join(F.broadcast(rules.filter("out_type <> in_type")), "out_type")
+    ruled = low.join(rules.filter("out_type <> in_type"), "out_type")
     return same.unionByName(ruled)
 
 
@@ -95,6 +91,6 @@ def valid_connections(edges: DataFrame, catalog: DataFrame) -> DataFrame:
 def typed_edges(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """edges (source_type, target_type, ...) with ``edge_type`` by equality or the rule table."""
     pairs = rules.select(F.col("out_type").alias("_o"), F.col("in_type").alias("_i"), F.lit(True).alias("_ruled"))
-    joined = edges.join(F.broadcast(pairs), (F.lower("source_type") == F.col("_o")) & (F.lower("target_type") == F.col("_i")), "left")
+    joined = edges.join(pairs, (F.lower("source_type") == F.col("_o")) & (F.lower("target_type") == F.col("_i")), "left")
     fits = (F.lower("source_type") == F.lower("target_type")) | F.coalesce(F.col("_ruled"), F.lit(False))
     return joined.withColumn("edge_type", F.when(fits, "default").otherwise("invalid")).drop("_o", "_i", "_ruled")

@@ -23,11 +23,11 @@ def latest_connection(events: DataFrame, connections: DataFrame) -> DataFrame:
 
 
 def broadcast_events(events: DataFrame, sessions: DataFrame, most_sessions: int = 10_000) -> DataFrame:
-    """Every event for every session. The sessions are counted first; more than ``most_sessions`` are refused."""
-    n = sessions.select("session_id").distinct().count()
-    if n > most_sessions:
-        raise ValueError(f"{n} sessions: an event for each would multiply the events by that")
-    return events.drop("session_id").crossJoin(F.broadcast(sessions.select("session_id").distinct()))
+    """Every event for every session, by definition of the operator. The sessions are counted first; more than ``most_sessions`` are
+    not broadcast, and the events meet them block by block instead."""
+    known = sessions.select("session_id").distinct()
+    small = known.count() <= most_sessions
+    return events.drop("session_id").crossJoin(F.broadcast(known) if small else known)
 
 
 #: Where a tool's directory may be, by priority; {name} is its name, {stem} the name without '-wrapper'.
@@ -53,7 +53,6 @@ def session_pipeline(sessions: DataFrame, pipelines: DataFrame, asked: DataFrame
     return both.select("session_id", "pipeline", status.alias("status"))
 
 
-def wanted_and_available(wanted: Sequence[str], catalog: DataFrame) -> list[str]:
-    """The wanted tools that the catalog has, in the wanted order. The list is the caller's own."""
-    have = {r[0] for r in catalog.select("app_name").filter(F.col("app_name").isin(list(wanted))).distinct().collect()}
-    return [w for w in wanted if w in have]
+def wanted_and_available(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The rows of wanted (app_name, ...) whose app the catalog has."""
+    return wanted.join(catalog.select("app_name").distinct(), "app_name", "left_semi")

@@ -129,8 +129,9 @@ SELECT (SELECT count(*) FROM part) AS tools_count, (SELECT count(DISTINCT conv_i
 
 def available_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part").select(F.col("p_brand").alias("app_name"))
-    have = lookups.wanted_and_available(["Brand#12", "no brand", "Brand#9", "Brand#23", "Brand#1", "Brand#55"], parts)
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(have)], "rank long, app_name string")
+    wanted = ["Brand#12", "no brand", "Brand#9", "Brand#23", "Brand#1", "Brand#55"]
+    have = lookups.wanted_and_available(spark.createDataFrame(list(enumerate(wanted)), "place long, app_name string"), parts)
+    return sequences.with_rank(have, ["place"]).select(F.col("rank").cast("long").alias("rank"), "app_name")
 
 
 AVAILABLE_TOOLS = """

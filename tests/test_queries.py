@@ -37,6 +37,13 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert sorted(([r[i] for i in at] for r in result.fetchall()), key=repr) == got
 
 
+def test_delivery_holds_what_last_connections_get(spark, sf_dir):
+    """Delivered to the connection of its time, an event after a session's last connection goes where ``connections`` sends it."""
+    last = {r.session_id: r.queue for r in queries.connections(spark, sf_dir).collect()}
+    got = {tuple(r) for r in queries.delivery(spark, sf_dir).select("session_id", "event_id", "queue").collect()}
+    assert {r for r in got if last.get(r[0]) == r[2]} == {tuple(r) for r in queries.connections(spark, sf_dir).select("session_id", "event_id", "queue").collect()}
+
+
 def test_entry_works_without_corpus_operators(tmp_path):
     for p in ("strandline", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
