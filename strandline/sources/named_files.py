@@ -4,8 +4,9 @@
     rows.write.format("named_files").mode("append").save(folder)
 
 Tasks write into a staging folder of the job. The commit moves what successful tasks have written to its place, file by file, and
-drops the rest, so a failed task or job leaves no file and no half one. A file that is there is replaced. Of rows of one name, one
-stays: make names unique before. Names may have slashes, but can't lead out of the folder.
+drops the rest, so a failed task or job leaves no file and no half one among them. A task that still runs when its job is given up
+may write on in the staging folder, which is hidden from readers. A file that is there is replaced. Of rows of one name,
+one stays: make names unique before. Names may have slashes, but can't lead out of the folder.
 """
 
 from __future__ import annotations
