@@ -11,7 +11,8 @@
 
 Counts are summed per distinct generalised path before anything else is shuffled, so a hot host is a few rows; a node's
 branches are summed per interval before they meet in one row, which so has at most bins + 1 entries. A level is one
-written table; levels end with the labelled paths.
+written table; where a labelled path goes on alone, its rest is walked at once, so there are as many levels as
+labelled paths stay together in a branch, whatever their length.
 """
 
 from __future__ import annotations
@@ -35,10 +36,9 @@ RULES: tuple[tuple[str, str], ...] = (
 
 @dataclass(frozen=True)
 class TreeOptions:
-    """levels: segments past so many stand together as one. bins: intervals of shares. smoothing: urls that a parent's share weighs.
-    z: a merge needs a difference below so many standard errors. worst: more blocked urls than this share reject a template."""
+    """bins: intervals of shares. smoothing: urls that a parent's share weighs. z: a merge needs a difference below so many
+    standard errors. worst: more blocked urls than this share reject a template."""
 
-    levels: int = 64
     bins: int = 200
     max_children: int = 20
     smoothing: float = 4.0
@@ -64,8 +64,8 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def segments(path: Column, levels: int) -> Column:
-    """The segments of a path in general form; those from the last level on are joined to one."""
+def segments(path: Column) -> Column:
+    """The segments of a path in general form."""
     def general(s: Column) -> Column:
         stem, end = F.regexp_extract(s, r"^(.*?)(\.[A-Za-z]{1,5})?$", 1), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})?$", 0)
         kind = (
@@ -75,9 +75,7 @@ def segments(path: Column, levels: int) -> Column:
         )
         return F.when(kind.isNotNull(), F.concat(kind, end)).otherwise(s)
 
-    parts = F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
-    tail = F.array(F.array_join(F.slice(parts, levels, F.greatest(F.size(parts), F.lit(1))), "/"))
-    return F.when(F.size(parts) > levels, F.concat(F.slice(parts, 1, levels - 1), tail)).otherwise(parts)
+    return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
 
 
 def _runs(bins: Column, z: float) -> Column:
@@ -102,27 +100,32 @@ def _runs(bins: Column, z: float) -> Column:
 
 
 def _level(at: DataFrame, level: int, options: TreeOptions) -> DataFrame:
-    """at: (host, segs, n, labelled, blocked, node, share, open). The open paths that go on at this level get the next node."""
+    """at: (host, segs, n, labelled, blocked, node, share, open). The open paths that go on at this level get the next
+    node, or where a labelled one is alone in it, the last node of its path."""
     m = F.lit(float(options.smoothing))
     goes_on = F.col("open") & (F.size("segs") > level)
     deeper = at.filter(goes_on).withColumn("seg", F.get("segs", F.lit(level)))
     key = ["host", "node"]
-    children = deeper.groupBy(*key, "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("share").alias("parent"))
+    children = deeper.groupBy(*key, "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("share").alias("parent"), F.count(F.lit(1)).alias("paths"))
     in_bin = F.expr(f"b * {int(options.bins)} div l")
     known = children.filter("l > 0").withColumn("bin", in_bin)
-    bins = known.groupBy(*key, "bin").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.min("seg").alias("first"), F.count(F.lit(1)).alias("many"), F.max("parent").alias("parent"))
+    bins = known.groupBy(*key, "bin").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.min("seg").alias("first"), F.count(F.lit(1)).alias("many"), F.max("parent").alias("parent"), F.sum("paths").alias("paths"))
     runs = bins.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bin", "l", "b"))).alias("bins")).select(*key, F.inline(_runs(F.col("bins"), options.z)))
     of_bin = bins.join(runs, [*key, "bin"])
-    merged = of_bin.groupBy(*key, "run").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.min("first").alias("first"), F.sum("many").alias("many"), F.max("parent").alias("parent"))
+    merged = of_bin.groupBy(*key, "run").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.min("first").alias("first"), F.sum("many").alias("many"), F.max("parent").alias("parent"), F.sum("paths").alias("paths"))
     # a name tells the first of the merged branches and how many follow
     name = F.when(F.col("many") > 1, F.concat("first", F.lit("|+"), (F.col("many") - 1).cast("string"))).otherwise(F.col("first"))
-    merged = merged.select(*key, "run", name.alias("name"), ((F.col("b") + m * F.col("parent")) / (F.col("l") + m)).alias("share_here"))
-    learned = known.select(*key, "seg", "bin").join(runs, [*key, "bin"]).join(merged, [*key, "run"]).select(*key, "seg", "name", "share_here", F.lit(True).alias("labelled_here"))
+    merged = merged.select(*key, "run", name.alias("name"), ((F.col("b") + m * F.col("parent")) / (F.col("l") + m)).alias("share_here"), (F.col("paths") == 1).alias("alone"))
+    learned = known.select(*key, "seg", "bin").join(runs, [*key, "bin"]).join(merged, [*key, "run"]).select(*key, "seg", "name", "share_here", F.lit(True).alias("labelled_here"), "alone")
     totals = children.groupBy(*key).agg(F.sum("n").alias("of"))
     rare = ~F.startswith(F.col("seg"), F.lit("{")) & (F.col("n") * options.max_children < F.col("of"))
-    others = children.filter("l = 0").join(totals, key).select(*key, "seg", F.when(rare, F.lit("*")).otherwise(F.col("seg")).alias("name"), F.col("parent").alias("share_here"), F.lit(False).alias("labelled_here"))
+    others = children.filter("l = 0").join(totals, key).select(*key, "seg", F.when(rare, F.lit("*")).otherwise(F.col("seg")).alias("name"), F.col("parent").alias("share_here"), F.lit(False).alias("labelled_here"), F.lit(False).alias("alone"))
     moved = deeper.join(learned.unionByName(others), [*key, "seg"])
-    moved = moved.select("host", "segs", "n", "labelled", "blocked", F.concat("node", F.lit("/"), "name").alias("node"), F.col("share_here").alias("share"), F.col("labelled_here").alias("open"))
+    # nothing branches off below a path that is alone: each of its segments is a node of the path's own counts
+    left = F.when(F.col("alone"), F.slice("segs", level + 2, F.greatest(F.size("segs") - level - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    share = F.aggregate(left, F.col("share_here"), lambda above, _: (F.col("blocked") + m * above) / (F.col("labelled") + m))
+    node = F.array_join(F.concat(F.array("node", "name"), left), "/")
+    moved = moved.select("host", "segs", "n", "labelled", "blocked", node.alias("node"), share.alias("share"), (F.col("labelled_here") & ~F.col("alone")).alias("open"))
     return moved.unionByName(at.filter(~goes_on).withColumn("open", F.lit(False)))
 
 
@@ -133,14 +136,16 @@ def learn_templates(counts: DataFrame, options: TreeOptions = TreeOptions()) ->
     table's share; without any label that is one half.
     """
     m = F.lit(float(options.smoothing))
-    longest = F.max(F.when(F.col("labelled") > 0, F.size("segs")).otherwise(0))
-    total = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(longest, F.lit(0)).alias("levels")).first()
+    total = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.max(F.size("segs")), F.lit(0)).alias("longest")).first()
     root = (total["b"] + 1.0) / (total["l"] + 2.0)
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     hosts = hosts.select("host", ((F.col("b") + m * F.lit(root)) / (F.col("l") + m)).alias("share"), (F.col("l") > 0).alias("open"))
     at = counts.join(hosts, "host").select("host", "segs", "n", "labelled", "blocked", F.lit("").alias("node"), "share", "open")
-    for level in range(total["levels"]):
+    level, more = 0, total["l"] > 0 and total["longest"] > 0
+    while more:
         at = materialize(_level(at, level, options), f"url-level-{level + 1}")
+        level += 1
+        more = not at.filter(F.col("open") & (F.size("segs") > level)).isEmpty()
     return at.select("host", "segs", F.when(F.col("node") == "", F.lit("/")).otherwise(F.col("node")).alias("template"), F.col("share").alias("blocked_share"))
 
 
@@ -160,7 +165,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = split_url(F.col("url"))
     rows = rows.select("id", host.alias("host"), path.alias("path"), "label")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "label", segments(F.col("path"), options.levels).alias("segs"))
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "label", segments(F.col("path")).alias("segs"))
     known = F.col("label") if label_col else F.col("ruled")
     counts = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum(known.isNotNull().cast("long")).alias("labelled"), F.sum(F.coalesce((known == "block").cast("long"), F.lit(0))).alias("blocked"))
     learned = learn_templates(materialize(counts, "url-counts"), options)

@@ -28,7 +28,7 @@ def rule_of(host, path):
     return best or (None, None)
 
 
-def segments(path, levels):
+def segments(path):
     def general(s):
         m = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", s, re.S)
         stem, end = m[1], m[2] or ""
@@ -38,8 +38,7 @@ def segments(path, levels):
             return "{hex}" + end
         return "{x}" + end if re.search("[0-9]", stem) else s
 
-    parts = [general(s) for s in path.split("/") if s]
-    return tuple(parts if len(parts) <= levels else [*parts[: levels - 1], "/".join(parts[levels - 1 :])])
+    return tuple(general(s) for s in path.split("/") if s)
 
 
 def brute(rows, o):
@@ -104,7 +103,7 @@ def check(spark, urls, options=uf.TreeOptions()):
     rows = []
     for u in urls:
         host, path = split_url(u)
-        rows.append((host, segments(path, options.levels), rule_of(host, path)[0]))
+        rows.append((host, segments(path), rule_of(host, path)[0]))
     want = brute(rows, options)
     for i, u in enumerate(urls):
         host, path = split_url(u)
@@ -126,7 +125,7 @@ def test_against_plain_tree(spark):
         path = "/".join(rnd.choice(words + [str(rnd.randint(0, 99)), f"w{rnd.choice('abcdefghijklmnop')}{rnd.choice('abcdefghijkl')}", f"{rnd.randint(0, 9)}.html", "deadbeef01"]) for _ in range(rnd.randint(0, 6)))
         urls.append(f"http{rnd.choice(['', 's'])}://{host}/{path}{rnd.choice(['', '?q=1', '#top', '/'])}")
     got = check(spark, urls)
-    check(spark, urls[:300], uf.TreeOptions(levels=2, bins=7, max_children=3, smoothing=1.0, z=0.5))
+    check(spark, urls[:300], uf.TreeOptions(bins=7, max_children=3, smoothing=1.0, z=0.5))
     assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
 
 
@@ -155,9 +154,9 @@ def test_rare_branches_are_told_apart_by_labels(spark):
 
 def judged(spark, rows):
     got = uf.judge_urls(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark string"), label_col="mark").collect()
-    want = brute([(split_url(u)[0], segments(split_url(u)[1], 64), m) for u, m in rows], uf.TreeOptions())
+    want = brute([(split_url(u)[0], segments(split_url(u)[1]), m) for u, m in rows], uf.TreeOptions())
     for r in got:
-        template, share = want[r.host, segments(r.path, 64)]
+        template, share = want[r.host, segments(r.path)]
         assert r.template == template and r.blocked_share == pytest.approx(share, abs=1e-12)
     return got
 
@@ -176,6 +175,18 @@ def test_deep_branches_are_told_apart(spark):
     assert {("bad" in r.path, r.verdict) for r in got} == {(True, "block"), (False, "allow")}
 
 
+def test_very_long_paths_are_walked_to_their_end(spark):
+    """No depth ends the tree: labelled paths of hundreds of segments, alone and beside others, and one with unlabelled ones below it."""
+    long = "/".join(chr(97 + i % 26) for i in range(400))
+    rows = [(f"http://d.net/{long}", "block"), (f"http://c.net/z/{long}", "allow"), (f"http://e.net/k/{long}/p", "block"), (f"http://e.net/k/{long}/p", None)]
+    rows += [(f"http://f.net/{'q/' * 3}{s}/{long}", "block" if s == "bad" else "allow") for s in ("bad", "good") for i in range(30)]
+    rows += [("http://g.net/a", "block")] * 5 + [("http://g.net/a/b/c", None), ("http://g.net/d/e", None)]
+    got = judged(spark, rows)
+    assert {("bad" in r.path, r.verdict) for r in got if r.host == "f.net"} == {(True, "block"), (False, "allow")}
+    assert {r.template for r in got if r.host in ("c.net", "d.net")} == {f"/{long}", f"/z/{long}"}
+    assert {r.template for r in got if r.host == "g.net"} == {"/a", "/a/b", "/d"}
+
+
 def test_many_labelled_branches_have_short_names(spark):
     rows = [(i, f"http://m.net/{chr(97 + i // 26)}{chr(97 + i % 26)}x/y", "block") for i in range(100)]
     got = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string, mark string"), label_col="mark").collect()
