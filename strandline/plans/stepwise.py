@@ -4,7 +4,8 @@ Round r holds the rows of every plan's r-th step. Its input is the frontier: the
 that step's output. A round is written slice by slice, each one job; what has been committed is never run again, so a run
 that broke off goes on from there when it is called with the same folder. Calls of the slice that was being written are made again.
 
-Rounds are as many as the longest plan has steps. Steps are laid out by step number first, so a round reads its own only.
+Rounds are as many as the longest plan that goes on has steps: when no plan's step succeeded there is no further one. Steps are laid
+out by step number first, so a round reads its own only.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ def _laid_out(plans: DataFrame, steps: DataFrame, folder: str) -> tuple[DataFram
     return heads, heads.agg(F.max("total_steps")).first()[0] or 0
 
 
+def _slices(spark: SparkSession, folder: str, asked: int) -> int:
+    """Into how many slices the folder's rounds are cut: as asked for when it was begun, since what is missing of a round depends on it."""
+    return written(spark.range(1).select(F.lit(asked).alias("slices")), f"{folder.rstrip('/')}/slices").first()[0]
+
+
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("plan_id string, tool_name string, parameters string, step long").parquet(f"{folder.rstrip('/')}/steps")
 
@@ -44,13 +50,14 @@ def run_stepwise(plans: DataFrame, steps: DataFrame, registry, folder: str, most
     """RESULT rows of the steps run so far. plans: plan_id, input; steps: plan_id, step (1, 2, ... in each plan), tool_name, parameters.
 
     A step's input is the output of the one before; a plan ends with its first failure. Without ``most_rounds`` all plans are run
-    to their end. Called again with the folder of an earlier run, it takes plans and steps as they were laid out then.
+    to their end. Called again with the folder of an earlier run, it takes plans, steps and slices as they were laid out then.
     """
     import json
 
     spark = plans.sparkSession
     workers_import(spark)
     heads, longest = _laid_out(plans, steps, folder)
+    slices = _slices(spark, folder, slices)
 
     def call(frames):
         import pandas as pd
@@ -70,6 +77,8 @@ def run_stepwise(plans: DataFrame, steps: DataFrame, registry, folder: str, most
             break
         rounds += 1
         before = heads.select("plan_id", F.col("input").alias("value")) if number == 1 else _read(spark, folder, number - 1).filter("success").select("plan_id", F.col("output").alias("value"))
+        if before.isEmpty():
+            break
         ready = _steps(spark, folder).filter(F.col("step") == number).join(before, "plan_id").select("plan_id", "step", "tool_name", "parameters", "value")
         for i in range(slices):
             written(ready.filter(F.pmod(F.xxhash64("plan_id"), F.lit(slices)) == i).mapInPandas(call, RESULT), _round(folder, number, i))

@@ -8,8 +8,8 @@ that arrive in one batch are put in order first, so what is held at once is a se
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
-from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,10 @@ def keyed_state(spark: SparkSession) -> None:
     workers_import(spark)
 
 
+def _place(entry: tuple) -> int:
+    return entry[0]
+
+
 class _History:
     """A session's entries in order of ord, as list state. An entry that is there already is not entered again."""
 
@@ -38,17 +42,19 @@ class _History:
         self.entries: list[tuple] = []
 
     def load(self) -> None:
-        self.entries = sorted(tuple(e) for e in self.state.get())
+        self.entries = sorted((tuple(e) for e in self.state.get()), key=_place)
 
     def before(self, place: int) -> list[tuple]:
-        return [e for e in self.entries if e[0] < place]
+        return self.entries[: bisect_left(self.entries, place, key=_place)]
 
     def knows(self, place: int) -> bool:
-        return any(e[0] == place for e in self.entries)
+        at = bisect_left(self.entries, place, key=_place)
+        return at < len(self.entries) and self.entries[at][0] == place
 
     def add(self, *new: tuple) -> None:
         self.state.appendList(list(new))
-        self.entries = sorted([*self.entries, *new])
+        for entry in new:
+            insort(self.entries, entry, key=_place)
 
 
 def _in_order(rows: Iterator[Row]) -> list[Row]:
@@ -143,8 +149,9 @@ def conversation(messages: DataFrame, answer: Callable[[list[dict], str], Iterat
     return rows.groupBy("session_id").transformWithState(_Conversation(answer, ttl_ms), UPDATES, "Append", "None" if ttl_ms is None else "ProcessingTime")
 
 
-def _ms(at: datetime) -> int:
-    return int(at.timestamp() * 1000) + 1
+def _ms(us: int) -> int:
+    """When the watermark has passed a row's time."""
+    return us // 1000 + 1
 
 
 class _Delivery(StatefulProcessor):
@@ -153,12 +160,12 @@ class _Delivery(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "queue string")
-        self.waiting = handle.getListState("waiting", "at timestamp, seq long, queue string")
+        self.waiting = handle.getListState("waiting", "us long, seq long, queue string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r["at"], r["seq"], r["queue"]) for r in rows]
+        new = [(r["us"], r["seq"], r["queue"]) for r in rows]
         self.waiting.appendList(new)
-        self.handle.registerTimer(_ms(max(at for at, *_ in new)))
+        self.handle.registerTimer(_ms(max(us for us, *_ in new)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -187,11 +194,13 @@ def deliver(events: DataFrame, connections: DataFrame, late: str = "1 minute") -
     events: session_id, at, seq; connections: session_id, at, seq, queue. seq orders rows of one time. Rows wait until the
     watermark, ``late`` behind the newest row of either stream, has passed them, so a connection that arrives after events it
     precedes still gets them and replaces the one before from its own time on. Events before a session's first connection are lost;
-    so is what arrives later than ``late``.
+    so is what arrives later than ``late``, rows without a time and connections without a queue. Times are compared as microseconds
+    since 1970, whatever the time zones of session and workers.
     """
     keyed_state(events.sparkSession)
     key, seq = F.col("session_id").cast("string").alias("session_id"), F.col("seq").cast("long").alias("seq")
-    both = events.select(key, "at", seq, F.lit(None).cast("string").alias("queue")).unionByName(connections.select(key, "at", seq, F.col("queue").cast("string").alias("queue")))
+    opened = connections.filter("queue IS NOT NULL").select(key, "at", seq, F.col("queue").cast("string").alias("queue"))
+    both = events.select(key, "at", seq, F.lit(None).cast("string").alias("queue")).unionByName(opened).filter("at IS NOT NULL").withColumn("us", F.unix_micros("at"))
     return both.withWatermark("at", late).groupBy("session_id").transformWithState(_Delivery(), DELIVERED, "Append", "EventTime")
 
 

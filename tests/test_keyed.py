@@ -7,6 +7,8 @@ import time
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pytest
+
 from strandline.plans.agents import updates_of
 from strandline.plans.registry import Registry
 from strandline.streaming import keyed, sessions
@@ -73,7 +75,15 @@ def test_agent_remembers_and_calls_tools(spark, tmp_path):
     assert [r[5] for r in got if r[3] == "tool_selected"] == ["shout"]
 
 
-def test_delivery_to_the_connection_of_the_time(spark, tmp_path):
+@pytest.fixture(params=["UTC", "Asia/Tokyo", "America/New_York"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_delivery_to_the_connection_of_the_time(spark, tmp_path, zone):
     start = datetime(2024, 1, 1)
     at = lambda s: start + timedelta(seconds=s)
     rows = [  # session, second, seq, queue (connection) or None (event), batch
@@ -83,6 +93,7 @@ def test_delivery_to_the_connection_of_the_time(spark, tmp_path):
     ]
     schema = "session_id string, at timestamp, seq long, queue string"
     parts = [[(s, at(t), n, q) for s, t, n, q, b in rows if b == i] for i in range(3)]
+    parts[1].append(("a", None, 12, None))  # at no time
     make = lambda both: keyed.deliver(both.filter("queue IS NULL"), both.filter("queue IS NOT NULL"), "60 seconds")
     got = batches(spark, str(tmp_path), parts, schema, make)
     want, open_queue = [], defaultdict(lambda: None)

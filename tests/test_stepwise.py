@@ -145,3 +145,31 @@ def test_no_plans(spark, tmp_path):
     assert stepwise.run_stepwise(plans.limit(0), steps, Registry(), str(tmp_path / "a")).count() == 0
     assert stepwise.run_stepwise(plans, steps.limit(0), Registry(), str(tmp_path / "b")).count() == 0
     assert {r.status for r in stepwise.progress_so_far(spark, str(tmp_path / "b")).collect()} == {"completed"}
+
+
+@pytest.mark.parametrize("then", [1, 2, 5])
+def test_a_run_goes_on_in_the_slices_it_was_begun_with(spark, tmp_path, monkeypatch, then):
+    """A run of three slices breaks off after the first, and is called again with another number of them."""
+    plans, steps = plans_and_steps(spark)
+    want = rows_of(execution.run_plans(plans, steps, registry_of(Calls(tmp_path / "plain"))))
+    calls, folder, write = Calls(tmp_path / "calls"), str(tmp_path / "run"), stepwise.written
+
+    def broken(df, path):
+        if path.endswith("round-000001/slice-000001"):
+            raise RuntimeError("lost")
+        return write(df, path)
+
+    monkeypatch.setattr(stepwise, "written", broken)
+    with pytest.raises(RuntimeError):
+        stepwise.run_stepwise(plans, steps, registry_of(calls), folder, slices=3)
+    monkeypatch.setattr(stepwise, "written", write)
+    assert rows_of(stepwise.run_stepwise(plans, steps, registry_of(calls), folder, slices=then)) == want
+    assert max(calls.counted().values()) == 1
+
+
+def test_no_round_follows_one_without_success(spark, tmp_path):
+    plans = spark.createDataFrame([("a", "3"), ("b", "6")], "plan_id string, input string")
+    steps = spark.createDataFrame([(p, k, "stop", {}) for p in "ab" for k in range(1, 6)], "plan_id string, step long, tool_name string, parameters map<string,string>")
+    got = stepwise.run_stepwise(plans, steps, registry_of(Calls(tmp_path / "calls")), str(tmp_path / "run"))
+    assert [r[:4] for r in rows_of(got)] == [("a", 1, "stop", False), ("b", 1, "stop", False)]
+    assert os.listdir(tmp_path / "run" / "rounds") == ["round-000001"]
