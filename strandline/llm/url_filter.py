@@ -12,7 +12,8 @@
 Counts are summed per distinct generalised path before anything else is shuffled, so a hot host is a few rows; a node's
 branches are summed per interval before they meet in one row, which so has at most bins + 1 entries. A level is one
 written table; where a labelled path goes on alone, its rest is walked at once, so there are as many levels as
-labelled paths stay together in a branch, whatever their length.
+labelled paths stay together in a branch, whatever their length. Rows take their template by path: paths that hold more
+than 1/``HOT_PATHS`` of all rows are broadcast, and their rows dealt over ``SALTS`` parts of the join of the others.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ RULES: tuple[tuple[str, str], ...] = (
     ("block", "com/de/"),
 )
 
+#: A path is hot with more than this part of all rows, so at most that many are; one of more letters is joined like the others.
+HOT_PATHS, HOT_LETTERS, SALTS = 1024, 8192, 64
+
 
 @dataclass(frozen=True)
 class TreeOptions:
@@ -130,7 +134,7 @@ def _level(at: DataFrame, level: int, options: TreeOptions) -> DataFrame:
 
 
 def learn_templates(counts: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
-    """(host, segs, template, blocked_share) for counts of (host, segs, n, labelled, blocked), distinct by host and segs.
+    """(host, segs, n, template, blocked_share) for counts of (host, segs, n, labelled, blocked), distinct by host and segs.
 
     template: the path's deepest node; blocked_share: the smoothed share there. Hosts without labels have the whole
     table's share; without any label that is one half.
@@ -146,7 +150,21 @@ def learn_templates(counts: DataFrame, options: TreeOptions = TreeOptions()) ->
         at = materialize(_level(at, level, options), f"url-level-{level + 1}")
         level += 1
         more = not at.filter(F.col("open") & (F.size("segs") > level)).isEmpty()
-    return at.select("host", "segs", F.when(F.col("node") == "", F.lit("/")).otherwise(F.col("node")).alias("template"), F.col("share").alias("blocked_share"))
+    return at.select("host", "segs", "n", F.when(F.col("node") == "", F.lit("/")).otherwise(F.col("node")).alias("template"), F.col("share").alias("blocked_share"))
+
+
+def _with_templates(rows: DataFrame, learned: DataFrame) -> DataFrame:
+    """rows (id, host, segs, ...) with the template and blocked_share of their path, in one pass and without a hot task."""
+    total = learned.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    letters = F.char_length("host") + F.char_length(F.array_join("segs", "/")) + F.char_length("template")
+    is_hot = (F.col("n") * HOT_PATHS > F.lit(total)) & (letters <= HOT_LETTERS)
+    hot = learned.filter(is_hot).select("host", "segs", F.struct("template", "blocked_share").alias("hot"))
+    cold = learned.filter(~is_hot).select("host", "segs", F.lit(-1).cast("long").alias("salt"), F.struct("template", "blocked_share").alias("cold"))
+    dealt = rows.join(F.broadcast(hot), ["host", "segs"], "left")
+    # rows that have their template find nothing in the second join, wherever they are sent
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(-1).cast("long"))
+    both = dealt.withColumn("salt", salt).join(cold, ["host", "segs", "salt"], "left").withColumn("of", F.coalesce("hot", "cold"))
+    return both.drop("hot", "cold", "salt").withColumns({"template": F.col("of.template"), "blocked_share": F.col("of.blocked_share")}).drop("of")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, options: TreeOptions = TreeOptions(), label_col: str | None = None) -> DataFrame:
@@ -169,6 +187,6 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     known = F.col("label") if label_col else F.col("ruled")
     counts = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum(known.isNotNull().cast("long")).alias("labelled"), F.sum(F.coalesce((known == "block").cast("long"), F.lit(0))).alias("blocked"))
     learned = learn_templates(materialize(counts, "url-counts"), options)
-    judged = rows.join(learned, ["host", "segs"])
+    judged = _with_templates(rows, learned)
     method = F.when(F.col("blocked_share") > options.worst, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "blocked_share")

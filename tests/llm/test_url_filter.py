@@ -198,3 +198,18 @@ def test_id_columns_that_clash(spark):
     assert [r.segs for r in uf.judge_urls(df.withColumnRenamed("a", "segs"), id_col="segs").collect()] == [7]
     with pytest.raises(ValueError, match="host"):
         uf.judge_urls(df.withColumnRenamed("a", "host"), id_col="host")
+
+
+@pytest.mark.parametrize("parts", [2, 1024])
+def test_hot_paths_get_the_templates_of_others(spark, monkeypatch, parts):
+    """One path in most rows, repeated and null ids; with two parts it alone is hot, with 1024 all are, and long ones never."""
+    monkeypatch.setattr(uf, "HOT_PATHS", parts)
+    monkeypatch.setattr(uf, "HOT_LETTERS", 200)
+    urls = ["http://a.com/de/x"] * 60 + ["http://a.com/fr/y"] * 20 + [f"http://a.com/de/{'z' * k}" for k in (1, 300)] + [None, "none", "http://b.net/q"]
+    rows = [(None if i % 7 == 0 else i // 2, u) for i, u in enumerate(urls)]
+    got = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string"))
+    monkeypatch.setattr(uf, "HOT_PATHS", 0)  # none is hot
+    plain = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string"))
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert order(got) == order(plain) and len(order(got)) == len(rows)
+    assert all(r.template is not None and r.blocked_share is not None for r in got.collect())
