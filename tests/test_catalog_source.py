@@ -91,3 +91,26 @@ def test_pipelines_of_one_file_name(spark, tmp_path):
     assert {r.file for r in files.collect()} == {"my_ocr.yaml", "other.yaml"}
     got = {r.name: r for r in pipelines.read_folder(spark, str(tmp_path)).collect()}
     assert set(got) == {"my ocr", "other"} and got["my ocr"].nodes[0].x == 1.0 and got["other"].edges[0].target == "t"
+
+
+def test_few_pipelines_at_a_time_are_python_objects(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    made = []
+    dump, load = pipelines.dump, pipelines.load
+    monkeypatch.setattr(pipelines, "dump", lambda p: made.append(1) or dump(p))
+    monkeypatch.setattr(pipelines, "load", lambda t: made.append(1) or load(t))
+    nodes = [{"id": "a-0", "tool_id": "a", "data": '{"k": "\U0001f600"}', "x": 1.0, "y": None}]
+    rows = [{"file": f"p{i}.yaml", "name": f"p {i}", "nodes": nodes, "edges": []} for i in range(3 * pipelines.FEW + 1)]
+    texts = pipelines.file_texts(iter([pa.RecordBatch.from_pylist(rows)]))
+    first = next(texts)
+    assert len(made) == first.num_rows == pipelines.FEW
+    files = [r for b in [first, *texts] for r in b.to_pylist()]
+    assert [f["name"] for f in files] == [r["file"] for r in rows]
+    made.clear()
+    back = pipelines.parsed(iter([pd.DataFrame({"value": [f["body"].replace("null", "2.5") for f in files]})]))
+    first = next(back)
+    assert len(made) == len(first) == pipelines.FEW
+    got = pd.concat([first, *back])
+    assert list(got["name"]) == [r["name"] for r in rows] and got["nodes"].iloc[-1][0]["y"] == 2.5 and "\U0001f600" in json.loads(got["nodes"].iloc[-1][0]["data"])["k"]
