@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,23 @@ def ordered(keys: Names, order: Sequence[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+#: About so many rows of a key's order a task sorts.
+ROWS_OF_A_TASK = 500_000
+
+
+def parts_for(spark: SparkSession, rows: int, most: int | None = None) -> int:
+    """Into how many partitions so many rows are dealt: the session's number, more where that would give a task over ``most`` (ROWS_OF_A_TASK) rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (most or ROWS_OF_A_TASK)))
+
+
+def dealt(df: DataFrame, keys: Names, rows: int, most: int | None = None) -> DataFrame:
+    """df, which has so many rows, dealt by its keys over parts_for() them: what a task then sorts does not grow with the input. A
+    frame for which the session's number is enough is left to the shuffle of the window or join that follows."""
+    spark = df.sparkSession
+    parts = parts_for(spark, rows, most)
+    return df.repartition(parts, *keys) if parts > parts_for(spark, 0) else df
+
+
 def with_ordinal(df: DataFrame, keys: Names, order: Sequence[str | Column], name: str = "ord", start: int = 1) -> DataFrame:
     """Number the rows of each key, from ``start``."""
     return df.withColumn(name, F.row_number().over(ordered(keys, order)).cast("long") + (start - 1))

@@ -194,7 +194,7 @@ UNION ALL SELECT -1, unnest([1, 2, 3]), unnest(['transnet-wrapper', 'whisper-wra
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
-    return sequences.with_ordinal(lines, ["l_orderkey"], LINE_ORDER, "step")
+    return sequences.with_ordinal(sequences.dealt(lines, ["l_orderkey"], lines.count()), ["l_orderkey"], LINE_ORDER, "step")
 
 
 def edge_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +221,7 @@ def _plans(spark: SparkSession, sf_dir: str, most_size: int) -> tuple[DataFrame,
     plans = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"))
     tools = read(spark, sf_dir, "part").filter(F.col("p_size") <= most_size).select(F.col("p_partkey").alias("tool_name"))
     lines = read(spark, sf_dir, "lineitem").withColumn("tool_name", F.col("l_partkey")).withColumn("success", F.col("l_returnflag") != "R")
-    looked_up = execution.step_results(lines, tools)
+    looked_up = sequences.dealt(execution.step_results(lines, tools), ["l_orderkey"], lines.count())
     steps = sequences.with_ordinal(looked_up, ["l_orderkey"], LINE_ORDER, "step")
     return plans, steps.select(F.col("l_orderkey").alias("plan_id"), "step", "tool_name", "success", "error"), tools
 

@@ -142,3 +142,21 @@ def test_snapshot(spark, tools, tmp_path):
     for form in ("parquet", "json"):
         catalogs.write_snapshot(tools, str(tmp_path / form), form)
         assert sorted(map(str, catalogs.read_snapshot(spark, str(tmp_path / form), form).select(*[f.name for f in CATALOG]).collect())) == sorted(map(str, tools.select(*[f.name for f in CATALOG]).collect()))
+
+
+def test_partitions_grow_with_the_rows(spark, sf_dir, monkeypatch):
+    from strandline import queries
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sequences.parts_for(spark, 10) == least and sequences.parts_for(spark, 10 * least + 1, 10) == least + 1
+    df = spark.range(5000).select((F.col("id") % 500).alias("k"), "id")
+    assert sequences.dealt(df, ["k"], 5000) is df
+    dealt = sequences.dealt(df, ["k"], 5000, 100)
+    parts = dealt.withColumn("part", F.spark_partition_id()).groupBy("k").agg(F.countDistinct("part").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert dealt.rdd.getNumPartitions() == 50 and parts.filter("n = 1 AND rows = 10").count() == 500
+
+    before = queries._steps(spark, sf_dir).select("l_orderkey", "l_linenumber", "step").collect()
+    monkeypatch.setattr(sequences, "ROWS_OF_A_TASK", 100)
+    steps, results = queries._steps(spark, sf_dir), queries._plans(spark, sf_dir, 40)[1]
+    assert steps.rdd.getNumPartitions() == results.rdd.getNumPartitions() == -(-len(before) // 100)
+    assert sorted(steps.select("l_orderkey", "l_linenumber", "step").collect()) == sorted(before)
