@@ -119,15 +119,18 @@ def output_success(output: Column) -> Column:
     return ~is_error(output)
 
 
-def run_plans(plans: DataFrame, steps: DataFrame, registry) -> DataFrame:
+def run_plans(plans: DataFrame, steps: DataFrame, registry, partitions: int | None = None) -> DataFrame:
     """Run each plan's steps in order, a step's input being the output of the one before; plans run in parallel.
 
-    plans: plan_id, input (a string); steps: plan_id, step, tool_name, parameters (map). Returns plan_id, step, tool_name,
-    success, output, error for the executed steps. Tools come from a registry (see registry.py). Rows arrive by plan and
-    step and are run as they come, so neither a plan nor a partition is held in memory, and a plan costs no call of its own.
+    plans: plan_id, input (a string), one row each; steps: plan_id, step, tool_name, parameters (map). Returns plan_id, step,
+    tool_name, success, output, error for the executed steps. Tools come from a registry (see registry.py). A plan's row arrives
+    before those of its steps, and rows are run as they come, so neither a plan nor a partition is held in memory, and a plan
+    costs no call of its own. Plans are dealt over so many partitions (else the session's number), each sorted in one task.
     """
     workers_import(plans.sparkSession)
-    both = plans.join(steps, "plan_id").select("plan_id", "step", "tool_name", "parameters", "input")
+    columns = ["plan_id", "head", "step", "tool_name", "parameters", "input"]
+    heads = plans.withColumns({"head": F.lit(0), "step": F.lit(0).cast("long"), "tool_name": F.lit(None).cast("string"), "parameters": F.lit(None).cast(steps.schema["parameters"].dataType)}).select(columns)
+    both = heads.unionByName(steps.withColumns({"head": F.lit(1), "input": F.lit(None).cast("string")}).select(columns)).filter("plan_id IS NOT NULL")
     schema = "plan_id string, step long, tool_name string, success boolean, output string, error string"
 
     def run(frames):
@@ -136,17 +139,19 @@ def run_plans(plans: DataFrame, steps: DataFrame, registry) -> DataFrame:
         plan, value, alive = None, None, False
         for f in frames:
             rows = []
-            for plan_id, step, tool_name, parameters, given in f.itertuples(index=False, name=None):
-                if plan_id != plan:
+            for plan_id, head, step, tool_name, parameters, given in f.itertuples(index=False, name=None):
+                if not head:
                     plan, value, alive = plan_id, given, True
-                if not alive:
+                    continue
+                if plan_id != plan or not alive:  # a step of no plan, or after a failure
                     continue
                 alive, out, error = registry.call(tool_name, value, dict(parameters or {}))
                 rows.append((plan_id, step, tool_name, alive, out if alive else None, error))
                 value = out
             yield pd.DataFrame(rows, columns=["plan_id", "step", "tool_name", "success", "output", "error"])
 
-    return both.repartition("plan_id").sortWithinPartitions("plan_id", "step").mapInPandas(run, schema)
+    dealt = both.repartition(partitions, "plan_id") if partitions else both.repartition("plan_id")
+    return dealt.sortWithinPartitions("plan_id", "head", "step").mapInPandas(run, schema)
 
 
 def final_outputs(plans: DataFrame, results: DataFrame) -> DataFrame:

@@ -702,7 +702,8 @@ def _tool_plans(spark: SparkSession, sf_dir: str):
 
 def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans run by real functions, each step on the output of the one before."""
-    return execution.run_plans(*_tool_plans(spark, sf_dir)).select("plan_id", "step", "tool_name", "success", "output", "error")
+    parts = sequences.parts_for(spark, read(spark, sf_dir, "lineitem").count() + read(spark, sf_dir, "orders").count())
+    return execution.run_plans(*_tool_plans(spark, sf_dir), parts).select("plan_id", "step", "tool_name", "success", "output", "error")
 
 
 TOOL_RUNS = f"""

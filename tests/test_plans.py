@@ -128,3 +128,13 @@ def test_graph(spark):
 def test_nodes_of_conversations(spark):
     e = spark.createDataFrame([("s", 1, "tool_selected", "x"), ("s", 2, "assistant_message", None), ("s", 3, "tool_selected", ""), ("s", 4, "tool_selected", "y")], "session_id string, ord long, type string, tool_name string")
     assert [(r.pipeline, r.id) for r in graph.from_tool_events(e).orderBy("ord").collect()] == [("Pipeline-s", "x-0"), ("Pipeline-s", "y-1")]
+
+
+def test_plans_run_over_as_many_partitions_as_asked(spark):
+    plans = spark.createDataFrame([(f"p{i}", str(i)) for i in range(40)] + [("none", "x"), (None, "x")], "plan_id string, input string")
+    rows = [(f"p{i}", s, "echo" if s != 3 or i % 2 else "lost", {"s": str(s)}) for i in range(40) for s in (1, 2, 3, 4)] + [("unknown", 1, "echo", {}), (None, 1, "echo", {})]
+    steps = spark.createDataFrame(rows, "plan_id string, step long, tool_name string, parameters map<string,string>").repartition(3)
+    out = execution.run_plans(plans, steps, Registry().add("echo", echo), 11)
+    assert out.rdd.getNumPartitions() == 11
+    got = {(r.plan_id, r.step): r.success for r in out.collect()}
+    assert got == {(f"p{i}", s): i % 2 == 1 or s < 3 for i in range(40) for s in ((1, 2, 3, 4) if i % 2 else (1, 2, 3))}
