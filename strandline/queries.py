@@ -12,7 +12,7 @@ from strandline.functions import jsonx, names, text, types
 from strandline.operators import catalog, compat, events, lookups, sequences
 from strandline.plans import execution, graph, planner
 from strandline.plans.planner import IntentRule
-from strandline.session import shared_folder, workers_import
+from strandline.session import shared_folder, workers_import, written
 
 #: The type rules of the driver tables: which part type may follow which.
 PART_RULES = {"economy": ("medium", "promo"), "medium": ("small", "large"), "large": ("small",), "promo": ("standard", "small")}
@@ -1155,7 +1155,7 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("session_id"), F.upper("event_type").alias("log_type"), body.alias("body"))
     lines = e.select("event_id", F.concat(logs.log_lines(e), F.lit("\n")).alias("line"))
     whole = lines.groupBy(F.floor(F.col("event_id") / 1000).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("body"))
-    files = whole.select(F.concat(F.lit("events-"), F.col("file").cast("string"), F.lit(".log")).alias("name"), "body")
+    files = written(whole.select(F.concat(F.lit("events-"), F.col("file").cast("string"), F.lit(".log")).alias("name"), "body"), f"{folder}/whole")  # made once for both shares
     for share in (0.6, 1.0):
         write_files(files.withColumn("body", F.expr(f"substr(body, 1, int(ceil(length(body) * {share})))")), f"{folder}/in")
         records = spark.readStream.format("record_tail").option("chunk", str(1 << 16)).load(f"{folder}/in")

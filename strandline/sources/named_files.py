@@ -37,13 +37,15 @@ class FilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Staged:
         system, where = opened(self.path)
-        task = uuid.uuid4().hex
+        task, made = uuid.uuid4().hex, set()
         for row in iterator:
             name = row["name"]
             if not name or name.startswith("/") or ".." in name.split("/"):
                 raise ValueError(f"not a file's name: {name!r}")
             path = f"{self._staging(where)}/{task}/{name}"
-            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            if (folder := path.rsplit("/", 1)[0]) not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
             with system.open_output_stream(path) as out:
                 out.write((row["body"] or "").encode())
         return Staged(task)

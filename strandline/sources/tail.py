@@ -5,7 +5,8 @@
 
 A row is (file, at, record): at is the byte where the record begins. An offset is the bytes taken of each file, so a restart goes
 on in the middle of a file, and a batch that is run again reads the same bytes. Half a record at a file's end is left for
-later. Files may only grow. A batch's bytes are split into ranges of ``chunk`` bytes, read in parallel.
+later. Files may only grow. A batch's bytes are split into ranges of ``chunk`` bytes, read in parallel; a task takes as many of them
+as make PACK bytes, or a part of PARTS of a batch that has less, so neither small files nor small ranges cost a task each.
 
 Kinds: 'frames', which end with an empty line, and 'log', whose records begin with a line that begins with a time. The last
 record of a log is complete when another one follows, or when it ends with a line break and is no JSON that is still open.
@@ -25,6 +26,9 @@ SCHEMA = "file string, at long, record string"
 LOG_START = re.compile(rb"(?:\A|(?<=\n))\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} - ")
 LOG_BODY = re.compile(r"\A[^\n]*?\w+: ([\[{].*)\Z", re.DOTALL)
 STEP = 1 << 16
+#: A file's last record is looked for in so many bytes at its end first.
+BACK = 1 << 12
+PACK, PARTS = 32 << 20, 64
 
 
 class Range(InputPartition):
@@ -34,6 +38,27 @@ class Range(InputPartition):
         self.file, self.start, self.stop, self.end = file, start, stop, end
 
 
+class Pack(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]) -> None:
+        self.ranges = ranges
+
+
+def packed(ranges: list[Range]) -> list[Pack]:
+    """The ranges, in order, in packs of about PACK bytes, or of a part of PARTS where all have less than PARTS packs."""
+    most = min(PACK, -(-sum(r.stop - r.start for r in ranges) // PARTS))
+    packs: list[Pack] = []
+    held = most
+    for r in ranges:
+        if held >= most:
+            packs.append(Pack([]))
+            held = 0
+        packs[-1].ranges.append(r)
+        held += r.stop - r.start
+    return packs
+
+
 def _log_is_whole(record: bytes) -> bool:
     if not record.endswith(b"\n"):
         return False
@@ -49,7 +74,7 @@ def _log_is_whole(record: bytes) -> bool:
 
 def _whole_end(read, size: int, kind: str) -> int:
     """Up to where the first ``size`` bytes are whole records; looks back from the end as far as the last record begins."""
-    back = STEP
+    back = BACK
     while True:
         start = max(0, size - back)
         data = read(start, size - start)
@@ -72,13 +97,13 @@ def _records(read, r: Range, kind: str, step: int = STEP) -> Iterator[tuple[int,
     """(at, record) of the records that begin in the range; they may end beyond it."""
     before = 2 if kind == "frames" else 1  # what tells whether a record begins just at the range's start
     at = max(0, r.start - before)
-    held, begin = b"", at
-    # held: bytes from begin on, that are not yet told apart
+    held, begin, place = b"", at, 0
+    # held: bytes from begin on; those from place on are not yet told apart
     first = True
     while True:
         data = read(at, min(step, r.end - at)) if at < r.end else b""
         at += len(data)
-        held += data
+        held, begin, place = held[place:] + data, begin + place, 0
         ended = at >= r.end
         if first:
             skip = _first_start(held, begin, r.start, kind)
@@ -86,14 +111,14 @@ def _records(read, r: Range, kind: str, step: int = STEP) -> Iterator[tuple[int,
                 if ended or begin + len(held) > r.stop + 64:  # a beginning before stop would be in sight
                     return
                 continue
-            held, begin, first = held[skip:], begin + skip, False
-        while True:
-            size = _record_size(held, kind, ended)
-            if not size or begin >= r.stop:
+            place, first = skip, False
+        while begin + place < r.stop:
+            size = _record_size(held, kind, ended, place)
+            if not size:
                 break
-            yield begin, held[:size]
-            held, begin = held[size:], begin + size
-        if begin >= r.stop or ended:
+            yield begin + place, held[place : place + size]
+            place += size
+        if begin + place >= r.stop or ended:
             return
 
 
@@ -108,13 +133,13 @@ def _first_start(data: bytes, begin: int, start: int, kind: str) -> int | None:
     return None if m is None else m.start()
 
 
-def _record_size(data: bytes, kind: str, ended: bool) -> int:
-    """How many bytes the record at data's start has, 0 if that can't be told yet."""
+def _record_size(data: bytes, kind: str, ended: bool, place: int = 0) -> int:
+    """How many bytes the record at a place of data has, 0 if that can't be told yet."""
     if kind == "frames":
-        at = data.find(b"\n\n")
-        return at + 2 if at >= 0 else 0
-    m = LOG_START.search(data, 1)
-    return m.start() if m else len(data) if ended else 0
+        at = data.find(b"\n\n", place)
+        return at + 2 - place if at >= 0 else 0
+    m = LOG_START.search(data, place + 1)
+    return m.start() - place if m else len(data) - place if ended else 0
 
 
 def _reading(path: str):
@@ -165,22 +190,22 @@ class TailStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return self.tail.ends()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return self.tail.ranges(start, end)
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
+        return packed(self.tail.ranges(start, end))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return self.tail.rows(partition)
+    def read(self, partition: Pack) -> Iterator[tuple]:
+        return (row for r in partition.ranges for row in self.tail.rows(r))
 
 
 class TailBatch(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.tail = _Tail(options)
 
-    def partitions(self) -> list[Range]:
-        return self.tail.ranges({}, self.tail.ends()) or [Range("", 0, 0, 0)]
+    def partitions(self) -> list[Pack]:
+        return packed(self.tail.ranges({}, self.tail.ends())) or [Pack([])]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return self.tail.rows(partition) if partition.file else iter(())
+    def read(self, partition: Pack) -> Iterator[tuple]:
+        return (row for r in partition.ranges for row in self.tail.rows(r))
 
 
 class RecordTail(DataSource):

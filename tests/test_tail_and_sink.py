@@ -42,6 +42,20 @@ def test_small_steps_find_records(tmp_path):
     assert b"".join(r for _, r in got) == whole and len(got) == 12
 
 
+def test_small_files_and_ranges_share_tasks(spark, tmp_path):
+    records = [[record(i, f"f{k} " + "t" * (i * 7 % 90)) for i in range(20)] for k in range(300)]
+    for k, rs in enumerate(records):
+        (tmp_path / f"f{k:03d}.log").write_text("".join(rs))
+    source = tail.TailBatch({"path": str(tmp_path), "kind": "log", "chunk": "500"})
+    packs = source.partitions()
+    assert len(source.tail.ranges({}, source.tail.ends())) > 1500 and tail.PARTS // 2 < len(packs) <= tail.PARTS
+    got = [row for p in packs for row in source.read(p)]
+    assert [g[2] for g in got] == [r for rs in records for r in rs]
+    large = [tail.Range("f", i << 20, (i + 1) << 20, 4 << 30) for i in range(4096)]
+    assert {len(p.ranges) for p in tail.packed(large)} == {32} and [r for p in tail.packed(large) for r in p.ranges] == large
+    assert tail.packed([]) == [] and list(source.read(tail.Pack([]))) == []
+
+
 def test_whole_ends():
     def end(data: bytes, kind: str) -> int:
         return tail._whole_end(lambda start, size: data[start : start + size], len(data), kind)
