@@ -32,6 +32,8 @@ class Registry:
             out = self.tools[name](value, parameters)
         except Exception as e:  # a tool's failure is a result
             return False, json.dumps({"error": str(e)}), str(e)
+        if isinstance(out, str) and out.lstrip(" \t\n\r")[:1] != "{":  # no JSON object
+            return True, out, None
         try:
             got = json.loads(out)
         except (TypeError, ValueError):

@@ -696,8 +696,10 @@ def _tool_plans(spark: SparkSession, sf_dir: str):
 
     registry = Registry().add("add", add).add("stop", stop)
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id"), F.col("o_custkey").cast("string").alias("input"))
-    lines = _steps(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("plan_id"), "step", F.when(F.col("step") % 2 == 1, "add").otherwise("stop").alias("tool_name"), F.create_map(F.lit("by"), F.col("l_linenumber").cast("string")).alias("parameters"))
-    return orders, lines, registry
+    lines = read(spark, sf_dir, "lineitem").withColumn("plan_id", F.col("l_orderkey").cast("string"))  # numbered by plan_id, so that they lie as the plans do
+    steps = sequences.with_ordinal(sequences.dealt(lines, ["plan_id"], lines.count()), ["plan_id"], LINE_ORDER, "step")
+    steps = steps.select("plan_id", "step", F.when(F.col("step") % 2 == 1, "add").otherwise("stop").alias("tool_name"), F.create_map(F.lit("by"), F.col("l_linenumber").cast("string")).alias("parameters"))
+    return orders, steps, registry
 
 
 def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1093,8 +1095,8 @@ def _stepwise(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     from strandline.plans.stepwise import run_stepwise
 
     orders, lines, registry = _tool_plans(spark, sf_dir)
-    folder = shared_folder(spark, "rounds")
-    run_stepwise(orders, lines, registry, folder, most_rounds=2)
+    folder, parts = shared_folder(spark, "rounds"), sequences.parts_for(spark, read(spark, sf_dir, "lineitem").count())
+    run_stepwise(orders, lines, registry, folder, most_rounds=2, partitions=parts)
     return folder, run_stepwise(orders, lines, registry, folder)
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.api import Service
+from strandline.operators import sequences
 from strandline.plans import agents, execution, ledger, stepwise
 from strandline.plans.registry import Registry
 
@@ -173,3 +174,39 @@ def test_no_round_follows_one_without_success(spark, tmp_path):
     got = stepwise.run_stepwise(plans, steps, registry_of(Calls(tmp_path / "calls")), str(tmp_path / "run"))
     assert [r[:4] for r in rows_of(got)] == [("a", 1, "stop", False), ("b", 1, "stop", False)]
     assert os.listdir(tmp_path / "run" / "rounds") == ["round-000001"]
+
+
+def test_a_run_is_dealt_by_its_rows_and_its_progress_reads_the_rounds_alone(spark, tmp_path, monkeypatch):
+    """Plans of more rows than the session's partitions shall sort; among them plans and steps that meet nothing."""
+    monkeypatch.setattr(sequences, "ROWS_OF_A_TASK", 5)
+    plans = spark.createDataFrame([(f"p{i}", str(i)) for i in range(60)] + [("none", "1"), (None, "1")], "plan_id string, input string")
+    rows = [(f"p{i}", k, "add" if k != 2 else "stop", {"by": "1"}) for i in range(60) for k in (1, 2, 3)] + [("unknown", 1, "add", {}), (None, 1, "add", {})]
+    steps = spark.createDataFrame(rows, "plan_id string, step long, tool_name string, parameters map<string,string>")
+    calls, folder = Calls(tmp_path / "calls"), str(tmp_path / "run")
+    got = rows_of(stepwise.run_stepwise(plans, steps, registry_of(calls), folder, partitions=11))
+    files = lambda name: len(list((tmp_path / "run" / name).glob("part-*")))
+    assert files("steps/step=1") == 11 and files("rounds/round-000002/slice-000000") > 4
+    stops = {i for i in range(60) if (i + 100) % 3 == 0}
+    assert len(got) == 60 * 3 - len(stops) and {r[0] for r in got if not r[3]} == {f"p{i}" for i in stops}
+    assert {r[4] for r in got if r[1] == 3} == {str(i + 200) for i in range(60) if i not in stops}
+    progress = stepwise.progress_so_far(spark, folder)
+    plan = progress._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    ends = {r.plan_id: (r.seq, r.total_steps, r.status) for r in progress.filter("step_name = 'pipeline'").collect()}
+    assert ends == {f"p{i}": (7, 3, "failed") if i in stops else (10, 3, "completed") for i in range(60)} | {"none": (1, 0, "completed"), None: (1, 0, "completed")}
+    assert progress.count() == 3 * len(got) + 62
+
+
+def test_calls_have_parameters_of_their_own(spark, tmp_path):
+    def take(value: str, parameters: dict) -> str:
+        return f"{value}{parameters.pop('x')}{parameters.pop('y', {}).pop('z', '')}"
+
+    plans = spark.createDataFrame([(str(i), "v") for i in range(6)], "plan_id string, input string")
+    steps = spark.range(6).select(F.col("id").cast("string").alias("plan_id"), F.lit(1).alias("step"), F.lit("take").alias("tool_name"), F.struct(F.lit("a").alias("x"), F.when(F.col("id") > 2, F.struct(F.lit("b").alias("z"))).alias("y")).alias("parameters"))
+    got = stepwise.run_stepwise(plans.coalesce(1), steps.coalesce(1), Registry().add("take", take), str(tmp_path / "run"))
+    assert {(r.plan_id, r.output) for r in got.collect()} == {(str(i), "va" if i < 3 else "vab") for i in range(6)}
+
+
+@pytest.mark.parametrize("out,error", [("5", None), ("[1]", None), ("", None), ("{bad", None), ('{"error": 1}', "1"), (' \n{"error": "x"}', "x"), ('"error"', None), ("[" * 100_000, None)])
+def test_only_objects_with_an_error_fail(out, error):
+    assert Registry().add("t", lambda v, p: out).call("t", "", {}) == (error is None, out, error)
